@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import dedup_lines
 from .secrets import scan_secrets, span_text
+from .simhash import near_duplicates
 
 DOC = ["doc_id", "text"]
 
@@ -47,8 +48,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select(*DOC))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
