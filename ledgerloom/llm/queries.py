@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import dedup_lines
+from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_text
 from .simhash import near_duplicates
 
@@ -52,9 +53,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select(*DOC))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents").select(*DOC)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
