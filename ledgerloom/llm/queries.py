@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import dedup_lines
+from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_text
 from .simhash import near_duplicates
@@ -57,9 +58,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select(*DOC)).drop("text")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*DOC)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
