@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .line_dedup import dedup_lines
 from .quality_model import fit_quality, score_quality
@@ -64,11 +66,20 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).drop("text")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe_encode("text", path).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe_decode("ids", path))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
