@@ -15,6 +15,7 @@ from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_text
 from .simhash import near_duplicates
+from .token_store import new_store, store_index
 
 DOC = ["doc_id", "text"]
 
@@ -74,10 +75,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_store(table(spark, sf_dir, "documents").select(*DOC), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return store_index(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
     "op8_bpe": op8_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
