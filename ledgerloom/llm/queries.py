@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import table
+from .flac import digest_media, encode_media
 from .line_dedup import dedup_lines
 from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
@@ -80,6 +81,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_index(spark, path)
 
 
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = encode_media(table(spark, sf_dir, "documents").select(*DOC)).drop("text")
+    return digest_media(media).drop("media")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": op5_token_store,
     "op6_quality_rules": op6_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_flac_media": op9_flac_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
