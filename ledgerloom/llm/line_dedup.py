@@ -20,7 +20,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import written
 
@@ -126,10 +125,15 @@ def suspected_lines(docs: DataFrame, min_chars: int, max_bits: int) -> DataFrame
                 keys += own
             if keys:
                 hit = has_bits(twice, positions(keys, bits)).all(axis=1)
+                if not hit.any():
+                    continue
                 at = np.asarray(ids)[hit]
-                yield pd.DataFrame({"_id": batch["_id"].iloc[at].array, "_key": [keys[i].decode("utf-8", "replace") for i in np.flatnonzero(hit)]})
+                own_ids = batch["_id"].tolist()
+                yield pd.DataFrame({"_id": [own_ids[i] for i in at], "_key": [keys[i].decode("utf-8", "replace") for i in np.flatnonzero(hit)]})
 
-    return docs.mapInPandas(suspects, T.StructType([T.StructField("_id", kind), T.StructField("_key", T.StringType())]))
+    # Ids travel as text: pandas would turn long ids with nulls among them into floats.
+    found = docs.withColumn("_id", F.col("_id").cast("string")).mapInPandas(suspects, "_id string, _key string")
+    return found.withColumn("_id", F.col("_id").cast(kind))
 
 
 def repeated_lines(suspects: DataFrame, min_docs: int) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .chat import digest_conversations, format_conversations
-from .common import table, written
+from .common import table, word_count, written
 from .flac import digest_media, encode_media
 from .line_dedup import dedup_lines
+from .packing import pack_documents
 from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_text
@@ -65,6 +66,11 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n_words"), F.xxhash64("text").alias("cluster"))
+    return pack_documents(docs, "n_words")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select(*DOC))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
@@ -116,6 +122,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_store": op5_token_store,
