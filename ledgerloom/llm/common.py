@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 # White space of the word rule: the code points 0x20 and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
+# Up to U+024F normal forms, lower case and letter classes are the same in all versions of Unicode.
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,3 +48,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: str | Column) -> Column:
     """The number of words of a text, as runs of anything but white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+class Recent:
+    """A bounded cache: when it holds `most` entries it becomes the old part, and what is used again is taken over."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys) -> list:
+        """The keys that are not held; the others are in `new` afterwards."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        out, new, old = [], self.new, self.old
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
+def slices(texts: list[str | None], most_chars: int = 2_000_000):
+    """Slices of texts of a bounded number of characters, or single long texts."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > most_chars:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(t or "")
+    yield texts[start:]

@@ -3,6 +3,7 @@
 A store is a Parquet table of blocks. Rows are in the order (part, block), parts being ranges of the document id:
   part int, block int    place in the order
   doc_ids array<bigint>  the documents of the block, ascending
+  before bigint          ids in earlier blocks of the part
   n_tokens bigint        ids in the block
   data binary            the block: header, boundaries, ids (below)
 Block format, little-endian: magic "EFID" | u8 bytes of an id (2 or 4) | u8 low bits | u16 0 | u32 n documents |
@@ -14,10 +15,13 @@ document is found by a scan of a few words, in about 2 + log2(u / n) bits a docu
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import shared_dir
+from .common import BEYOND_LATIN, Recent, shared_dir, slices
 
 HEAD = struct.Struct("<4sBBHIQI")
 SAMPLE = 64
 BLOCK_TOKENS = 1 << 18
-MOST_CACHED = 600_000
+MOST_CACHED = 400_000
+# Fixed value: the pattern of words of byte-level vocabularies, with the letters, numbers and white space up to U+024F.
+LETTERS, NUMBERS, SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+WORD = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class EliasFano:
@@ -103,37 +110,51 @@ def open_block(data: bytes) -> tuple[EliasFano, np.ndarray]:
 
 
 class Encoder:
-    """The library's byte-level encoding, with each different chunk between single blanks encoded once.
+    """The library's byte-level encoding, with each different word encoded once.
 
-    Byte-level splitting joins one blank to the word behind it, so a text may be cut before any blank that stands alone.
+    Words are those of the vocabulary's pattern, here in classes for letters up to U+024F. Texts with letters beyond,
+    whose classes depend on the version of Unicode, and texts that may hold special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        parts = text.split(" ") if "  " not in text else re.split(r"(?<! ) (?! )", text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        self.words = Recent(MOST_CACHED)
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words: those of a blank and letters many to a text, as nothing joins them; the rest one by one."""
+        words = self.words.new
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+        words.update(zip(other, self._direct(other), strict=True))
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, of = array("I", e.ids).tobytes(), np.array(e.word_ids)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            if len(cuts) != len(group) + 1:
+                raise ValueError("words were joined")
+            words.update(zip(group, [ids[4 * a : 4 * b] for a, b in itertools.pairwise(cuts)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.chunks(t or "") for t in texts]
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
-        new = [c for c in dict.fromkeys(c for s in split for c in s) if c not in self.cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, s)) for s in split]
+        """The ids of each text as 32-bit integers."""
+        texts = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(texts) if "<|" in t or not t.isascii() and BEYOND_LATIN.search(t)]
+        done = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True))
+        split = [[] if i in done else WORD.findall(t) for i, t in enumerate(texts)]
+        self._learn(self.words.missing(set().union(*split)))
+        held = self.words.new
+        return [done[i] if i in done else b"".join(map(held.__getitem__, s)) for i, s in enumerate(split)]
 
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Encoder(path)
 
 
-STORE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType()), T.StructField("data", T.BinaryType())])
+STORE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> str:
@@ -147,22 +168,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load(tokenizer)
         id_bytes = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        part, block, doc_ids, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, block, before, doc_ids, ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def row() -> pd.DataFrame:
             lengths = np.array([len(x) // 4 for x in ids])
-            return pd.DataFrame({"part": [part], "block": [block], "doc_ids": [doc_ids], "n_tokens": [size], "data": [pack_block(lengths, b"".join(ids), id_bytes)]})
+            return pd.DataFrame({"part": [part], "block": [block], "doc_ids": [doc_ids], "before": [before], "n_tokens": [size], "data": [pack_block(lengths, b"".join(ids), id_bytes)]})
 
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                rows = batch.iloc[start : start + 256]
-                for doc_id, own in zip(rows["_id"].array, encoder.encode(rows["_text"].tolist()), strict=True):
-                    if size and size + len(own) // 4 + 1 > BLOCK_TOKENS:
-                        yield row()
-                        block, doc_ids, ids, size = block + 1, [], [], 0
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    ids.append(own + end)
-                    size += len(own) // 4 + 1
+            texts = batch["_text"].tolist()
+            encoded = itertools.chain.from_iterable(encoder.encode(part) for part in slices(texts))
+            for doc_id, own in zip(batch["_id"].tolist(), encoded, strict=True):
+                if size and size + len(own) // 4 + 1 > BLOCK_TOKENS:
+                    yield row()
+                    block, before, doc_ids, ids, size = block + 1, before + size, [], [], 0
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(own + end)
+                size += len(own) // 4 + 1
         if doc_ids:
             yield row()
 
@@ -205,14 +226,13 @@ def store_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks with the number of ids before each: sums of parts first (as many rows as there were tasks), then within a part."""
+    """The blocks with the number of ids before each. Parts, of which there are as many as there were tasks, are summed
+    up and broadcast; the blocks' data is not shuffled."""
     store = spark.read.schema(STORE).parquet(path)
-    sizes = store.select("part", "block", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
-    before = parts.select("part", (F.sum("_size").over(Window.orderBy("part")) - F.col("_size")).alias("_before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")
-    starts = sizes.withColumn("_within", within).join(before, "part").select("part", "block", (F.col("_before") + F.col("_within")).alias("start"))
-    return store.join(starts, ["part", "block"]).select(F.transform("doc_ids", lambda x: x.cast("string")).alias("doc_ids"), "start", "data")
+    parts = store.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
+    earlier = parts.select("part", (F.sum("_size").over(Window.orderBy("part")) - F.col("_size")).alias("_earlier"))
+    start = (F.col("_earlier") + F.col("before")).alias("start")
+    return store.join(F.broadcast(earlier), "part").select(F.transform("doc_ids", lambda x: x.cast("string")).alias("doc_ids"), start, "data")
 
 
 def new_store(docs: DataFrame, tokenizer: str, **options) -> str:

@@ -58,4 +58,5 @@ def test_chunks_equal_library_on_white_space():
     rng = random.Random(8)
     encoder = S.Encoder(PATH)
     texts = ["".join(rng.choices(" \n\t　\xa0\x0b\x1c\x85a'1.é", k=rng.randrange(14))) for _ in range(3000)]
+    texts += ["".join(map(chr, rng.choices(range(0x250), k=40))) for _ in range(500)]
     assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
