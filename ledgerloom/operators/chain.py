@@ -16,11 +16,12 @@ from .findings import finding
 KEY, SEQ = "project_id", "event_sequence"
 
 
-def chain_parts(df: DataFrame, key: str, order: str, head: Column, tail: Column, algorithm: str = "sha256") -> DataFrame:
+def chain_parts(df: DataFrame, key: str, order: str, head: Column, tail: Column, algorithm: str = "sha256", start: str | None = None) -> DataFrame:
     """df with previous_hash and event_hash: each hash covers head, the hash before it in its key, and tail.
 
     Heads and tails are made in parallel. Links of one key follow one another, so its rows pass in order through one
-    task, one at a time; keys run side by side. Ties in `order` are put in the order of their heads.
+    task, one at a time; keys run side by side. Ties in `order` are put in the order of their heads. `start` is a column
+    with the hash that a key's first row goes on from, zeroes by default.
     """
     rows = df.withColumns({"_head": head, "_tail": tail}).drop("previous_hash", "event_hash")
     zero, name = "0" * WIDTHS[algorithm], algorithm.replace("-", "_")
@@ -33,10 +34,11 @@ def chain_parts(df: DataFrame, key: str, order: str, head: Column, tail: Column,
         held, previous, started = None, zero, False
         for batch in batches:
             keys, heads, tails = (batch.column(c).to_pylist() for c in (at, batch.schema.get_field_index("_head"), batch.schema.get_field_index("_tail")))
+            starts = batch.column(batch.schema.get_field_index(start)).to_pylist() if start else [zero] * len(keys)
             before, after = [], []
-            for k, a, b in zip(keys, heads, tails, strict=True):
+            for k, a, b, first in zip(keys, heads, tails, starts, strict=True):
                 if not started or k != held:
-                    held, previous, started = k, zero, True
+                    held, previous, started = k, first, True
                 before.append(previous)
                 previous = hashlib.new(name, f"{a}{previous}{b}".encode()).hexdigest() if "blake" not in name else getattr(hashlib, name)(f"{a}{previous}{b}".encode()).hexdigest()
                 after.append(previous)

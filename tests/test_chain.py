@@ -50,20 +50,21 @@ def found(df):
     return sorted((r["target"], r["rule"], r["key"]) for r in C.verify_chain(df).collect())
 
 
-AT = (F.col("project_id") == "A") & (F.col("event_sequence") == 4)
+def at():
+    return (F.col("project_id") == "A") & (F.col("event_sequence") == 4)
 
 
 @pytest.mark.parametrize("column", ["occurred_at", "event_type", "object_type", "object_id", "actor_kind", "actor_id", "actor_uuid", "credential_fingerprint", "authority_basis"])
 def test_every_changed_column_is_found(ledger, column):
-    assert found(ledger.withColumn(column, F.when(AT, "x").otherwise(F.col(column)))) == [("A", "wrong-hash", "4")]
+    assert found(ledger.withColumn(column, F.when(at(), "x").otherwise(F.col(column)))) == [("A", "wrong-hash", "4")]
 
 
 def test_other_tampering_is_found(ledger):
-    assert found(ledger.withColumn("details_json", F.when(AT, '{"n":0}').otherwise(F.col("details_json")))) == [("A", "wrong-hash", "4")]
-    assert found(ledger.filter(~AT)) == [("A", "sequence-gap", "5")]
-    assert found(ledger.withColumn("previous_hash", F.when(AT, F.repeat(F.lit("1"), F.lit(64))).otherwise(F.col("previous_hash")))) == [("A", "broken-link", "4"), ("A", "wrong-hash", "4")]
-    assert found(ledger.withColumn("event_hash", F.when(AT, F.repeat(F.lit("1"), F.lit(64))).otherwise(F.col("event_hash")))) == [("A", "broken-link", "5"), ("A", "wrong-hash", "4")]
-    assert ("A", "doubled-sequence", "4") in found(ledger.unionByName(ledger.filter(AT)))
+    assert found(ledger.withColumn("details_json", F.when(at(), '{"n":0}').otherwise(F.col("details_json")))) == [("A", "wrong-hash", "4")]
+    assert found(ledger.filter(~at())) == [("A", "sequence-gap", "5")]
+    assert found(ledger.withColumn("previous_hash", F.when(at(), F.repeat(F.lit("1"), F.lit(64))).otherwise(F.col("previous_hash")))) == [("A", "broken-link", "4"), ("A", "wrong-hash", "4")]
+    assert found(ledger.withColumn("event_hash", F.when(at(), F.repeat(F.lit("1"), F.lit(64))).otherwise(F.col("event_hash")))) == [("A", "broken-link", "5"), ("A", "wrong-hash", "4")]
+    assert ("A", "doubled-sequence", "4") in found(ledger.unionByName(ledger.filter(at())))
     assert found(ledger.limit(0)) == []
 
 
