@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import BEYOND_LATIN, Recent, slices
+
 MOST_WORDS = 100_000
-MOST_CACHED = 400_000
+MOST_CACHED = 300_000
+MOST_IDS = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -26,99 +32,137 @@ def byte_letters() -> dict[int, str]:
 class BatchBPE:
     """The vocabulary and merges of a tokenizer file of kind BPE whose words hold no white space.
 
-    Normalisation and the split into words are those that the file names, run by the library's own components on text
-    that was not met before. Merging is done here: the symbols of many words lie in one flat array; in each round every
-    word merges all its pairs of lowest rank, found by binary search over the sorted pair keys. That equals merging
-    one pair after another, as any merge that uses a merged symbol has a higher rank (checked when a file is loaded).
+    Normalisation and the split into words are those that the file names. Merging is done for many words at once: their
+    symbols lie in one flat array; in each round every word merges all its pairs of lowest rank, found by binary search
+    over the sorted pair keys; words without such pairs leave the array. That equals merging one pair after another, as
+    any merge that uses a merged symbol has a higher rank (checked when a file is loaded).
     """
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
         added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.size = 1 + max([*self.vocab.values(), *added.values()])
-        self.tokens = [""] * self.size
-        for token, i in [*self.vocab.items(), *added.items()]:
+        self.added = {token: i.to_bytes(4, "little") for token, i in added.items()}
+        self.size = 1 + max([*vocab.values(), *added.values()])
+        self.tokens = np.full(self.size, "", object)
+        for token, i in [*vocab.items(), *added.items()]:
             self.tokens[i] = token
-        self.added = added
-        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        letters = byte_letters()
+        self.byte_of = {c: b for b, c in letters.items()}
+        self.first = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int64)
         tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.pattern = self._latin_pattern(spec)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        left = np.array([self.vocab[a] for a, _ in merges], np.int64)
-        right = np.array([self.vocab[b] for _, b in merges], np.int64)
-        made = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        left = np.array([vocab[a] for a, _ in merges], np.int64)
+        right = np.array([vocab[b] for _, b in merges], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         born = np.full(self.size, -1, np.int64)
-        for rank, i in enumerate(made.tolist()):
+        for rank, i in enumerate(self.made.tolist()):
             born[i] = rank if born[i] < 0 else min(born[i], rank)
         if (np.maximum(born[left], born[right]) >= np.arange(len(merges))).any():
             raise ValueError("a merge comes before a merge that makes one of its parts")
         order = np.argsort(left * self.size + right, kind="stable")
-        self.keys, self.ranks, self.made = (left * self.size + right)[order], order, made[order]
-        self.cache: dict[str, bytes] = {}
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word (a string of byte letters)."""
-        ids = np.fromiter((self.vocab[s] for w in words for s in (*w[:-1], w[-1] + self.suffix)), np.int64)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        none = len(self.keys)
-        while len(ids) > 1:
-            pair = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), none - 1)
-            rank = np.where((self.keys[at] == pair) & (word[:-1] == word[1:]), self.ranks[at], none)
+        self.keys, self.ranks, self.none = (left * self.size + right)[order], order, len(merges)
+        self.words = Recent(MOST_CACHED)
+
+    @staticmethod
+    def _latin_pattern(spec: dict):
+        """The file's pattern of words, where it asks for NFC, lower case and nothing that is not white space between words."""
+        normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if normal == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and not steps[1].get("add_prefix_space"):
+            return regex.compile(steps[0]["pattern"]["Regex"])
+        return None
+
+    def _rank(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at the given places; none where there is no merge or the word ends."""
+        after = np.minimum(at + 1, len(ids) - 1)
+        pair = ids[at] * self.size + ids[after]
+        found = np.minimum(np.searchsorted(self.keys, pair), self.none - 1)
+        return np.where((self.keys[found] == pair) & (word[at] == word[after]) & (at < after), self.ranks[found], self.none)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
+        if not words:
+            return []
+        lengths = np.array([len(w) for w in words])
+        text = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(len(words)), lengths)
+        ids = self.first[text]
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self.last[text[ends]]
+        rank = self._rank(ids, word, np.arange(len(ids)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(np.r_[rank, none], starts)
-            chosen = (rank < none) & (rank == np.repeat(least, np.diff(np.r_[starts, len(ids)]))[:-1])
-            if not chosen.any():
-                break
-            # In a run of one symbol every second pair merges, from the left.
-            run = np.flatnonzero(chosen & ~np.r_[False, chosen[:-1]])
-            place = np.arange(len(chosen)) - np.repeat(run, np.diff(np.r_[run, len(chosen)])) if run[0] == 0 else np.r_[np.zeros(run[0], np.int64), np.arange(run[0], len(chosen)) - np.repeat(run, np.diff(np.r_[run, len(chosen)]))]
-            chosen &= place % 2 == 0
+            sizes = np.diff(np.r_[starts, len(ids)])
+            least = np.minimum.reduceat(rank, starts)
+            live = least < self.none
+            if not live.all():
+                stay = np.repeat(live, sizes)
+                done.append((word[~stay], ids[~stay]))
+                ids, word, rank, least, sizes = ids[stay], word[stay], rank[stay], least[live], sizes[live]
+                if not len(ids):
+                    break
+            chosen = rank == np.repeat(least, sizes)
+            if (chosen[1:] & chosen[:-1]).any():
+                # In a run of one symbol every second pair merges, from the left.
+                place = np.arange(len(chosen))
+                place -= np.maximum.accumulate(np.where(chosen & ~np.r_[False, chosen[:-1]], place, 0))
+                chosen &= place % 2 == 0
             first = np.flatnonzero(chosen)
-            ids[first] = self.made[at[first]]
+            ids[first] = self.made[rank[first]]
             keep = np.ones(len(ids), bool)
             keep[first + 1] = False
-            ids, word = ids[keep], word[keep]
-        cuts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        return np.split(ids, cuts[1:]) if len(ids) else []
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Fill the cache with the ids of chunks."""
-        parts: list[list[str | int]] = []
-        words: dict[str, np.ndarray | None] = {}
-        for chunk in chunks:
-            own: list[str | int] = []
-            for piece in self.split_added.split(chunk) if self.split_added else [chunk]:
-                if piece in self.added:
-                    own.append(self.added[piece])
-                elif piece:
-                    text = self.normalizer.normalize_str(piece) if self.normalizer else piece
-                    own += [w for w, _ in self.pre_tokenizer.pre_tokenize_str(text)]
-            parts.append(own)
-            words |= dict.fromkeys(x for x in own if isinstance(x, str))
-        new = list(words)
-        for i in range(0, len(new), MOST_WORDS):
-            words.update(zip(new[i : i + MOST_WORDS], self.encode_words(new[i : i + MOST_WORDS]), strict=True))
-        for chunk, own in zip(chunks, parts, strict=True):
-            self.cache[chunk] = b"".join(np.array([x], "<i4").tobytes() if isinstance(x, int) else words[x].astype("<i4").tobytes() for x in own)
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            at = first - np.arange(len(first))
+            rank[at] = self._rank(ids, word, at)
+            before = at[at > 0] - 1
+            rank[before] = self._rank(ids, word, before)
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))] * 4
+        raw = ids[order].astype("<i4").tobytes()
+        cuts = cuts.tolist()
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text after normalisation; special tokens stand for themselves."""
+        if self.split_added and self.split_added.search(text):
+            return [w for piece in self.split_added.split(text) if piece for w in ([piece] if piece in self.added else self._words(piece))]
+        if self.pattern and (text.isascii() or not BEYOND_LATIN.search(text)):
+            return self.pattern.findall(text.lower())
+        text = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers; a null text has none.
+        """The ids of each text as little-endian 32-bit integers; a null text has none. Each different word is encoded once."""
+        split = [self._words(t or "") for t in texts]
+        new = [w for w in self.words.missing(set().union(*split)) if w not in self.added]
+        held = self.words.new
+        held.update(self.added)
+        for i in range(0, len(new), MOST_WORDS):
+            part = new[i : i + MOST_WORDS]
+            held.update(zip(part, self.encode_words([w.encode() for w in part]), strict=True))
+        return [b"".join(map(held.__getitem__, s)) for s in split]
 
-        Texts are cut at blanks and line feeds, which belong to no word, and each different chunk is encoded once.
-        """
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
-        self._learn([c for c in dict.fromkeys(c for s in split for c in s) if c not in self.cache])
-        return [b"".join(map(self.cache.__getitem__, s)) for s in split]
+    def decode_batch(self, ids: np.ndarray, lengths: list[int]) -> list[str]:
+        """Texts of so many ids each: tokens joined by a blank, as the library does where a file names no decoder.
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens joined by a blank, as the library does where a file names no decoder; unknown ids are left out."""
-        return " ".join([self.tokens[i] for i in ids if 0 <= i < self.size])
+        Numbers that are no ids give an empty token.
+        """
+        known = (ids >= 0) & (ids < self.size)
+        tokens = self.tokens[np.where(known, ids, 0)].tolist()
+        if not known.all():
+            tokens = [t if k else "" for t, k in zip(tokens, known, strict=True)]
+        cuts = [0, *itertools.accumulate(lengths)]
+        return [" ".join(tokens[a:b]) for a, b in itertools.pairwise(cuts)]
 
 
 @lru_cache(maxsize=4)
@@ -126,17 +170,6 @@ def load(path: str) -> BatchBPE:
     return BatchBPE(path)
 
 
-def batches(texts: list[str | None], most_chars: int = 2_000_000):
-    """Slices of texts of a bounded number of characters, or single long texts."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > most_chars:
-            yield texts[start:i]
-            start, size = i, 0
-        size += len(t or "")
-    yield texts[start:]
-
-
 def id_lists(parts: list[bytes]) -> pa.Array:
     offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
@@ -148,7 +181,7 @@ def bpe_encode(text: str | Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = load(path)
-        return id_lists([ids for part in batches(texts.to_pylist()) for ids in bpe.encode_batch(part)])
+        return id_lists([ids for part in slices(texts.to_pylist()) for ids in bpe.encode_batch(part)])
 
     return encode(text)
 
@@ -159,6 +192,14 @@ def bpe_decode(ids: str | Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         bpe = load(path)
-        return pa.array([bpe.decode(x or []) for x in lists.to_pylist()], pa.string())
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+        flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        out, at, start, size = [], 0, 0, 0
+        for i, n in enumerate([*lengths, MOST_IDS]):  # a bounded number of ids at a time, or a single long list
+            if size and size + n > MOST_IDS:
+                out += bpe.decode_batch(flat[at : at + size], lengths[start:i])
+                at, start, size = at + size, i, 0
+            size += n
+        return pa.array(out + [""] * (len(lengths) - len(out)), pa.string())
 
     return decode(ids)

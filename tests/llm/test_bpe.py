@@ -34,6 +34,8 @@ def test_equals_library(spark, library):
         assert r["ids"] == want, r["text"]
         assert r["back"] == library.decode(want, skip_special_tokens=False)
     assert docs.limit(0).count() == 0
+    odd = spark.createDataFrame([(None,), ([],), ([3306, None, -1, 10**6, 1002],)], "ids array<int>")
+    assert [r[0] for r in odd.select(B.bpe_decode("ids", PATH)).collect()] == ["", "", "hello</w>    world</w>"]
 
 
 def test_documents(spark, library):
@@ -49,5 +51,5 @@ def test_small_cache_and_batches(monkeypatch):
     monkeypatch.setattr(B, "MOST_CACHED", 5)
     monkeypatch.setattr(B, "MOST_WORDS", 7)
     fresh = B.BatchBPE(PATH)
-    assert [x for part in B.batches(texts, 50) for x in fresh.encode_batch(part)] == want
+    assert [x for part in B.slices(texts, 50) for x in fresh.encode_batch(part)] == want
     assert np.frombuffer(want[4], "<i4").tolist() == [3306, 1002]
