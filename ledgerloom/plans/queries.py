@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as X
+from ..operators import audit as A
 from ..operators import chain as C
+from ..operators import checkin as B
 from ..operators import decisions as D
 from ..operators import matching as M
 from ..operators import replay as R
+from ..operators import scopes as Q
 from ..operators import sets as S
+from ..operators import verify as V
 from ..operators.findings import summarise_findings
+from ..sources import ledger as L
 from ..sources.shared import written
 from .standins import export_ledger, files, ledger, table
 
@@ -442,3 +447,138 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chain_verify(spark, sf_dir)
     out = summarise_findings(found, ledger(spark, sf_dir).select("project_id"), "project_id")
     return out.withColumn("rules", F.array_join("rules", ","))
+
+
+# Audits, verifiers, check-in, scopes
+
+
+@query("""
+WITH x AS (SELECT user_id, event_id + 1 AS seq, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type IN ('signup', 'purchase', 'error'))
+SELECT 'P' AS target, CAST(seq AS VARCHAR) AS key, CASE before WHEN 'signup' THEN 'EXPORT_STARTED' WHEN 'purchase' THEN 'EXPORT_COMPLETED' WHEN 'error' THEN 'EXPORT_FAILED' END AS actual
+FROM x WHERE CASE WHEN event_type = 'signup' THEN before IS NOT NULL ELSE before IS DISTINCT FROM 'signup' END
+""")
+def audit_life_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule R23: exports start once and are completed or failed once."""
+    return A.audit(export_ledger(spark, sf_dir), "R23").select("target", "key", "actual")
+
+
+@query("""
+WITH x AS (SELECT user_id, event_id + 1 AS seq, event_type FROM events), m AS (SELECT user_id, min(seq) AS made, count(*) AS n FROM x WHERE event_type = 'signup' GROUP BY user_id)
+SELECT 'created-twice' AS rule, printf('EXP-%06d', user_id) AS key, CAST(n AS VARCHAR) AS actual FROM m WHERE n > 1
+UNION ALL SELECT 'precedes-creation', printf('EXP-%06d', x.user_id), CAST(seq AS VARCHAR) FROM x LEFT JOIN m USING (user_id) WHERE event_type IN ('purchase', 'error') AND (made IS NULL OR seq < made)
+""")
+def verify_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.verify_order(export_ledger(spark, sf_dir), ["EXPORT_STARTED"], ["EXPORT_COMPLETED", "EXPORT_FAILED"]).select("rule", "key", "actual")
+
+
+@query("""
+WITH own AS (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS ids FROM lineitem GROUP BY l_orderkey),
+rec AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN coalesce(ids, [])[2:] ELSE coalesce(ids, []) END AS said, coalesce(ids, []) AS ids FROM orders LEFT JOIN own ON l_orderkey = o_orderkey)
+SELECT 'no-files' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM rec WHERE len(said) = 0
+UNION ALL SELECT 'doubled-file', CAST(o_orderkey AS VARCHAR) FROM rec WHERE len(said) <> len(list_distinct(said))
+UNION ALL SELECT 'membership', CAST(o_orderkey AS VARCHAR) FROM rec WHERE said <> ids
+""")
+def verify_acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as acquisitions of their lines; every tenth order leaves its first line out."""
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("P").alias("project_id"), F.col("l_orderkey").cast("string").alias("acquisition_id"), F.col("l_partkey").cast("string").alias("file_id"), F.col("l_linenumber").alias("committed_sequence"))
+    ids = S.ordered_members(lines, "acquisition_id", "committed_sequence", "file_id", "ids")
+    said = F.coalesce("ids", F.array().cast("array<string>"))
+    said = F.when(F.col("o_orderkey") % 10 == 0, F.slice(said, 2, 1_000_000)).otherwise(said)
+    joined = table(spark, sf_dir, "orders").join(ids, F.col("o_orderkey").cast("string") == F.col("acquisition_id"), "left")
+    details = F.to_json(F.struct(F.struct(F.struct(said.alias("file_ids")).alias("data")).alias("authority_transaction")))
+    events = joined.select(F.lit("P").alias("project_id"), F.col("o_orderkey").alias("event_sequence"), F.lit("ACQUISITION_RECORDED").alias("event_type"), F.col("o_orderkey").cast("string").alias("object_id"), details.alias("details_json"))
+    return V.verify_acquisitions(events, lines).select("rule", "key")
+
+
+CLEAN = """
+c AS (SELECT 'b' || doc_id % 50 AS batch_id, substr(sha256(text), 1, 16) AS logical_path, doc_id FROM documents),
+bad AS (SELECT DISTINCT batch_id FROM (SELECT batch_id FROM c GROUP BY batch_id, logical_path HAVING count(*) > 1) x)"""
+
+
+def checked_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("b"), (F.col("doc_id") % 50).cast("string")).alias("batch_id"), F.substring(F.sha2("text", 256), 1, 16).alias("logical_path"), F.col("text").cast("binary").alias("payload"), F.lit(None).cast("string").alias("copied_digest"), "doc_id")
+    prepared, found = B.prepare_batch(rows)
+    counters = spark.range(1).select(F.lit("file").alias("namespace"), F.lit("FILE").alias("prefix"), F.lit(1).alias("next_value"))
+    return prepared, B.commit_batch(prepared, found, counters)
+
+
+@query(f"""
+WITH {CLEAN}
+SELECT doc_id, printf('FILE-%06d', row_number() OVER (ORDER BY batch_id, logical_path)) AS file_id,
+       'files/' || batch_id || '/' || printf('FILE-%06d', row_number() OVER (ORDER BY batch_id, logical_path)) || '/' || logical_path AS storage_path
+FROM c WHERE batch_id NOT IN (SELECT batch_id FROM bad)
+""")
+def checkin_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents checked in by batches: a batch that holds a path twice is refused as a whole."""
+    return checked_in(spark, sf_dir)[1].select("doc_id", "file_id", "storage_path")
+
+
+@query(f"""
+WITH {CLEAN} SELECT batch_id, CAST(CASE WHEN batch_id IN (SELECT batch_id FROM bad) THEN 0 ELSE count(*) END AS BIGINT) AS n_files, CASE WHEN batch_id IN (SELECT batch_id FROM bad) THEN 'refused' ELSE 'committed' END AS status
+FROM c GROUP BY batch_id
+""")
+def checkin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.batch_summary(*checked_in(spark, sf_dir))
+
+
+@query(f"""
+WITH {FILES}
+SELECT 'unsafe-path' AS rule, '../' || logical_path AS key FROM fil WHERE doc_id % 40 = 0
+UNION ALL SELECT 'missing', CASE WHEN doc_id % 40 = 0 THEN '../' ELSE '' END || logical_path FROM fil WHERE doc_id % 19 = 0
+UNION ALL SELECT 'changed', CASE WHEN doc_id % 40 = 0 THEN '../' ELSE '' END || logical_path FROM fil WHERE doc_id % 19 <> 0 AND doc_id % 23 = 0
+""")
+def verify_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("path", F.when(F.col("doc_id") % 40 == 0, F.concat(F.lit("../"), "logical_path")).otherwise(F.col("logical_path")))
+    seen = f.filter("doc_id % 19 <> 0").withColumn("content_digest", F.when(F.col("doc_id") % 23 == 0, "0").otherwise(F.col("content_digest")))
+    return V.verify_package(f.select("path", "content_digest"), seen.select("path", "content_digest")).select("rule", "key")
+
+
+@query(f"""
+WITH {FILES}
+SELECT 'case' AS scope_type, case_id AS scope_id, CAST(count(*) AS BIGINT) AS n_files, max(doc_id) AS last_sequence FROM fil GROUP BY case_id
+UNION ALL SELECT 'project', 'P', count(*), max(doc_id) FROM fil
+UNION ALL SELECT 'acquisition', lang, count(*), max(doc_id) FROM fil GROUP BY lang
+UNION ALL SELECT 'artefact', 'ART-1', count(*), max(doc_id) FROM fil WHERE doc_id IN (3, 6, 12, 24, 48, 96)
+""")
+def resolve_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as cases, languages as acquisitions; an artefact of file 3 and what is related below it (twice the number)."""
+    f = files(spark, sf_dir).select("file_id", "case_id", F.col("lang").alias("acquisition_id"), F.lit("P").alias("project_id"), F.col("doc_id").alias("committed_sequence"))
+    n = F.col("committed_sequence")
+    edges = f.filter((n > 0) & (n <= 48)).select(F.col("file_id").alias("parent_file_id"), X.format_id("FILE", n * 2).alias("child_file_id"))
+    empty = f.limit(0).select(F.col("file_id").alias("note_id"), F.col("file_id").alias("export_id"), "file_id")
+    state = {"files": f, "artefact_files": spark.range(1).select(F.lit("ART-1").alias("artefact_id"), F.lit("FILE-000003").alias("file_id")), "note_revisions": empty, "export_items": empty, "file_relationships": edges}
+    asked = S.union_all([f.select(F.lit(t).alias("scope_type"), F.col(c).alias("scope_id")).distinct() for t, c in (("case", "case_id"), ("acquisition", "acquisition_id"), ("project", "project_id"))])
+    found, _ = Q.resolve_scopes(asked.unionByName(spark.range(1).select(F.lit("artefact").alias("scope_type"), F.lit("ART-1").alias("scope_id"))), state)
+    return found.groupBy("scope_type", "scope_id").agg(F.count("*").alias("n_files"), F.max("committed_sequence").alias("last_sequence"))
+
+
+@query("""
+SELECT c_name AS value, CASE WHEN count(DISTINCT n) = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM (SELECT c_mktsegment AS c_name, c_nationkey AS n FROM customer UNION ALL SELECT c_name, c_nationkey FROM customer) x GROUP BY c_name
+UNION ALL SELECT s_name, 'unknown' FROM supplier
+""")
+def resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    dimension = c.select(F.col("c_mktsegment").alias("value"), "c_nationkey").unionByName(c.select(F.col("c_name").alias("value"), "c_nationkey"))
+    asked = dimension.select("value").distinct().unionByName(s.select(F.col("s_name").alias("value")))
+    return Q.resolve_unique(asked, dimension, "value", "c_nationkey").select("value", "status")
+
+
+@query("""
+SELECT 'operator_id' AS matched, CAST(count(*) AS BIGINT) AS n FROM customer
+UNION ALL SELECT 'project', count(*) FROM customer WHERE c_custkey % 2 = 0
+""")
+def member_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as operators, found by name, and those with an active key."""
+    c = table(spark, sf_dir, "customer")
+    ops = c.select(F.col("c_custkey").alias("operator_id"), F.col("c_name").alias("operator_ref"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("operator_uuid"))
+    found = Q.find_operator(ops.withColumn("operator_id", F.col("operator_id").cast("string")), c.select(F.col("c_name").alias("value")))
+    keys = c.select(F.col("c_custkey").alias("operator_id"), F.when(F.col("c_custkey") % 2 == 0, "active").otherwise("old").alias("state"), F.col("c_name").alias("signing_fingerprint"))
+    held = M.members_with_keys(ops, c.select(F.col("c_custkey").alias("operator_id"), F.lit("owner").alias("membership_role")), keys)
+    return found.agg(F.count("*").alias("n")).select(F.lit("operator_id").alias("matched"), "n").unionByName(held.agg(F.count("*").alias("n")).select(F.lit("project").alias("matched"), "n"))
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS VARCHAR) AS k, CASE WHEN event_id % 9 = 0 THEN 'metadata is no JSON object' END AS observation FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, NULL, 'metadata is no JSON object' FROM events WHERE event_id % 9 = 0")
+def promote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("broken {")).otherwise(F.col("props")).alias("props"))
+    return L.promote_metadata(e, "props", ("k",)).drop("props")
