@@ -215,7 +215,7 @@ def near_duplicates(
     A fingerprint has 64 * words bits, shown in hexadecimal digits. Fingerprints link at max_bits or fewer differing
     bits; component_id is the smallest id that can be reached over links. With words == 1 and max_bits up to 2, no link
     is missed. Wider ones get `keys` keys of sampled bits (as many bits as tell all fingerprints apart on average, 16
-    at least), so links near max_bits can be missed; recall is measured in the tests.
+    at least), so links near max_bits can be missed, the more the larger the input; near_copies has no such limit.
     Null and empty texts, and those of white space only, have fingerprint 0 and link like others. Equal texts link.
     Rows without an id are kept; they count for a component only when none of its rows has an id. Other columns are
     dropped.
