@@ -13,21 +13,25 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
 # Candidate strings, and per character class (in order of preference): what belongs to it, its alphabet, and the
-# least entropy in bits of a window that counts as random.
+# least entropy in bits of a window that counts as random. The last two take every candidate: keys of one case with
+# separators, and those without digits, whose limit is higher because words and names come near it.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
     ("base36", r"^(?=.*[0-9])([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.6),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-", 3.7),
+    ("separated", r"^(?=.*[0-9])[A-Za-z0-9+/_-]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-", 3.7),
+    ("letters", r"^[A-Za-z0-9+/_-]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-", 4.0),
 )
 WINDOW = 20
-# Candidates that are no secrets: UUIDs, placeholders, runs of one character, counted-up characters, paths.
+# Candidates that are no secrets, each pattern over the whole candidate: UUIDs, placeholders of a key's length, runs of
+# one character and counted-up characters that leave less than a window on both sides, paths without a part that long.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]",
-    r"(.)\1{7}",
-    r"(?i)0123456789|abcdefghij",
-    r"^/?([A-Za-z_-]+/){3}",
+    r"(?i)^(?=.{0,40}$).*(example|sample|dummy|placeholder|changeme|your[_-])",
+    r"^.{0,19}(.)\1{7,}.{0,19}$",
+    r"(?i)^.{0,19}(0123456789|abcdefghij).{0,19}$",
+    r"^/?([A-Za-z_-]{1,19}/){3}([^/]{1,19}/)*[^/]{0,19}$",
 )
 SCALE = 1 << 20
 KINDS = ("assign", "access", "hex", "entropy")
@@ -96,7 +100,7 @@ def entropy_spans(candidates: Column, allowed: tuple[str, ...] = ALLOWED) -> Col
             banned = banned | x["hit"].rlike(pattern)
         return F.struct(x["start"].alias("start"), F.when(alphabet.isNotNull() & ~banned, high_entropy(x["hit"], alphabet, limit)).alias("part"))
 
-    looked = F.filter(F.transform(F.filter(candidates, lambda x: x["hit"].rlike("[0-9]")), look), lambda x: x["part"]["low"].isNotNull())
+    looked = F.filter(F.transform(candidates, look), lambda x: x["part"]["low"].isNotNull())
     return F.transform(looked, lambda x: F.struct((x["start"] + x["part"]["low"]).alias("start"), (x["start"] + x["part"]["high"]).alias("end")))
 
 
