@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,20 +86,53 @@ def event_hash(previous: Column, schema: str = "audit-event/v3", algorithm: str
     return digest(F.concat(head, previous, tail), algorithm)
 
 
+def running_digest(rows: DataFrame, key: str, order: list[str], name: str, algorithm: str, head: str, separator: str, tail: str) -> DataFrame:
+    """(key, name): the digest of each group's column `_line`, in order. Lines pass one by one; a task holds a batch and one state."""
+
+    def new():
+        if algorithm == "blake3":
+            import blake3
+
+            return blake3.blake3()
+        return hashlib.new(algorithm.replace("-", "_"))
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, first = None, None, True
+        for batch in batches:
+            done = []
+            for k, line in zip(batch["_key"], batch["_line"], strict=True):
+                k = None if pd.isna(k) else k
+                if state is None or k != now:
+                    if state is not None:
+                        state.update(tail.encode())
+                        done.append((now, state.hexdigest()))
+                    now, state, first = k, new(), True
+                    state.update(head.encode())
+                if line is not None:
+                    state.update(line.encode() if first else (separator + line).encode())
+                    first = False
+            yield pd.DataFrame(done, columns=["_key", name])
+        if state is not None:
+            state.update(tail.encode())
+            yield pd.DataFrame([(now, state.hexdigest())], columns=["_key", name])
+
+    dealt = rows.withColumn("_key", F.col(key).cast("string")).repartition("_key").sortWithinPartitions("_key", *order, "_line").select("_key", "_line")
+    out = dealt.mapInPandas(digests, f"_key string, {name} string")
+    return out.select(F.col("_key").cast(rows.schema[key].dataType).alias(key), name)
+
+
 def tree_digest(df: DataFrame, key: str, path: str, content: str, algorithm: str = "sha256") -> DataFrame:
     """(key, tree_digest): the digest of each group's inventory of (content digest, path), paths ordered part by part."""
     row = F.concat(F.lit('{"content_digest":'), json_text(F.col(content)), F.lit(',"path":'), json_text(F.col(path)), F.lit("}"))
-    rows = df.select(key, F.struct(F.split(path, "/").alias("parts"), row.alias("row")).alias("item"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["row"]), ",")
-    return rows.groupBy(key).agg(F.concat(F.lit("["), body, F.lit("]")).alias("body")).select(key, digest("body", algorithm).alias("tree_digest"))
+    rows = df.select(key, F.split(path, "/").alias("_o0"), row.alias("_line"))
+    return running_digest(rows, key, ["_o0"], "tree_digest", algorithm, "[", ",", "]")
 
 
 def lines_digest(df: DataFrame, key: str, order: list[str], parts: list[str], algorithm: str = "sha256") -> DataFrame:
     """(key, lines_digest): the digest of each group's lines, columns joined by colons and lines by line feeds, in order."""
     line = F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
-    rows = df.select(key, F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")).alias("item"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["line"]), "\n")
-    return rows.groupBy(key).agg(body.alias("body")).select(key, digest("body", algorithm).alias("lines_digest"))
+    rows = df.select(key, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], line.alias("_line"))
+    return running_digest(rows, key, [f"_o{i}" for i in range(len(order))], "lines_digest", algorithm, "", "\n", "")
 
 
 def state_digest(tables: dict[str, DataFrame], buckets: int = 1024) -> DataFrame:

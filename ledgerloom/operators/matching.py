@@ -39,7 +39,7 @@ def with_active_key(events: DataFrame, keys: DataFrame) -> DataFrame:
 def match_content(probe: DataFrame, files: DataFrame, members: DataFrame | None = None, on: tuple[str, str] = ("content_digest", "size_bytes"), probe_id: str = "probe_id", file_id: str = "file_id") -> DataFrame:
     """(probe_id, file_ids, artefact_ids, matched): all files with the digest and size of each probe, in order.
 
-    Files are gathered once for each different content before the join, so copies are not multiplied by probes.
+    Files are gathered once for each different content before the join; each probe of a content carries the whole list.
     """
     rows = files.select(*on, file_id)
     if members is not None:
