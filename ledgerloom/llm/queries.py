@@ -108,7 +108,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = encode_media(table(spark, sf_dir, "documents").select(*DOC)).drop("text")
+    media = written(encode_media(table(spark, sf_dir, "documents").select(*DOC)).drop("text"), "media")
     return digest_media(media).drop("media")
 
 

@@ -170,3 +170,12 @@ def test_media_columns(spark, tmp_path):
     assert out[2]["media_sha256"] == out[6]["media_sha256"] and out[2]["feature"] == out[6]["feature"]
     assert X.digest_media(table.limit(0)).count() == 0
     assert X.digest_media(spark.createDataFrame([(1, None)], "doc_id int, media binary")).first()["payload_bytes"] is None
+
+
+def test_query_stores_the_media_and_reads_them_back(spark):
+    from ledgerloom.llm import queries
+
+    from ..conftest import SF
+
+    files = queries.op9_flac_media(spark, SF).inputFiles()
+    assert files and all("/media-" in f for f in files)
