@@ -1,30 +1,37 @@
 """Removal of lines that many documents share, with two Bloom filters in front of the exact count.
 
-1. Every task adds the hashes of its lines to a pair of Bloom filters: `once` has a bit for each position that was
-   set, `twice` for each that was set again. Both are merged position by position (twice = a2 | b2 | a1 & b1), so the
-   result does not depend on order, and a key that is in two documents is always in `twice`.
-2. A second scan tests lines against `twice`; only those that pass are shuffled, with their whole text.
-3. They are counted exactly per key, and the document that keeps the line is chosen.
-
-The filters have at most `max_bits` bits each, which bounds what is broadcast. On larger corpora they fill up and let
-more lines through to the exact count; results stay the same.
+1. A scan sends the hashes of lines to shards of a pair of Bloom filters, by hash range. A shard's task sets `once` for
+   each position that it meets and `twice` for each that it meets again, so a key in two documents is always in `twice`.
+2. A second scan tests lines against `twice`. While all shards together have at most `max_bits` bits they are broadcast
+   and only suspected repeats leave the scan. Beyond that the hashes of lines meet the shards in a shuffle; lines that
+   repeat within a batch are suspects on the spot, so a frequent line travels once a batch at most.
+3. Suspects, as 128-bit digests with the place of the line, are counted exactly per key, and the document that keeps
+   the line is chosen.
+4. Documents are told the numbers of the lines they lose. A Bloom filter of the documents that lose lines lets all
+   others through where they are: their text is not shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import numbered, text_slices, written
 
 SEGMENT_BITS = 1 << 19
+MOST_SHARDS = 1 << 10
+LARGEST_SHARD = 1 << 29
 HASHES = 4
+BITS_A_KEY = 16
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -35,16 +42,41 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return key
 
 
-def document_keys(text: str | None, min_chars: int) -> set[bytes]:
-    keys = {line_key(x, min_chars) for x in (text or "").encode("utf-8", "replace").split(b"\n")}
-    keys.discard(None)
-    return keys
+def keyed_lines(texts: list[bytes | None], min_chars: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(text, line, key) of every line that has a key."""
+    rows, lines, keys = [], [], []
+    for i, text in enumerate(texts):
+        for j, line in enumerate((text or b"").split(b"\n")):
+            if (key := line_key(line, min_chars)) is not None:
+                rows.append(i)
+                lines.append(j)
+                keys.append(key)
+    return rows, lines, keys
 
 
-def positions(keys: list[bytes], bits: int) -> np.ndarray:
-    """Bit positions of each key, by double hashing: one row per key."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+def hashes_of(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
+
+
+def filter_bits(keys: int) -> int:
+    """A power of two of at least BITS_A_KEY bits a key."""
+    return max(SEGMENT_BITS, 1 << (BITS_A_KEY * max(keys, 1) - 1).bit_length())
+
+
+def shard_bits(bits: int) -> int:
+    """The size of a shard of a filter of so many bits: at most MOST_SHARDS shards, more once they reach LARGEST_SHARD."""
+    return min(max(SEGMENT_BITS, bits // MOST_SHARDS), LARGEST_SHARD)
+
+
+def shards(h: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each hash: its high bits."""
+    n = bits // shard_bits(bits)
+    return (h >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64) if n > 1 else np.zeros(len(h), np.int64)
+
+
+def positions(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit positions of each hash within its shard of `bits` bits, by double hashing: one row a hash."""
+    a, b = h & np.uint64(0xFFFFFFFF), (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) | np.uint64(1)
     return ((a[:, None] + np.arange(HASHES, dtype=np.uint64) * b[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
@@ -63,85 +95,179 @@ def add_once_twice(once: np.ndarray, twice: np.ndarray, at: np.ndarray) -> None:
     set_bits(once, at)
 
 
-def filter_bits(lines: int, max_bits: int) -> int:
-    """A power of two of at least 16 bits a line, in the stated bounds."""
-    return min(max_bits, max(SEGMENT_BITS, 1 << (16 * max(lines, 1) - 1).bit_length()))
+def sharded(h: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """(shard, hashes) rows of sorted hashes."""
+    if len(h):
+        of = shards(h, bits)
+        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+        parts = np.split(h, cuts)
+        yield pa.record_batch({"shard": pa.array([int(of[c]) for c in (0, *cuts)], pa.int64()), "hashes": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def twice_filter(texts: DataFrame, min_chars: int, bits: int) -> bytes:
-    """The `twice` filter of column _text; its size is bits / 8 bytes."""
+def filter_table(hashes: DataFrame, bits: int, again: bool) -> DataFrame:
+    """(shard, bits) of a filter over (shard, hashes): what occurs, or with `again` what occurs more than once. Empty shards are left out.
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            keys = [k for text in batch["_text"] for k in document_keys(text, min_chars)]
-            if keys:
-                add_once_twice(once, twice, positions(keys, bits).ravel())
-        step = SEGMENT_BITS // 8
-        for s in range(bits // SEGMENT_BITS):
-            a, b = once[s * step : (s + 1) * step], twice[s * step : (s + 1) * step]
-            if a.any():
-                yield pd.DataFrame({"segment": [s], "once": [zlib.compress(a.tobytes(), 1)], "twice": [zlib.compress(b.tobytes(), 1)]})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by segment: one pair is held at a time."""
+    A task holds one shard at a time, and the result does not depend on the order of rows.
+    """
+    size = shard_bits(bits)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, once, twice = None, None, None
+
+        def row() -> pa.RecordBatch:
+            out = twice if again else once
+            return pa.record_batch({"shard": pa.array([at], pa.int64()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
         for batch in batches:
-            for s, a, b in zip(batch["segment"], batch["once"], batch["twice"], strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-                if s != at:
+            for shard, h in zip(batch.column("shard").to_pylist(), batch.column("hashes"), strict=True):
+                if shard != at:
                     if at is not None:
-                        yield pd.DataFrame({"segment": [at], "twice": [zlib.compress(twice.tobytes(), 1)]})
-                    at, once, twice = s, a, b
-                else:
-                    once, twice = once | a, twice | b | once & a
+                        yield row()
+                    at, once, twice = shard, np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+                add_once_twice(once, twice, positions(np.frombuffer(h.as_buffer(), np.uint64), size).ravel())
         if at is not None:
-            yield pd.DataFrame({"segment": [at], "twice": [zlib.compress(twice.tobytes(), 1)]})
+            yield row()
+
+    return hashes.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, bits binary")
 
-    pairs = texts.mapInPandas(build, "segment int, once binary, twice binary")
-    merged = pairs.repartition("segment").sortWithinPartitions("segment").mapInPandas(merge, "segment int, twice binary")
+
+def gathered(table: DataFrame, bits: int) -> bytes:
+    """All shards of a filter in one piece of bits / 8 bytes, which the caller bounds."""
+    size = shard_bits(bits) // 8
     out = bytearray(bits // 8)
-    for row in merged.toLocalIterator():
-        at = row["segment"] * (SEGMENT_BITS // 8)
-        out[at : at + SEGMENT_BITS // 8] = zlib.decompress(row["twice"])
+    for row in table.toLocalIterator():
+        out[row["shard"] * size : (row["shard"] + 1) * size] = zlib.decompress(row["bits"])
     return bytes(out)
 
 
-def suspected_lines(docs: DataFrame, min_chars: int, max_bits: int) -> DataFrame:
-    """(_id, _key) of the lines whose key the filters saw more than once; each key once a row of docs."""
-    spark = docs.sparkSession
-    lines = docs.agg(F.sum(F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1).alias("n")).first()["n"]
-    bits = filter_bits(lines or 0, max_bits)
-    seen = spark.sparkContext.broadcast(twice_filter(docs.select("_text"), min_chars, bits))
-    kind = docs.schema["_id"].dataType
+def passes(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes a gathered filter lets through."""
+    size = shard_bits(bits)
+    return has_bits(packed, positions(h, size) + (shards(h, bits) * size)[:, None]).all(axis=1) if len(h) else np.zeros(0, bool)
+
 
-    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        twice = np.frombuffer(seen.value, np.uint8)
+def twice_filter(texts: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    """The `twice` filter over the lines of column _text (binary)."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for _, part in text_slices(batch):
+                rows, _, keys = keyed_lines(part, min_chars)
+                h, row = hashes_of(keys), np.array(rows, np.int64)
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                own.append(h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]])  # a key counts once a document
+            if own:
+                h, n = np.unique(np.concatenate(own), return_counts=True)
+                yield from sharded(np.repeat(h, np.minimum(n, 2)), bits)
+
+    return filter_table(texts.select("_text").mapInArrow(hashes, "shard bigint, hashes binary"), bits, again=True)
+
+
+def found_lines(batch: pa.RecordBatch, rows: np.ndarray, lines: np.ndarray, keys: list[bytes], more: dict | None = None) -> pa.RecordBatch:
+    """A row (_id, _text_hash, _line, _digest) for each line; rows are numbers of rows of the batch."""
+    at = pa.array(rows, pa.int64())
+    columns = {c: batch.column(c).take(at) for c in ("_id", "_text_hash")}
+    digests = [hashlib.blake2b(k, digest_size=16).digest() for k in keys]
+    return pa.record_batch(columns | {"_line": pa.array(lines, pa.int32()), "_digest": pa.array(digests, pa.binary())} | (more or {}))
+
+
+def suspected_lines(texts: DataFrame, min_chars: int, max_bits: int) -> DataFrame:
+    """(_id, _text_hash, _line, _digest) of the lines whose key the filters saw more than once. texts: (_id, _text_hash, _text)."""
+    spark = texts.sparkSession
+    # A key has min_chars bytes at least, and a line feed: this bounds the number of keys without splitting a text.
+    total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    bits = filter_bits(total // (min_chars + 1))
+    twice = twice_filter(texts, min_chars, bits)
+    shape = T.StructType([texts.schema["_id"], texts.schema["_text_hash"], T.StructField("_line", T.IntegerType()), T.StructField("_digest", T.BinaryType())])
+    if bits <= max_bits:
+        seen = spark.sparkContext.broadcast(gathered(twice, bits))
+
+        def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packed = np.frombuffer(seen.value, np.uint8)
+            for batch in batches:
+                for first, part in text_slices(batch):
+                    rows, lines, keys = keyed_lines(part, min_chars)
+                    hit = np.flatnonzero(passes(packed, hashes_of(keys), bits))
+                    if len(hit):
+                        yield found_lines(batch, first + np.array(rows)[hit], np.array(lines)[hit], [keys[i] for i in hit])
+
+        return texts.mapInArrow(suspects, shape)
+
+    wide = T.StructType([*shape.fields, T.StructField("shard", T.LongType()), T.StructField("_hash", T.LongType()), T.StructField("bits", T.BinaryType())])
+
+    def lines_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every keyed line with its shard; the shard is null for lines whose key is repeated in the batch."""
         for batch in batches:
-            ids, keys = [], []
-            for i, text in enumerate(batch["_text"]):
-                own = document_keys(text, min_chars)
-                ids += [i] * len(own)
-                keys += own
-            if keys:
-                hit = has_bits(twice, positions(keys, bits)).all(axis=1)
-                if not hit.any():
-                    continue
-                at = np.asarray(ids)[hit]
-                own_ids = batch["_id"].tolist()
-                yield pd.DataFrame({"_id": [own_ids[i] for i in at], "_key": [keys[i].decode("utf-8", "replace") for i in np.flatnonzero(hit)]})
-
-    # Ids travel as text: pandas would turn long ids with nulls among them into floats.
-    found = docs.withColumn("_id", F.col("_id").cast("string")).mapInPandas(suspects, "_id string, _key string")
-    return found.withColumn("_id", F.col("_id").cast(kind))
+            parts = [(first, *keyed_lines(part, min_chars)) for first, part in text_slices(batch)]
+            own = [hashes_of(keys) for _, _, _, keys in parts]
+            h, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+            for (first, rows, lines, keys), k in zip(parts, own, strict=True):
+                if len(k):
+                    shard = pa.array(shards(k, bits), mask=n[np.searchsorted(h, k)] > 1)
+                    more = {"shard": shard, "_hash": pa.array(k.view(np.int64)), "bits": pa.nulls(len(k), pa.binary())}
+                    yield found_lines(batch, first + np.array(rows), np.array(lines), keys, more)
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's filter comes first, then its lines."""
+        size = shard_bits(bits)
+        at, packed = None, None
+        for batch in batches:
+            marks = np.flatnonzero(batch.column("bits").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            of_filters = set(marks)
+            for start, end in itertools.pairwise([*sorted({0, *marks}), len(batch)]):
+                if start in of_filters:
+                    at, packed = batch.column("shard")[start].as_py(), np.frombuffer(zlib.decompress(batch.column("bits")[start].as_py()), np.uint8)
+                    start += 1
+                part = batch.slice(start, end - start)
+                if len(part) and packed is not None:
+                    here = part.column("shard").to_numpy(zero_copy_only=False) == at
+                    hit = here & has_bits(packed, positions(part.column("_hash").to_numpy(zero_copy_only=False).view(np.uint64), size)).all(axis=1)
+                    yield part.select(shape.names).filter(pa.array(hit))
+
+    lines = written(texts.mapInArrow(lines_out, wide), "line-hashes")
+    filters = twice.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in shape], "shard", F.lit(None).cast("long").alias("_hash"), "bits")
+    met = lines.filter("shard is not null").unionByName(filters).repartition("shard").sortWithinPartitions("shard", F.col("bits").isNull())
+    return met.mapInArrow(tested, shape).unionByName(lines.filter("shard is null").select(shape.names))
 
 
 def repeated_lines(suspects: DataFrame, min_docs: int) -> DataFrame:
-    """(_key, _n, _keep): the exact count of documents that hold a key, and the largest id among them."""
-    counted = suspects.groupBy("_key").agg((F.countDistinct("_id") + F.max(F.col("_id").isNull().cast("int"))).alias("_n"), F.max("_id").alias("_keep"))
+    """(_digest, _n, _keep): the exact count of documents that hold a key, and the largest id among them."""
+    counted = suspects.groupBy("_digest").agg((F.countDistinct("_id") + F.max(F.col("_id").isNull().cast("int"))).alias("_n"), F.max("_id").alias("_keep"))
     return counted.filter(F.col("_n") >= min_docs)
 
 
+def lost_lines(suspects: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(_id, _text_hash, _lost): the numbers of the lines that each document loses."""
+    # A key held by more than a 512th of the suspects would fill one task: there are at most 512 such keys, so they are broadcast.
+    often = max(1000, suspects.count() // 512)
+    hot = repeated.filter(F.col("_n") > often).select("_digest", F.struct("_keep").alias("_hot"))
+    split = suspects.join(F.broadcast(hot), "_digest", "left")
+    place = ["_id", "_text_hash", "_line"]
+    parts = split.filter("_hot is not null").select(*place, F.col("_hot._keep").alias("_keep"))
+    parts = parts.unionByName(split.filter("_hot is null").join(repeated.filter(F.col("_n") <= often).hint("merge"), "_digest").select(*place, "_keep"))
+    return parts.filter(~F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_id", "_text_hash").agg(F.collect_set("_line").alias("_lost"))
+
+
+def may_hold(keys: DataFrame, max_bits: int):
+    """A column function that is true for every long in the single column of keys, and for few others, from a Bloom filter of at most max_bits bits."""
+    spark, (name,) = keys.sparkSession, keys.columns
+    bits = max(SEGMENT_BITS, min(filter_bits(keys.count()), max_bits))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from sharded(np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), bits)
+
+    seen = spark.sparkContext.broadcast(gathered(filter_table(keys.select(name).mapInArrow(hashes, "shard bigint, hashes binary"), bits, again=False), bits))
+
+    @F.arrow_udf(T.BooleanType())
+    def may(key: pa.Array) -> pa.Array:
+        return pa.array(passes(np.frombuffer(seen.value, np.uint8), key.to_numpy(zero_copy_only=False).view(np.uint64), bits), pa.bool_())
+
+    return may
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, max_bits: int = 1 << 29) -> DataFrame:
     """Drop lines that at least min_docs documents hold, except in the document with the largest id that holds them.
 
@@ -149,28 +275,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     white space at its ends and with A-Z in lower case; keys of fewer than min_chars code points are never dropped.
     Returns the rows and columns of docs with text_col replaced (null becomes empty), and n_lines and n_dropped, which
     replace columns of these names. Rows with one id are one document: it counts once, and its rows are treated alike.
-    Rows without an id are one document too, whose id is below all others.
+    Rows without an id are one document too, whose id is below all others. What is broadcast has at most max_bits bits,
+    twice; the filter of documents lets more through beyond max_bits / 16 documents that lose lines, whose text is then
+    shuffled like theirs. The rows do not depend on it.
     """
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows, at = numbered(docs)
+    id_at, text_at = at[id_col], at[text_col]
+    text = F.coalesce(F.col(text_at), F.lit(""))
+    rows = rows.withColumns({text_at: text, "_text_hash": F.xxhash64(text)})
+    texts = rows.select(F.col(id_at).alias("_id"), "_text_hash", F.col(text_at).cast("binary").alias("_text"))
     suspects = written(suspected_lines(texts, min_chars, max_bits), "suspected-lines")
     repeated = written(repeated_lines(suspects, min_docs), "repeated-lines")
-    # A key held by more than a 512th of the suspects would fill one task: there are at most 512 such keys, so they are broadcast.
-    often = max(1000, suspects.count() // 512)
-    parts = [suspects.join(repeated.filter(F.col("_n") <= often).hint("merge"), "_key"), suspects.join(F.broadcast(repeated.filter(F.col("_n") > often)), "_key")]
-    drops = parts[0].unionByName(parts[1]).filter(~F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
-
-    @F.pandas_udf("text string, n_lines bigint, n_dropped bigint")
-    def rewrite(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, keys in zip(text, drop, strict=True):
-            lines = (t or "").encode("utf-8", "replace").split(b"\n")
-            kept = lines
-            if keys is not None and len(keys):
-                gone = {k.encode() for k in keys}
-                kept = [x for x in lines if line_key(x, min_chars) not in gone]
-            out.append((b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
-
-    joined = docs.join(drops.withColumnRenamed("_id", "_drop_id"), F.col(id_col).eqNullSafe(F.col("_drop_id")), "left")
-    done = joined.withColumn("_out", rewrite(text_col, "_drop")).withColumns({text_col: F.col("_out.text"), "n_lines": F.col("_out.n_lines"), "n_dropped": F.col("_out.n_dropped")})
-    return done.drop("_drop_id", "_drop", "_out")
+    lost = written(lost_lines(suspects, repeated).withColumn("_doc", F.xxhash64("_id", "_text_hash")), "lost-lines")
+    may = may_hold(lost.select("_doc"), max_bits)
+
+    n = F.octet_length(text_at) - F.octet_length(F.replace(F.col(text_at), F.lit("\n"))) + 1
+    asked = rows.withColumn("_doc", F.xxhash64(id_at, "_text_hash")).withColumn("_may", may("_doc"))
+    stay = asked.filter("not _may").withColumns({"n_lines": n.cast("long"), "n_dropped": F.lit(0).cast("long")})
+    met = asked.filter("_may").join(lost.select(*[F.col(c).alias(f"{c}2") for c in ("_doc", "_id", "_text_hash", "_lost")]), (F.col("_doc") == F.col("_doc2")) & (F.col("_text_hash") == F.col("_text_hash2")) & F.col(id_at).eqNullSafe(F.col("_id2")), "left")
+    split = F.split(text_at, "\n", -1)
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_lost2"), lambda i: F.get(split, i)), "\n")
+    moved = met.withColumns({"n_lines": F.size(split).cast("long"), "n_dropped": F.when(F.col("_lost2").isNull(), 0).otherwise(F.size("_lost2")).cast("long"), text_at: F.when(F.col("_lost2").isNull(), F.col(text_at)).otherwise(left)})
+    own = at | {"n_lines": "n_lines", "n_dropped": "n_dropped"}
+    done = stay.select(*own.values()).unionByName(moved.select(*own.values()))
+    return done.toDF(*own)
