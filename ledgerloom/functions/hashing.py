@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +45,17 @@ def genesis(algorithm: str = "sha256") -> Column:
     return F.lit("0" * WIDTHS[algorithm])
 
 
+def native_json(value: str | Column) -> Column:
+    """JSON text with sorted keys, without blanks, in plain UTF-8, nulls kept; null for text that is no JSON.
+
+    In the JVM, for JSON whose numbers are whole and whose strings have no control characters: then it is that of
+    canonical_json, which takes all JSON.
+    """
+    return F.to_json(F.try_parse_json(F.col(value) if isinstance(value, str) else value))
+
+
 def canonical_json(value: str | Column) -> Column:
-    """JSON text with sorted keys, without blanks, in plain UTF-8, nulls kept; null for text that is no JSON."""
+    """As native_json for all JSON, in Arrow batches: fractions, exponents and control characters in the forms of the hashed envelopes."""
 
     @F.pandas_udf(T.StringType())
     def canonical(texts: pd.Series) -> pd.Series:
@@ -121,6 +131,27 @@ def running_digest(rows: DataFrame, key: str, order: list[str], name: str, algor
     return out.select(F.col("_key").cast(rows.schema[key].dataType).alias(key), name)
 
 
+def ordered_state_digest(tables: dict[str, tuple[DataFrame, list[str]]], key: str = "project_id", algorithm: str = "sha256") -> DataFrame:
+    """(key, state_digest): the digest of {"table":[rows],...} in canonical JSON for each key, tables by name, rows of a
+    table (frame, order) in its order. Keys that a table lacks have an empty list there. Rows pass one by one through running_digest.
+
+    Frames have string, whole-number or null columns besides the key, whose JSON is the same in every engine.
+    """
+    names, parts = sorted(tables), []
+    for at, name in enumerate(names):
+        df, order = tables[name]
+        columns = sorted(c for c in df.columns if c != key)
+        body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        parts.append(df.select(key, F.lit(at).alias("_o0"), place.alias("_o1"), body.alias("_row")))
+    keys = reduce(lambda a, b: a.unionByName(b), [p.select(key) for p in parts]).distinct()
+    heads = keys.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("_o0"), F.lit(0).alias("_o1"), F.lit(json.dumps(n) + ":[").alias("_row")) for i, n in enumerate(names)])).alias("x")).select(key, "x.*")
+    ends = heads.select(key, "_o0", F.lit(2147483647).alias("_o1"), F.lit("]").alias("_row"))
+    rows = reduce(lambda a, b: a.unionByName(b), [*parts, heads, ends])
+    comma = F.when((F.col("_o1") > 1) & (F.col("_row") != "]"), ",").when((F.col("_o1") == 0) & (F.col("_o0") > 0), ",").otherwise("")
+    return running_digest(rows.withColumn("_line", F.concat(comma, "_row")).drop("_row"), key, ["_o0", "_o1"], "state_digest", algorithm, "{", "", "}")
+
+
 def tree_digest(df: DataFrame, key: str, path: str, content: str, algorithm: str = "sha256") -> DataFrame:
     """(key, tree_digest): the digest of each group's inventory of (content digest, path), paths ordered part by part."""
     row = F.concat(F.lit('{"content_digest":'), json_text(F.col(content)), F.lit(',"path":'), json_text(F.col(path)), F.lit("}"))
@@ -135,17 +166,22 @@ def lines_digest(df: DataFrame, key: str, order: list[str], parts: list[str], al
     return running_digest(rows, key, [f"_o{i}" for i in range(len(order))], "lines_digest", algorithm, "", "\n", "")
 
 
-def state_digest(tables: dict[str, DataFrame], buckets: int = 1024) -> DataFrame:
+BUCKET_DIGITS = 3
+
+
+def state_digest(tables: dict[str, DataFrame], digits: int = BUCKET_DIGITS) -> DataFrame:
     """(table, n_rows, digest): a digest of each table that does not depend on the order of rows or partitions.
 
-    Rows are hashed in parallel; the hashes of a bucket are put in order and hashed, and so are the buckets of a table.
-    A bucket holds about a 1024th of a table's row hashes, which is what a task has to sort.
+    Rows are hashed in parallel. Those whose hashes begin with the same `digits` hexadecimal digits are a bucket: their
+    hashes are hashed in order, and so are the buckets of a table. Equal rows, which share a bucket however many they
+    are, count as one row with their number. Choose digits so that a bucket of 16^-digits of a table fits in a task.
     """
     out = None
     for name, df in sorted(tables.items()):
         row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
-        hashed = df.select(row.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-        ordered = hashed.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
+        hashed = df.select(row.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+        each = F.concat_ws(":", "h", F.col("n").cast("string"))
+        ordered = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), ","), 256).alias("d"), F.sum("n").alias("n"))
         total = ordered.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
         part = total.select(F.lit(name).alias("table"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "digest")
         out = part if out is None else out.unionByName(part)

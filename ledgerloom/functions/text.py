@@ -136,6 +136,47 @@ def actor_consistent(kind: str | Column, actor_id: str | Column, actor_uuid: str
     return sure((col(kind) == "system") & none | (col(kind) == "operator") & both)
 
 
+def system_defaults(kind: str | Column, basis: str | Column) -> Column:
+    """The authority basis of an event: what it names, and `system` for a system actor that names none."""
+    return F.coalesce(col(basis), F.when(col(kind) == "system", "system"))
+
+
+# What the columns of a ledger's tables may hold.
+ENUMS = {
+    "identifiers.state": ("active", "retired", "failed"), "operators.state": ("active", "removed"), "operator_keys.state": ("active", "retired", "revoked"),
+    "project_memberships.membership_role": ("owner", "contributor"), "project_memberships.state": ("pending", "active", "rejected", "removed"),
+    "ownership.scope_type": ("project", "case"), "ownership_transfers.state": ("pending", "accepted", "rejected", "cancelled"), "record_authority.status": ("pending", "approved", "rejected"),
+    "files.presentation_state": ("presented", "withheld"), "notes.visibility": ("project", "confidential"), "notes.package_disclosure": ("include", "withhold"),
+    "exports.state": ("preparing", "completed", "failed"), "exports.view_mode": ("full", "presented"), "access_grants.object_type": ("file", "note", "artefact"),
+    "access_grants.authority_basis": ("object-owner", "explicit-grant", "project-owner", "case-role", "recovery-authority", "system-policy"), "export_items.mode": ("exact", "derived", "native"),
+}
+
+
+def enum_rule(name: str, value: str | Column | None = None) -> Column:
+    """Whether a value is one of those that ENUMS names; null is not."""
+    return sure(col(value if value is not None else name.split(".")[1]).isin(*ENUMS[name]))
+
+
+def classify_file(path: str | Column, rules: list[tuple[tuple[str, ...], str, str | None, str, str | None]], default: tuple[str, str | None, str, str | None]) -> Column:
+    """struct<role, media_type, description, relationship> by the first rule (endings, role, media type, description,
+    relationship to a primary file) one of whose endings the lower-case path ends with; in a media type * stands for the ending without its dot."""
+
+    def shape(role: str, media: Column, description: str, relationship: str | None) -> Column:
+        return F.struct(F.lit(role).alias("role"), media.cast("string").alias("media_type"), F.lit(description).alias("description"), F.lit(relationship).cast("string").alias("relationship"))
+
+    lower = F.lower(col(path))
+    ending = F.regexp_extract(lower, r"\.([^./]*)$", 1)
+    role, media, description, relationship = default
+    out = shape(role, F.lit(media), description, relationship)
+    for endings, role, media, description, relationship in reversed(rules):
+        hit = F.lit(False)
+        for e in endings:
+            hit = hit | lower.endswith(e)
+        kind = F.lit(media) if not media or "*" not in media else F.replace(F.lit(media), F.lit("*"), F.when(ending == "jpg", "jpeg").otherwise(ending))
+        out = F.when(hit, shape(role, kind, description, relationship)).otherwise(out)
+    return out
+
+
 def is_confidential(classification: str | Column) -> Column:
     return sure(col(classification).startswith("confidential-"))
 
@@ -152,14 +193,21 @@ def is_broad(scope: str | Column) -> Column:
     return sure(col(scope).isin("case", "project", "selection"))
 
 
-def note_payload(title: str | Column, body: str | Column) -> Column:
-    return F.to_json(F.struct(col(body).alias("body"), F.trim(col(title)).alias("title")), {"ignoreNullFields": "false"})
+NOTE_SCHEMA = "note-payload/v1"
+
+
+def note_payload(title: str | Column, body: str | Column, schema: str = NOTE_SCHEMA) -> Column:
+    """A note as canonical JSON: body, schema and title, the title trimmed."""
+    return F.to_json(F.struct(col(body).alias("body"), F.lit(schema).alias("schema"), F.trim(col(title)).alias("title")), {"ignoreNullFields": "false"})
 
 
-def parse_note(payload: str | Column) -> Column:
-    """struct<title, body>; null unless both are there."""
-    note = F.from_json(col(payload), "title string, body string")
-    return F.when(note["title"].isNotNull() & note["body"].isNotNull(), note)
+def parse_note(payload: str | Column, schema: str = NOTE_SCHEMA) -> Column:
+    """struct<title, body>; null for other text than a note of the schema in which both are strings."""
+    raw = F.from_json(col(payload), "schema string, title string, body string")
+    strings = F.lit(True)
+    for field in ("title", "body"):  # numbers and objects would be read as text
+        strings = strings & F.schema_of_variant(F.try_variant_get(F.try_parse_json(col(payload)), f"$.{field}", "variant")).eqNullSafe("STRING")
+    return F.when((raw["schema"] == schema) & strings, F.struct(raw["title"].alias("title"), raw["body"].alias("body")))
 
 
 def merge_record(base: str | Column, update: str | Column) -> Column:

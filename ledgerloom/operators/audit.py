@@ -86,6 +86,33 @@ def with_state(df: DataFrame, events: DataFrame, member: Column) -> DataFrame:
 PROJECT = "project"
 
 
+def with_id_state(df: DataFrame, events: DataFrame, namespace: str, identifier: Column) -> DataFrame:
+    """Events with _id_ok: the identifier was issued in the namespace and is active just before each. Projects that issue
+    no identifiers of the namespace keep them elsewhere: there any will do."""
+    state = F.when(F.col("event_type") == "IDENTIFIER_ISSUED", R.data("namespace")).otherwise("closed")
+    changes = of(events, *EDGES["R1"][1]).select("project_id", F.col("object_id").alias("identifier"), F.col(SEQ).alias("seq"), state.alias("_now"))
+    some = of(events, "IDENTIFIER_ISSUED").filter(R.data("namespace") == namespace).select("project_id").distinct().withColumn("_issues", F.lit(True))
+    rows = asof_join(df.withColumns({"identifier": identifier, "_just": F.col(SEQ) - 1}), changes, ["project_id", "identifier"], "_just", "seq", ["_now"]).join(some, "project_id", "left")
+    ok = F.col("identifier").isNull() | (F.col("_now").isNull() & F.col("_issues").isNull()) | F.coalesce(F.col("_now") == namespace, F.lit(False))
+    return rows.withColumn("_id_ok", ok).drop("identifier", "_just", "_now", "_issues")
+
+
+def authorities(events: DataFrame) -> DataFrame:
+    """(project_id, object, seq, held): every change of the authority over a confidential object."""
+    scope = F.from_json(R.signed("scope"), "array<struct<object_type:string,object_id:string>>")
+    proposed = of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED").select("project_id", F.col("object_id").alias("t"), R.signed("to_operator_id").alias("held"))
+    moves = of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_ACCEPTED").select("project_id", F.col("object_id").alias("t"), F.col(SEQ).alias("seq"), F.explode(scope).alias("s")).join(proposed, ["project_id", "t"])
+    made = of(events, "NOTE_CREATED").filter(R.signed("visibility") == "confidential").select("project_id", F.col("object_id").alias("object"), F.col(SEQ).alias("seq"), F.coalesce(R.signed("authority_id"), R.signed("author_id")).alias("held"))
+    return made.unionByName(moves.select("project_id", F.col("s.object_id").alias("object"), "seq", "held"))
+
+
+def r1(events: DataFrame) -> DataFrame:
+    """Identifiers are issued once and closed once; those of a namespace have one prefix, and their number as sequence."""
+    issued = of(events, "IDENTIFIER_ISSUED").withColumns({"_space": R.data("namespace"), "_prefix": F.regexp_extract("object_id", "^(.*?)[0-9]*$", 1), "_number": F.regexp_extract("object_id", "([0-9]+)$", 1).try_cast("long")})
+    issued = issued.withColumn("_first", F.first("_prefix").over(Window.partitionBy("project_id", "_space").orderBy(SEQ)))
+    return life_cycle(events, "R1").unionByName(broken(issued, "R1", (F.col("_prefix") == F.col("_first")) & (F.col("_number") == R.data("sequence").cast("long")), F.col("object_id")))
+
+
 def r2(events: DataFrame) -> DataFrame:
     """The genesis comes once and first."""
     return broken(of(events, "PROJECT_GENESIS"), "R2", F.col(SEQ) == 1)
@@ -132,10 +159,20 @@ def r8(events: DataFrame) -> DataFrame:
 
 
 def r9(events: DataFrame) -> DataFrame:
-    """An active member submits for a case with an owner; it is approved at once if that is the owner, else pending."""
+    """An active member submits, under an active identifier, for a case with an owner; it is approved at once if that is
+    the owner, else pending; its files are those committed for it before, each once, in their order."""
     rows = with_state(with_owner(of(events, "ACQUISITION_RECORDED"), events, R.signed("case_id")), events, F.col("actor_id"))
+    rows = with_id_state(rows, events, "acquisition", F.col("object_id")).withColumn("_ids", F.from_json(R.signed("file_ids"), "array<string>"))
+    said = rows.select("project_id", SEQ, "object_id", F.posexplode_outer("_ids").alias("_place", "_file"))
+    own = committed(events).select("project_id", F.col("_acq").alias("object_id"), "_file", "_at")
+    both = said.join(own, ["project_id", "object_id", "_file"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("project_id", SEQ).orderBy("_at", "_place")) - 1)
+    good = both.groupBy("project_id", SEQ).agg(F.every((F.col("_at") < F.col(SEQ)) & (F.col("_rank") == F.col("_place"))).alias("_in_order"), F.countDistinct("_file").alias("_said"))
+    # As many were said as were committed before: then they are the same.
+    before = rows.select("project_id", SEQ, "object_id").join(own, ["project_id", "object_id"]).filter(F.col("_at") < F.col(SEQ)).groupBy("project_id", SEQ).agg(F.count("*").alias("_own"))
+    rows = rows.join(good, ["project_id", SEQ], "left").join(before, ["project_id", SEQ], "left")
     status = F.when(F.col("_owner") == F.col("actor_id"), "approved").otherwise("pending")
-    return broken(rows, "R9", (F.col("_state") == "active") & F.col("_owner").isNotNull() & (R.signed("status") == status))
+    whole = F.col("_in_order") & (F.col("_said") == F.size("_ids")) & (F.col("_said") == F.col("_own"))
+    return broken(rows, "R9", (F.col("_state") == "active") & F.col("_owner").isNotNull() & (R.signed("status") == status) & F.col("_id_ok") & whole)
 
 
 def r10(events: DataFrame) -> DataFrame:
@@ -157,11 +194,13 @@ def r11(events: DataFrame) -> DataFrame:
 
 
 def r12(events: DataFrame) -> DataFrame:
-    """Files have safe paths, each once in its acquisition, and an acquisition only with a case."""
+    """Files have safe paths, each once in its acquisition, an acquisition only with a case, and these are active."""
     rows = of(events, "FILE_COMMITTED").withColumn("_path", R.data("logical_path"))
+    rows = with_id_state(rows, events, "case", R.data("case_id")).withColumnRenamed("_id_ok", "_case_ok")
+    rows = with_id_state(rows, events, "acquisition", R.data("acquisition_id"))
     batch = Window.partitionBy("project_id", R.data("acquisition_id"), "_path")
     rows = rows.withColumn("_n", F.when(R.data("acquisition_id").isNotNull(), F.count("*").over(batch)).otherwise(1))
-    return broken(rows, "R12", is_safe_path("_path") & (F.col("_n") == 1) & (R.data("acquisition_id").isNull() | R.data("case_id").isNotNull()))
+    return broken(rows, "R12", is_safe_path("_path") & (F.col("_n") == 1) & (R.data("acquisition_id").isNull() | R.data("case_id").isNotNull()) & F.col("_case_ok") & F.col("_id_ok"))
 
 
 def r13(events: DataFrame) -> DataFrame:
@@ -191,11 +230,23 @@ def r15(events: DataFrame) -> DataFrame:
 
 
 def r16(events: DataFrame) -> DataFrame:
-    """Notes have a known visibility and start at revision 1; each later revision is one more than the last and has a reason."""
+    """Notes are created by their author with a known visibility, start at revision 1, and those of a case are on no
+    file of another case. Each later revision is one more than the last and has a reason; a note that is not
+    confidential is revised by its author, a confidential one by its authority or who has access."""
     rows = of(events, "NOTE_CREATED", "NOTE_REVISED", "NOTE_REENCRYPTED").withColumn("_r", R.signed("revision").cast("long"))
-    rows = rows.withColumn("_last", F.lag("_r").over(Window.partitionBy("project_id", "object_id").orderBy(SEQ)))
-    new = (F.col("event_type") == "NOTE_CREATED") & R.signed("visibility").isin(*VISIBILITY) & (F.col("_r") == 1) & F.col("_last").isNull()
-    more = (F.col("event_type") != "NOTE_CREATED") & (F.col("_r") == F.col("_last") + 1) & has_reason(R.signed("reason"))
+    life = Window.partitionBy("project_id", "object_id").orderBy(SEQ)
+    rows = rows.withColumns({"_last": F.lag("_r").over(life), "_author": F.first(R.signed("author_id"), True).over(life), "_visibility": F.first(R.signed("visibility"), True).over(life), "_file": R.signed("subject_file_id"), "object": F.col("object_id"), "_just": F.col(SEQ) - 1})
+    rows = asof_join(rows, authorities(events), ["project_id", "object"], "_just", "seq", ["held"]).drop("object")
+    grants = grant_life(events).filter("object_type = 'note'")
+    open_now = F.sum(F.when(F.col("event_type") == "CONFIDENTIAL_ACCESS_GRANTED", 1).otherwise(-1)).over(Window.partitionBy("project_id", "_who", "object_id").orderBy(SEQ))
+    opened = grants.select("project_id", F.col("_who").alias("actor_id"), "object_id", F.col(SEQ).alias("seq"), open_now.alias("_open"))
+    rows = asof_join(rows, opened, ["project_id", "actor_id", "object_id"], "_just", "seq", ["_open"])
+    rows = rows.join(committed(events).select("project_id", "_file", F.col("_case").alias("_file_case"), F.col("_at").alias("_file_at")), ["project_id", "_file"], "left")
+    subject = F.col("_file").isNull() | ((F.col("_file_at") < F.col(SEQ)) & (R.signed("case_id").isNull() | F.col("_file_case").isNull() | (F.col("_file_case") == R.signed("case_id"))))
+    new = (F.col("event_type") == "NOTE_CREATED") & R.signed("visibility").isin(*VISIBILITY) & (F.col("_r") == 1) & F.col("_last").isNull() & (F.col("actor_id") == R.signed("author_id")) & subject
+    may = F.when(F.col("_visibility") == "confidential", (F.col("held") == F.col("actor_id")) | (F.coalesce("_open", F.lit(0)) > 0)).otherwise(F.col("_author") == F.col("actor_id"))
+    # A change of owners re-encrypts notes in the name of the new owner.
+    more = (F.col("event_type") != "NOTE_CREATED") & (F.col("_r") == F.col("_last") + 1) & has_reason(R.signed("reason")) & ((F.col("event_type") == "NOTE_REENCRYPTED") | may)
     return broken(rows, "R16", F.coalesce(new, F.lit(False)) | F.coalesce(more, F.lit(False)))
 
 
@@ -222,10 +273,20 @@ def r19(events: DataFrame) -> DataFrame:
 
 
 def r20(events: DataFrame) -> DataFrame:
-    """Confidential transfers are proposed by the project's owner, to an active member, with a scope."""
+    """Confidential transfers are proposed by the project's owner, to an active member, with a scope of objects that the
+    source controls, while no other one from that source or to that target is pending."""
     rows = with_state(with_owner(of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED"), events, F.lit(PROJECT)), events, R.signed("to_operator_id"))
-    some = F.size(F.from_json(R.signed("scope"), "array<struct<object_type:string,object_id:string>>")) > 0
-    return broken(rows, "R20", (F.col("_owner") == F.col("actor_id")) & (F.col("_state") == "active") & some)
+    rows = rows.withColumns({"_source": R.signed("from_operator_id"), "_scope": F.from_json(R.signed("scope"), "array<struct<object_type:string,object_id:string>>")})
+    each = rows.select("project_id", SEQ, "_source", (F.col(SEQ) - 1).alias("_just"), F.explode("_scope").alias("s")).select("*", F.col("s.object_id").alias("object")).drop("s")
+    held = asof_join(each, authorities(events), ["project_id", "object"], "_just", "seq", ["held"])
+    controls = held.groupBy("project_id", SEQ).agg(F.every(F.col("held").eqNullSafe(F.col("_source"))).alias("_controls"))
+    parties = of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED").select("project_id", "object_id", R.signed("from_operator_id").alias("_from"), R.signed("to_operator_id").alias("_to"))
+    life = of(events, *EDGES["R22"][1]).join(parties, ["project_id", "object_id"])
+    step = F.when(F.col("event_type").endswith("PROPOSED"), 1).otherwise(-1)
+    pending = [F.sum(step).over(Window.partitionBy("project_id", c).orderBy(SEQ)).alias(f"_open{c}") for c in ("_from", "_to")]
+    free = life.select("project_id", SEQ, "event_type", *pending).filter(F.col("event_type").endswith("PROPOSED")).select("project_id", SEQ, ((F.col("_open_from") <= 1) & (F.col("_open_to") <= 1)).alias("_free"))
+    rows = rows.join(controls, ["project_id", SEQ], "left").join(free, ["project_id", SEQ], "left")
+    return broken(rows, "R20", (F.col("_owner") == F.col("actor_id")) & (F.col("_state") == "active") & (F.size("_scope") > 0) & F.col("_controls") & F.col("_free"))
 
 
 def transfer_actors(events: DataFrame, rule: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -237,8 +298,10 @@ def transfer_actors(events: DataFrame, rule: str, kinds: tuple[str, ...]) -> Dat
 
 
 def r21(events: DataFrame) -> DataFrame:
-    """A confidential transfer is accepted by its target, with the scope that was proposed."""
-    return transfer_actors(events, "R21", ("ACCEPTED",))
+    """A confidential transfer is accepted by its target, with the scope that was proposed, of known types of objects."""
+    rows = of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_ACCEPTED").withColumn("_scope", F.from_json(R.signed("scope"), "array<struct<object_type:string,object_id:string>>"))
+    known = F.forall("_scope", lambda x: F.coalesce(x["object_type"].isin(*GRANT_TYPES), F.lit(False)))
+    return transfer_actors(events, "R21", ("ACCEPTED",)).unionByName(broken(rows, "R21", known))
 
 
 def r22(events: DataFrame) -> DataFrame:
@@ -254,7 +317,7 @@ def r24(events: DataFrame) -> DataFrame:
 
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "R1": lambda e: life_cycle(e, "R1"), "R2": r2, "R3": r3, "R4": r4, "R5": r5, "R6": r6, "R7": r7, "R8": r8, "R9": r9, "R10": r10, "R11": r11, "R12": r12, "R13": r13, "R14": r14,
+    "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R5": r5, "R6": r6, "R7": r7, "R8": r8, "R9": r9, "R10": r10, "R11": r11, "R12": r12, "R13": r13, "R14": r14,
     "R15": r15, "R16": r16, "R17": r17, "R18": r18, "R19": r19, "R20": r20, "R21": r21, "R22": r22, "R23": lambda e: life_cycle(e, "R23"), "R24": r24,
 }
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import NATIVE, WIDTHS, digest, envelope, event_hash, genesis
-from .findings import finding
+from .findings import finding, row_findings
 
 KEY, SEQ = "project_id", "event_sequence"
 
@@ -92,11 +92,13 @@ def verify_chain(ledger: DataFrame, schema: str = "audit-event/v3", algorithm: s
     first = F.col(SEQ) == 1
     hashed = linked.withColumns({"_expected_link": F.when(first, genesis(algorithm)).otherwise(F.col("_before")), "_expected_hash": event_hash(F.col("previous_hash"), schema, algorithm)})
     where = F.col(SEQ).cast("string")
-    gap = finding(hashed.filter(~first & F.col("_has").isNull()), F.col(key), "sequence-gap", where)
-    link = finding(hashed.filter((first | F.col("_has")) & ~F.col("_expected_link").eqNullSafe(F.col("previous_hash"))), F.col(key), "broken-link", where, "previous_hash", F.col("_expected_link"), F.col("previous_hash"))
-    wrong = finding(hashed.filter(~F.col("_expected_hash").eqNullSafe(F.col("event_hash"))), F.col(key), "wrong-hash", where, "event_hash", F.col("_expected_hash"), F.col("event_hash"))
+    found = row_findings(hashed, F.col(key), where, [
+        ("sequence-gap", ~first & F.col("_has").isNull(), None, None, None),
+        ("broken-link", (first | F.col("_has")) & ~F.col("_expected_link").eqNullSafe(F.col("previous_hash")), "previous_hash", F.col("_expected_link"), F.col("previous_hash")),
+        ("wrong-hash", ~F.col("_expected_hash").eqNullSafe(F.col("event_hash")), "event_hash", F.col("_expected_hash"), F.col("event_hash")),
+    ])
     doubled = ledger.groupBy(key, SEQ).count().filter("count > 1")
-    return gap.unionByName(link).unionByName(wrong).unionByName(finding(doubled, F.col(key), "doubled-sequence", where, SEQ, F.lit("1"), F.col("count").cast("string")))
+    return found.unionByName(finding(doubled, F.col(key), "doubled-sequence", where, SEQ, F.lit("1"), F.col("count").cast("string")))
 
 
 def anchor_check(manifests: DataFrame, ledger: DataFrame, key: str = KEY) -> DataFrame:
@@ -135,6 +137,3 @@ def append_guard(batch: DataFrame, heads: DataFrame, key: str = KEY) -> DataFram
     count = F.coalesce("event_count", F.lit(0))
     moved = joined.filter((F.col("expected_count") != count) | ((count > 0) & ~F.col("expected_head").eqNullSafe(F.col("chain_head"))))
     return finding(moved, F.col(key), "moved-head", F.col("expected_count").cast("string"), "chain_head", F.col("expected_head"), F.col("chain_head"))
-
-
-__all__ = ["NATIVE", "anchor_check", "append_guard", "assign_sequences", "build_chain", "chain_parts", "checkpoint_status", "digest", "fold_chain", "ledger_summary", "sequence_gaps", "verify_chain", "with_predecessor"]

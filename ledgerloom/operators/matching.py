@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir, written
-from .findings import COLUMNS, finding
+from ..sources.shared import written
+from .findings import COLUMNS, finding, row_findings
 
 
 def same_keys(left: list[str], right: list[str]) -> Column:
@@ -36,6 +36,27 @@ def with_active_key(events: DataFrame, keys: DataFrame) -> DataFrame:
     return events.join(active, "actor_id", "left")
 
 
+def active_key(keys: DataFrame, operators: DataFrame | None = None) -> DataFrame:
+    """The active keys (operator_id, signing_fingerprint, ...), of the operators asked for if these are given."""
+    held = keys.filter("state = 'active'")
+    return held if operators is None else held.join(operators.select("operator_id").distinct(), "operator_id", "left_semi")
+
+
+def file_note(files: DataFrame, revisions: DataFrame) -> DataFrame:
+    """files with note_id, the note that a file is a revision of (the least one if several name it); null for other files."""
+    return files.join(revisions.groupBy("file_id").agg(F.min("note_id").alias("note_id")), "file_id", "left")
+
+
+def cross_scope_subject(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings for notes on unknown files, and for notes of a case on a file of another case. A file without a case suits every note."""
+    held = files.select(F.col("file_id").alias("subject_file_id"), F.col("case_id").alias("_case"), F.lit(True).alias("_known"))
+    asked = notes.filter("subject_file_id is not null").join(held, "subject_file_id", "left")
+    return row_findings(asked, F.lit("notes"), F.col("note_id"), [
+        ("unknown-subject", F.col("_known").isNull(), "subject_file_id", None, F.col("subject_file_id")),
+        ("other-case", F.col("_case") != F.col("case_id"), "case_id", F.col("_case"), F.col("case_id")),
+    ])
+
+
 def match_content(probe: DataFrame, files: DataFrame, members: DataFrame | None = None, on: tuple[str, str] = ("content_digest", "size_bytes"), probe_id: str = "probe_id", file_id: str = "file_id") -> DataFrame:
     """(probe_id, file_ids, artefact_ids, matched): all files with the digest and size of each probe, in order.
 
@@ -132,6 +153,3 @@ def descendants(edges: DataFrame, roots: DataFrame, parent: str = "parent", chil
             break
         reached = reached.unionByName(frontier)
     return reached
-
-
-__all__ = ["asof_join", "descendants", "diff", "first_envelope", "intervals", "known", "match_content", "members_with_keys", "missing_payloads", "resolve_endpoints", "set_equal", "shared_dir", "unknown", "valid_at", "with_active_key"]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import id_type
-from .findings import finding
-from .matching import descendants
+from .findings import finding, row_findings
+from .matching import active_key, descendants
 from .sets import latest, ordered_members, union_all
 
 TYPES = ("project", "case", "acquisition", "artefact", "note", "export", "file")
@@ -18,7 +18,8 @@ def resolve_scopes(targets: DataFrame, state: dict[str, DataFrame]) -> tuple[Dat
     that stand for no file.
 
     state: files, artefact_files, note_revisions, export_items and file_relationships. An artefact stands for its
-    members and all that is related below them.
+    members and all that is related below them. With identifiers in state, scopes that exist but stand for no file
+    (empty-scope) are told from those that nobody issued (unknown-scope).
     """
     files = state["files"]
     keyed = {
@@ -36,7 +37,11 @@ def resolve_scopes(targets: DataFrame, state: dict[str, DataFrame]) -> tuple[Dat
     parts.append(members.join(below.withColumnRenamed("root", "file_id"), "file_id").select("scope_type", "scope_id", F.col("node").alias("file_id")))
     found = union_all(parts).distinct().join(files.select("file_id", "committed_sequence"), "file_id")
     none = asked.join(found.select("scope_type", "scope_id"), ["scope_type", "scope_id"], "left_anti")
-    rule = F.when(F.col("scope_type").isin(*TYPES), "empty-scope").otherwise("unknown-scope")
+    if "identifiers" in state:
+        none = none.join(state["identifiers"].select(F.col("identifier").alias("scope_id"), F.lit(True).alias("_exists")).distinct(), "scope_id", "left")
+    else:
+        none = none.withColumn("_exists", F.lit(True))
+    rule = F.when(F.col("scope_type").isin(*TYPES) & F.col("_exists"), "empty-scope").otherwise("unknown-scope")
     return found.select("scope_type", "scope_id", "file_id", "committed_sequence"), none.select(F.col("scope_type").alias("target"), rule.alias("rule"), F.col("scope_id").alias("key"), *[F.lit(None).cast("string").alias(c) for c in ("column", "expected", "actual")])
 
 
@@ -68,6 +73,72 @@ def note_revision(notes: DataFrame, revisions: DataFrame, asked: DataFrame) -> D
     return meant.join(revisions, ["note_id", "revision"], "left")
 
 
+def list_files(files: DataFrame, case_id: str | None = None) -> DataFrame:
+    """Files, of one case if it is given, by (committed_sequence, file_id)."""
+    return (files if case_id is None else files.filter(F.col("case_id") == case_id)).orderBy("committed_sequence", "file_id")
+
+
+def artefact_members(members: DataFrame, files: DataFrame, artefact_id: str | None = None) -> DataFrame:
+    """The direct members of artefacts with their files, by (created_sequence, file_id)."""
+    held = members if artefact_id is None else members.filter(F.col("artefact_id") == artefact_id)
+    return held.join(files, "file_id").orderBy("artefact_id", "created_sequence", "file_id")
+
+
+def list_identifiers(identifiers: DataFrame, namespace: str | None = None) -> DataFrame:
+    return (identifiers if namespace is None else identifiers.filter(F.col("namespace") == namespace)).orderBy("namespace", "sequence")
+
+
+def list_records(records: DataFrame) -> DataFrame:
+    """Authority records by (submitted_sequence, object_type, object_id)."""
+    return records.orderBy(F.col("submitted_sequence").cast("long"), "object_type", "object_id")
+
+
+def list_exports(exports: DataFrame) -> DataFrame:
+    return exports.orderBy(F.col("created_sequence").cast("long"), "export_id")
+
+
+def export_policy(policies: DataFrame, project_id: str | None = None) -> DataFrame:
+    """The policy row in force: one for each project."""
+    rows = policies.filter("policy_id = 'project'")
+    return rows if project_id is None else rows.filter(F.col("project_id") == project_id)
+
+
+def operator_identity(operators: DataFrame, keys: DataFrame, memberships: DataFrame, active_only: bool = True) -> DataFrame:
+    """(operator_id, name, public_contact, organisation, role, operator_key_fingerprint, operator_signing_subkey_fingerprint) of operators with an active key, active members only unless told otherwise."""
+    held = active_key(keys).select("operator_id", F.col("primary_fingerprint").alias("operator_key_fingerprint"), F.col("signing_fingerprint").alias("operator_signing_subkey_fingerprint"))
+    rows = operators.join(held, "operator_id")
+    if active_only:
+        rows = rows.join(memberships.filter("state = 'active'").select("operator_id").distinct(), "operator_id", "left_semi")
+    return rows.select("operator_id", "name", "public_contact", "organisation", F.col("role_label").alias("role"), "operator_key_fingerprint", "operator_signing_subkey_fingerprint")
+
+
+def verify_id(asked: DataFrame, identifiers: DataFrame, state: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(identifier, scope_type, state, n_files) for identifiers (identifier), and findings for those that were never
+    issued, whose namespace stands for no files, or which stand for none. A project's own id counts as issued."""
+    projects = state["files"].select(F.col("project_id").alias("identifier"), F.lit("project").alias("namespace"), F.lit("active").alias("state")).distinct()
+    known = identifiers.select("identifier", "namespace", "state").unionByName(projects)
+    named = asked.select("identifier").distinct().join(known, "identifier", "left")
+    strange = row_findings(named, F.col("identifier"), F.col("identifier"), [
+        ("unknown-id", F.col("namespace").isNull(), None, None, None), ("unsupported-namespace", ~F.col("namespace").isin(*TYPES), "namespace", None, F.col("namespace")),
+    ])
+    good = named.filter(F.col("namespace").isin(*TYPES)).select(F.col("namespace").alias("scope_type"), F.col("identifier").alias("scope_id"), "state")
+    found, empty = resolve_scopes(good, state)
+    counted = found.groupBy("scope_type", "scope_id").agg(F.count("*").alias("n_files"))
+    rows = good.join(counted, ["scope_type", "scope_id"], "left").select(F.col("scope_id").alias("identifier"), "scope_type", "state", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    return rows, strange.unionByName(empty)
+
+
+def normalise_scope(requests: DataFrame, request: str = "request_id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """(request, object_type, object_id) for the tokens of confidential scopes: trimmed, blanks dropped, each once; and
+    findings for tokens of other kinds and requests that name nothing."""
+    each = requests.select(F.col(request).alias("_r"), F.explode_outer(F.array_distinct(F.transform(tokens, lambda t: F.trim(t)))).alias("object_id")).filter("object_id is null or object_id <> ''")
+    kind = F.when(F.col("object_id").startswith("NOTE-"), "note").when(F.col("object_id").startswith("FILE-"), "file").when(F.col("object_id").startswith("ART-"), "artefact")
+    rows = each.filter("object_id is not null").withColumn("object_type", kind)
+    strange = finding(rows.filter("object_type is null"), F.col("_r"), "unsupported-object", F.col("object_id"))
+    none = requests.select(F.col(request).alias("_r")).distinct().join(rows.select("_r"), "_r", "left_anti")
+    return rows.filter("object_type is not null").select(F.col("_r").alias(request), "object_type", "object_id"), strange.unionByName(finding(none, F.col("_r"), "empty-scope", F.col("_r")))
+
+
 def list_notes(notes: DataFrame) -> DataFrame:
     return notes.select("note_id", "visibility", "author_id", "case_id", "subject_file_id", "created_sequence", "latest_revision")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import format_id
+from ..sources.shared import written
 from .findings import finding
 
 
@@ -75,7 +76,8 @@ def assign_ids(batch: DataFrame, counters: DataFrame, namespace: str, order: lis
     In two passes: rows are put in ranges of their order and numbered within them; the ranges' sizes, one number for
     each task and namespace, give the offsets. So one namespace may be as large as the whole batch.
     """
-    ranged = batch.repartitionByRange(namespace, *order).withColumn("_part", F.spark_partition_id())
+    # Written, so that both uses see the same ranges and the same order of ties.
+    ranged = written(batch.repartitionByRange(namespace, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(namespace, "_part").orderBy(*order)))
     sizes = within.groupBy(namespace, "_part").agg(F.max("_n").alias("_size"))
     before = sizes.select(namespace, "_part", (F.sum("_size").over(Window.partitionBy(namespace).orderBy("_part")) - F.col("_size")).alias("_before"))
@@ -103,6 +105,16 @@ def payload_types(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select(media_type(content).alias("media_type"), F.octet_length(content).alias("_n")).groupBy("media_type").agg(F.count("*").alias("n_payloads"), F.sum("_n").cast("long").alias("n_bytes"))
 
 
+def payload_summary(checked: DataFrame, by: str = "project_id", path: str = "storage_path") -> DataFrame:
+    """(by, n_hashed, n_writable): how many payloads were hashed and how many of them may be written to; list them with writable_payloads."""
+    return checked.groupBy(by).agg(F.count("content_digest").alias("n_hashed"), F.count(F.when(F.col("writable"), F.col(path))).alias("n_writable"))
+
+
+def writable_payloads(checked: DataFrame, by: str = "project_id", path: str = "storage_path") -> DataFrame:
+    """(by, path) of payloads that may be written to, a row each."""
+    return checked.filter("writable").select(by, path)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_reason, is_safe_path, valid_box, valid_digest, valid_point
+from ..sources.shared import written
 from . import replay as R
 from .chain import anchor_check
-from .findings import finding
-from .matching import asof_join, diff, intervals, missing_payloads, valid_at
+from .findings import finding, row_findings
+from .matching import active_key, asof_join, diff, intervals, missing_payloads, valid_at
+from .scopes import resolve_scopes
 from .sets import revision_check, union_all
 
 SEQ = "event_sequence"
@@ -46,23 +48,45 @@ def verify_order(ledger: DataFrame, creates: list[str], changes: list[str], key:
     return twice.unionByName(early)
 
 
+# Tables whose rows need more than the events of their own key: how they are rebuilt, and their keys.
+REBUILT = {
+    "ownership": (R.ownership, ["scope_type", "scope_id"]), "artefact_files": (R.artefact_files, ["artefact_id", "file_id"]), "acquisition_files": (R.acquisition_files, ["acquisition_id", "position"]),
+    "export_items": (R.export_items, ["export_id", "output_path"]), "confidential_authority": (R.confidential_authority, ["object_type", "object_id"]), "counters": (R.counters, ["namespace"]),
+}
+
+
 def verify_state(ledger: DataFrame, live: dict[str, DataFrame]) -> DataFrame:
-    """Live tables against the tables that their history gives, row by row and column by column."""
+    """Live tables against the tables that their history gives, row by row and column by column. Names are those of projections() and REBUILT."""
     specs, parts = R.projections(), []
     for name, table in live.items():
-        p = specs[name]
-        keys = ["project_id", *p.key]
-        columns = [c for c in p.columns() if c in table.columns]
-        parts.append(diff(R.project(ledger, p), table, keys, columns, name))
+        if name in REBUILT:
+            rebuild, own = REBUILT[name]
+            expected = rebuild(ledger)
+        else:
+            own, expected = list(specs[name].key), R.project(ledger, specs[name])
+        keys = ["project_id", *own]
+        text = lambda df, c: df.withColumns({x: F.col(x).cast("string") for x in c})
+        columns = [c for c in expected.columns if c in table.columns and c not in keys]
+        parts.append(diff(text(expected, columns), text(table, columns), keys, columns, name))
     return union_all(parts)
 
 
 def verify_notes(ledger: DataFrame, notes: DataFrame, revisions: DataFrame, files: DataFrame) -> DataFrame:
-    """Note identities, revision lineage, pointers and files of revisions."""
+    """Note identities, revision lineage, pointers, and the files of revisions: known, with the digest of the signed
+    event, and of the class that goes with the note's visibility."""
     tables = verify_state(ledger, {"notes": notes, "note_revisions": revisions})
     lineage = revision_check(revisions.withColumn("revision", F.col("revision").cast("long")), notes.withColumn("latest_revision", F.col("latest_revision").cast("long")))
-    lost = finding(revisions.join(files.select("file_id"), "file_id", "left_anti"), F.lit("note_revisions"), "unknown-file", F.col("note_id"), "file_id", actual=F.col("file_id"))
-    return union_all([tables, lineage, lost])
+    said = R.project(ledger, R.Projection({"note_id": F.col("object_id"), "revision": R.signed("revision")}, {t: {"payload_digest": R.signed("payload_digest")} for t in ("NOTE_CREATED", "NOTE_REVISED", "NOTE_REENCRYPTED")}))
+    rows = revisions.withColumn("revision", F.col("revision").cast("string")).join(said.select("note_id", "revision", "payload_digest"), ["note_id", "revision"], "left")
+    rows = rows.join(files.select("file_id", "classification", "content_digest", F.lit(True).alias("_known")), "file_id", "left").join(notes.select("note_id", "visibility"), "note_id", "left")
+    kind = F.when(F.col("visibility") == "confidential", "confidential-note-revision").otherwise("note-revision")
+    key = F.concat_ws("/", "note_id", "revision")
+    held = row_findings(rows, F.lit("note_revisions"), key, [
+        ("unknown-file", F.col("_known").isNull(), "file_id", None, F.col("file_id")),
+        ("revision-digest", F.col("_known") & ~F.col("content_digest").eqNullSafe(F.col("payload_digest")), "content_digest", F.col("payload_digest"), F.col("content_digest")),
+        ("revision-class", F.col("_known") & ~F.col("classification").eqNullSafe(kind), "classification", kind, F.col("classification")),
+    ])
+    return union_all([tables, lineage, held])
 
 
 def verify_files(ledger: DataFrame, files: DataFrame, payloads: DataFrame, allowed: DataFrame, subset: DataFrame | None = None) -> DataFrame:
@@ -85,11 +109,9 @@ def verify_acquisitions(ledger: DataFrame, files: DataFrame) -> DataFrame:
     order = F.sort_array(F.collect_list(F.struct(F.col("committed_sequence").cast("long"), F.col("file_id"))))
     own = files.groupBy("project_id", F.col("acquisition_id").alias("object_id")).agg(F.transform(order, lambda x: x["file_id"]).alias("own"))
     joined = rows.join(own, ["project_id", "object_id"], "left")
-    at = lambda where, rule: finding(joined.filter(where), F.col("project_id"), rule, F.col("object_id"))
-    return union_all([
-        finding(twice, F.col("project_id"), "recorded-twice", F.col("object_id"), actual=F.col("count")), at("size(ids) = 0", "no-files"),
-        at("size(ids) <> size(array_distinct(ids))", "doubled-file"), at("not (ids <=> coalesce(own, array()))", "membership"),
-    ])
+    rules = {"no-files": "size(ids) = 0", "doubled-file": "size(ids) <> size(array_distinct(ids))", "membership": "not (ids <=> coalesce(own, array()))"}
+    found = row_findings(joined, F.col("project_id"), F.col("object_id"), [(rule, F.expr(where), None, None, None) for rule, where in rules.items()])
+    return finding(twice, F.col("project_id"), "recorded-twice", F.col("object_id"), actual=F.col("count")).unionByName(found)
 
 
 def verify_policy(config: DataFrame, metadata: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -99,19 +121,74 @@ def verify_policy(config: DataFrame, metadata: DataFrame, ledger: DataFrame) ->
     return diff(first, config, ["project_id"], columns, "config").unionByName(diff(first, metadata, ["project_id"], columns, "metadata"))
 
 
-def verify_exports(manifests: DataFrame, items: DataFrame, event_items: DataFrame, observed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Exports: the manifest's items against those of the completion event, bytes against digests, and the anchor.
+def verify_exports(manifests: DataFrame, items: DataFrame, event_items: DataFrame, observed: DataFrame, ledger: DataFrame, exports: DataFrame | None = None) -> DataFrame:
+    """Exports: the manifest's items against those of the completion event, bytes against digests, and the anchor; with
+    exports also that the export was completed, and the digests of manifest and output that it recorded.
 
-    manifests: project_id, export_id, event_count, chain_head. items and event_items: export_id, file_id, output_path,
-    source_digest, output_digest, mode. observed: export_id, output_path, content_digest.
+    manifests: project_id, export_id, event_count, chain_head, and manifest_digest and output_digest as observed. items
+    and event_items: export_id, file_id, output_path, source_digest, output_digest, mode. observed: export_id,
+    output_path, content_digest. exports: export_id, state, manifest_digest, output_digest.
     """
-    fields = ["output_path", "source_digest", "output_digest", "mode"]
-    membership = diff(event_items, items, ["export_id", "file_id"], fields, "export-items")
+    fields = ["file_id", "source_digest", "output_digest", "mode"]
+    membership = diff(event_items, items, ["export_id", "output_path"], fields, "export-items")
     recorded = items.select("export_id", "output_path", F.col("output_digest").alias("content_digest"))
     held = diff(recorded, observed, ["export_id", "output_path"], ["content_digest"], "export-bytes")
     loose = finding(anchor_check(manifests, ledger).filter("not anchored"), F.lit("exports"), "unanchored", F.col("export_id"), "chain_head", actual=F.col("chain_head"))
     derived = finding(items.filter("mode <> 'exact' and source_digest = output_digest"), F.lit("exports"), "derived-but-equal", F.col("export_id"), "mode", actual=F.col("mode"))
-    return union_all([membership, held, loose, derived])
+    parts = [membership, held, loose, derived]
+    if exports is not None:
+        recorded = exports.select("export_id", F.col("state").alias("_state"), F.col("manifest_digest").alias("_m"), F.col("output_digest").alias("_o"))
+        seen = manifests.join(recorded, "export_id", "left")
+        done = F.coalesce(F.col("_state") == "completed", F.lit(False))
+        parts.append(row_findings(seen, F.lit("exports"), F.col("export_id"), [
+            ("incomplete-export", ~done, "state", F.lit("completed"), F.col("_state")),
+            ("manifest-digest", done & ~F.col("_m").eqNullSafe(F.col("manifest_digest")), "manifest_digest", F.col("_m"), F.col("manifest_digest")),
+            ("output-digest", done & ~F.col("_o").eqNullSafe(F.col("output_digest")), "output_digest", F.col("_o"), F.col("output_digest")),
+        ]))
+    return union_all(parts)
+
+
+def verify_authority_flag(metadata: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Projects (project_id, authority_state) whose flag does not agree with whether they have signed events: `active` needs one, all else none."""
+    signed = ledger.filter(F.get_json_object("details_json", "$.authority_transaction").isNotNull()).groupBy("project_id").agg(F.count("*").alias("_n"))
+    rows = metadata.join(signed, "project_id", "left").withColumns({"_active": F.coalesce(F.col("authority_state") == "active", F.lit(False)), "_n": F.coalesce("_n", F.lit(0))})
+    return finding(rows.filter(F.col("_active") != (F.col("_n") > 0)), F.col("project_id"), "authority-flag", F.col("project_id"), "authority_state", F.when(F.col("_n") > 0, "active").otherwise("absent"), F.col("authority_state"))
+
+
+def verify_object(targets: DataFrame, ledger: DataFrame, live: dict[str, DataFrame], payloads: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scope_type, scope_id, n_files, n_findings, status) for targets (scope_type, scope_id), and the findings about
+    their files, each once: history, payloads, digests, sizes. Only payloads of files in a scope are compared.
+
+    live: the tables that resolve_scopes needs, with files as catalogued.
+    """
+    found, none = resolve_scopes(targets, live)
+    subset = found.select("file_id").distinct()
+    about = verify_files(ledger, live["files"], payloads, allowed, subset).withColumn("file_id", F.element_at(F.split("key", "/"), -1)).join(subset, "file_id", "left_semi")
+    about = written(about, "findings")
+    counted = found.join(about.groupBy("file_id").agg(F.count("*").alias("_n")), "file_id", "left").groupBy("scope_type", "scope_id").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_findings"))
+    rows = counted.withColumn("status", F.when(F.col("n_findings") == 0, "verified").otherwise("failed"))
+    return rows, about.drop("file_id").unionByName(none)
+
+
+def verify_external(probe: DataFrame, files: DataFrame, payloads: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(probe_id, n_matches, n_broken, status) for files from outside (probe_id, content_digest, size_bytes), and the
+    files that match: (content_digest, size_bytes, file_id, artefact_ids, intact), once for each content.
+
+    A match is intact if its own payload still has the catalogued digest and size. status is unmatched, verified or
+    failed. Matches are counted by content before they meet the probes, so equal files do not multiply.
+    """
+    asked = probe.select("content_digest", "size_bytes").distinct()
+    rows = files.select("file_id", "storage_path", "content_digest", "size_bytes").join(asked, ["content_digest", "size_bytes"], "left_semi")
+    rows = rows.join(payloads.select("storage_path", F.col("content_digest").alias("_d"), F.col("size_bytes").alias("_n")), "storage_path", "left")
+    rows = rows.withColumn("intact", F.coalesce((F.col("_d") == F.col("content_digest")) & (F.col("_n") == F.col("size_bytes")), F.lit(False)))
+    if members is not None:
+        rows = rows.join(members.groupBy("file_id").agg(F.sort_array(F.collect_set("artefact_id")).alias("artefact_ids")), "file_id", "left")
+    else:
+        rows = rows.withColumn("artefact_ids", F.lit(None).cast("array<string>"))
+    held = rows.groupBy("content_digest", "size_bytes").agg(F.count("*").alias("n_matches"), F.sum((~F.col("intact")).cast("long")).alias("n_broken"))
+    joined = probe.select("probe_id", "content_digest", "size_bytes").join(held, ["content_digest", "size_bytes"], "left")
+    status = F.when(F.col("n_matches").isNull(), "unmatched").when(F.col("n_broken") == 0, "verified").otherwise("failed")
+    return joined.select("probe_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_broken", F.lit(0)).alias("n_broken"), status.alias("status")), rows.select("content_digest", "size_bytes", "file_id", "artefact_ids", "intact")
 
 
 def verify_package(manifest: DataFrame, observed: DataFrame) -> DataFrame:
@@ -149,8 +226,10 @@ def verify_transfer_source(ledger: DataFrame) -> DataFrame:
     return finding(found.filter(~F.col("held").eqNullSafe(F.col("source"))), F.col("project_id"), "transfer-source", F.col("object"), "authority_id", F.col("held"), F.col("source"))
 
 
-def verify_identity(requests: DataFrame, operators: DataFrame, columns: tuple[str, ...] = ("operator_ref", "operator_uuid", "name", "public_contact", "organisation", "role_label")) -> DataFrame:
-    """Identities in requests that differ from those kept, and those that are not kept."""
+def verify_identity(requests: DataFrame, operators: DataFrame, keys: DataFrame | None = None, columns: tuple[str, ...] = ("name", "public_contact", "organisation", "role_label", "primary_fingerprint", "signing_fingerprint")) -> DataFrame:
+    """Identities in requests that differ from those kept, and those that are not kept. keys: operator_keys, whose active one gives the fingerprints."""
+    if keys is not None:
+        operators = operators.join(active_key(keys).select("operator_id", "primary_fingerprint", "signing_fingerprint"), "operator_id", "left")
     held = operators.join(requests.select("operator_id").distinct(), "operator_id", "left_semi")
     return diff(requests.dropDuplicates(["operator_id"]), held, ["operator_id"], list(columns), "identity")
 

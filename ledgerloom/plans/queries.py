@@ -163,7 +163,7 @@ def lines_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, '{"k":' || regexp_extract(props, '[0-9]+') || '}' AS canonical, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS occurred_at FROM events
 """)
 def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", H.canonical_json("props").alias("canonical"), X.iso_utc("ts").alias("occurred_at"))
+    return table(spark, sf_dir, "events").select("event_id", H.native_json("props").alias("canonical"), X.iso_utc("ts").alias("occurred_at"))
 
 
 @query("""
@@ -361,10 +361,11 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH req AS (SELECT o_orderkey AS request_id, o_custkey % 40 AS operator_id, c_nationkey AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'case' ELSE 'file' END AS scope_type, o_orderkey % 5 = 0 AS has_ciphertext FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT request_id, CASE WHEN scope_type = 'case' THEN 'broad_scope_export' WHEN has_ciphertext THEN 'ciphertext_export' ELSE 'ordinary_export' END AS rule,
-       operator_id = project_id OR CASE WHEN scope_type = 'case' THEN project_id % 2 = 0 WHEN has_ciphertext THEN project_id % 3 = 0 ELSE true END AS allowed FROM req
+       operator_id % 7 <> 3 AND (operator_id = project_id OR CASE WHEN scope_type = 'case' THEN project_id % 2 = 0 WHEN has_ciphertext THEN project_id % 3 = 0 ELSE true END) AS allowed FROM req
 """)
 def decide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as export requests of nations: the policy differs by nation, the owner has the nation's number."""
+    """Orders as export requests of nations: the policy differs by nation, the owner has the nation's number. Operators whose
+    number leaves 3 by 7 are no members, or are removed, and get nothing."""
     who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("project_id"))
     requests = table(spark, sf_dir, "orders").join(who, "o_custkey").select(
         F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 40).alias("operator_id"), "project_id", F.when(F.col("o_orderkey") % 3 == 0, "case").otherwise("file").alias("scope_type"), (F.col("o_orderkey") % 5 == 0).alias("has_ciphertext")
@@ -372,7 +373,9 @@ def decide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("project_id"))
     says = lambda rule: F.when(rule, "members").otherwise("owner")
     policy = nation.select("project_id", F.lit("members").alias("ordinary_export"), says(F.col("project_id") % 3 == 0).alias("ciphertext_export"), says(F.col("project_id") % 2 == 0).alias("broad_scope_export"))
-    return D.decide_export(requests, policy, nation.withColumn("owner_id", F.col("project_id"))).select("request_id", "rule", "allowed")
+    operators = requests.select("project_id", "operator_id").distinct().filter("operator_id <> 3")
+    members = operators.withColumn("state", F.when(F.col("operator_id") % 7 == 3, "removed").otherwise("active"))
+    return D.decide_export(requests, policy, nation.withColumn("owner_id", F.col("project_id")), members).select("request_id", "rule", "allowed")
 
 
 GRANTS = """

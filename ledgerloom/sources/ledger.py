@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import digest
-from ..operators.chain import assign_sequences, chain_parts, ledger_summary
+from ..operators.chain import append_guard, assign_sequences, chain_parts, ledger_summary
 from ..operators.findings import finding
 
 LEDGER = T.StructType(
@@ -42,12 +42,18 @@ def write_manifest(files: DataFrame, path: str, name: str = "path", content: str
     lines.repartitionByRange(1, name).sortWithinPartitions(name).select("value").write.text(path)
 
 
-def read_export_manifest(spark: SparkSession, path: str, schema_name: str) -> DataFrame:
-    """The items of export manifests of a schema, one row each; files of other schemas are left out."""
+def strange_schemas(documents: DataFrame, schema_name: str) -> DataFrame:
+    """Findings for documents (_file, schema) of another schema than the one that is read, or of none."""
+    return finding(documents.filter(~F.col("schema").eqNullSafe(F.lit(schema_name))), F.col("_file"), "unsupported-schema", F.col("_file"), "schema", F.lit(schema_name), F.col("schema"))
+
+
+def read_export_manifest(spark: SparkSession, path: str, schema_name: str) -> tuple[DataFrame, DataFrame]:
+    """The items of export manifests of a schema, one row each, and findings for files of other schemas."""
     item = "file_id string, output_path string, source_digest string, output_digest string, mode string, classification string, case_id string, acquisition_id string, logical_path string"
     shape = f"schema string, export_id string, project_id string, actor_id string, view_mode string, source_project struct<event_count:bigint,chain_head:string,state_digest:string>, items array<struct<{item.replace(' ', ':').replace(',:', ',')}>>"
-    manifests = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return manifests.filter(F.col("schema") == schema_name).select("export_id", "project_id", "actor_id", "view_mode", "source_project", F.explode("items").alias("item")).select("*", "item.*").drop("item")
+    manifests = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
+    items = manifests.filter(F.col("schema") == schema_name).select("export_id", "project_id", "actor_id", "view_mode", "source_project", F.explode("items").alias("item")).select("*", "item.*").drop("item")
+    return items, strange_schemas(manifests, schema_name)
 
 
 def promote_metadata(df: DataFrame, json_col: str, fields: tuple[str, ...] = ("title", "channel", "upload_date", "id")) -> DataFrame:
@@ -58,31 +64,47 @@ def promote_metadata(df: DataFrame, json_col: str, fields: tuple[str, ...] = ("t
     return rows.select(*df.columns, *[F.when(~bad, F.col(f"_m.{f}")).alias(f) for f in fields], F.when(F.col(json_col).isNull(), "no metadata").when(bad, "metadata is no JSON object").alias("observation"))
 
 
-def read_review_layers(spark: SparkSession, path: str, schema_name: str) -> DataFrame:
-    """The annotations and redactions of review layers, one row each."""
+def read_review_layers(spark: SparkSession, path: str, schema_name: str) -> tuple[DataFrame, DataFrame]:
+    """The annotations and redactions of review layers, one row each, and findings for files of other schemas."""
     box = "struct<id:string,kind:string,reason:string,geometry:map<string,double>>"
     shape = f"schema string, file_id string, source_digest string, pixel_width bigint, pixel_height bigint, annotations array<{box}>, redactions array<{box}>"
-    layers = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).filter(F.col("schema") == schema_name)
+    every = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
+    layers = every.filter(F.col("schema") == schema_name)
     each = lambda c, n: layers.select("file_id", "source_digest", "pixel_width", "pixel_height", F.lit(n).alias("layer"), F.explode(c).alias("x")).select("*", "x.*").drop("x")
-    return each("annotations", "annotation").unionByName(each("redactions", "redaction"))
+    return each("annotations", "annotation").unionByName(each("redactions", "redaction")), strange_schemas(every, schema_name)
 
 
-def snapshot(tables: dict[str, DataFrame], upto: int, seq: dict[str, str]) -> dict[str, DataFrame]:
-    """The rows of each table that were there at a sequence."""
-    return {name: df.filter(F.col(seq[name]) <= upto) if name in seq else df for name, df in tables.items()}
+def snapshot(tables: dict[str, DataFrame], upto: int, seq: dict[str, str], ledger: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows of each table that were there at a sequence; with a ledger, tables of projections() are replayed up to it."""
+    from ..operators.replay import project, projections
 
+    specs = projections() if ledger is not None else {}
+    past = ledger.filter(F.col("event_sequence") <= upto) if ledger is not None else None
+    return {name: project(past, specs[name]) if name in specs else df.filter(F.col(seq[name]) <= upto) if name in seq else df for name, df in tables.items()}
 
-def append_events(ledger_path: str, events: DataFrame, key_col: str = "project_id", id_cols: tuple[str, ...] = ("project_id", "object_id", "event_type", "occurred_at"), schema: str = "audit-event/v3") -> int:
+
+def append_events(ledger_path: str, events: DataFrame, key_col: str = "project_id", id_cols: tuple[str, ...] | None = None, schema: str = "audit-event/v3", expected: DataFrame | None = None) -> int:
     """Chain new events on to the ledger at a path and append them; events that are there already are left out.
 
-    Returns how many were appended. The first link of each key's new part takes up the head that the ledger has.
+    Returns how many were appended. The first link of each key's new part takes up the head that the ledger has. An
+    event is known by id_cols if they are given, else by all its columns and its number among equal ones, so a batch
+    that is tried again adds nothing and no two different events are taken for one; nulls are equal. With expected
+    (key, expected_count, expected_head) nothing is appended when the ledger has moved on: ValueError.
     """
+    from pyspark.sql import Window
+
     from ..functions.hashing import envelope
 
     spark = events.sparkSession
     held = read_ledger(spark, ledger_path)
-    new = events.join(held.select(*id_cols), list(id_cols), "left_anti")
     heads = ledger_summary(held)
+    if expected is not None and not append_guard(expected, heads, key_col).isEmpty():
+        raise ValueError("the ledger has another head than the batch was made for")
+    made = ("event_sequence", "previous_hash", "event_hash")
+    own = list(id_cols) if id_cols else [f.name for f in LEDGER if f.name not in made]
+    name = F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
+    numbered = lambda df: df.withColumn("_id", name).withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1))) if not id_cols else F.lit(1))
+    new = numbered(events).join(numbered(held).select("_id", "_nth"), ["_id", "_nth"], "left_anti").drop("_id", "_nth")
     rows = assign_sequences(new, heads, ["occurred_at", "object_id", "event_type"])
     head, tail = envelope(schema, "sha256")
     known = heads.select(key_col, F.col("chain_head").alias("_start"))
@@ -101,12 +123,17 @@ def write_checkpoint(path: str, ledger: DataFrame, state_digest: DataFrame) -> N
     ledger_summary(ledger).join(state_digest, "project_id", "left").write.mode("append").parquet(path)
 
 
-def export_set(files: DataFrame, out: str, view: str = "full", partition: str | None = None) -> DataFrame:
-    """Write the files of a view and return the item manifest (file_id, output_path, source_digest, output_digest, mode)."""
+def export_set(files: DataFrame, out: str, view: str = "full", partition: str | None = None, transform=None) -> DataFrame:
+    """Write the files of a view and return the item manifest (file_id, output_path, source_digest, output_digest, mode).
+
+    mode is `exact`, or `derived` for payloads that transform (a column function of the payload) changes.
+    """
     from ..functions.text import safe_leaf, strip_suffix
 
     rows = files if view == "full" else files.filter("presentation_state = 'presented'")
-    rows = rows.withColumns({"output_path": F.concat_ws("/", F.lit("files"), "file_id", strip_suffix(safe_leaf("logical_path"))), "output_digest": digest("payload"), "mode": F.lit("exact")})
+    rows = rows.withColumn("payload", transform(F.col("payload"))) if transform else rows
+    rows = rows.withColumns({"output_path": F.concat_ws("/", F.lit("files"), "file_id", strip_suffix(safe_leaf("logical_path"))), "output_digest": digest("payload")})
+    rows = rows.withColumn("mode", F.when(F.col("output_digest").eqNullSafe(F.col("content_digest")), "exact").otherwise("derived"))
     writer = rows.write.partitionBy(partition) if partition else rows.write
     writer.parquet(out)
     return rows.select("file_id", "output_path", F.col("content_digest").alias("source_digest"), "output_digest", "mode")
@@ -116,3 +143,15 @@ def package_inventory(files: DataFrame, withheld: DataFrame) -> DataFrame:
     """(file_id, storage_path, content_digest, included): a package's files, those withheld named but not included."""
     held = withheld.select("file_id").distinct().withColumn("_held", F.lit(True))
     return files.join(held, "file_id", "left").select("file_id", "storage_path", "content_digest", F.col("_held").isNull().alias("included"))
+
+
+def package_descriptor(summary: DataFrame, state_digest: DataFrame, withheld: DataFrame, schema: str = "package/v1", roots: tuple[str, ...] = ("files", "cases")) -> DataFrame:
+    """(project_id, descriptor): a JSON description of each project's package: counts, head, state digest and time of the
+    ledger (from ledger_summary and state_digest), what it includes, and the ids of withheld files (project_id, file_id) in order."""
+    held = withheld.groupBy("project_id").agg(F.sort_array(F.collect_set("file_id")).alias("withheld_file_ids"))
+    rows = summary.join(state_digest.select("project_id", "state_digest"), "project_id", "left").join(held, "project_id", "left")
+    body = F.struct(
+        F.lit(schema).alias("schema"), "project_id", "event_count", "chain_head", "state_digest", F.col("last_event_at").alias("state_timestamp"),
+        F.array(*map(F.lit, roots)).alias("included_roots"), F.coalesce("withheld_file_ids", F.array().cast("array<string>")).alias("withheld_file_ids"),
+    )
+    return rows.select("project_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("descriptor"))

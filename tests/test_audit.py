@@ -20,7 +20,7 @@ def identity(n):
 def clean():
     """(type, object type, object id, actor, data) of a ledger that breaks no rule."""
     scope = [{"object_type": "note", "object_id": "N1"}]
-    file = lambda n, path: ("FILE_COMMITTED", "file", f"FILE-{n}", 1, {"case_id": "C1", "acquisition_id": "A1", "logical_path": path, "content_digest": f"d{n}", "size_bytes": n, "storage_path": f"s/{n}"})
+    file = lambda n, path: ("FILE_COMMITTED", "file", f"FILE-{n}", 1, {"case_id": "C1", "acquisition_id": "A1", "logical_path": path, "classification": "confidential-note-revision", "content_digest": f"d{n}", "size_bytes": n, "storage_path": f"s/{n}"})
     return [
         ("PROJECT_GENESIS", "project", "P", 1, {"operator_ref": "1", "operator_uuid": "u1", "public_key": "k", "identity": identity(1), "export_policy": POLICY}),
         ("CONTRIBUTOR_INVITED", "operator", "OP-2", 1, {"operator_ref": "2", "operator_uuid": "u2", "public_key": "k", "identity": identity(2)}),
@@ -36,8 +36,8 @@ def clean():
         ("OWNERSHIP_TRANSFER_PROPOSED", "case", "C1", 1, {"transfer_id": "T1", "from_operator_id": "OP-1", "to_operator_id": "OP-2", "reason": "leave"}),
         ("OWNERSHIP_TRANSFER_ACCEPTED", "case", "C1", 2, {"transfer_id": "T1"}),
         ("EXPORT_POLICY_CHANGED", "project", "P", 1, {"previous": POLICY, "policy": POLICY | {"ordinary_export": "members"}}),
-        ("NOTE_CREATED", "note", "N1", 1, {"visibility": "confidential", "author_id": "OP-1", "revision": 1, "package_disclosure": "withhold", "file_id": "FILE-1"}),
-        ("NOTE_REVISED", "note", "N1", 1, {"revision": 2, "reason": "typo", "file_id": "FILE-2"}),
+        ("NOTE_CREATED", "note", "N1", 1, {"visibility": "confidential", "author_id": "OP-1", "revision": 1, "package_disclosure": "withhold", "file_id": "FILE-1", "payload_digest": "d1"}),
+        ("NOTE_REVISED", "note", "N1", 1, {"revision": 2, "reason": "typo", "file_id": "FILE-2", "payload_digest": "d2"}),
         ("NOTE_DISCLOSURE_CHANGED", "note", "N1", 1, {"package_disclosure": "include"}),
         ("CONFIDENTIAL_ACCESS_GRANTED", "note", "N1", 1, {"operator_id": "OP-2", "authority_basis": "explicit-grant", "reason": "help"}),
         ("CONFIDENTIAL_ACCESS_REVOKED", "note", "N1", 1, {"operator_id": "OP-2", "authority_basis": "explicit-grant", "granted_sequence": 19, "reason": "done"}),
@@ -72,6 +72,21 @@ def change(events, kind, actor=None, data=None, oid=None):
     return [(k, t, oid if oid and k == kind else o, actor if actor and k == kind else a, {**d, **(data or {})} if k == kind else d) for k, t, o, a, d in events]
 
 
+MORE = [
+    ("R1", lambda e: change(e, "IDENTIFIER_ISSUED", data={"sequence": 2})), ("R9", lambda e: change(e, "ACQUISITION_RECORDED", data={"file_ids": ["FILE-2", "FILE-1"]})), ("R9", lambda e: change(e, "ACQUISITION_RECORDED", data={"file_ids": ["FILE-1"]})),
+    ("R9", lambda e: [("IDENTIFIER_ISSUED", "identifier", "A7", 1, {"namespace": "acquisition", "sequence": 7}) if x[0] == "EXPORT_STARTED" else x for x in e]), ("R12", lambda e: [*e, ("FILE_COMMITTED", "file", "FILE-3", 1, {"case_id": "C1", "logical_path": "z"})]),
+    ("R16", lambda e: change(e, "NOTE_CREATED", data={"author_id": "OP-2"})), ("R16", lambda e: change(e, "NOTE_REVISED", actor=2)), ("R16", lambda e: change(e, "NOTE_CREATED", data={"case_id": "C2", "subject_file_id": "FILE-1"})),
+    ("R20", lambda e: change(e, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED", data={"from_operator_id": "OP-2"})), ("R20", lambda e: [*e[:21], ("CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED", "transfer", "CT2", 1, e[20][4]), *e[21:]]),
+    ("R21", lambda e: change(e, "CONFIDENTIAL_AUTHORITY_TRANSFER_ACCEPTED", data={"scope": [{"object_type": "box", "object_id": "N1"}]})),
+]
+
+
+@pytest.mark.parametrize("rule, tamper", MORE)
+def test_further_conditions_are_found(spark, rule, tamper):
+    found = A.audit(frame(spark, tamper(clean())), rule).collect()
+    assert found and all(r["rule"] == rule for r in found)
+
+
 CASES = [
     ("R1", lambda e: [*e, ("IDENTIFIER_FAILED", "identifier", "C1", 1, {})]), ("R2", lambda e: [*e, e[0]]), ("R3", lambda e: change(e, "CONTRIBUTOR_INVITED", actor=2)), ("R4", lambda e: [*e, e[2]]),
     ("R5", lambda e: [*e, ("CONTRIBUTOR_REMOVED", "operator", "OP-2", 1, {"reason": " "})]), ("R6", lambda e: change(e, "OWNERSHIP_TRANSFER_PROPOSED", data={"to_operator_id": "OP-9"})),
@@ -112,6 +127,11 @@ def test_state_verifiers(spark, state):
     assert names(V.verify_files(ledger, live["files"], payloads, none)) == {("files", r, "FILE-2") for r in ("payload-digest", "payload-size", "writable-payload")}
     assert names(V.verify_files(ledger, live["files"], payloads.limit(0), none, live["files"].limit(1).select("file_id")))
     assert names(V.verify_notes(ledger, live["notes"], live["note_revisions"], live["files"])) == set()
+    other = live["files"].withColumn("classification", F.when(F.col("file_id") == "FILE-1", "note-revision").otherwise(F.col("classification"))).withColumn("content_digest", F.when(F.col("file_id") == "FILE-2", "x").otherwise(F.col("content_digest")))
+    assert names(V.verify_notes(ledger, live["notes"], live["note_revisions"], other)) == {("note_revisions", "revision-class", "N1/1"), ("note_revisions", "revision-digest", "N1/2")}
+    rebuilt = {n: f(ledger) for n, (f, _) in V.REBUILT.items()}
+    assert names(V.verify_state(ledger, rebuilt)) == set()
+    assert names(V.verify_state(ledger, {"ownership": rebuilt["ownership"].withColumn("owner_id", F.lit("OP-3"))})) == {("ownership", "changed", "P/project/P"), ("ownership", "changed", "P/case/C1")}
     assert ("notes", "latest-pointer", "N1") in names(V.verify_notes(ledger, live["notes"].withColumn("latest_revision", F.lit("3")), live["note_revisions"], live["files"]))
     assert names(V.verify_acquisitions(ledger, live["files"])) == set()
     assert names(V.verify_acquisitions(ledger, live["files"].filter("file_id = 'FILE-1'"))) == {("P", "membership", "A1")}

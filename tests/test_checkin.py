@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import checkin as B
@@ -60,6 +61,21 @@ def test_ledger_round_trip(spark, tmp_path):
     assert sorted((r[0], r[1]) for r in ledger.select("project_id", "event_sequence").collect()) == [*(("P", i) for i in range(1, 7)), ("Q", 1)]
 
 
+def test_appends_keep_different_events_of_one_second_and_repeat_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    fields = "project_id string, occurred_at string, event_type string, object_type string, object_id string, actor_kind string, actor_id string, actor_uuid string, credential_fingerprint string, authority_basis string, details_json string"
+    event = lambda details, obj="O": ("P", "2026-01-01T00:00:00Z", "E", "o", obj, "system", None, None, None, None, details)
+    spark.createDataFrame([], L.LEDGER).write.parquet(path)
+    first, second = [event('{"n":1}'), event('{"n":1}'), event("{}", None)], [event('{"n":2}'), event('{"n":1}')]
+    assert L.append_events(path, spark.createDataFrame(first, fields)) == 3
+    assert L.append_events(path, spark.createDataFrame(first, fields)) == 0
+    assert L.append_events(path, spark.createDataFrame(second, fields)) == 1
+    head = spark.createDataFrame([("P", 3, "x")], "project_id string, expected_count bigint, expected_head string")
+    with pytest.raises(ValueError):
+        L.append_events(path, spark.createDataFrame([event('{"n":3}')], fields), expected=head)
+    assert L.read_ledger(spark, path).count() == 4
+
+
 def test_manifests_and_payloads(spark, tmp_path):
     (tmp_path / "files").mkdir()
     for name in ("b", "a"):
@@ -132,8 +148,11 @@ def test_replay(spark):
 def test_decisions(spark):
     policy = spark.createDataFrame([("P", "members", "owner", "authority", "owner")], "project_id string, ordinary_export string, ciphertext_export string, confidential_plaintext_export string, broad_scope_export string")
     owners = spark.createDataFrame([("P", "O"), ("Q", "O")], "project_id string, owner_id string")
+    members = spark.createDataFrame([(p, o, "active") for p in "PQ" for o in "OMA"] + [("P", "R", "removed")], "project_id string, operator_id string, state string")
     asked = spark.createDataFrame([("P", "O", "case", True), ("P", "M", "case", False), ("P", "M", "file", False), ("P", "M", "file", True), ("Q", "O", "file", False)], "project_id string, operator_id string, scope_type string, has_ciphertext boolean")
-    assert [(r["rule"].split("_")[0], r["allowed"]) for r in sorted(D.decide_export(asked, policy, owners).collect(), key=lambda r: (r["project_id"], r["operator_id"] != "O", r["scope_type"], r["has_ciphertext"]))] == [("broad", True), ("broad", False), ("ordinary", True), ("ciphertext", False), ("ordinary", False)]
+    assert [(r["rule"].split("_")[0], r["allowed"]) for r in sorted(D.decide_export(asked, policy, owners, members).collect(), key=lambda r: (r["project_id"], r["operator_id"] != "O", r["scope_type"], r["has_ciphertext"]))] == [("broad", True), ("broad", False), ("ordinary", True), ("ciphertext", False), ("ordinary", False)]
+    strangers = spark.createDataFrame([("P", w, "file", False) for w in ("R", "X")], "project_id string, operator_id string, scope_type string, has_ciphertext boolean")
+    assert [r["allowed"] for r in D.decide_export(strangers, policy, owners, members).collect()] == [False, False]
     authority = spark.createDataFrame([("N1", "A")], "object_id string, authority_id string")
     asked = spark.createDataFrame([("P", w, n) for w in "OAM" for n in ("N1", "N2")], "project_id string, operator_id string, object_id string")
-    assert {(r["operator_id"], r["object_id"]) for r in D.decide_plaintext(asked, policy, owners, authority).filter("allowed").collect()} == {("O", "N1"), ("A", "N1")}
+    assert {(r["operator_id"], r["object_id"]) for r in D.decide_plaintext(asked, policy, owners, authority, members).filter("allowed").collect()} == {("O", "N1"), ("A", "N1")}
