@@ -62,6 +62,24 @@ def test_digests_and_turns(spark):
     assert C.digest_conversations(C.format_conversations(docs.limit(0), PATH)).count() == 0
 
 
+def test_conversations_are_encoded_whole_and_hot_ones_dealt_by_ranges(spark):
+    rng = random.Random(2)
+    rows = [(7, t, ["user", "assistant"][t % 2], f"turn {t} é") for t in range(2500)] + [(None, t, "assistant", f"no id {t}") for t in range(1100)]
+    rows += [(c, t, ["user", "assistant"][t % 2], "".join(rng.choices(WORDS, k=60))) for c in range(100, 300) for t in range(5)]
+    docs = spark.createDataFrame(rng.sample(rows, len(rows)), "conv_id bigint, turn int, role string, text string").repartition(5)
+    blocks = C.format_conversations(docs, PATH).cache()
+    n = {r["conv_id"]: r["count"] for r in blocks.groupBy("conv_id").count().collect()}
+    assert n[7] > 1 and all(n[c] == 1 for c in range(100, 300))
+    out = {r["conv_id"]: r for r in C.digest_conversations(blocks).collect()}
+    own = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        own.setdefault(c, []).append((role, text))
+    for c, turns in own.items():
+        assert out[c]["n_turns"] == len(turns)
+        assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert out[c]["loss_sha256"] == hashlib.sha256("".join(b for a, b in turns if a == "assistant").encode()).hexdigest()
+
+
 @given(st.lists(st.integers(1, 5), max_size=30), st.data())
 def test_mask_equals_plain_overlap(lengths, data):
     cuts = np.r_[0, np.cumsum(lengths)].astype(np.int64)
