@@ -8,13 +8,15 @@ bitmap of its sources and one of its duplicate clusters, and the search goes on
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import TaskContext
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -74,22 +76,37 @@ def pack_documents(docs: DataFrame, length_col: str, id_col: str = "doc_id", sou
     A bin holds at most `capacity` units, and no two pieces of one source or of one duplicate cluster, so a document's
     own pieces are never together either if it has a source. Null sources and clusters conflict with nothing. Null,
     negative and zero lengths give one piece of length 0. Every row is packed by itself, repeated ones too. Shards have
-    about `shard` pieces, dealt without regard to any key; bin is unique over shards. Other columns are dropped.
+    about `shard` pieces, dealt without regard to any key, and a task packs many of them one after another; bin is unique
+    over shards. Other columns are dropped.
     """
-    cut = written(pieces(docs, length_col, id_col, source_col, cluster_col, capacity), "pieces")
-    kind = docs.schema[id_col].dataType
-    n = cut.count()
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["_id", "_source", "_cluster", "piece", "start", "length"])], ignore_index=True)
-        if not len(rows):
-            return
-        rows = rows.sort_values(["length", "_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        clean = [[None if pd.isna(x) else x for x in rows[c]] for c in ("_source", "_cluster")]
-        bins, offsets = best_fit(rows["length"].tolist(), *clean, capacity)
-        base = TaskContext.get().partitionId() << 32
-        yield rows[["_id", "piece", "start", "length"]].assign(bin=[base + b for b in bins], offset=offsets)
-
-    dealt = cut.withColumn("_id", F.col("_id").cast("string")).repartition(max(1, -(-n // shard)))
-    out = dealt.mapInPandas(pack, "_id string, piece bigint, start bigint, length bigint, bin bigint, offset bigint")
-    return out.withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", id_col)
+    # Rows are numbered before they are written, so that a lost task deals them as before.
+    cut = written(pieces(docs, length_col, id_col, source_col, cluster_col, capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    n_shards = max(1, -(-cut.count() // shard))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards come one after another; one is held at a time."""
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            names = {c: rows.column(c).to_pylist() for c in ("length", "_source", "_cluster")}
+            bins, offsets = best_fit(names["length"], names["_source"], names["_cluster"], capacity)
+            base = rows.column("_shard")[0].as_py() << 32
+            out = {c: rows.column(c) for c in ("_id", "piece", "start", "length")}
+            return pa.record_batch(out | {"bin": pa.array([base + b for b in bins], pa.int64()), "offset": pa.array(offsets, pa.int64())})
+
+        for batch in batches:
+            of = batch.column("_shard").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in itertools.pairwise(cuts):
+                if held and b > a and held[0].column("_shard")[0].as_py() != of[a]:
+                    yield done()
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(n_shards))).drop("_row").repartition("_shard").sortWithinPartitions("_shard", F.desc("length"), "_id", "piece")
+    shape = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "bin", "offset")]])
+    return dealt.mapInArrow(pack, shape).withColumnRenamed("_id", id_col)

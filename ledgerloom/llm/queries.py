@@ -67,8 +67,10 @@ FROM marked GROUP BY doc_id
 """
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n_words"), F.xxhash64("text").alias("cluster"))
-    return pack_documents(docs, "n_words")
+    docs = table(spark, sf_dir, "documents")
+    clusters = near_duplicates(docs.select(*DOC)).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
+    rows = docs.select("doc_id", "source", word_count("text").alias("n_words")).join(clusters, "doc_id", "left")
+    return pack_documents(rows, "n_words")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,26 @@ def test_matches_brute_force(spark):
     kept = {k for k, r in out.items() if r["kept"]}
     assert kept == {"prose", "lines", "few repeats", "symbols", "long"}
     assert Q.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_chunks_cover_whole_texts_and_decide(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(900)]
+    prose = " ".join(rng.choices(vocabulary, k=4000))
+    noise = base64.b85encode(rng.randbytes(9000)).decode()
+    texts = {"prose": prose[:9000], "noise in the tail": prose[:4500] + " " + noise[:3500], "one": prose[:4096], "one more": prose[:4097], "short": prose[:900], "noise": (prose[:1000] + " " + noise), "null": None, "empty": ""}
+    out = {r["name"]: r for r in Q.quality_rules(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()}
+    for name, text in texts.items():
+        data = (text or "").encode()
+        starts = [0] if 0 < len(data) <= Q.CHUNK else sorted({*range(0, len(data) - Q.CHUNK, Q.CHUNK), len(data) - Q.CHUNK}) if data else []
+        parts = [data[i : i + Q.CHUNK] for i in starts]
+        assert sum(map(len, parts)) >= len(data) and (not parts or data.endswith(parts[-1]))
+        compress = zstandard.ZstdCompressor(level=Q.LEVEL).compress
+        limits = [Q.CHUNK_BAND if len(p) == Q.CHUNK else next((a, b) for most, a, b in Q.BANDS if len(p) <= most) for p in parts]
+        odd = sum(not a <= len(compress(p)) / len(p) <= b for p, (a, b) in zip(parts, limits, strict=True))
+        assert (out[name]["n_chunks"], out[name]["n_chunks_out"]) == (len(parts), odd), name
+        whole = next((a, b) for most, a, b in Q.BANDS if len(data) <= most)
+        fits = bool(data) and whole[0] <= len(compress(data)) / len(data) <= whole[1]
+        assert out[name]["kept"] == (not out[name]["base_failed"] and fits and 2 * odd <= len(parts)), name
+    assert out["noise in the tail"]["n_chunks_out"] == 1 and out["noise"]["n_chunks_out"] >= 2 and not out["noise"]["kept"]
+    assert out["prose"]["kept"] and out["one"]["kept"] and out["one more"]["n_chunks"] == 2

@@ -16,17 +16,28 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @given(st.lists(st.integers(0, 5000), max_size=300))
 def test_elias_fano_round_trip(lengths):
     ends = np.cumsum(np.array(lengths, np.int64))
-    ef = S.EliasFano.of(ends, int(ends[-1]) if len(ends) else 0)
-    assert ef.all().tolist() == ends.tolist()
-    assert [ef.select(i) for i in range(len(ends))] == ends.tolist()
+    ef, at = S.EliasFano.read(b"head" + S.EliasFano.of(ends).tobytes() + b"tail", 4)
+    assert at == 4 + len(S.EliasFano.of(ends).tobytes())
+    assert ef.select(np.arange(len(ends))).tolist() == ends.tolist()
+    assert [int(ef.select([i])[0]) for i in range(0, len(ends), 7)] == ends[::7].tolist()
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), max_size=200), st.integers(0, 3))
+def test_document_ids_of_any_range(ids, n_null):
+    ids, i = [None] * n_null + sorted(ids), np.arange(n_null + len(ids))
+    block = S.open_block(S.pack_block(ids, np.ones(len(ids), np.int64), np.arange(len(ids)).astype("<u4").tobytes(), 4))
+    assert block.doc_ids(i).to_pylist() == ids
+    assert [x.tolist() for x in block.spans(i)] == [i.tolist(), (i + 1).tolist()]
 
 
 def test_blocks_are_small():
     lengths = np.random.default_rng(1).integers(1, 2000, 4000)
-    data = S.pack_block(lengths, np.zeros(lengths.sum(), "<u4").tobytes(), 2)
-    ef, ids = S.open_block(data)
-    assert len(ids) == lengths.sum() and ef.all().tolist() == np.cumsum(lengths).tolist()
-    assert (len(data) - 2 * len(ids)) * 8 / len(lengths) < 2 + np.log2(2000) + 1.5
+    data = S.pack_block(list(range(0, 12_000, 3)), lengths, np.zeros(lengths.sum(), "<u4").tobytes(), 2)
+    block = S.open_block(data)
+    assert len(block.ids) == lengths.sum() and block.ends.select(np.arange(4000)).tolist() == np.cumsum(lengths).tolist()
+    # Boundaries in 2 + log2(2000) bits a document and their samples, document ids in 2 + log2(3) and theirs.
+    assert (len(data) - 2 * len(block.ids)) * 8 / len(lengths) < 2 + np.log2(2000) + 2 + np.log2(3) + 1.5
 
 
 def rows_of_text():
