@@ -187,6 +187,17 @@ def ownership(ledger: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "scope_type", "scope_id").agg(F.max_by("owner_id", "effective_from_sequence").alias("owner_id"), F.max("effective_from_sequence").alias("effective_from_sequence"))
 
 
+def memberships(ledger: DataFrame) -> DataFrame:
+    """The memberships with their roles after accepted transfers of the project: the new owner is `owner`, the old one `contributor`."""
+    proposed = ledger.filter("event_type = 'OWNERSHIP_TRANSFER_PROPOSED' and object_type = 'project'").select("project_id", signed("transfer_id").alias("t"), signed("from_operator_id").alias("_from"), signed("to_operator_id").alias("_to"))
+    accepted = ledger.filter("event_type = 'OWNERSHIP_TRANSFER_ACCEPTED' and object_type = 'project'").select("project_id", signed("transfer_id").alias("t"), F.col(SEQ).alias("_at")).join(proposed, ["project_id", "t"])
+    roles = F.array(F.struct(F.col("_from").alias("operator_id"), F.lit("contributor").alias("_role")), F.struct(F.col("_to").alias("operator_id"), F.lit("owner").alias("_role")))
+    moved = accepted.select("project_id", "_at", F.explode(roles).alias("x")).select("project_id", "x.operator_id", "_at", "x._role")
+    last = moved.groupBy("project_id", "operator_id").agg(F.max_by("_role", "_at").alias("_role"))
+    held = project(ledger, projections()["project_memberships"]).join(last, ["project_id", "operator_id"], "left")
+    return held.withColumn("membership_role", F.coalesce("_role", "membership_role")).drop("_role")
+
+
 def confidential_authority(ledger: DataFrame) -> DataFrame:
     """(project_id, object_type, object_id, creator_id, authority_id, effective_sequence) of confidential notes after their accepted transfers."""
     made = ledger.filter("event_type = 'NOTE_CREATED'").filter(signed("visibility") == "confidential")

@@ -50,7 +50,7 @@ def verify_order(ledger: DataFrame, creates: list[str], changes: list[str], key:
 
 # Tables whose rows need more than the events of their own key: how they are rebuilt, and their keys.
 REBUILT = {
-    "ownership": (R.ownership, ["scope_type", "scope_id"]), "artefact_files": (R.artefact_files, ["artefact_id", "file_id"]), "acquisition_files": (R.acquisition_files, ["acquisition_id", "position"]),
+    "project_memberships": (R.memberships, ["operator_id"]), "ownership": (R.ownership, ["scope_type", "scope_id"]), "artefact_files": (R.artefact_files, ["artefact_id", "file_id"]), "acquisition_files": (R.acquisition_files, ["acquisition_id", "position"]),
     "export_items": (R.export_items, ["export_id", "output_path"]), "confidential_authority": (R.confidential_authority, ["object_type", "object_id"]), "counters": (R.counters, ["namespace"]),
 }
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,36 +19,10 @@ from ..operators import verify as V
 from ..operators.findings import summarise_findings
 from ..sources import ledger as L
 from ..sources.shared import written
+from . import replays
+from .registry import FILES, LEDGER, ORACLE_SQL, QUERIES, query
 from .standins import export_ledger, files, ledger, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-# SQL shared by several queries.
-LEDGER = """
-led AS (
-  SELECT printf('P-%06d', user_id) AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
-         strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS occurred_at, upper(event_type) AS event_type,
-         printf('E-%06d', event_id) AS object_id, replace(props, ' ', '') AS details, event_id, user_id FROM events
-)"""
-FILES = """
-fil AS (
-  SELECT printf('FILE-%06d', doc_id) AS file_id, source AS case_id, source || '/' || doc_id AS logical_path, sha256(text) AS content_digest,
-         octet_length(encode(text)) AS size_bytes, lang, doc_id FROM documents
-)"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Chains
 
 
@@ -585,3 +557,6 @@ def member_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("broken {")).otherwise(F.col("props")).alias("props"))
     return L.promote_metadata(e, "props", ("k",)).drop("props")
+
+# Their queries register themselves.
+__all__ = ["ORACLE_SQL", "QUERIES", "replays"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_utc
@@ -41,3 +41,17 @@ def export_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.struct(text.alias("scope_type"), F.col("props").alias("view_mode"), text.alias("manifest_digest"), F.col("event_id").cast("string").alias("output_digest"))
     details = F.to_json(F.struct(F.struct(F.concat(F.lit("OP-"), F.col("user_id").cast("string")).alias("actor_id"), body.alias("data")).alias("authority_transaction")))
     return e.select(F.lit("P").alias("project_id"), (F.col("event_id") + 1).alias("event_sequence"), kind.alias("event_type"), F.lit("export").alias("object_type"), F.format_string("EXP-%06d", "user_id").alias("object_id"), details.alias("details_json"))
+
+
+def text(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+def event(rows: DataFrame, kind: str, object_type: str, object_id: Column, seq: Column, data: dict[str, Column], actor: Column | None = None, project: Column | None = None, signed: bool = True) -> DataFrame:
+    """A ledger event for each row: its data as details, in the envelope of a signed transaction unless told otherwise."""
+    actor = F.lit(None).cast("string") if actor is None else actor
+    body = F.struct(*[c.alias(n) for n, c in data.items()]) if data else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    details = F.struct(F.struct(actor.alias("actor_id"), body.alias("data")).alias("authority_transaction")) if signed else body
+    return rows.select(
+        (F.lit("P") if project is None else project).alias("project_id"), seq.cast("long").alias("event_sequence"), F.lit(kind).alias("event_type"), F.lit(object_type).alias("object_type"), object_id.alias("object_id"), actor.alias("actor_id"), F.to_json(details).alias("details_json"),
+    )
