@@ -39,6 +39,18 @@ def ratio(data: bytes, compressor: zstandard.ZstdCompressor) -> float:
     return len(compressor.compress(data)) / len(data)
 
 
+def band(n_bytes: int) -> tuple[float, float]:
+    """The limits for a text of so many bytes."""
+    return next((low, high) for most, low, high in BANDS if n_bytes <= most)
+
+
+def chunks_of(data: bytes) -> list[bytes]:
+    """Chunks of CHUNK bytes that cover all of data: the last one ends with it and reaches back into the one before. Shorter data is one chunk."""
+    if len(data) <= CHUNK:
+        return [data] if data else []
+    return [data[i : i + CHUNK] for i in (*range(0, len(data) - CHUNK, CHUNK), len(data) - CHUNK)]
+
+
 def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
     data = (text or "").encode("utf-8", "replace")
     words = data.split()
@@ -46,9 +58,9 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
     lines = [x for x in data.split(b"\n") if x.strip()]
     chars = len(joined) if joined.isascii() else len(joined.decode())
     symbols = len(data) - len(data.translate(None, SYMBOLS))
-    chunks = [ratio(data[i : i + CHUNK], compressor) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-    out = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
     whole = ratio(data, compressor) if data else None
+    chunks = [(CHUNK_BAND if len(c) == CHUNK else band(len(c)), ratio(c, compressor) if len(data) > CHUNK else whole) for c in chunks_of(data)]
+    out = sum(not low <= r <= high for (low, high), r in chunks)
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), whole, len(chunks), out
 
 
@@ -65,7 +77,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
 
     base_failed: fewer than min_words words, or more than half of the words in windows of three that occur again.
     kept: not base_failed, and the compression of the whole text lies in the band for its length, and at most half
-    of its full chunks of CHUNK bytes lie outside the band for chunks. A null text counts as empty: it has no words,
+    of its chunks lie outside the band for theirs. Chunks have CHUNK bytes and cover the whole text; a shorter text is one
+    chunk, with the band for its length. A null text counts as empty: it has no words,
     its ratio is null and it is not kept. Rows are judged one by one, however often they are repeated.
     """
 
