@@ -186,7 +186,8 @@ def bounded(c: str | Column, n: int = 1000) -> Column:
 
 
 def last_line(c: str | Column) -> Column:
-    return F.element_at(F.split(F.trim(col(c)), "\n"), -1)
+    """The last line of a text without the white space around the text."""
+    return F.element_at(F.split(F.regexp_replace(col(c), r"^\s+|\s+$", ""), "\r\n|\n|\r"), -1)
 
 
 def is_broad(scope: str | Column) -> Column:

@@ -47,11 +47,11 @@ def strange_schemas(documents: DataFrame, schema_name: str) -> DataFrame:
     return finding(documents.filter(~F.col("schema").eqNullSafe(F.lit(schema_name))), F.col("_file"), "unsupported-schema", F.col("_file"), "schema", F.lit(schema_name), F.col("schema"))
 
 
-def read_export_manifest(spark: SparkSession, path: str, schema_name: str) -> tuple[DataFrame, DataFrame]:
-    """The items of export manifests of a schema, one row each, and findings for files of other schemas."""
+def read_export_manifest(spark: SparkSession, path: str, schema_name: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The items of export manifests of a schema, one row each, and findings for those of other schemas. A file is a manifest, or with multi_line off each line is one."""
     item = "file_id string, output_path string, source_digest string, output_digest string, mode string, classification string, case_id string, acquisition_id string, logical_path string"
     shape = f"schema string, export_id string, project_id string, actor_id string, view_mode string, source_project struct<event_count:bigint,chain_head:string,state_digest:string>, items array<struct<{item.replace(' ', ':').replace(',:', ',')}>>"
-    manifests = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
+    manifests = spark.read.schema(shape).option("multiLine", multi_line).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
     items = manifests.filter(F.col("schema") == schema_name).select("export_id", "project_id", "actor_id", "view_mode", "source_project", F.explode("items").alias("item")).select("*", "item.*").drop("item")
     return items, strange_schemas(manifests, schema_name)
 
@@ -83,7 +83,7 @@ def snapshot(tables: dict[str, DataFrame], upto: int, seq: dict[str, str], ledge
     return {name: project(past, specs[name]) if name in specs else df.filter(F.col(seq[name]) <= upto) if name in seq else df for name, df in tables.items()}
 
 
-def append_events(ledger_path: str, events: DataFrame, key_col: str = "project_id", id_cols: tuple[str, ...] | None = None, schema: str = "audit-event/v3", expected: DataFrame | None = None) -> int:
+def append_events(ledger_path: str, events: DataFrame, key_col: str = "project_id", id_cols: tuple[str, ...] | None = None, schema: str = "audit-event/v3", expected: DataFrame | None = None, order: tuple[str, ...] = ("occurred_at", "object_id", "event_type")) -> int:
     """Chain new events on to the ledger at a path and append them; events that are there already are left out.
 
     Returns how many were appended. The first link of each key's new part takes up the head that the ledger has. An
@@ -105,7 +105,7 @@ def append_events(ledger_path: str, events: DataFrame, key_col: str = "project_i
     name = F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
     numbered = lambda df: df.withColumn("_id", name).withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1))) if not id_cols else F.lit(1))
     new = numbered(events).join(numbered(held).select("_id", "_nth"), ["_id", "_nth"], "left_anti").drop("_id", "_nth")
-    rows = assign_sequences(new, heads, ["occurred_at", "object_id", "event_type"])
+    rows = assign_sequences(new, heads, list(order))
     head, tail = envelope(schema, "sha256")
     known = heads.select(key_col, F.col("chain_head").alias("_start"))
     started = rows.join(known, key_col, "left").withColumn("_start", F.coalesce("_start", F.lit("0" * 64)))
