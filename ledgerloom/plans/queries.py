@@ -19,7 +19,7 @@ from ..operators import verify as V
 from ..operators.findings import summarise_findings
 from ..sources import ledger as L
 from ..sources.shared import written
-from . import audits, listings, replays, verifiers
+from . import audits, listings, replays, streams, verifiers
 from .registry import FILES, LEDGER, ORACLE_SQL, QUERIES, query
 from .standins import export_ledger, files, ledger, table
 
@@ -559,4 +559,4 @@ def promote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.promote_metadata(e, "props", ("k",)).drop("props")
 
 # Their queries register themselves.
-__all__ = ["ORACLE_SQL", "QUERIES", "audits", "listings", "replays", "verifiers"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "listings", "replays", "streams", "verifiers"]

@@ -6,13 +6,15 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.chain import append_guard, ledger_summary
 from ..operators.sets import latest
+from ..sources.shared import written
 
 GENESIS = "0" * 64
 
@@ -87,28 +89,57 @@ def versioned(path: str, batch: int) -> str:
     return f"{path}/v{batch:08d}"
 
 
-def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole version of a table under path, or the newest before a batch."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+BUCKETS = 64
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket of a table under path, or the newest before a batch: one number a bucket."""
+    try:
+        index = spark.read.schema("_bucket int, _version int").parquet(f"{path}/index/*")
+    except AnalysisException:  # nothing is written yet
+        return {}
+    rows = index if before is None else index.filter(F.col("_version") < before)
+    return {r["_bucket"]: r["_version"] for r in rows.groupBy("_bucket").agg(F.max("_version").alias("_version")).collect()}
+
+
+def read_buckets(spark: SparkSession, path: str, versions: dict[int, int], buckets: list[int] | None = None) -> DataFrame | None:
+    """The rows of buckets in the given versions; partition pruning leaves all others unread."""
+    wanted = {b: v for b, v in versions.items() if buckets is None or b in buckets}
+    if not wanted:
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    names = [n for n in names if n.startswith("v") and (before is None or int(n[1:]) < before)]
-    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+    parts = [f"{path}/data/_version={v}/_bucket={b}" for b, v in sorted(wanted.items())]
+    return spark.read.option("basePath", f"{path}/data").parquet(*parts).drop("_version", "_bucket")
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that stream_state keeps at path: every bucket in its newest version; None before the first batch."""
+    return read_buckets(spark, path, bucket_versions(spark, path))
 
 
-def stream_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str) -> StreamingQuery:
-    """Keep the latest row of each key: each micro-batch is merged into a new version of the table at path.
+def stream_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest row of each key at path. The table is cut into buckets by key; a micro-batch reads and writes only
+    the buckets that its keys are in, as a new version of them, and then names these in the index.
 
-    A version is a function of the one before it and the batch, so a batch that is run again writes the same rows.
+    A version is a function of the one before it and the batch, so a batch that is run again writes the same rows, and a
+    batch that failed before it was named is as if it had never been.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        held = latest_version(batch.sparkSession, path, number)
-        rows = batch if held is None else held.unionByName(batch)
-        latest(rows, keys, seq).select(batch.columns).write.mode("overwrite").parquet(versioned(path, number))
+        spark = batch.sparkSession
+        rows = written(batch.withColumn("_bucket", bucket_of(keys, buckets)), "micro-batch")
+        touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]
+        if not touched:
+            return
+        held = read_buckets(spark, path, bucket_versions(spark, path, number), touched)
+        both = rows.drop("_bucket") if held is None else held.select(batch.columns).unionByName(rows.drop("_bucket"))
+        merged = latest(both, keys, seq).select(batch.columns).withColumn("_bucket", bucket_of(keys, buckets))
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/_version={number}")
+        named = spark.createDataFrame([(b, number) for b in touched], "_bucket int, _version int")
+        named.coalesce(1).write.mode("overwrite").parquet(f"{path}/index/{versioned('', number)[1:]}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
