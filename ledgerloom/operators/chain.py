@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +55,14 @@ def build_chain(ledger: DataFrame, schema: str = "audit-event/v3", algorithm: st
 
 
 def fold_chain(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """(key, n, head): the last hash of a plain SHA-256 chain over payloads, folded in the JVM.
+    """(key, n, head): the last hash of a plain SHA-256 chain over payloads, by order and payload; a null payload adds nothing.
 
-    For keys whose payloads fit in a task's memory; chain_parts has no such limit.
+    Rows pass one by one, as in chain_parts: a key may be as long as it likes.
     """
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p"))))
-    fold = F.aggregate(items, genesis(), lambda h, x: F.sha2(F.concat(h, F.coalesce(x["p"], F.lit(""))).cast("binary"), 256))
-    return df.groupBy(key).agg(F.count("*").alias("n"), fold.alias("head"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order, payload))
+    rows = df.select(key, F.coalesce(payload, F.lit("")).alias("_payload"), place.alias("_n"))
+    linked = chain_parts(rows, key, "_n", F.lit(""), F.col("_payload"))
+    return linked.groupBy(key).agg(F.count("*").alias("n"), F.max_by("event_hash", "_n").alias("head"))
 
 
 def with_predecessor(ledger: DataFrame, columns: list[str], key: str = KEY, seq: str = SEQ, prefix: str = "prev_") -> DataFrame:
@@ -125,8 +126,6 @@ def checkpoint_status(checkpoints: DataFrame, now: DataFrame, key: str = KEY) ->
 
 def assign_sequences(batch: DataFrame, heads: DataFrame, order: list[str], key: str = KEY) -> DataFrame:
     """A batch of events with event_sequence going on after each key's event_count in heads."""
-    from pyspark.sql import Window
-
     row = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return batch.join(heads.select(key, "event_count"), key, "left").withColumn(SEQ, (F.coalesce("event_count", F.lit(0)) + row).cast("long")).drop("event_count")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
-from ..functions.text import is_safe_path, is_transient, merge_record, normalise_path, safe_leaf, storage_path
-from .findings import finding
+from ..functions.text import has_reason, is_safe_path, is_transient, merge_record, normalise_path, safe_leaf, storage_path
+from .findings import finding, row_findings
 from .matching import resolve_endpoints
 from .sets import assign_ids, ordered_members
 
@@ -47,6 +47,20 @@ def commit_batch(prepared: DataFrame, findings: DataFrame, counters: DataFrame,
     return rows.transform(extend) if extend else rows
 
 
+def complete_results(registered: DataFrame, edges: DataFrame) -> DataFrame:
+    """Findings for collector results: registered paths (batch_id, logical_path) outside the batch's root, and relationships
+    (batch_id, parent_path, child_path, relationship) with an end that is not registered, without a label, or with a
+    label but no end."""
+    outside = finding(registered.filter(~is_safe_path(normalise_path("logical_path"))), F.col("batch_id"), "outside-root", F.col("logical_path"))
+    known = lambda c: registered.select("batch_id", F.col("logical_path").alias(c), F.lit(True).alias(f"_{c}")).distinct()
+    ends = edges.join(known("parent_path"), ["batch_id", "parent_path"], "left").join(known("child_path"), ["batch_id", "child_path"], "left")
+    both, label = F.col("parent_path").isNotNull() & F.col("child_path").isNotNull(), has_reason("relationship")
+    return outside.unionByName(row_findings(ends, F.col("batch_id"), F.concat_ws(">", F.coalesce("parent_path", F.lit("-")), F.coalesce("child_path", F.lit("-"))), [
+        ("unknown-parent", F.col("parent_path").isNotNull() & F.col("_parent_path").isNull(), None, None, None), ("unknown-child", F.col("child_path").isNotNull() & F.col("_child_path").isNull(), None, None, None),
+        ("no-label", both & ~label, "relationship", None, F.col("relationship")), ("label-without-end", ~both & label, "relationship", None, F.col("relationship")),
+    ]))
+
+
 def relate(committed: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relationships by path as relationships by file id, and findings for ends that were not committed."""
     return resolve_endpoints(edges, committed)

@@ -57,18 +57,16 @@ def cross_scope_subject(notes: DataFrame, files: DataFrame) -> DataFrame:
     ])
 
 
-def match_content(probe: DataFrame, files: DataFrame, members: DataFrame | None = None, on: tuple[str, str] = ("content_digest", "size_bytes"), probe_id: str = "probe_id", file_id: str = "file_id") -> DataFrame:
-    """(probe_id, file_ids, artefact_ids, matched): all files with the digest and size of each probe, in order.
+def match_content(probe: DataFrame, files: DataFrame, members: DataFrame | None = None, on: tuple[str, str] = ("content_digest", "size_bytes"), probe_id: str = "probe_id", file_id: str = "file_id") -> tuple[DataFrame, DataFrame]:
+    """(probe_id, on, n_files, matched): how many files have the digest and size of each probe; and (on, file_id,
+    artefact_id): the files of each content that a probe has, once, a row for each artefact that holds them.
 
-    Files are gathered once for each different content before the join; each probe of a content carries the whole list.
+    All pairs of probes and equal files are these two joined on the content; neither is as long as the pairs are.
     """
-    rows = files.select(*on, file_id)
-    if members is not None:
-        rows = rows.join(members.select(file_id, "artefact_id"), file_id, "left")
-    else:
-        rows = rows.withColumn("artefact_id", F.lit(None).cast("string"))
-    held = rows.groupBy(*on).agg(F.sort_array(F.collect_set(file_id)).alias("file_ids"), F.sort_array(F.collect_set("artefact_id")).alias("artefact_ids"))
-    return probe.select(probe_id, *on).join(held, list(on), "left").select(probe_id, "file_ids", "artefact_ids", F.col("file_ids").isNotNull().alias("matched"))
+    held = files.groupBy(*on).agg(F.count("*").alias("n_files"))
+    found = probe.select(probe_id, *on).join(held, list(on), "left").select(probe_id, *on, F.coalesce("n_files", F.lit(0)).alias("n_files"), F.col("n_files").isNotNull().alias("matched"))
+    rows = files.select(*on, file_id).join(probe.select(*on).distinct(), list(on), "left_semi")
+    return found, rows.join(members.select(file_id, "artefact_id"), file_id, "left") if members is not None else rows.withColumn("artefact_id", F.lit(None).cast("string"))
 
 
 def first_envelope(probe: DataFrame, completions: DataFrame, digest: str = "output_digest", seq: str = "event_sequence", export: str = "export_id") -> DataFrame:

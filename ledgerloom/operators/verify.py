@@ -32,11 +32,14 @@ def verify_envelopes(ledger: DataFrame, schema: str = "authority-transaction/v2"
 
 
 def verify_signers(ledger: DataFrame, keys: DataFrame) -> DataFrame:
-    """Signed events whose key was not valid for their actor at that sequence. keys: operator_keys with valid_from_sequence, valid_until_sequence."""
+    """Signed events whose key was not valid for their actor at that sequence, and first events that another than the
+    owner they name has signed. keys: operator_keys with valid_from_sequence, valid_until_sequence."""
     signed = ledger.filter("actor_kind = 'operator'").select("project_id", SEQ, F.col("actor_id").alias("operator_id"), F.col("credential_fingerprint").alias("signing_fingerprint"))
     ranges = keys.select("project_id", "operator_id", "signing_fingerprint", F.col("valid_from_sequence").cast("long").alias("valid_from"), F.col("valid_until_sequence").cast("long").alias("valid_until"))
     good = valid_at(signed, ranges, ["project_id", "operator_id", "signing_fingerprint"], SEQ)
-    return finding(signed.join(good.select("project_id", SEQ), ["project_id", SEQ], "left_anti"), F.col("project_id"), "unknown-signer", F.col(SEQ), "credential_fingerprint", actual=F.col("signing_fingerprint"))
+    unknown = finding(signed.join(good.select("project_id", SEQ), ["project_id", SEQ], "left_anti"), F.col("project_id"), "unknown-signer", F.col(SEQ), "credential_fingerprint", actual=F.col("signing_fingerprint"))
+    first = ledger.filter("event_type = 'PROJECT_GENESIS'").withColumn("_owner", R.signed("identity.operator_id"))
+    return unknown.unionByName(finding(first.filter(~F.col("_owner").eqNullSafe(F.col("actor_id"))), F.col("project_id"), "genesis-signer", F.col(SEQ), "actor_id", F.col("_owner"), F.col("actor_id")))
 
 
 def verify_order(ledger: DataFrame, creates: list[str], changes: list[str], key: str = "object_id") -> DataFrame:

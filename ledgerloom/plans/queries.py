@@ -167,22 +167,26 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FILES}, held AS (SELECT content_digest, size_bytes, string_agg(file_id, ',' ORDER BY file_id) AS file_ids FROM fil GROUP BY ALL)
-SELECT f.file_id AS probe_id, h.file_ids, true AS matched FROM fil f JOIN held h USING (content_digest, size_bytes)
-UNION ALL SELECT 'B-' || item_id, h.file_ids, h.file_ids IS NOT NULL FROM benchmark b LEFT JOIN held h ON h.content_digest = sha256(b.text) AND h.size_bytes = octet_length(encode(b.text))
+WITH {FILES}, held AS (SELECT content_digest, size_bytes, count(*) AS n FROM fil GROUP BY ALL)
+SELECT 'probe' AS kind, file_id AS id, content_digest, n AS n_files, NULL AS artefact_id FROM fil JOIN held USING (content_digest, size_bytes)
+UNION ALL SELECT 'probe', 'B-' || item_id, sha256(b.text), coalesce(n, 0), NULL FROM benchmark b LEFT JOIN held h ON h.content_digest = sha256(b.text) AND h.size_bytes = octet_length(encode(b.text))
+UNION ALL SELECT 'file', file_id, content_digest, NULL, CASE WHEN doc_id % 2 = 0 THEN 'A-' || doc_id END FROM fil
 """)
 def content_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and benchmark items against the catalogue: equal bytes are different files, and all of them match."""
+    """All documents and benchmark items against the catalogue: equal bytes are different files, and all of them match. Files of even numbers are in an artefact."""
     known = files(spark, sf_dir)
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B-"), F.col("item_id").cast("string")).alias("probe_id"), F.sha2("text", 256).alias("content_digest"), F.octet_length("text").cast("long").alias("size_bytes"))
     probe = known.select(F.col("file_id").alias("probe_id"), "content_digest", "size_bytes").unionByName(b)
-    return M.match_content(probe, known).select("probe_id", F.array_join("file_ids", ",").alias("file_ids"), "matched")
+    members = known.filter("doc_id % 2 = 0").select("file_id", F.concat(F.lit("A-"), F.col("doc_id").cast("string")).alias("artefact_id"))
+    found, held = M.match_content(probe, known, members)
+    probes = found.select(F.lit("probe").alias("kind"), F.col("probe_id").alias("id"), "content_digest", "n_files", F.lit(None).cast("string").alias("artefact_id"))
+    return probes.unionByName(held.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "content_digest", F.lit(None).cast("long").alias("n_files"), "artefact_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
 def unknown_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return M.unknown(table(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"])
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return M.unknown(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), returned, ["o_orderkey"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
@@ -510,21 +514,27 @@ def verify_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FILES}
+WITH RECURSIVE {FILES},
+below AS (SELECT doc_id AS root, doc_id AS n FROM documents WHERE doc_id % 2 = 1 UNION SELECT root, doc_id FROM below JOIN documents ON doc_id = n * 2)
 SELECT 'case' AS scope_type, case_id AS scope_id, CAST(count(*) AS BIGINT) AS n_files, max(doc_id) AS last_sequence FROM fil GROUP BY case_id
 UNION ALL SELECT 'project', 'P', count(*), max(doc_id) FROM fil
 UNION ALL SELECT 'acquisition', lang, count(*), max(doc_id) FROM fil GROUP BY lang
-UNION ALL SELECT 'artefact', 'ART-1', count(*), max(doc_id) FROM fil WHERE doc_id IN (3, 6, 12, 24, 48, 96)
+UNION ALL SELECT 'artefact', 'ART-' || root, count(*), max(n) FROM below GROUP BY root
+UNION ALL SELECT 'note', 'NOTE-' || conv_id, count(DISTINCT doc_id), max(doc_id) FROM conversations JOIN documents ON doc_id = conv_id * 3 + turn GROUP BY conv_id
+UNION ALL SELECT 'export', 'EXPORT-' || l_suppkey, count(DISTINCT doc_id), max(doc_id) FROM lineitem JOIN documents ON doc_id = l_partkey GROUP BY l_suppkey
 """)
 def resolve_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as cases, languages as acquisitions; an artefact of file 3 and what is related below it (twice the number)."""
+    """Sources as cases, languages as acquisitions; artefacts of each odd file and all that is related below it (twice the
+    number, and so on); conversations as notes and suppliers as exports of files."""
     f = files(spark, sf_dir).select("file_id", "case_id", F.col("lang").alias("acquisition_id"), F.lit("P").alias("project_id"), F.col("doc_id").alias("committed_sequence"))
-    n = F.col("committed_sequence")
-    edges = f.filter((n > 0) & (n <= 48)).select(F.col("file_id").alias("parent_file_id"), X.format_id("FILE", n * 2).alias("child_file_id"))
-    empty = f.limit(0).select(F.col("file_id").alias("note_id"), F.col("file_id").alias("export_id"), "file_id")
-    state = {"files": f, "artefact_files": spark.range(1).select(F.lit("ART-1").alias("artefact_id"), F.lit("FILE-000003").alias("file_id")), "note_revisions": empty, "export_items": empty, "file_relationships": edges}
-    asked = S.union_all([f.select(F.lit(t).alias("scope_type"), F.col(c).alias("scope_id")).distinct() for t, c in (("case", "case_id"), ("acquisition", "acquisition_id"), ("project", "project_id"))])
-    found, _ = Q.resolve_scopes(asked.unionByName(spark.range(1).select(F.lit("artefact").alias("scope_type"), F.lit("ART-1").alias("scope_id"))), state)
+    n, name = F.col("committed_sequence"), lambda c: X.format_id("FILE", c)
+    artefacts = f.filter(n % 2 == 1).select(F.concat(F.lit("ART-"), n.cast("string")).alias("artefact_id"), "file_id")
+    notes = table(spark, sf_dir, "conversations").select(F.format_string("NOTE-%d", "conv_id").alias("note_id"), name(F.col("conv_id") * 3 + F.col("turn")).alias("file_id"))
+    exports = table(spark, sf_dir, "lineitem").select(F.format_string("EXPORT-%d", "l_suppkey").alias("export_id"), name(F.col("l_partkey")).alias("file_id"))
+    state = {"files": f, "artefact_files": artefacts, "note_revisions": notes, "export_items": exports, "file_relationships": f.select(F.col("file_id").alias("parent_file_id"), name(n * 2).alias("child_file_id"))}
+    scopes = {"case": (f, "case_id"), "acquisition": (f, "acquisition_id"), "project": (f, "project_id"), "artefact": (artefacts, "artefact_id"), "note": (notes, "note_id"), "export": (exports, "export_id")}
+    asked = S.union_all([df.select(F.lit(t).alias("scope_type"), F.col(c).alias("scope_id")).distinct() for t, (df, c) in scopes.items()])
+    found, _ = Q.resolve_scopes(asked, state)
     return found.groupBy("scope_type", "scope_id").agg(F.count("*").alias("n_files"), F.max("committed_sequence").alias("last_sequence"))
 
 
@@ -540,17 +550,19 @@ def resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'operator_id' AS matched, CAST(count(*) AS BIGINT) AS n FROM customer
-UNION ALL SELECT 'project', count(*) FROM customer WHERE c_custkey % 2 = 0
+SELECT 'found' AS matched, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'u' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS value, CAST(c_custkey AS VARCHAR) AS operator_id FROM customer
+UNION ALL SELECT 'member', c_name, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 0
 """)
 def member_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as operators, found by name, and those with an active key."""
+    """Customers as operators, found by name, uuid or id, and those that are members with an active key."""
     c = table(spark, sf_dir, "customer")
     ops = c.select(F.col("c_custkey").alias("operator_id"), F.col("c_name").alias("operator_ref"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("operator_uuid"))
-    found = Q.find_operator(ops.withColumn("operator_id", F.col("operator_id").cast("string")), c.select(F.col("c_name").alias("value")))
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    asked = c.select(F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.concat(F.lit("u"), key)).otherwise(key).alias("value"))
+    found = Q.find_operator(ops.withColumn("operator_id", F.col("operator_id").cast("string")), asked)
     keys = c.select(F.col("c_custkey").alias("operator_id"), F.when(F.col("c_custkey") % 2 == 0, "active").otherwise("old").alias("state"), F.col("c_name").alias("signing_fingerprint"))
-    held = M.members_with_keys(ops, c.select(F.col("c_custkey").alias("operator_id"), F.lit("owner").alias("membership_role")), keys)
-    return found.agg(F.count("*").alias("n")).select(F.lit("operator_id").alias("matched"), "n").unionByName(held.agg(F.count("*").alias("n")).select(F.lit("project").alias("matched"), "n"))
+    held = M.members_with_keys(ops, c.filter(k % 5 != 0).select(k.alias("operator_id"), F.lit("owner").alias("membership_role")), keys)
+    return found.select(F.lit("found").alias("matched"), "value", "operator_id").unionByName(held.select(F.lit("member").alias("matched"), F.col("signing_fingerprint").alias("value"), F.col("operator_id").cast("string").alias("operator_id")))
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS VARCHAR) AS k, CASE WHEN event_id % 9 = 0 THEN 'metadata is no JSON object' END AS observation FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, NULL, 'metadata is no JSON object' FROM events WHERE event_id % 9 = 0")

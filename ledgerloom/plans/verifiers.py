@@ -486,3 +486,23 @@ def note_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cross_scope_subject(notes, f).select("key", "rule").unionByName(held)
 
 
+
+
+@query("""
+WITH d AS (SELECT doc_id AS n, source AS b FROM documents)
+SELECT b AS target, 'outside-root' AS rule, '../' || n AS key FROM d WHERE n % 15 = 0
+UNION ALL SELECT b, 'unknown-parent', 'x' || n || '>' || n FROM d WHERE n % 15 <> 0 AND n % 7 = 0
+UNION ALL SELECT b, 'unknown-child', n || '>y' || n FROM d WHERE n % 15 <> 0 AND n % 7 <> 0 AND n % 11 = 0
+UNION ALL SELECT b, 'no-label', CASE WHEN n % 7 = 0 THEN 'x' || n ELSE CAST(n AS VARCHAR) END || '>' || CASE WHEN n % 11 = 0 AND n % 7 <> 0 THEN 'y' || n ELSE CAST(n AS VARCHAR) END FROM d WHERE n % 15 <> 0 AND n % 13 = 0
+UNION ALL SELECT b, 'label-without-end', n || '>-' FROM d WHERE n % 15 <> 0 AND n % 17 = 0
+""")
+def complete_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected documents: paths outside the root, relationships with unknown ends or without a label, labels without an end."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    found = d.select(F.col("source").alias("batch_id"), F.when(n % 15 == 0, F.concat(F.lit("../"), text("doc_id"))).otherwise(text("doc_id")).alias("logical_path"))
+    rows = d.filter(n % 15 != 0)
+    parent = F.when(n % 7 == 0, F.concat(F.lit("x"), text("doc_id"))).otherwise(text("doc_id"))
+    child = F.when((n % 11 == 0) & (n % 7 != 0), F.concat(F.lit("y"), text("doc_id"))).otherwise(text("doc_id"))
+    edges = rows.select(F.col("source").alias("batch_id"), parent.alias("parent_path"), child.alias("child_path"), F.when(n % 13 == 0, " ").otherwise("r").alias("relationship"))
+    loose = rows.filter(n % 17 == 0).select(F.col("source").alias("batch_id"), text("doc_id").alias("parent_path"), F.lit(None).cast("string").alias("child_path"), F.lit("r").alias("relationship"))
+    return B.complete_results(found, edges.unionByName(loose)).select("target", "rule", "key")
