@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return the table read back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df once as Parquet, with options of its writer, in the shared folder and return the table read back.
 
     The lineage ends there, the result survives lost executors, and later uses do not compute it again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,17 +15,21 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_slices
+
 BLOCK = 576
 RATE = 8000
 ORDER = 4
 PRECISION = 7
+MOST_SPLIT = 4
 PCM_BLOCK = 1 << 16
+# How a table of streams is written: equal frames of copies are close to each other, which zstandard finds.
+MEDIA_OPTIONS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(1 << 24)}
 # Fixed values of the format: block sizes, sample sizes and predictors by their codes, and the checksums' polynomials.
 BLOCK_SIZES = {1: 192, **{2 + i: 576 << i for i in range(4)}, **{8 + i: 256 << i for i in range(8)}}
 SAMPLE_SIZES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
@@ -100,6 +104,24 @@ def predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.rint(a * (1 << shift)[:, None]), -most, most).astype(np.int64), shift
 
 
+def partitions(folded: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(split, rice, size) of each row of folded residuals, the first `order` of which are not coded: into how many
+    partitions, as a power of two, the parameter of each of the 2^MOST_SPLIT smallest parts, and the bits of all."""
+    n, parts = len(folded), 1 << MOST_SPLIT
+    held = np.full(parts, BLOCK // parts)
+    held[0] -= order
+    cost = np.stack([(folded >> k).reshape(n, parts, -1).sum(axis=2) + held * (1 + k) for k in range(9)], axis=2)
+    split, rice, size = np.zeros(n, np.int64), np.zeros((n, parts), np.int64), np.full(n, np.iinfo(np.int64).max)
+    for level in range(MOST_SPLIT, -1, -1):
+        bits = cost.min(axis=2).sum(axis=1) + (4 << level)
+        better = bits <= size
+        size, split = np.where(better, bits, size), np.where(better, level, split)
+        rice = np.where(better[:, None], np.repeat(cost.argmin(axis=2), parts >> level, axis=1), rice)
+        if level:
+            cost = cost[:, 0::2] + cost[:, 1::2]
+    return split, rice, size
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload, whose length is a positive multiple of BLOCK; bytes are samples less 128."""
     counts = [len(p) // BLOCK for p in payloads]
@@ -111,25 +133,21 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     number = np.concatenate([np.arange(c) for c in counts])
     coef, shift = predictors(x)
     guess = sum(coef[:, j : j + 1] * x[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> shift[:, None]
-    linear = x[:, ORDER:] - guess
-    use_linear = np.abs(linear).sum(axis=1) + 40 < np.abs(x[:, 1:] - x[:, :-1]).sum(axis=1)
     # Kinds: 0 constant, 1 verbatim, 2 fixed predictor of order 1, 3 linear predictor.
+    order, head_bits = np.array([0, 0, 1, ORDER]), np.array([0, 0, 8 + 6, 8 * ORDER + 9 + PRECISION * ORDER + 6])
+    folded, plans = np.zeros((2, *x.shape), np.int64), []
+    for which, residual in ((0, x[:, 1:] - x[:, :-1]), (1, x[:, ORDER:] - guess)):
+        folded[which, :, BLOCK - residual.shape[1] :] = (residual << 1) ^ (residual >> 63)
+        plans.append(partitions(folded[which], BLOCK - residual.shape[1]))
+    use_linear = plans[1][2] + head_bits[3] < plans[0][2] + head_bits[2]
     kind = np.where((x == x[:, :1]).all(axis=1), 0, np.where(use_linear, 3, 2))
-    order = np.array([0, 0, 1, ORDER])
-    residual = np.zeros_like(x)
-    residual[:, 1:] = x[:, 1:] - x[:, :-1]
-    residual[kind == 3, ORDER:] = linear[kind == 3]
-    folded = (residual << 1) ^ (residual >> 63)
-    coded = np.arange(BLOCK) >= order[kind][:, None]
-    folded *= coded
-    cost = np.stack([coded.sum(axis=1) * (1 + k) + (folded >> k).sum(axis=1) for k in range(9)], axis=1)
-    rice, size = cost.argmin(axis=1), cost.min(axis=1)
-    fixed_part = np.array([0, 0, 8 + 10, 8 * ORDER + 9 + PRECISION * ORDER + 10])
-    kind = np.where((kind > 1) & (size + fixed_part[kind] >= 8 * BLOCK), 1, kind)
-    coded &= (kind > 1)[:, None]
+    folded = np.where(use_linear[:, None], folded[1], folded[0])
+    split, rice, size = (np.where(use_linear[:, None] if u.ndim == 2 else use_linear, v, u) for u, v in zip(*plans, strict=True))
+    kind = np.where((kind > 1) & (size + head_bits[kind] >= 8 * BLOCK), 1, kind)
+    coded = (np.arange(BLOCK) >= order[kind][:, None]) & (kind > 1)[:, None]
     heads = [frame_header(n) for n in number.tolist()]
     head = np.array([len(h) for h in heads])
-    body = 8 + np.select([kind == 0, kind == 1], [8, 8 * BLOCK], fixed_part[kind] + size)
+    body = 8 + np.select([kind == 0, kind == 1], [8, 8 * BLOCK], head_bits[kind] + size)
     length = head + (body + 7) // 8 + 2
     start = np.r_[0, np.cumsum(length)]
     bits = np.zeros(8 * int(start[-1]), np.uint8)
@@ -150,11 +168,16 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         put(bits, at[some] + 9 + PRECISION * j, coef[some, j] & ((1 << PRECISION) - 1), PRECISION)
     at[some] += 9 + PRECISION * ORDER
     some = np.flatnonzero(kind > 1)
-    put(bits, at[some] + 6, rice[some], 4)  # method 0 and one partition are zeros
-    k = np.broadcast_to(rice[:, None], x.shape)
+    put(bits, at[some] + 2, split[some], 4)  # method 0 is zeros
+    span = (BLOCK >> split)[:, None]
+    part = np.arange(BLOCK) // span
+    k = np.take_along_axis(rice, part << (MOST_SPLIT - split)[:, None], axis=1)
+    first = coded & ((np.arange(BLOCK) % span == 0) | (np.arange(BLOCK) == order[kind][:, None]))
     zeros = folded >> k
-    width = np.where(coded, zeros + 1 + k, 0)
-    spot = (at + 10)[:, None] + np.cumsum(width, axis=1) - width
+    width = np.where(coded, zeros + 1 + k + 4 * first, 0)
+    spot = (at + 6)[:, None] + np.cumsum(width, axis=1) - width
+    put(bits, spot[first], k[first], 4)
+    spot = spot + 4 * first
     spot, zeros, k, low = spot[coded], zeros[coded], k[coded], folded[coded]
     one = spot + zeros
     bits[one] = 1
@@ -455,56 +478,105 @@ def encode_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "media": flac_of_text(text_col)})
 
 
-def feature_text(x: np.ndarray) -> str:
-    """Samples, sum, sum of squares, sign changes and peak, as whole numbers."""
-    x = x.astype(np.int64)
-    signs = np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))
-    return f"n={len(x)} sum={x.sum()} squares={(x * x).sum()} crossings={signs} peak={np.abs(x).max(initial=0)}"
+def pcm_blocks(table: DataFrame, id_col: str = "doc_id", media_col: str = "media", block: int = PCM_BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, keep, first_sample, n_samples, pcm) rows: up to `block` samples of each stream, channels interleaved, in
+    whole little-endian bytes. The block with sample i starts at i // block * block, so a reader can seek by a filter.
+    A stream's blocks come one after another. Null media are left out; keep names columns to carry along with each
+    stream's first block, null in the others."""
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, media in text_slices(batch, "_media", 1 << 20):
+                held = [i for i, m in enumerate(media) if m is not None]
+                of, starts, sizes, pcm = [], [], [], []
+                for i, (info, x) in zip(held, decode([media[i] for i in held]), strict=True):
+                    width = (info["bits"] + 7) // 8
+                    raw = x.T.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+                    step = block * width * info["channels"]
+                    for at in range(0, len(raw), step):
+                        of.append(first + i)
+                        starts.append(at // step * block)
+                        sizes.append(min(block, x.shape[1] - starts[-1]))
+                        pcm.append(raw[at : at + step])
+                rows = pa.array(of, pa.int64())
+                once = pa.array([i if at == 0 else None for i, at in zip(of, starts, strict=True)], pa.int64())
+                names = {"_id": batch.column("_id").take(rows)} | {c: batch.column(c).take(once) for c in keep}
+                yield pa.record_batch(names | {"first_sample": pa.array(starts, pa.int64()), "n_samples": pa.array(sizes, pa.int64()), "pcm": pa.array(pcm, pa.binary())})
+
+    rows = table.select(F.col(id_col).alias("_id"), *keep, F.col(media_col).alias("_media"))
+    carried = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]]
+    added = [T.StructField("first_sample", T.LongType()), T.StructField("n_samples", T.LongType()), T.StructField("pcm", T.BinaryType())]
+    return rows.mapInArrow(blocks, T.StructType([*carried, *added])).withColumnRenamed("_id", id_col)
 
-DIGEST = T.StructType(
-    [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
-    + [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-)
 
+@dataclass
+class Digest:
+    """What is known of a stream of 8-bit samples after the blocks so far."""
 
-@F.arrow_udf(DIGEST)
-def media_digest(media: pa.Array) -> pa.Array:
-    rows = []
-    for part in runs(media.to_pylist(), lambda m: len(m or b"")):
-        held = iter(decode([m for m in part if m is not None]))
-        for stream in part:
-            if stream is None:
-                rows.append((None,) * 6)
-                continue
-            _, samples = next(held)
-            payload = (samples[0].astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature_text(samples[0])))
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=DIGEST.names)
+    sha: object
+    n: int = 0
+    total: int = 0
+    squares: int = 0
+    crossings: int = 0
+    peak: int = 0
+    last: bytes = b""
 
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, np.int8).astype(np.int64)
+        if not len(x):
+            return
+        self.sha.update((np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes())
+        signs = x < 0
+        before = np.frombuffer(self.last[-1:], np.int8) < 0
+        self.crossings += int(np.count_nonzero(signs[1:] != signs[:-1])) + int(len(before) and before[0] != signs[0])
+        self.n, self.total, self.squares, self.peak = self.n + len(x), self.total + int(x.sum()), self.squares + int((x * x).sum()), max(self.peak, int(np.abs(x).max()))
+        self.last = (self.last + pcm[-32:])[-32:]
 
-def digest_media(table: DataFrame, media_col: str = "media") -> DataFrame:
-    """table with digests and features of the samples read back from media_col, for 8-bit mono streams; nulls for a null."""
-    return table.withColumn("_digest", media_digest(media_col)).select("*", "_digest.*").drop("_digest")
+    def row(self) -> tuple:
+        tail = (np.frombuffer(self.last, np.uint8) ^ 0x80).tobytes()
+        return self.n, self.sha.hexdigest(), zlib.crc32(tail), f"n={self.n} sum={self.total} squares={self.squares} crossings={self.crossings} peak={self.peak}"
 
 
-def pcm_blocks(table: DataFrame, id_col: str = "doc_id", media_col: str = "media", block: int = PCM_BLOCK) -> DataFrame:
-    """(id_col, first_sample, n_samples, pcm) rows: up to `block` samples of each stream, channels interleaved, in whole
-    little-endian bytes. The block with sample i starts at i // block * block, so a reader can seek by a filter. Null media are left out."""
+DIGEST = {"payload_bytes": (T.LongType(), pa.int64()), "payload_sha256": (T.StringType(), pa.string()), "tail_crc32": (T.LongType(), pa.int64()), "feature": (T.StringType(), pa.string())}
+
+
+def digest_blocks(blocks: DataFrame) -> DataFrame:
+    """A row for each stream of 8-bit mono blocks as pcm_blocks gives them, one after another: its own columns, the size,
+    SHA-256 and tail's CRC-32 of the payload, and a feature: number of samples, sum, sum of squares, sign changes, peak."""
+    keep = [f for f in blocks.schema.fields if f.name not in ("first_sample", "n_samples", "pcm")]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+
+        def done(rows: list[tuple], columns: list[pa.Table]) -> pa.RecordBatch:
+            held = pa.concat_tables(columns).combine_chunks()
+            found = {n: pa.array(c, k) for (n, (_, k)), c in zip(DIGEST.items(), zip(*rows, strict=True), strict=True)}
+            return pa.record_batch({f.name: held.column(f.name).chunk(0) for f in keep} | found)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, m) for i, m in zip(batch["_id"], batch["_media"], strict=True) if m is not None]
-            for part in runs(rows, lambda r: len(r[1])):
-                for (i, _), (info, x) in zip(part, decode([m for _, m in part]), strict=True):
-                    width = (info["bits"] + 7) // 8
-                    raw = x.T.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
-                    step = block * width * info["channels"]
-                    starts = range(0, len(raw), step)
-                    yield pd.DataFrame({"_id": [i] * len(starts), "first_sample": [s // step * block for s in starts], "n_samples": [min(block, x.shape[1] - s // step * block) for s in starts], "pcm": [raw[s : s + step] for s in starts]})
+            rows, columns = [], []
+            table = pa.Table.from_batches([batch]).select([f.name for f in keep])
+            starts, pcm = batch.column("first_sample").to_pylist(), batch.column("pcm")
+            for i, start in enumerate(starts):
+                if start == 0:
+                    if now is not None:
+                        rows.append(now.row())
+                        columns.append(own)
+                    now, own = Digest(hashlib.sha256()), table.slice(i, 1)
+                now.add(pcm[i].as_py())
+            if rows:
+                yield done(rows, columns)
+        if now is not None:
+            yield done([now.row()], [own])
+
+    return blocks.mapInArrow(digests, T.StructType([*keep, *[T.StructField(n, k) for n, (k, _) in DIGEST.items()]]))
 
-    rows = table.select(F.col(id_col).cast("string").alias("_id"), F.col(media_col).alias("_media"))
-    out = rows.mapInPandas(blocks, "_id string, first_sample bigint, n_samples bigint, pcm binary")
-    return out.withColumn("_id", F.col("_id").cast(table.schema[id_col].dataType)).withColumnRenamed("_id", id_col)
+
+def digest_media(table: DataFrame, media_col: str = "media") -> DataFrame:
+    """table with media_bytes and media_sha256 of the stored streams, and what digest_blocks tells of their samples, for 8-bit mono streams; nulls for null media. Columns of these names are replaced."""
+    names = [c for c in table.columns if c not in {"media_bytes", "media_sha256", *DIGEST}]
+    stored = table.select(*names).withColumns({"media_bytes": F.octet_length(media_col).cast("long"), "media_sha256": F.sha2(media_col, 256)})
+    held = stored.filter(F.col(media_col).isNotNull())
+    found = digest_blocks(pcm_blocks(held.withColumn("_number", F.lit(0)), "_number", media_col, keep=tuple(stored.columns))).drop("_number")
+    none = stored.filter(F.col(media_col).isNull()).select("*", *[F.lit(None).cast(k).alias(n) for n, (k, _) in DIGEST.items()])
+    return found.unionByName(none)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .chat import digest_conversations, format_conversations
 from .common import table, word_count, written
-from .flac import digest_media, encode_media
+from .flac import MEDIA_OPTIONS, digest_blocks, encode_media, pcm_blocks
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .quality_model import fit_quality, score_quality
@@ -110,8 +110,9 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = written(encode_media(table(spark, sf_dir, "documents").select(*DOC)).drop("text"), "media")
-    return digest_media(media).drop("media")
+    media = written(encode_media(table(spark, sf_dir, "documents").select(*DOC)).drop("text"), "media", **MEDIA_OPTIONS)
+    stored = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return digest_blocks(pcm_blocks(stored, "doc_id", "media", keep=("n_bytes", "media_bytes", "media_sha256")))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
