@@ -7,13 +7,12 @@ to references alone can't give the pairs: those of 64-bit fingerprints all lie w
 of the table hold too large a part of all fingerprints. The keys bound the pairs, the table thins them out.)
 
 A key's links leave a task as a spanning tree. Keys with more than `most` different fingerprints do not get compared
-pair by pair, see `crowded_exact` and `crowded_sampled`.
+pair by pair, see `crowded_exact`.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import random
 from collections.abc import Iterator
 
@@ -118,17 +117,6 @@ def exact_masks(max_bits: int) -> list[list[int]]:
     return [[a | b] for a, b in itertools.combinations(parts, 2)]
 
 
-def sampled_masks(words: int, keys: int, bits: int) -> list[list[int]]:
-    rng = random.Random(SEED)
-    out = []
-    for _ in range(keys):
-        mask = [0] * words
-        for x in rng.sample(range(64 * words), bits):
-            mask[x // 64] |= 1 << (x % 64)
-        out.append(mask)
-    return out
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -185,56 +173,29 @@ def crowded_exact(rows: DataFrame, max_bits: int) -> DataFrame:
     return near.select(F.col("_node").alias("u"), hub.alias("v")).filter("u <> v").distinct()
 
 
-def crowded_sampled(rows: DataFrame, prints: list[str], max_bits: int, most: int, level: int = 0) -> DataFrame:
-    """Links within crowded keys by sampled bits: each fingerprint against the least of its key, and then within finer keys.
-
-    A crowded key is a crowd of near copies, so nearly all of them link to the one they are held against.
-    """
-    least = Window.partitionBy("_key")
-    hub = [F.min_by(f, "_node").over(least).alias(f"_h{j}") for j, f in enumerate(prints)]
-    against = rows.select("_node", *prints, F.min("_node").over(least).alias("_hub"), *hub)
-    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"_h{j}"))) for j, f in enumerate(prints)), F.lit(0))
-    links = against.filter((apart <= max_bits) & (F.col("_node") != F.col("_hub"))).select(F.col("_node").alias("u"), F.col("_hub").alias("v")).distinct()
-    if level == 3:
-        return links
-    mask = sampled_masks(len(prints), 100 + level, 12)[-1]
-    finer = rows.withColumn("_key", F.xxhash64("_key", *masked(prints, mask))).withColumn("_n", F.count("*").over(Window.partitionBy("_key"))).filter("_n > 1")
-    finer = written(finer, "finer-keys")
-    if finer.isEmpty():
-        return links
-    out = links.unionByName(sparse_links(finer.filter(F.col("_n") <= most), prints, max_bits))
-    crowd = finer.filter(F.col("_n") > most)
-    return out if crowd.isEmpty() else out.unionByName(crowded_sampled(crowd, prints, max_bits, most, level + 1))
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, max_bits: int = 2, most: int = 256, keys: int = 40
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, most: int = 256) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row of docs.
 
-    A fingerprint has 64 * words bits, shown in hexadecimal digits. Fingerprints link at max_bits or fewer differing
-    bits; component_id is the smallest id that can be reached over links. With words == 1 and max_bits up to 2, no link
-    is missed. Wider ones get `keys` keys of sampled bits (as many bits as tell all fingerprints apart on average, 16
-    at least), so links near max_bits can be missed, the more the larger the input; near_copies has no such limit.
-    Null and empty texts, and those of white space only, have fingerprint 0 and link like others. Equal texts link.
-    Rows without an id are kept; they count for a component only when none of its rows has an id. Other columns are
-    dropped.
+    A fingerprint has 64 bits, shown in hexadecimal digits. Fingerprints link at max_bits (up to 2) or fewer differing
+    bits, and no link is missed; component_id is the smallest id that can be reached over links. (Links by the similarity
+    of texts are near_copies'.) Null and empty texts, and those of white space only, have fingerprint 0 and link like
+    others. Equal texts link. Rows without an id are kept; they count for a component only when none of its rows has an
+    id. Other columns are dropped.
     """
-    prints = [f"_f{j}" for j in range(words)]
+    if max_bits > 2:
+        raise ValueError("fingerprints link at up to 2 bits")
+    prints = ["_f0"]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = written(with_fingerprints(rows, "_text", shingle, words).drop("_text"), "fingerprints")
-    nodes = written(found.groupBy(*prints).agg(F.min("_id").alias("_least")).withColumn("_node", F.xxhash64(*prints) if words > 1 else F.col("_f0")), "distinct-fingerprints")
-    exact = words == 1 and max_bits <= 2
-    bits = max(16, math.ceil(math.log2(max(nodes.count(), 1))) + 1)
-    shared = written(keyed(nodes, prints, exact_masks(max_bits) if exact else sampled_masks(words, keys, bits)), "shared-keys")
+    found = written(with_fingerprints(rows, "_text", shingle, 1).drop("_text"), "fingerprints")
+    nodes = written(found.groupBy(*prints).agg(F.min("_id").alias("_least")).withColumn("_node", F.col("_f0")), "distinct-fingerprints")
+    shared = written(keyed(nodes, prints, exact_masks(max_bits)), "shared-keys")
     links = sparse_links(shared.filter(F.col("_n") <= most), prints, max_bits)
     crowd = shared.filter(F.col("_n") > most)
     if not crowd.isEmpty():
-        links = links.unionByName(crowded_exact(crowd, max_bits) if exact else crowded_sampled(crowd, prints, max_bits, most))
+        links = links.unionByName(crowded_exact(crowd, max_bits))
     parts = written(connected_components(links), "components")
     roots = nodes.join(parts, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
     least = roots.groupBy("_root").agg(F.min("_least").alias("_component"))
     labels = written(roots.join(least, "_root").select(*prints, "_component"), "labels")
-    same = [found[f] == labels[f] for f in prints]
-    text = F.concat(*[F.lpad(F.lower(F.hex(found[f])), 16, "0") for f in reversed(prints)])
-    return found.join(labels, same).select(found["_id"].alias(id_col), text.alias("fingerprint"), F.col("_component").alias("component_id"))
+    text = F.lpad(F.lower(F.hex(found["_f0"])), 16, "0")
+    return found.join(labels, found["_f0"] == labels["_f0"]).select(found["_id"].alias(id_col), text.alias("fingerprint"), F.col("_component").alias("component_id"))
