@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, and tables cut off from their lineage there."""
+"""The folder that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
@@ -8,20 +8,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders of local sessions without the setting, by application: Spark lets no session set it once it runs.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset, a new folder for a local session (tests); on a cluster that is an error."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a new one for a local session (tests); on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.conf.get("spark.app.id")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        at = _own[app]
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder, and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df once as Parquet, with options of its writer, in the shared folder and return the table read back.
+
+    The lineage ends there, the result survives lost executors, and later uses do not compute it again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
