@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 # White space of the word rule: the code points 0x20 and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 # Up to U+024F normal forms, lower case and letter classes are the same in all versions of Unicode.
@@ -20,28 +20,6 @@ BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one for a local session (tests); on a cluster that is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df once as Parquet, with options of its writer, in the shared folder and return the table read back.
-
-    The lineage ends there, the result survives lost executors, and later uses do not compute it again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -14,6 +14,7 @@ from .common import table, word_count, written
 from .flac import MEDIA_OPTIONS, digest_blocks, encode_media, pcm_blocks
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .periodic import periodic_runs
 from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .secrets import scan_secrets, span_text
@@ -123,6 +124,32 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(blocks)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document; of every tenth or so, the words from one on repeat a stretch of them."""
+    docs = table(spark, sf_dir, "documents").select(*DOC)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+    docs = docs.withColumns({"_g": F.floor(F.col("_h") / 10), "_n": F.size("_words")}).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    docs = docs.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_words", place(i))), " ")
+    planted = docs.select("doc_id", F.when(F.col("_a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    named = found.withColumn("_best", best).withColumns({"start": -F.col("_best.start"), "length": F.col("_best.length"), "period": -F.col("_best.period")})
+    return named.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *("start", "length", "period"),
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -134,5 +161,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_flac_media": op9_flac_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_chat_format": OP7_SQL}
