@@ -3,10 +3,14 @@
 Two texts of similarity s agree in one of BANDS bands of ROWS minima with a chance of 1 - (1 - s^ROWS)^BANDS, whatever
 the size of the corpus: 0.99997 at s = 0.8. Every pair that shares a band is covered, however many texts share it:
 
-1. Each text is held against one hub of its band, and the links that hold give components.
+1. Each text is held against the hub of one of its bands, and against the other hubs that are not in its component by
+   then. The links that hold give components. Signatures of fixed size screen the pairs before texts are fetched.
 2. Pairs within one component need no look. The others have one side outside the hub's component: that side meets the
-   whole band in pairs of blocks of bounded size, thinned out by one-bit minima. A task looks at the closest pairs first
+   whole band in pairs of blocks of bounded size, thinned out by signatures. A task looks at the closest pairs first
    and leaves out those that are in one component by then; only links that join components leave it.
+3. Bands of which so many texts lie outside the hub's component that they make more than CROWD pairs of blocks are first
+   dealt anew: two sets of similarity s share a shingle among the 1 - s rarest of each, so texts meet over their rarest
+   shingles. Texts that have most of a form in common but not s meet few others, and no pair at s is lost.
 
 Links come from the exact similarity of the texts' own shingles in both steps.
 """
@@ -20,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 from .components import connected_components
 
 SEED = 42
@@ -32,6 +36,7 @@ BANDS, ROWS = 20, 4
 # texts differ in 128, give or take 8. The limit is 26 plus five deviations.
 MINIMA, BITS_APART = 256, 50
 BLOCK = 512
+CROWD = 64
 CHUNK = 1024
 
 
@@ -48,20 +53,28 @@ def mixers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 64, MINIMA, np.uint64), rng.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
 
 
-def minima(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
-    """(name of the shingle set, band keys, one-bit minima); no keys for an empty set."""
-    grams = shingles(text, size)
-    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+def least_hashes(text: str | None, size: int) -> tuple[int, int, np.ndarray]:
+    """(name of the shingle set, its size, its MINIMA least hashes)."""
+    h = hashes(text, size)
     name = signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-    if not len(h):
-        return name, [], [0] * (MINIMA // 64)
     flips, factors = mixers()
     least = np.full(MINIMA, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), CHUNK):
         np.minimum(least, ((h[at : at + CHUNK, None] ^ flips) * factors).min(axis=0), out=least)
-    keys = [signed(xxhash.xxh64_intdigest(least[j * ROWS : (j + 1) * ROWS].tobytes(), j)) for j in range(BANDS)]
+    return name, len(h), least
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> list[int]:
+    return [signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j)) for j in range(bands)]
+
+
+def minima(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
+    """(name of the shingle set, band keys, one-bit minima); no keys for an empty set."""
+    name, n, least = least_hashes(text, size)
+    if not n:
+        return name, [], [0] * (MINIMA // 64)
     bits = np.packbits((least >> np.uint64(16) & np.uint64(1)).astype(bool), bitorder="little")
-    return name, keys, bits.view(np.int64).tolist()
+    return name, band_keys(least, BANDS, ROWS), bits.view(np.int64).tolist()
 
 
 def signed(x: int) -> int:
@@ -76,7 +89,7 @@ def with_minima(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("_m", found("_text")).select("*", "_m.*").drop("_m")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, size: int, fifths: int) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, size: int, fifths: float) -> DataFrame:
     """The pairs (u, v) whose texts have a similarity of fifths / 5 or more."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,22 +132,22 @@ class Forest:
         self.parent[max(x, y)] = min(x, y)
 
 
-def close_rows(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of two blocks with at most BITS_APART differing bits and not of one component, closest first."""
-    apart = sum(np.bitwise_count(a["bits"][:, None, j] ^ b["bits"][None, :, j]).astype(np.int16) for j in range(MINIMA // 64))
-    i, j = np.nonzero((apart <= BITS_APART) & (np.array(a["root"])[:, None] != np.array(b["root"])[None, :]))
+def close_rows(a: dict, b: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of two blocks with at most `most` differing bits and not of one component, closest first."""
+    apart = sum(np.bitwise_count(a["bits"][:, None, j] ^ b["bits"][None, :, j]).astype(np.int16) for j in range(a["bits"].shape[1]))
+    i, j = np.nonzero((apart <= most) & (np.array(a["root"])[:, None] != np.array(b["root"])[None, :]))
     order = np.argsort(apart[i, j], kind="stable")
     return i[order], j[order]
 
 
-def block_links(a: dict, b: dict, size: int, fifths: int) -> list[tuple[int, int]]:
+def block_links(a: dict, b: dict, size: int, fifths: float, most: int) -> list[tuple[int, int]]:
     """Links (u, v) between the texts of two blocks that join components, closest pairs first.
 
     A block has lists node, root and text and an array bits. Pairs that a link before has put in one component need no
     look, so a group of near copies costs about as many looks as it has members.
     """
     forest, out, sets = Forest(), [], functools.lru_cache(maxsize=256)(lambda side, k: hashes((a, b)[side]["text"][k], size))
-    for x, y in zip(*(k.tolist() for k in close_rows(a, b)), strict=True):
+    for x, y in zip(*(k.tolist() for k in close_rows(a, b, most)), strict=True):
         if forest.root(a["root"][x]) != forest.root(b["root"][y]):
             own, other = sets(0, x), sets(1, y)
             both = len(np.intersect1d(own, other, assume_unique=True))
@@ -163,41 +176,78 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tupl
         yield now, parts
 
 
-def across(rows: DataFrame, nodes: DataFrame, root: DataFrame, block: int, size: int, fifths: int) -> DataFrame:
-    """Links (u, v) of each band between components of root: each text outside the hub's component is held against all of
-    the band, in pairs of blocks of about `block` texts. Only links that join components leave a task."""
+def mixed_bands(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """The rows (_key, _node, _root) of the bands that hold several components, with _out, whether a row is outside the
+    hub's component, _n, how many rows the band has, and _m, how many of them are outside."""
     named = rows.join(root, F.col("_node") == F.col("node"), "left").select("_key", "_node", "_hub", F.coalesce("root", "_node").alias("_root"))
     named = written(named, "band-roots")
     own = F.max(F.when(F.col("_node") == F.col("_hub"), F.col("_root")))
     sizes = named.groupBy("_key").agg(own.alias("_own"), F.count("*").alias("_n"), F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x <> _y").drop("_x", "_y")
-    mixed = named.join(sizes, "_key").withColumn("_out", (F.col("_root") != F.col("_own")).cast("int"))
-    outside = mixed.groupBy("_key").agg(F.sum("_out").alias("_m"))
+    mixed = named.join(sizes, "_key").withColumn("_out", F.col("_root") != F.col("_own"))
+    outside = mixed.filter("_out").groupBy("_key").agg(F.count("*").alias("_m"))
+    return written(mixed.join(outside, "_key").select("_key", "_node", "_root", "_out", "_n", "_m"), "mixed-bands")
+
+
+def rarest(texts: DataFrame, size: int, fifths: float) -> DataFrame:
+    """(_key, _node, _hub): the shingles by which texts of similarity fifths / 5 or more meet, with the least node of each.
+
+    Of n shingles in order of how many texts hold them, these are the first n - ceil(n fifths / 5) + 1.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("_node").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                h = hashes(text, size)
+                first = len(h) - int(np.ceil(len(h) * fifths / 5)) + 1
+                yield pa.record_batch({"_key": pa.array(h.view(np.int64)), "_node": pa.array(np.full(len(h), node, np.int64)), "_first": pa.array(np.full(len(h), first, np.int64))})
+
+    all_held = written(texts.select("_node", "_text").mapInArrow(held, "_key bigint, _node bigint, _first bigint"), "shingles")
+    of = all_held.groupBy("_key").agg(F.count("*").alias("_texts"), F.min("_node").alias("_hub"))
+    place = F.row_number().over(Window.partitionBy("_node").orderBy("_texts", "_key"))
+    return all_held.join(of, "_key").withColumn("_place", place).filter("_place <= _first and _texts > 1").select("_key", "_node", "_hub")
+
+
+def across(rows: DataFrame, nodes: DataFrame, root: DataFrame, block: int, size: int, fifths: float, most: int, crowd: int) -> DataFrame:
+    """Links (u, v) of each band between components of root: each text outside the hub's component is held against all of
+    the band, in pairs of blocks of about `block` texts; crowded bands are dealt anew by rarest shingles first."""
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    whole = mixed.join(outside, "_key").join(nodes.select("_node", "_bits"), "_node")
-    whole = written(whole.withColumns({"_rows": blocks("_n"), "_cols": blocks("_m")}), "mixed-bands")
+    mixed = mixed_bands(rows, root)
+    crowded = blocks("_n").cast("long") * blocks("_m") > crowd
+    links = within_blocks(mixed.filter(~crowded), nodes, block, size, fifths, most)
+    asked = mixed.filter(crowded).select("_node").distinct()
+    if asked.isEmpty():
+        return links
+    dealt = mixed_bands(rarest(nodes.join(asked, "_node", "left_semi"), size, fifths), root)
+    return links.unionByName(within_blocks(dealt, nodes, block, size, fifths, most)).distinct()
+
+
+def within_blocks(mixed: DataFrame, nodes: DataFrame, block: int, size: int, fifths: float, most: int) -> DataFrame:
+    """Links (u, v) of mixed bands. Only links that join components leave a task."""
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    whole = mixed.withColumns({"_rows": blocks("_n"), "_cols": blocks("_m")}).join(nodes.select("_node", "_bits"), "_node")
     place = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = ["_node", "_root", "_bits"]
     a = whole.select("_key", place("_rows").alias("_r"), every("_cols").alias("_c"), F.lit(0).alias("_side"), *held)
-    b = whole.filter("_out = 1").select("_key", every("_rows").alias("_r"), place("_cols").alias("_c"), F.lit(1).alias("_side"), *held)
+    b = whole.filter("_out").select("_key", every("_rows").alias("_r"), place("_cols").alias("_c"), F.lit(1).alias("_side"), *held)
 
     def side(part: list[pa.RecordBatch], *lists: str) -> dict:
         t = pa.Table.from_batches(part)
-        bits = np.array(t.column("_bits").to_pylist(), np.int64).view(np.uint64).reshape(-1, MINIMA // 64)
+        bits = np.array(t.column("_bits").to_pylist(), np.int64).view(np.uint64)
         return {"bits": bits, "rows": t} | {c[1:]: t.column(c).to_pylist() for c in lists}
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a pair of blocks that have a partner in the other one: only their texts are looked at."""
         for _, parts in block_pairs(batches):
             a, b = (side(p, "_root") for p in parts)
-            i, j = close_rows(a, b)
+            i, j = close_rows(a, b, most)
             for x, rows in ((i, a["rows"]), (j, b["rows"])):
                 if len(x):
                     yield from rows.take(pa.array(np.unique(x))).combine_chunks().to_batches()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in block_pairs(batches):
-            pairs = block_links(*(side(p, "_node", "_root", "_text") for p in parts), size, fifths)
+            pairs = block_links(*(side(p, "_node", "_root", "_text") for p in parts), size, fifths, most)
             yield pa.record_batch({"u": pa.array([max(p) for p in pairs], pa.int64()), "v": pa.array([min(p) for p in pairs], pa.int64())})
 
     dealt = lambda df: df.repartition("_key", "_r", "_c").sortWithinPartitions("_key", "_r", "_c", "_side", "_node")
@@ -206,23 +256,62 @@ def across(rows: DataFrame, nodes: DataFrame, root: DataFrame, block: int, size:
     return dealt(close.join(nodes.select("_node", "_text"), "_node")).mapInArrow(links, "u bigint, v bigint").distinct()
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, fifths: int = 4, block: int = BLOCK) -> DataFrame:
-    """(id_col, component_id) for each row of docs: component_id is the smallest id that can be reached over links.
+def screened(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs (u, v) whose signatures differ in at most `most` bits."""
+    for c in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("_node").alias(c), F.col("_bits").alias(f"_{c}")), c)
+    apart = F.aggregate(F.zip_with("_u", "_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    return pairs.filter(apart <= most).select("u", "v")
 
-    Texts link when the sets of their shingles of `size` words have a Jaccard similarity of fifths / 5 or more; texts
-    of fewer words are one shingle, and those without words are equal. For similarities below 0.8 bands miss more.
+
+def components_of(found: DataFrame, size: int, fifths: float, most: int, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """(_node, component_id, _first) for each shingle set of found (_id, _row, _text, _node, _keys, _bits): the smallest id
+    that can be reached over links, and the row to keep of all that can be reached, the first of those with that id.
+
+    A written table; found is one too. _node names a shingle set, _keys are its bands and _bits its signature.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    found = written(with_minima(rows, size), "minima")
-    least = written(found.groupBy("_node").agg(F.min("_id").alias("_least"), F.min("_row").alias("_row")), "shingle-sets")
+    order = F.struct(F.col("_id").isNull().alias("_no"), F.col("_id").alias("_id"), F.col("_row").alias("_row"))
+    least = written(found.groupBy("_node").agg(F.min(order).alias("_least"), F.min("_row").alias("_row")), "shingle-sets")
     nodes = found.join(least.select("_row"), "_row", "left_semi").select("_node", "_text", "_keys", "_bits")
+    texts = nodes.select("_node", "_text")
     bands = nodes.select(F.explode("_keys").alias("_key"), "_node")
     hubs = bands.groupBy("_key").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     shared = written(bands.join(hubs, "_key"), "shared-bands")
     near = written(shared.filter("_node <> _hub").select(F.col("_node").alias("u"), F.col("_hub").alias("v")).distinct(), "hub-pairs")
-    links = written(linked(near, nodes.select("_node", "_text"), size, fifths), "hub-links")
-    links = links.unionByName(across(shared, nodes, connected_components(links), block, size, fifths))
+    first = near.groupBy("u").agg(F.min("v").alias("v"))
+    links = written(linked(screened(first, nodes, most), texts, size, fifths), "hub-links")
+    root = written(connected_components(links), "hub-components")
+    for c in ("u", "v"):
+        near = near.join(root.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left")
+    other = near.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v").join(first, ["u", "v"], "left_anti")
+    links = links.unionByName(written(linked(screened(other, nodes, most), texts, size, fifths), "hub-links"))
+    links = links.unionByName(across(shared, nodes, connected_components(links), block, size, fifths, most, crowd))
     parts = written(connected_components(links), "components")
     roots = least.join(parts, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
-    first = roots.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return found.select("_id", "_node").join(roots.select("_node", "_root"), "_node").join(first, "_root").select(F.col("_id").alias(id_col), "component_id")
+    firsts = roots.groupBy("_root").agg(F.min("_least").alias("_least"))
+    return written(roots.select("_node", "_root").join(firsts, "_root").select("_node", F.col("_least._id").alias("component_id"), F.col("_least._row").alias("_first")), "node-components")
+
+
+def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select("*", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, fifths: int = 4, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """(id_col, component_id) for each row of docs: component_id is the smallest id that can be reached over links.
+
+    Texts link when the sets of their shingles of `size` words have a Jaccard similarity of fifths / 5 or more; texts
+    of fewer words are one shingle, and those without words are equal. For similarities below 0.8 bands miss more.
+    """
+    found = written(with_minima(with_rows(docs.select(id_col, text_col), id_col, text_col).select("_id", "_text", "_row"), size), "minima")
+    parts = components_of(found, size, fifths, BITS_APART, block, crowd)
+    return found.select("_id", "_node").join(parts, "_node").select(F.col("_id").alias(id_col), "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, fifths: int = 4, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each group of near copies, as near_copy_groups links them: one with the smallest id of the
+    group, or one without an id where no row has any. Rows are judged by their texts, also where several have one id;
+    null, empty and blank texts are equal. All columns stay, whatever their names."""
+    rows, at = numbered(docs)
+    found = written(with_minima(with_rows(rows, at[id_col], at[text_col]), size), "minima")
+    parts = components_of(found, size, fifths, BITS_APART, block, crowd)
+    return found.join(parts.select(F.col("_first").alias("_row")).distinct(), "_row", "left_semi").select(*at.values()).toDF(*at)

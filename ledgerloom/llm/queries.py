@@ -14,6 +14,7 @@ from .common import table, word_count, written
 from .divergence import source_divergence
 from .flac import MEDIA_OPTIONS, digest_blocks, encode_media, pcm_blocks
 from .line_dedup import dedup_lines
+from .minhash import minhash_near_duplicates
 from .packing import pack_documents
 from .periodic import periodic_runs
 from .quality_model import fit_quality, score_quality
@@ -151,6 +152,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near_duplicates(table(spark, sf_dir, "documents").select(*DOC))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -205,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_flac_media": op9_flac_media,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op13_source_divergence": OP13_SQL}
