@@ -66,6 +66,8 @@ def test_tasks_put_counts_out_more_than_once(spark, monkeypatch):
     rows = samples()
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
     monkeypatch.setattr(D, "MOST_ENTRIES", 1)
+    monkeypatch.setattr(D, "ROWS", 7)
+    monkeypatch.setattr(D, "PAIRS", 5)
     assert sorted(tuple(r) for r in D.source_divergence(docs).collect()) == brute(rows)
 
 
