@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .near_copies import BLOCK, CROWD, MINIMA, band_keys, components_of, least_hashes, with_rows
+from .near_copies import BLOCK, CROWD, MINIMA, band_keys, components_of, least_hashes, mixed, with_rows
 
 # A pair of similarity 0.85 shares no band with a chance of 0.0000007, whatever the size of the corpus.
 BANDS, ROWS = 30, 6
@@ -26,7 +26,7 @@ SKETCH = 512
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     """SKETCH bits, packed in 64-bit words: whether an odd number of minima name a bit."""
-    x = (least ^ (np.arange(len(least), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = mixed(least.astype(np.uint64) + (np.arange(len(least), dtype=np.uint64) << np.uint64(32)))
     flips = np.bincount((x >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
     return np.packbits(flips.astype(bool), bitorder="little").view(np.int64)
 

@@ -37,7 +37,7 @@ BANDS, ROWS = 20, 4
 MINIMA, BITS_APART = 256, 50
 BLOCK = 512
 CROWD = 64
-CHUNK = 1024
+CHUNK = 256
 
 
 def shingles(text: str | None, size: int) -> set[bytes]:
@@ -50,7 +50,25 @@ def shingles(text: str | None, size: int) -> set[bytes]:
 @functools.cache
 def mixers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 64, MINIMA, np.uint64), rng.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
+    return rng.integers(0, 1 << 32, MINIMA, np.uint32), rng.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """The shingle set of a text as sorted 64-bit hashes: of `size` words' hashes, or of all words where these are fewer."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    if len(parts) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED + 1)] if parts else [], np.uint64)
+    words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in parts), np.uint64, len(parts))
+    h, n = np.zeros(len(parts) - size + 1, np.uint64), len(parts) - size + 1
+    for i in range(size):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    return np.unique(h)
 
 
 def least_hashes(text: str | None, size: int) -> tuple[int, int, np.ndarray]:
@@ -58,9 +76,12 @@ def least_hashes(text: str | None, size: int) -> tuple[int, int, np.ndarray]:
     h = hashes(text, size)
     name = signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
     flips, factors = mixers()
-    least = np.full(MINIMA, (1 << 64) - 1, np.uint64)
+    short, least = (h >> np.uint64(32)).astype(np.uint32), np.full(MINIMA, (1 << 32) - 1, np.uint32)
+    room = np.empty((min(len(h), CHUNK), MINIMA), np.uint32)
     for at in range(0, len(h), CHUNK):
-        np.minimum(least, ((h[at : at + CHUNK, None] ^ flips) * factors).min(axis=0), out=least)
+        part = short[at : at + CHUNK, None]
+        x = np.bitwise_xor(part, flips, out=room[: len(part)])
+        np.minimum(least, np.multiply(x, factors, out=x).min(axis=0), out=least)
     return name, len(h), least
 
 
@@ -73,7 +94,7 @@ def minima(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
     name, n, least = least_hashes(text, size)
     if not n:
         return name, [], [0] * (MINIMA // 64)
-    bits = np.packbits((least >> np.uint64(16) & np.uint64(1)).astype(bool), bitorder="little")
+    bits = np.packbits((least >> np.uint32(8) & np.uint32(1)).astype(bool), bitorder="little")
     return name, band_keys(least, BANDS, ROWS), bits.view(np.int64).tolist()
 
 
@@ -93,27 +114,27 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, fifths: float) -> Data
     """The pairs (u, v) whose texts have a similarity of fifths / 5 or more."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, other = None, set()
+        last, other = None, None
         for batch in batches:
             keep = []
             for v, a, b in zip(batch["v"], batch["_a"], batch["_b"], strict=True):
                 if v != last:
-                    last, other = v, shingles(b, size)
-                own = shingles(a, size)
-                both = len(own & other)
-                keep.append(5 * both >= fifths * (len(own) + len(other) - both))
+                    last, other = v, hashes(b, size)
+                keep.append(similar(hashes(a, size), other, fifths))
             yield batch.loc[keep, ["u", "v"]]
 
     asked = pairs.select(F.col("u").alias("_node")).unionByName(pairs.select(F.col("v").alias("_node"))).distinct()
-    held = written(texts.join(asked, "_node", "left_semi"), "pair-texts")
+    held = texts.join(asked, "_node", "left_semi")
     sides = [held.select(F.col("_node").alias(x), F.col("_text").alias(y)) for x, y in (("u", "_a"), ("v", "_b"))]
     return pairs.join(sides[0], "u").join(sides[1], "v").mapInPandas(check, "u bigint, v bigint")
 
 
-def hashes(text: str | None, size: int) -> np.ndarray:
-    """The shingle set of a text as sorted hashes."""
-    grams = shingles(text, size)
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+def similar(a: np.ndarray, b: np.ndarray, fifths: float) -> bool:
+    """Whether two shingle sets have a similarity of fifths / 5 or more."""
+    if 5 * min(len(a), len(b)) < fifths * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= fifths * (len(a) + len(b) - both)
 
 
 class Forest:
@@ -132,26 +153,31 @@ class Forest:
         self.parent[max(x, y)] = min(x, y)
 
 
-def close_rows(a: dict, b: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of two blocks with at most `most` differing bits and not of one component, closest first."""
+def close_rows(a: dict, b: dict, most: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of two blocks of band `key` with at most `most` differing bits and not of one component, closest first.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
     apart = sum(np.bitwise_count(a["bits"][:, None, j] ^ b["bits"][None, :, j]).astype(np.int16) for j in range(a["bits"].shape[1]))
     i, j = np.nonzero((apart <= most) & (np.array(a["root"])[:, None] != np.array(b["root"])[None, :]))
+    x, y = a["keys"][i], b["keys"][j]
+    first = np.argmax(x == y, axis=1)
+    ours = (x[np.arange(len(i)), first] == key) | ~(x == key).any(axis=1)
+    i, j = i[ours], j[ours]
     order = np.argsort(apart[i, j], kind="stable")
     return i[order], j[order]
 
 
-def block_links(a: dict, b: dict, size: int, fifths: float, most: int) -> list[tuple[int, int]]:
+def block_links(a: dict, b: dict, size: int, fifths: float, most: int, key: int) -> list[tuple[int, int]]:
     """Links (u, v) between the texts of two blocks that join components, closest pairs first.
 
-    A block has lists node, root and text and an array bits. Pairs that a link before has put in one component need no
-    look, so a group of near copies costs about as many looks as it has members.
+    A block has lists node, root and text and arrays bits and keys. Pairs that a link before has put in one component need
+    no look, so a group of near copies costs about as many looks as it has members.
     """
     forest, out, sets = Forest(), [], functools.lru_cache(maxsize=256)(lambda side, k: hashes((a, b)[side]["text"][k], size))
-    for x, y in zip(*(k.tolist() for k in close_rows(a, b, most)), strict=True):
+    for x, y in zip(*(k.tolist() for k in close_rows(a, b, most, key)), strict=True):
         if forest.root(a["root"][x]) != forest.root(b["root"][y]):
-            own, other = sets(0, x), sets(1, y)
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if 5 * both >= fifths * (len(own) + len(other) - both):
+            if similar(sets(0, x), sets(1, y), fifths):
                 forest.join(a["root"][x], b["root"][y])
                 out.append((a["node"][x], b["node"][y]))
     return out
@@ -224,30 +250,30 @@ def across(rows: DataFrame, nodes: DataFrame, root: DataFrame, block: int, size:
 def within_blocks(mixed: DataFrame, nodes: DataFrame, block: int, size: int, fifths: float, most: int) -> DataFrame:
     """Links (u, v) of mixed bands. Only links that join components leave a task."""
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    whole = mixed.withColumns({"_rows": blocks("_n"), "_cols": blocks("_m")}).join(nodes.select("_node", "_bits"), "_node")
+    whole = mixed.withColumns({"_rows": blocks("_n"), "_cols": blocks("_m")}).join(nodes.select("_node", "_bits", "_keys"), "_node")
     place = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = ["_node", "_root", "_bits"]
+    held = ["_node", "_root", "_bits", "_keys"]
     a = whole.select("_key", place("_rows").alias("_r"), every("_cols").alias("_c"), F.lit(0).alias("_side"), *held)
     b = whole.filter("_out").select("_key", every("_rows").alias("_r"), place("_cols").alias("_c"), F.lit(1).alias("_side"), *held)
 
     def side(part: list[pa.RecordBatch], *lists: str) -> dict:
         t = pa.Table.from_batches(part)
-        bits = np.array(t.column("_bits").to_pylist(), np.int64).view(np.uint64)
-        return {"bits": bits, "rows": t} | {c[1:]: t.column(c).to_pylist() for c in lists}
+        of = lambda c: t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        return {"bits": of("_bits").view(np.uint64), "keys": of("_keys"), "rows": t} | {c[1:]: t.column(c).to_pylist() for c in lists}
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a pair of blocks that have a partner in the other one: only their texts are looked at."""
-        for _, parts in block_pairs(batches):
+        for (key, _, _), parts in block_pairs(batches):
             a, b = (side(p, "_root") for p in parts)
-            i, j = close_rows(a, b, most)
+            i, j = close_rows(a, b, most, key)
             for x, rows in ((i, a["rows"]), (j, b["rows"])):
                 if len(x):
                     yield from rows.take(pa.array(np.unique(x))).combine_chunks().to_batches()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in block_pairs(batches):
-            pairs = block_links(*(side(p, "_node", "_root", "_text") for p in parts), size, fifths, most)
+        for (key, _, _), parts in block_pairs(batches):
+            pairs = block_links(*(side(p, "_node", "_root", "_text") for p in parts), size, fifths, most, key)
             yield pa.record_batch({"u": pa.array([max(p) for p in pairs], pa.int64()), "v": pa.array([min(p) for p in pairs], pa.int64())})
 
     dealt = lambda df: df.repartition("_key", "_r", "_c").sortWithinPartitions("_key", "_r", "_c", "_side", "_node")
@@ -272,11 +298,13 @@ def components_of(found: DataFrame, size: int, fifths: float, most: int, block:
     """
     order = F.struct(F.col("_id").isNull().alias("_no"), F.col("_id").alias("_id"), F.col("_row").alias("_row"))
     least = written(found.groupBy("_node").agg(F.min(order).alias("_least"), F.min("_row").alias("_row")), "shingle-sets")
-    nodes = found.join(least.select("_row"), "_row", "left_semi").select("_node", "_text", "_keys", "_bits")
-    texts = nodes.select("_node", "_text")
+    nodes = found.join(least.select("_row"), "_row", "left_semi").select("_node", "_keys", "_bits")
     bands = nodes.select(F.explode("_keys").alias("_key"), "_node")
     hubs = bands.groupBy("_key").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     shared = written(bands.join(hubs, "_key"), "shared-bands")
+    some = least.join(shared.select("_node").distinct(), "_node", "left_semi")
+    nodes = written(found.join(some.select("_row"), "_row", "left_semi").select("_node", "_text", "_keys", "_bits"), "band-texts", compression="zstd")
+    texts = nodes.select("_node", "_text")
     near = written(shared.filter("_node <> _hub").select(F.col("_node").alias("u"), F.col("_hub").alias("v")).distinct(), "hub-pairs")
     first = near.groupBy("u").agg(F.min("v").alias("v"))
     links = written(linked(screened(first, nodes, most), texts, size, fifths), "hub-links")
