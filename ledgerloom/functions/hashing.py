@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,29 +14,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Digest profiles and their widths in hexadecimal digits.
-WIDTHS = {"sha256": 64, "sha512": 128, "sha3-256": 64, "sha3-384": 96, "sha3-512": 128, "blake2b": 128, "blake2s": 64, "blake3": 64}
+WIDTHS = {"sha256": 64, "sha512": 128, "sha3-256": 64, "sha3-512": 128, "blake2b-256": 64, "blake2b-512": 128, "blake2s-256": 64, "blake3-256": 64}
 NATIVE = {"sha256": 256, "sha512": 512}
 
 
+def hasher(algorithm: str) -> Callable:
+    """A function that starts a digest, as hashlib's do. blake3-256 needs the package blake3."""
+    if algorithm not in WIDTHS:
+        raise ValueError(f"unknown digest: {algorithm}")
+    if algorithm == "blake3-256":
+        import blake3
+
+        return blake3.blake3
+    if algorithm.startswith("blake2"):
+        return functools.partial(getattr(hashlib, algorithm.split("-")[0]), digest_size=WIDTHS[algorithm] // 2)
+    return functools.partial(hashlib.new, algorithm.replace("-", "_"))
+
+
 def digest(value: str | Column, algorithm: str = "sha256") -> Column:
     """The digest of a text or binary column in lower-case hexadecimal digits; null for null.
 
-    SHA-2 stays in the JVM; the other profiles hash Arrow batches. blake3 needs the package of that name.
+    SHA-2 stays in the JVM; the other profiles hash Arrow batches.
     """
     if algorithm not in WIDTHS:
         raise ValueError(f"unknown digest: {algorithm}")
     column = F.col(value) if isinstance(value, str) else value
     if algorithm in NATIVE:
         return F.sha2(column.cast("binary"), NATIVE[algorithm])
-    name = algorithm.replace("-", "_")
 
     @F.pandas_udf(T.StringType())
     def hashed(values: pd.Series) -> pd.Series:
-        if algorithm == "blake3":
-            import blake3
-
-            return values.map(lambda v: blake3.blake3(v).hexdigest(), na_action="ignore")
-        return values.map(lambda v: hashlib.new(name, v).hexdigest() if "sha3" in name else getattr(hashlib, name)(v).hexdigest(), na_action="ignore")
+        new = hasher(algorithm)
+        return values.map(lambda v: new(v).hexdigest(), na_action="ignore")
 
     return hashed(column.cast("binary"))
 
@@ -99,15 +109,8 @@ def event_hash(previous: Column, schema: str = "audit-event/v3", algorithm: str
 def running_digest(rows: DataFrame, key: str, order: list[str], name: str, algorithm: str, head: str, separator: str, tail: str) -> DataFrame:
     """(key, name): the digest of each group's column `_line`, in order. Lines pass one by one; a task holds a batch and one state."""
 
-    def new():
-        if algorithm == "blake3":
-            import blake3
-
-            return blake3.blake3()
-        return hashlib.new(algorithm.replace("-", "_"))
-
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, first = None, None, True
+        new, now, state, first = hasher(algorithm), None, None, True
         for batch in batches:
             done = []
             for k, line in zip(batch["_key"], batch["_line"], strict=True):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifier prefixes and what they name.
-PREFIXES = {"CASE": "case", "ACQ": "acquisition", "FILE": "file", "ART": "artefact", "NOTE": "note", "EXP": "export", "OP": "operator", "REL": "relationship"}
+# Identifier prefixes and the namespaces that they belong to.
+PREFIXES = {"CASE": "case", "ACQ": "acquisition", "NOTE": "note", "FILE": "file", "ART": "artefact", "EXPORT": "export", "TRANSFER": "authority_transfer"}
 # Suffixes of files that are still being written.
 TRANSIENT = (".part", ".ytdl", ".tmp", ".temp")
 
@@ -143,12 +143,19 @@ def system_defaults(kind: str | Column, basis: str | Column) -> Column:
 
 # What the columns of a ledger's tables may hold.
 ENUMS = {
-    "identifiers.state": ("active", "retired", "failed"), "operators.state": ("active", "removed"), "operator_keys.state": ("active", "retired", "revoked"),
+    "identifiers.state": ("active", "retired", "failed"), "audit_events.actor_kind": ("system", "operator"), "operators.state": ("active", "retired"), "operator_keys.state": ("active", "retired", "revoked"),
     "project_memberships.membership_role": ("owner", "contributor"), "project_memberships.state": ("pending", "active", "rejected", "removed"),
-    "ownership.scope_type": ("project", "case"), "ownership_transfers.state": ("pending", "accepted", "rejected", "cancelled"), "record_authority.status": ("pending", "approved", "rejected"),
-    "files.presentation_state": ("presented", "withheld"), "notes.visibility": ("project", "confidential"), "notes.package_disclosure": ("include", "withhold"),
-    "exports.state": ("preparing", "completed", "failed"), "exports.view_mode": ("full", "presented"), "access_grants.object_type": ("file", "note", "artefact"),
-    "access_grants.authority_basis": ("object-owner", "explicit-grant", "project-owner", "case-role", "recovery-authority", "system-policy"), "export_items.mode": ("exact", "derived", "native"),
+    "ownership.scope_type": ("project", "case"), "ownership_transfers.scope_type": ("project", "case"), "ownership_transfers.state": ("pending", "accepted", "rejected", "cancelled"),
+    "record_authority.scope_type": ("project", "case"), "record_authority.status": ("pending", "approved", "rejected"),
+    "files.presentation_state": ("presented", "retracted", "superseded"), "artefacts.presentation_state": ("presented", "retracted", "superseded"),
+    "notes.visibility": ("project", "confidential"), "notes.package_disclosure": ("withheld", "include"), "note_revisions.revision_type": ("content", "cryptographic"),
+    "export_policy.ordinary_export": ("owner", "members"), "export_policy.ciphertext_export": ("owner", "members"), "export_policy.confidential_plaintext_export": ("owner", "authority"), "export_policy.broad_scope_export": ("owner", "members"),
+    "confidential_authority.object_type": ("file", "note", "artefact"), "access_grants.object_type": ("file", "note", "artefact"),
+    "access_grants.authority_basis": ("object-owner", "explicit-grant", "project-owner", "case-role", "recovery-authority", "system-policy"), "confidential_authority_transfers.state": ("pending", "accepted", "rejected", "cancelled"),
+    "exports.scope_type": ("file", "artefact", "acquisition", "case", "project", "selection"), "exports.view_mode": ("full", "presented"), "exports.representation": ("native",), "exports.output_format": ("directory", "tar"),
+    "exports.state": ("preparing", "completed", "failed", "cancelled"), "export_items.mode": ("native", "derived"),
+    "annotations.kind": ("rectangle", "ellipse", "arrow", "line", "freehand", "marker", "text", "highlight"),
+    "acquired_files.role": ("primary", "supporting", "metadata", "transcript", "derived", "annotation", "redaction_request", "preview", "source_metadata", "network", "inspection"),
 }
 
 

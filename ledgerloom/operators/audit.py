@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_reason, is_safe_path
+from ..functions.text import ENUMS, PREFIXES, format_id, has_reason, is_safe_path
 from . import decisions
 from . import replay as R
 from .findings import finding
@@ -27,9 +27,8 @@ EDGES = {
     "R22": ("object_id", {"CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED": (None,), **{f"CONFIDENTIAL_AUTHORITY_TRANSFER_{s}": ("CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED",) for s in ("ACCEPTED", "REJECTED", "CANCELLED")}}),
     "R23": ("object_id", {"EXPORT_STARTED": (None,), "EXPORT_COMPLETED": ("EXPORT_STARTED",), "EXPORT_FAILED": ("EXPORT_STARTED",)}),
 }
-# Fixed values of requests and files.
-VIEWS, FORMATS, PRESENTATION, VISIBILITY = ("full", "presented"), ("directory", "tar"), ("presented", "withheld"), ("project", "confidential")
-GRANT_TYPES, BASES = ("file", "note", "artefact"), ("object-owner", "explicit-grant", "project-owner", "case-role", "recovery-authority", "system-policy")
+VIEWS, FORMATS, PRESENTATION, VISIBILITY = ENUMS["exports.view_mode"], ENUMS["exports.output_format"], ENUMS["files.presentation_state"], ENUMS["notes.visibility"]
+GRANT_TYPES, BASES = ENUMS["access_grants.object_type"], ENUMS["access_grants.authority_basis"]
 
 
 def broken(df: DataFrame, rule: str, where: Column, actual: Column | None = None) -> DataFrame:
@@ -107,10 +106,11 @@ def authorities(events: DataFrame) -> DataFrame:
 
 
 def r1(events: DataFrame) -> DataFrame:
-    """Identifiers are issued once and closed once; those of a namespace have one prefix, and their number as sequence."""
-    issued = of(events, "IDENTIFIER_ISSUED").withColumns({"_space": R.data("namespace"), "_prefix": F.regexp_extract("object_id", "^(.*?)[0-9]*$", 1), "_number": F.regexp_extract("object_id", "([0-9]+)$", 1).try_cast("long")})
-    issued = issued.withColumn("_first", F.first("_prefix").over(Window.partitionBy("project_id", "_space").orderBy(SEQ)))
-    return life_cycle(events, "R1").unionByName(broken(issued, "R1", (F.col("_prefix") == F.col("_first")) & (F.col("_number") == R.data("sequence").cast("long")), F.col("object_id")))
+    """Identifiers are issued once and closed once. Each is of a known namespace: that one's prefix, and its sequence as number."""
+    space, named = R.data("namespace"), F.lit(None).cast("string")
+    for prefix, namespace in PREFIXES.items():
+        named = F.when(space == namespace, format_id(prefix, R.data("sequence"))).otherwise(named)
+    return life_cycle(events, "R1").unionByName(broken(of(events, "IDENTIFIER_ISSUED"), "R1", F.col("object_id") == named, F.col("object_id")))
 
 
 def r2(events: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import NATIVE, WIDTHS, digest, envelope, event_hash, genesis
+from ..functions.hashing import NATIVE, WIDTHS, digest, envelope, event_hash, genesis, hasher
 from .findings import finding, row_findings
 
 KEY, SEQ = "project_id", "event_sequence"
@@ -24,14 +24,14 @@ def chain_parts(df: DataFrame, key: str, order: str, head: Column, tail: Column,
     with the hash that a key's first row goes on from, zeroes by default.
     """
     rows = df.withColumns({"_head": head, "_tail": tail}).drop("previous_hash", "event_hash")
-    zero, name = "0" * WIDTHS[algorithm], algorithm.replace("-", "_")
+    zero = "0" * WIDTHS[algorithm]
     out = T.StructType([*rows.drop("_head", "_tail").schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
     at, kept = rows.columns.index(key), [c for c in rows.columns if c not in ("_head", "_tail")]
 
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, previous, started = None, zero, False
+        new, held, previous, started = hasher(algorithm), None, zero, False
         for batch in batches:
             keys, heads, tails = (batch.column(c).to_pylist() for c in (at, batch.schema.get_field_index("_head"), batch.schema.get_field_index("_tail")))
             starts = batch.column(batch.schema.get_field_index(start)).to_pylist() if start else [zero] * len(keys)
@@ -40,7 +40,7 @@ def chain_parts(df: DataFrame, key: str, order: str, head: Column, tail: Column,
                 if not started or k != held:
                     held, previous, started = k, first, True
                 before.append(previous)
-                previous = hashlib.new(name, f"{a}{previous}{b}".encode()).hexdigest() if "blake" not in name else getattr(hashlib, name)(f"{a}{previous}{b}".encode()).hexdigest()
+                previous = new(f"{a}{previous}{b}".encode()).hexdigest()
                 after.append(previous)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(before, pa.string()), pa.array(after, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "previous_hash", "event_hash"])

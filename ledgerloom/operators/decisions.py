@@ -148,7 +148,7 @@ def reencrypt_worklist(notes: DataFrame, revisions: DataFrame, authority: DataFr
 
 def withheld_payloads(notes: DataFrame, revisions: DataFrame, files: DataFrame) -> DataFrame:
     """Files of the revisions of notes that are not to be disclosed."""
-    held = notes.filter("package_disclosure = 'withhold'").select("note_id")
+    held = notes.filter("package_disclosure = 'withheld'").select("note_id")
     return revisions.join(held, "note_id", "left_semi").select("note_id", "revision", "file_id").join(files, "file_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_reason, is_safe_path, valid_box, valid_digest, valid_point
+from ..functions.text import enum_rule, has_reason, is_safe_path, valid_box, valid_digest, valid_point
 from ..sources.shared import written
 from . import replay as R
 from .chain import anchor_check
@@ -137,8 +137,10 @@ def verify_exports(manifests: DataFrame, items: DataFrame, event_items: DataFram
     recorded = items.select("export_id", "output_path", F.col("output_digest").alias("content_digest"))
     held = diff(recorded, observed, ["export_id", "output_path"], ["content_digest"], "export-bytes")
     loose = finding(anchor_check(manifests, ledger).filter("not anchored"), F.lit("exports"), "unanchored", F.col("export_id"), "chain_head", actual=F.col("chain_head"))
-    derived = finding(items.filter("mode <> 'exact' and source_digest = output_digest"), F.lit("exports"), "derived-but-equal", F.col("export_id"), "mode", actual=F.col("mode"))
-    parts = [membership, held, loose, derived]
+    derived = finding(items.filter("mode = 'derived' and source_digest = output_digest"), F.lit("exports"), "derived-but-equal", F.col("export_id"), "mode", actual=F.col("mode"))
+    native = finding(items.filter("mode = 'native' and not (source_digest <=> output_digest)"), F.lit("exports"), "native-but-changed", F.col("export_id"), "mode", actual=F.col("mode"))
+    other = finding(items.filter(~enum_rule("export_items.mode", "mode")), F.lit("exports"), "unknown-mode", F.col("export_id"), "mode", actual=F.col("mode"))
+    parts = [membership, held, loose, derived, native, other]
     if exports is not None:
         recorded = exports.select("export_id", F.col("state").alias("_state"), F.col("manifest_digest").alias("_m"), F.col("output_digest").alias("_o"))
         seen = manifests.join(recorded, "export_id", "left")
@@ -238,11 +240,13 @@ def verify_identity(requests: DataFrame, operators: DataFrame, keys: DataFrame |
 
 
 def verify_reviews(layers: DataFrame) -> DataFrame:
-    """Review rows (file_id, source_digest, pixel_width, pixel_height, layer, id, kind, reason, geometry) with bad digests, sizes, geometry or no reason."""
+    """Review rows (original_sha256, original_width, original_height, layer, id, kind, reason, geometry) with bad digests, sizes
+    or geometry, annotations of no known kind, and redactions without a reason. Geometry is a map of numbers, a box where
+    it has a width and a point otherwise."""
     g = lambda k: F.col("geometry").getItem(k)
     fits = F.when(F.map_contains_key("geometry", F.lit("width")), valid_box(g("x"), g("y"), g("width"), g("height"))).otherwise(valid_point(g("x"), g("y")))
-    rules = {"digest": valid_digest("source_digest"), "dimensions": F.coalesce((F.col("pixel_width") > 0) & (F.col("pixel_height") > 0), F.lit(False)), "geometry": F.coalesce(fits, F.lit(False)), "reason": (F.col("layer") != "redaction") | has_reason("reason")}
-    return union_all([finding(layers.filter(~ok), F.col("file_id"), f"review-{name}", F.col("id")) for name, ok in rules.items()])
+    rules = {"digest": valid_digest("original_sha256"), "dimensions": F.coalesce((F.col("original_width") > 0) & (F.col("original_height") > 0), F.lit(False)), "geometry": F.coalesce(fits, F.lit(False)), "kind": (F.col("layer") != "annotation") | enum_rule("annotations.kind", "kind"), "reason": (F.col("layer") != "redaction") | has_reason("reason")}
+    return union_all([finding(layers.filter(~ok), F.col("original_sha256"), f"review-{name}", F.col("id")) for name, ok in rules.items()])
 
 
 def key_ranges(keys: DataFrame) -> DataFrame:

@@ -40,14 +40,17 @@ def joined(rows: DataFrame, who: Column, seq: Column, project: Column | None = N
 
 
 @query("""
-SELECT 'P' AS target, 'R1' AS rule, CAST(p_partkey * 3 AS VARCHAR) AS key FROM part WHERE p_partkey % 19 = 0 AND p_partkey % 17 <> 0
+SELECT 'P' AS target, 'R1' AS rule, CAST(p_partkey * 3 AS VARCHAR) AS key FROM part WHERE p_partkey % 17 <> 0 AND (p_partkey % 19 = 0 OR p_partkey % 23 = 0 OR p_partkey % 8 = 7)
 UNION ALL SELECT 'P', 'R1', CAST(p_partkey * 3 + 1 AS VARCHAR) FROM part WHERE p_partkey % 17 = 0
 UNION ALL SELECT 'P', 'R1', CAST(p_partkey * 3 + 2 AS VARCHAR) FROM part WHERE p_partkey % 35 = 0
 """)
 def audit_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers closed without being issued, closed twice, or with another number than their sequence."""
+    """Identifiers of all namespaces: closed without being issued, closed twice, with another number than their sequence, with
+    another namespace's prefix throughout, or of no known namespace."""
     p, n = table(spark, sf_dir, "part"), F.col("p_partkey")
-    key, space = F.concat_ws("-", "p_brand", text("p_partkey")), F.col("p_brand")
+    pairs = [("case", "CASE"), ("acquisition", "ACQ"), ("note", "NOTE"), ("file", "FILE"), ("artefact", "ART"), ("export", "EXPORT"), ("authority_transfer", "TRANSFER"), ("relationship", "REL")]
+    of = lambda at: F.get(F.array(*[F.lit(pair[at]) for pair in pairs]), n % 8)
+    key, space = F.concat(F.when(n % 23 == 0, "XX").otherwise(of(1)), F.format_string("-%06d", n)), of(0)
     made = event(p.filter(n % 17 != 0), "IDENTIFIER_ISSUED", "identifier", key, n * 3, {"namespace": space, "sequence": F.when(n % 19 == 0, n + 1).otherwise(n)}, signed=False)
     retired = event(p.filter((n % 5 == 0) | (n % 17 == 0)), "IDENTIFIER_RETIRED", "identifier", key, n * 3 + 1, {"namespace": space}, signed=False)
     return found(union_all([made, retired, event(p.filter(n % 35 == 0), "IDENTIFIER_FAILED", "identifier", key, n * 3 + 2, {"namespace": space}, signed=False)]), "R1")
@@ -141,7 +144,7 @@ def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.format_string("FILE-%d", "doc_id")
     path = F.when(n % 22 == 0, "same").when(n % 20 == 0, F.concat(F.lit("../"), text("doc_id"))).otherwise(F.concat(F.lit("d/"), text("doc_id")))
     files = event(d, "FILE_COMMITTED", "file", f, n, {"case_id": either(n % 21 == 0, None, F.col("source")), "acquisition_id": F.col("lang"), "logical_path": path}, signed=False)
-    seen = event(d.filter(n % 6 == 0), "FILE_PRESENTATION_CHANGED", "file", f, 1_000_000_000 + n, {"to": either(n % 18 == 0, "gone", "withheld"), "reason": either(n % 12 == 0, " ", "r")}, signed=False)
+    seen = event(d.filter(n % 6 == 0), "FILE_PRESENTATION_CHANGED", "file", f, 1_000_000_000 + n, {"to": F.when(n % 18 == 0, "withheld").when(n % 5 == 0, "superseded").otherwise("retracted"), "reason": either(n % 12 == 0, " ", "r")}, signed=False)
     related = event(d, "FILE_RELATIONSHIP_ADDED", "file", f, 2_000_000_000 + n, {"parent_file_id": f, "child_file_id": F.format_string("FILE-%d", n * 2), "relationship": either(n % 9 == 0, "", "describes")}, signed=False)
     art = event(d, "ARTEFACT_CREATED", "artefact", F.format_string("ART-%d", "doc_id"), 3_000_000_000 + n, {"case_id": either(n % 10 == 0, "other", F.col("source")), "acquisition_id": F.col("lang"), "file_ids": F.array(f)}, signed=False)
     return found(union_all([files, seen, related, art]), "R12", "R13", "R14", "R15")

@@ -225,6 +225,56 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values, as SQL: what the columns of a ledger's tables may hold.
+ALLOWED = """
+allowed AS (SELECT col0 AS place, col1 AS name, unnest(string_split(col2, ' ')) AS value FROM (VALUES
+  (0, 'identifiers.state', 'active retired failed'), (1, 'operators.state', 'active retired'), (2, 'operator_keys.state', 'active retired revoked'), (3, 'project_memberships.state', 'pending active rejected removed'),
+  (4, 'ownership_transfers.state', 'pending accepted rejected cancelled'), (5, 'record_authority.status', 'pending approved rejected'), (6, 'files.presentation_state', 'presented retracted superseded'),
+  (7, 'notes.visibility', 'project confidential'), (8, 'notes.package_disclosure', 'withheld include'), (9, 'note_revisions.revision_type', 'content cryptographic'),
+  (10, 'export_policy.confidential_plaintext_export', 'owner authority'), (11, 'access_grants.object_type', 'file note artefact'), (12, 'exports.scope_type', 'file artefact acquisition case project selection'),
+  (13, 'exports.state', 'preparing completed failed cancelled'), (14, 'export_items.mode', 'native derived'), (15, 'annotations.kind', 'rectangle ellipse arrow line freehand marker text highlight'),
+  (16, 'access_grants.authority_basis', 'object-owner explicit-grant project-owner case-role recovery-authority system-policy'), (17, 'project_memberships.membership_role', 'owner contributor'),
+  (18, 'acquired_files.role', 'primary supporting metadata transcript derived annotation redaction_request preview source_metadata network inspection')))"""
+
+
+@query(f"""
+WITH {ALLOWED}, pool AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM (SELECT DISTINCT value FROM allowed UNION SELECT 'exact' UNION SELECT 'withhold') x),
+asked AS (SELECT doc_id, (SELECT DISTINCT name FROM allowed WHERE place = doc_id % 19) AS name, (SELECT value FROM pool WHERE pool.k = (doc_id // 19) % (SELECT count(*) FROM pool)) AS value FROM documents)
+SELECT doc_id, name, value, EXISTS (SELECT 1 FROM allowed a WHERE a.name = asked.name AND a.value = asked.value) AS known FROM asked
+""")
+def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of any column tried on every column, each by some document."""
+    names = (
+        "identifiers.state", "operators.state", "operator_keys.state", "project_memberships.state", "ownership_transfers.state", "record_authority.status", "files.presentation_state", "notes.visibility", "notes.package_disclosure", "note_revisions.revision_type",
+        "export_policy.confidential_plaintext_export", "access_grants.object_type", "exports.scope_type", "exports.state", "export_items.mode", "annotations.kind", "access_grants.authority_basis", "project_memberships.membership_role", "acquired_files.role",
+    )
+    pool = sorted({v for n in names for v in X.ENUMS[n]} | {"exact", "withhold"})
+    n, pick = F.col("doc_id"), lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", pick(names, n % len(names)).alias("name"), pick(pool, F.floor(n / len(names)) % len(pool)).alias("value"))
+    known = F.lit(False)
+    for name in names:
+        known = F.when(F.col("name") == name, X.enum_rule(name, "value")).otherwise(known)
+    return asked.withColumn("known", known)
+
+
+@query("""
+WITH e AS (SELECT vec_id AS n, sha256(CAST(vec_id AS VARCHAR)) AS original_sha256 FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT original_sha256, 'annotation' AS layer, 'a' || n AS id, CASE WHEN n % 3 = 0 THEN 'marker' ELSE 'freehand' END AS kind, 'n' || n AS note, NULL AS reason, CAST(n % 7 AS DOUBLE) AS x, NULL AS width, n + 1 AS original_width FROM e
+UNION ALL SELECT original_sha256, 'redaction', 'r' || n, 'box', NULL, CASE WHEN n % 5 <> 0 THEN 'face' END, CAST(n % 4 AS DOUBLE), 0.5, n + 1 FROM e
+""")
+def review_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as review layers, written as JSON files and read back: a mark or a line of points and a redaction each;
+    those of every eleventh have another schema."""
+    n, path = F.col("vec_id"), f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+    point = F.format_string('{"x":%d,"y":0.5%s}', n % 7, F.when(n % 3 == 0, "").otherwise(',"points":[{"x":0.1,"y":0.2}]'))
+    mark = F.format_string('{"annotation_id":"a%d","kind":"%s","geometry":%s,"note":"n%d"}', n, F.when(n % 3 == 0, "marker").otherwise("freehand"), point, n)
+    cut = F.format_string('{"redaction_id":"r%d","box":{"x":%d,"y":0.5,"width":0.5,"height":0.5}%s}', n, n % 4, F.when(n % 5 == 0, "").otherwise(',"reason":"face"'))
+    body = F.format_string('{"schema":"%s","original_sha256":"%s","original_width":%d,"original_height":%d,"annotations":[%s],"proposed_redactions":[%s]}', F.when(n % 11 == 0, "other/v1").otherwise("image-review/v1"), F.sha2(text("vec_id"), 256), n + 1, n + 1, mark, cut)
+    table(spark, sf_dir, "embeddings").select(body).write.text(path)
+    rows, _ = L.read_review_layers(spark, path, "image-review/v1", lines=True)
+    return rows.select("original_sha256", "layer", "id", "kind", "note", "reason", F.col("geometry")["x"].alias("x"), F.col("geometry")["width"].alias("width"), "original_width")
+
+
 # Endings of collected files, with role, media type, description and relationship to the primary file.
 KINDS = [
     ((".mkv", ".mp4", ".webm"), "primary", None, "media", None), ((".info.json",), "source-metadata", "application/json", "metadata", "describes"),
@@ -370,11 +420,11 @@ def append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.read_ledger(spark, path).select("project_id", "event_sequence", "object_id")
 
 
-@query(f"WITH {FILES} SELECT file_id, content_digest, CASE WHEN doc_id % 3 = 0 THEN 'derived' ELSE 'exact' END AS mode, 'files/' || file_id || '/' || doc_id AS output_path FROM fil WHERE doc_id % 4 <> 0")
+@query(f"WITH {FILES} SELECT file_id, content_digest, CASE WHEN doc_id % 3 = 0 THEN 'derived' ELSE 'native' END AS mode, 'files/' || file_id || '/' || doc_id AS output_path FROM fil WHERE doc_id % 4 <> 0")
 def export_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presented files exported; the payloads of every third are changed on the way."""
     d = files(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    rows = d.select("file_id", "logical_path", "content_digest", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("payload"), F.when(F.col("doc_id") % 4 == 0, "withheld").otherwise("presented").alias("presentation_state"))
+    rows = d.select("file_id", "logical_path", "content_digest", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("payload"), F.when(F.col("doc_id") % 4 == 0, "superseded").otherwise("presented").alias("presentation_state"))
     out = L.export_set(rows, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}", "presented")
     return out.select("file_id", F.col("source_digest").alias("content_digest"), "mode", "output_path")
 
@@ -401,11 +451,11 @@ def state_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'FILE-' || doc_id AS file_id, CASE WHEN doc_id % 6 = 0 AND doc_id % 12 <> 0 THEN 'withheld' ELSE 'presented' END AS now, CASE WHEN doc_id % 6 = 0 AND (doc_id % 12 <> 0 OR doc_id * 10 + 2 > m) THEN 'withheld' ELSE 'presented' END AS was
+SELECT 'FILE-' || doc_id AS file_id, CASE WHEN doc_id % 6 = 0 AND doc_id % 12 <> 0 THEN 'retracted' ELSE 'presented' END AS now, CASE WHEN doc_id % 6 = 0 AND (doc_id % 12 <> 0 OR doc_id * 10 + 2 > m) THEN 'retracted' ELSE 'presented' END AS was
 FROM documents, (SELECT (max(doc_id) // 12 * 12) * 10 + 1 AS m FROM documents) x WHERE doc_id * 10 <= m AND (doc_id % 6 <> 0 OR doc_id * 10 + 1 <= m)
 """)
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files now, and as they were just after the last file whose number is divisible by 12 was withheld, before it was presented again."""
+    """Files now, and as they were just after the last file whose number is divisible by 12 was retracted, before it was presented again."""
     led, spec = file_events(spark, sf_dir), R.projections()["files"]
     upto = (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] // 12 * 12) * 10 + 1
     now = R.project(led, spec)

@@ -155,7 +155,7 @@ def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = F.col("conv_id") % 3 == 0
     author = F.format_string("A%d", F.col("conv_id") % 7)
     body = {"revision": F.col("turn") + 1, "file_id": F.format_string("FILE-%d-%d", "conv_id", "turn"), "revision_type": F.col("role"), "reason": F.when(F.col("turn") > 0, F.lit("edit"))}
-    head = {"visibility": F.when(secret, "confidential").otherwise("project"), "author_id": author, "case_id": F.format_string("C%d", F.col("conv_id") % 5), "package_disclosure": F.lit("withhold")}
+    head = {"visibility": F.when(secret, "confidential").otherwise("project"), "author_id": author, "case_id": F.format_string("C%d", F.col("conv_id") % 5), "package_disclosure": F.lit("withheld")}
     made = event(c.filter("turn = 0"), "NOTE_CREATED", "note", note, n, body | head, author)
     later = [event(c.filter(f"turn > 0 and turn % 2 = {k}"), kind, "note", note, n + F.col("turn"), body, author) for k, kind in ((1, "NOTE_REVISED"), (0, "NOTE_REENCRYPTED"))]
     one = c.filter("turn = 0")
@@ -173,7 +173,7 @@ NOTES = "c AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP
 
 @query(f"""
 WITH {NOTES} SELECT 'NOTE-' || conv_id AS note_id, CASE WHEN conv_id % 3 = 0 THEN 'confidential' ELSE 'project' END AS visibility, 'A' || conv_id % 7 AS author_id, 'C' || conv_id % 5 AS case_id,
-       CAST(latest AS VARCHAR) AS latest_revision, CASE WHEN conv_id % 4 = 0 THEN 'include' ELSE 'withhold' END AS package_disclosure, CAST(conv_id * 1000 AS VARCHAR) AS created_sequence FROM n
+       CAST(latest AS VARCHAR) AS latest_revision, CASE WHEN conv_id % 4 = 0 THEN 'include' ELSE 'withheld' END AS package_disclosure, CAST(conv_id * 1000 AS VARCHAR) AS created_sequence FROM n
 """)
 def replay_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.project(note_events(spark, sf_dir), R.projections()["notes"]).drop("project_id", "subject_file_id")
@@ -204,13 +204,13 @@ def replay_confidential_transfers(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as committed files: every sixth is withheld, every twelfth presented again; each is related to the file
+    """Documents as committed files: every sixth is retracted, every twelfth presented again; each is related to the file
     of twice its number and has an artefact with it."""
     d, n = table(spark, sf_dir, "documents").filter("doc_id is not null"), F.col("doc_id")
     f = F.format_string("FILE-%d", "doc_id")
     made = {"case_id": F.col("source"), "acquisition_id": F.col("lang"), "logical_path": F.concat_ws("/", "source", text("doc_id")), "classification": F.lit("text"), "media_type": F.lit("text/plain"), "content_digest": F.sha2("text", 256), "size_bytes": F.octet_length("text"), "storage_path": F.concat(F.lit("files/"), f)}
     commits = event(d, "FILE_COMMITTED", "file", f, n * 10, made, F.lit("A"), signed=False)
-    seen = [event(d.filter(n % k == 0), "FILE_PRESENTATION_CHANGED", "file", f, n * 10 + at, {"to": F.lit(to), "reason": F.lit("r")}, signed=False) for k, at, to in ((6, 1, "withheld"), (12, 2, "presented"))]
+    seen = [event(d.filter(n % k == 0), "FILE_PRESENTATION_CHANGED", "file", f, n * 10 + at, {"to": F.lit(to), "reason": F.lit("r")}, signed=False) for k, at, to in ((6, 1, "retracted"), (12, 2, "presented"))]
     twice = F.format_string("FILE-%d", n * 2)
     related = event(d, "FILE_RELATIONSHIP_ADDED", "file", f, n * 10 + 3, {"parent_file_id": f, "child_file_id": twice, "relationship": F.lit("describes")}, signed=False)
     art = event(d, "ARTEFACT_CREATED", "artefact", F.format_string("ART-%d", "doc_id"), n * 10 + 4, {"case_id": F.col("source"), "acquisition_id": F.col("lang"), "role": F.lit("primary"), "description": F.lit("d"), "file_ids": F.array(f, twice)}, signed=False)
@@ -219,7 +219,7 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT 'FILE-' || doc_id AS file_id, source AS case_id, lang AS acquisition_id, source || '/' || doc_id AS logical_path, 'text' AS classification, 'text/plain' AS media_type, sha256(text) AS content_digest, CAST(octet_length(encode(text)) AS VARCHAR) AS size_bytes,
-       'files/FILE-' || doc_id AS storage_path, 'A' AS actor_id, CAST(doc_id * 10 AS VARCHAR) AS committed_sequence, CASE WHEN doc_id % 6 = 0 AND doc_id % 12 <> 0 THEN 'withheld' ELSE 'presented' END AS presentation_state FROM documents
+       'files/FILE-' || doc_id AS storage_path, 'A' AS actor_id, CAST(doc_id * 10 AS VARCHAR) AS committed_sequence, CASE WHEN doc_id % 6 = 0 AND doc_id % 12 <> 0 THEN 'retracted' ELSE 'presented' END AS presentation_state FROM documents
 """)
 def replay_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.project(file_events(spark, sf_dir), R.projections()["files"]).drop("project_id")

@@ -151,6 +151,9 @@ WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders), x AS (
   UNION ALL SELECT 'exports', 'manifest-digest', CAST(k AS VARCHAR) FROM o WHERE k % 23 <> 0 AND k % 29 = 0
   UNION ALL SELECT 'exports', 'output-digest', CAST(k AS VARCHAR) FROM o WHERE k % 23 <> 0 AND k % 31 = 0
   UNION ALL SELECT 'exports', 'unanchored', CAST(k AS VARCHAR) FROM o WHERE k % 37 = 0
+  UNION ALL SELECT DISTINCT 'exports', 'derived-but-equal', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 4 AND l_orderkey % 53 = 0 AND l_orderkey % 59 <> 0
+  UNION ALL SELECT DISTINCT 'exports', 'native-but-changed', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 4 AND l_orderkey % 59 = 0 AND l_orderkey % 53 <> 0 AND l_orderkey % 61 <> 0
+  UNION ALL SELECT DISTINCT 'exports', 'unknown-mode', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 4 AND l_orderkey % 61 = 0 AND l_orderkey % 53 <> 0
   UNION ALL SELECT DISTINCT 'export-items', 'missing', l_orderkey || '/p' || l_linenumber FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 41 = 0
   UNION ALL SELECT DISTINCT 'export-items', 'changed', l_orderkey || '/p' || l_linenumber FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 43 = 0
   UNION ALL SELECT DISTINCT 'export-bytes', 'missing', l_orderkey || '/p' || l_linenumber FROM lineitem WHERE l_linenumber = 3 AND l_orderkey % 47 = 0
@@ -160,13 +163,14 @@ SELECT * FROM x
 """)
 def verify_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as exports of their lines: unfinished ones, wrong digests of manifest or output, anchors that history lacks,
-    items left out of the manifest or changed, files lost."""
+    items left out of the manifest or changed, files lost; derived items that equal their source, native ones that do not, modes
+    that are none."""
     k = F.col("o_orderkey")
     e = table(spark, sf_dir, "orders").select("o_orderkey").distinct().select(text("o_orderkey").alias("export_id"), "o_orderkey", F.lit("P").alias("project_id"), k.alias("event_count"), F.when(k % 37 == 0, "x").otherwise(F.concat(F.lit("h"), text("o_orderkey"))).alias("chain_head"), F.when(k % 29 == 0, "x").otherwise("m").alias("manifest_digest"), F.when(k % 31 == 0, "x").otherwise("o").alias("output_digest"))
     history = e.select("project_id", F.col("event_count").alias("event_sequence"), F.concat(F.lit("h"), "export_id").alias("event_hash"))
     exports = e.select("export_id", F.when(k % 23 == 0, "failed").otherwise("completed").alias("state"), F.lit("m").alias("manifest_digest"), F.lit("o").alias("output_digest"))
     n, line = F.col("l_orderkey"), F.col("l_linenumber")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select("l_orderkey", "l_linenumber", text("l_orderkey").alias("export_id"), F.concat(F.lit("p"), text("l_linenumber")).alias("output_path"), F.lit("f").alias("file_id"), F.lit("s").alias("source_digest"), F.lit("s").alias("output_digest"), F.lit("exact").alias("mode"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select("l_orderkey", "l_linenumber", text("l_orderkey").alias("export_id"), F.concat(F.lit("p"), text("l_linenumber")).alias("output_path"), F.lit("f").alias("file_id"), F.lit("s").alias("source_digest"), F.when((line == 4) & (n % 59 == 0), "z").otherwise("s").alias("output_digest"), F.when((line == 4) & (n % 53 == 0), "derived").when((line == 4) & (n % 61 == 0), "exact").otherwise("native").alias("mode"))
     said = items.filter(~((line == 1) & (n % 41 == 0))).withColumn("file_id", F.when((line == 2) & (n % 43 == 0), "g").otherwise("f"))
     seen = items.filter(~((line == 3) & (n % 47 == 0))).select("export_id", "output_path", F.col("output_digest").alias("content_digest"))
     return V.verify_exports(e, said, items, seen, history, exports).select("target", "rule", "key")
@@ -250,7 +254,7 @@ def verify_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four numbers of embeddings as boxes of redactions."""
     e, n, at = table(spark, sf_dir, "embeddings"), F.col("vec_id"), lambda i: F.get("embedding", F.lit(i)).cast("double")
     box = F.create_map(F.lit("x"), at(0), F.lit("y"), at(1), F.lit("width"), at(2), F.lit("height"), at(3))
-    layers = e.select(text("vec_id").alias("file_id"), F.when(n % 4 == 0, "zz").otherwise(F.sha2(text("vec_id"), 256)).alias("source_digest"), F.lit(10).alias("pixel_width"), F.when(n % 6 == 0, 0).otherwise(10).alias("pixel_height"), F.lit("redaction").alias("layer"), text("vec_id").alias("id"), F.lit("box").alias("kind"), F.when(n % 5 == 0, " ").otherwise("r").alias("reason"), box.alias("geometry"))
+    layers = e.select(F.when(n % 4 == 0, "zz").otherwise(F.sha2(text("vec_id"), 256)).alias("original_sha256"), F.lit(10).alias("original_width"), F.when(n % 6 == 0, 0).otherwise(10).alias("original_height"), F.lit("redaction").alias("layer"), text("vec_id").alias("id"), F.lit("box").alias("kind"), F.when(n % 5 == 0, " ").otherwise("r").alias("reason"), box.alias("geometry"))
     return V.verify_reviews(layers).select("key", "rule")
 
 

@@ -64,14 +64,22 @@ def promote_metadata(df: DataFrame, json_col: str, fields: tuple[str, ...] = ("t
     return rows.select(*df.columns, *[F.when(~bad, F.col(f"_m.{f}")).alias(f) for f in fields], F.when(F.col(json_col).isNull(), "no metadata").when(bad, "metadata is no JSON object").alias("observation"))
 
 
-def read_review_layers(spark: SparkSession, path: str, schema_name: str) -> tuple[DataFrame, DataFrame]:
-    """The annotations and redactions of review layers, one row each, and findings for files of other schemas."""
-    box = "struct<id:string,kind:string,reason:string,geometry:map<string,double>>"
-    shape = f"schema string, file_id string, source_digest string, pixel_width bigint, pixel_height bigint, annotations array<{box}>, redactions array<{box}>"
-    every = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
-    layers = every.filter(F.col("schema") == schema_name)
-    each = lambda c, n: layers.select("file_id", "source_digest", "pixel_width", "pixel_height", F.lit(n).alias("layer"), F.explode(c).alias("x")).select("*", "x.*").drop("x")
-    return each("annotations", "annotation").unionByName(each("redactions", "redaction")), strange_schemas(every, schema_name)
+def read_review_layers(spark: SparkSession, path: str, schema_name: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The annotations and proposed redactions of review layers, one row each (original_sha256, original_width,
+    original_height, created_utc, layer, id, kind, note, label, reason, category, geometry), and findings for files of other
+    schemas. geometry holds what is a number; an annotation's whole geometry is text in geometry_json. A
+    file is one layer, or with lines=True each line of it is."""
+    annotation = "struct<annotation_id:string,kind:string,geometry:string,note:string,label:string>"
+    redaction = "struct<redaction_id:string,box:struct<x:double,y:double,width:double,height:double>,reason:string,category:string>"
+    shape = f"schema string, original_sha256 string, original_width bigint, original_height bigint, created_utc string, annotations array<{annotation}>, proposed_redactions array<{redaction}>"
+    every = spark.read.schema(shape).option("multiLine", not lines).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
+    layers, none = every.filter(F.col("schema") == schema_name), F.lit(None).cast("string")
+    head = ["original_sha256", "original_width", "original_height", "created_utc"]
+    numbers = F.map_filter(F.transform_values(F.from_json("x.geometry", "map<string,string>"), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+    notes = layers.select(*head, F.explode("annotations").alias("x")).select(*head, F.lit("annotation").alias("layer"), F.col("x.annotation_id").alias("id"), "x.kind", "x.note", "x.label", none.alias("reason"), none.alias("category"), numbers.alias("geometry"), F.col("x.geometry").alias("geometry_json"))
+    box = F.create_map(*[part for k in ("x", "y", "width", "height") for part in (F.lit(k), F.col(f"x.box.{k}"))])
+    cuts = layers.select(*head, F.explode("proposed_redactions").alias("x")).select(*head, F.lit("redaction").alias("layer"), F.col("x.redaction_id").alias("id"), F.lit("box").alias("kind"), none.alias("note"), none.alias("label"), "x.reason", "x.category", box.alias("geometry"), F.to_json("x.box").alias("geometry_json"))
+    return notes.unionByName(cuts), strange_schemas(every, schema_name)
 
 
 def snapshot(tables: dict[str, DataFrame], upto: int, seq: dict[str, str], ledger: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -126,14 +134,14 @@ def write_checkpoint(path: str, ledger: DataFrame, state_digest: DataFrame) -> N
 def export_set(files: DataFrame, out: str, view: str = "full", partition: str | None = None, transform=None) -> DataFrame:
     """Write the files of a view and return the item manifest (file_id, output_path, source_digest, output_digest, mode).
 
-    mode is `exact`, or `derived` for payloads that transform (a column function of the payload) changes.
+    mode is `native`, or `derived` for payloads that transform (a column function of the payload) changes.
     """
     from ..functions.text import safe_leaf, strip_suffix
 
     rows = files if view == "full" else files.filter("presentation_state = 'presented'")
     rows = rows.withColumn("payload", transform(F.col("payload"))) if transform else rows
     rows = rows.withColumns({"output_path": F.concat_ws("/", F.lit("files"), "file_id", strip_suffix(safe_leaf("logical_path"))), "output_digest": digest("payload")})
-    rows = rows.withColumn("mode", F.when(F.col("output_digest").eqNullSafe(F.col("content_digest")), "exact").otherwise("derived"))
+    rows = rows.withColumn("mode", F.when(F.col("output_digest").eqNullSafe(F.col("content_digest")), "native").otherwise("derived"))
     writer = rows.write.partitionBy(partition) if partition else rows.write
     writer.parquet(out)
     return rows.select("file_id", "output_path", F.col("content_digest").alias("source_digest"), "output_digest", "mode")

@@ -20,23 +20,23 @@ def identity(n):
 def clean():
     """(type, object type, object id, actor, data) of a ledger that breaks no rule."""
     scope = [{"object_type": "note", "object_id": "N1"}]
-    file = lambda n, path: ("FILE_COMMITTED", "file", f"FILE-{n}", 1, {"case_id": "C1", "acquisition_id": "A1", "logical_path": path, "classification": "confidential-note-revision", "content_digest": f"d{n}", "size_bytes": n, "storage_path": f"s/{n}"})
+    file = lambda n, path: ("FILE_COMMITTED", "file", f"FILE-{n}", 1, {"case_id": "CASE-000001", "acquisition_id": "A1", "logical_path": path, "classification": "confidential-note-revision", "content_digest": f"d{n}", "size_bytes": n, "storage_path": f"s/{n}"})
     return [
         ("PROJECT_GENESIS", "project", "P", 1, {"operator_ref": "1", "operator_uuid": "u1", "public_key": "k", "identity": identity(1), "export_policy": POLICY}),
         ("CONTRIBUTOR_INVITED", "operator", "OP-2", 1, {"operator_ref": "2", "operator_uuid": "u2", "public_key": "k", "identity": identity(2)}),
         ("CONTRIBUTOR_ACCEPTED", "operator", "OP-2", 2, {}),
-        ("IDENTIFIER_ISSUED", "identifier", "C1", 1, {"namespace": "case", "sequence": 1}),
-        ("CASE_OWNERSHIP_ASSIGNED", "case", "C1", 1, {"owner_id": "OP-1"}),
+        ("IDENTIFIER_ISSUED", "identifier", "CASE-000001", 1, {"namespace": "case", "sequence": 1}),
+        ("CASE_OWNERSHIP_ASSIGNED", "case", "CASE-000001", 1, {"owner_id": "OP-1"}),
         file(1, "a/b"), file(2, "a/c"),
         ("FILE_RELATIONSHIP_ADDED", "file", "FILE-1", 1, {"parent_file_id": "FILE-1", "child_file_id": "FILE-2", "relationship": "describes"}),
-        ("ARTEFACT_CREATED", "artefact", "ART-1", 1, {"case_id": "C1", "acquisition_id": "A1", "file_ids": ["FILE-1"], "role": "primary"}),
-        ("ACQUISITION_RECORDED", "acquisition", "A1", 2, {"case_id": "C1", "status": "pending", "file_ids": ["FILE-1", "FILE-2"]}),
+        ("ARTEFACT_CREATED", "artefact", "ART-1", 1, {"case_id": "CASE-000001", "acquisition_id": "A1", "file_ids": ["FILE-1"], "role": "primary"}),
+        ("ACQUISITION_RECORDED", "acquisition", "A1", 2, {"case_id": "CASE-000001", "status": "pending", "file_ids": ["FILE-1", "FILE-2"]}),
         ("RECORD_REJECTED", "acquisition", "A1", 1, {"reason": "blurred"}),
-        ("FILE_PRESENTATION_CHANGED", "file", "FILE-2", 1, {"to": "withheld", "reason": "private"}),
-        ("OWNERSHIP_TRANSFER_PROPOSED", "case", "C1", 1, {"transfer_id": "T1", "from_operator_id": "OP-1", "to_operator_id": "OP-2", "reason": "leave"}),
-        ("OWNERSHIP_TRANSFER_ACCEPTED", "case", "C1", 2, {"transfer_id": "T1"}),
+        ("FILE_PRESENTATION_CHANGED", "file", "FILE-2", 1, {"to": "retracted", "reason": "private"}),
+        ("OWNERSHIP_TRANSFER_PROPOSED", "case", "CASE-000001", 1, {"transfer_id": "T1", "from_operator_id": "OP-1", "to_operator_id": "OP-2", "reason": "leave"}),
+        ("OWNERSHIP_TRANSFER_ACCEPTED", "case", "CASE-000001", 2, {"transfer_id": "T1"}),
         ("EXPORT_POLICY_CHANGED", "project", "P", 1, {"previous": POLICY, "policy": POLICY | {"ordinary_export": "members"}}),
-        ("NOTE_CREATED", "note", "N1", 1, {"visibility": "confidential", "author_id": "OP-1", "revision": 1, "package_disclosure": "withhold", "file_id": "FILE-1", "payload_digest": "d1"}),
+        ("NOTE_CREATED", "note", "N1", 1, {"visibility": "confidential", "author_id": "OP-1", "revision": 1, "package_disclosure": "withheld", "file_id": "FILE-1", "payload_digest": "d1"}),
         ("NOTE_REVISED", "note", "N1", 1, {"revision": 2, "reason": "typo", "file_id": "FILE-2", "payload_digest": "d2"}),
         ("NOTE_DISCLOSURE_CHANGED", "note", "N1", 1, {"package_disclosure": "include"}),
         ("CONFIDENTIAL_ACCESS_GRANTED", "note", "N1", 1, {"operator_id": "OP-2", "authority_basis": "explicit-grant", "reason": "help"}),
@@ -44,8 +44,8 @@ def clean():
         ("CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED", "transfer", "CT1", 1, {"from_operator_id": "OP-1", "to_operator_id": "OP-2", "reason": "leave", "scope": scope}),
         ("CONFIDENTIAL_AUTHORITY_TRANSFER_ACCEPTED", "transfer", "CT1", 2, {"scope": scope}),
         ("EXPORT_STARTED", "export", "E1", 1, {"scope_type": "case", "view_mode": "full", "representation": "native", "output_format": "tar", "policy_sequence": 15}),
-        ("EXPORT_COMPLETED", "export", "E1", 1, {"manifest_digest": "m", "output_digest": "o", "items": [{"file_id": "FILE-1", "output_path": "x", "source_digest": "d1", "output_digest": "d1", "mode": "exact"}]}),
-        ("IDENTIFIER_RETIRED", "identifier", "C1", 1, {}),
+        ("EXPORT_COMPLETED", "export", "E1", 1, {"manifest_digest": "m", "output_digest": "o", "items": [{"file_id": "FILE-1", "output_path": "x", "source_digest": "d1", "output_digest": "d1", "mode": "native"}]}),
+        ("IDENTIFIER_RETIRED", "identifier", "CASE-000001", 1, {}),
     ]
 
 
@@ -74,7 +74,7 @@ def change(events, kind, actor=None, data=None, oid=None):
 
 MORE = [
     ("R1", lambda e: change(e, "IDENTIFIER_ISSUED", data={"sequence": 2})), ("R9", lambda e: change(e, "ACQUISITION_RECORDED", data={"file_ids": ["FILE-2", "FILE-1"]})), ("R9", lambda e: change(e, "ACQUISITION_RECORDED", data={"file_ids": ["FILE-1"]})),
-    ("R9", lambda e: [("IDENTIFIER_ISSUED", "identifier", "A7", 1, {"namespace": "acquisition", "sequence": 7}) if x[0] == "EXPORT_STARTED" else x for x in e]), ("R12", lambda e: [*e, ("FILE_COMMITTED", "file", "FILE-3", 1, {"case_id": "C1", "logical_path": "z"})]),
+    ("R9", lambda e: [("IDENTIFIER_ISSUED", "identifier", "A7", 1, {"namespace": "acquisition", "sequence": 7}) if x[0] == "EXPORT_STARTED" else x for x in e]), ("R12", lambda e: [*e, ("FILE_COMMITTED", "file", "FILE-3", 1, {"case_id": "CASE-000001", "logical_path": "z"})]),
     ("R16", lambda e: change(e, "NOTE_CREATED", data={"author_id": "OP-2"})), ("R16", lambda e: change(e, "NOTE_REVISED", actor=2)), ("R16", lambda e: change(e, "NOTE_CREATED", data={"case_id": "C2", "subject_file_id": "FILE-1"})),
     ("R20", lambda e: change(e, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED", data={"from_operator_id": "OP-2"})), ("R20", lambda e: [*e[:21], ("CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED", "transfer", "CT2", 1, e[20][4]), *e[21:]]),
     ("R21", lambda e: change(e, "CONFIDENTIAL_AUTHORITY_TRANSFER_ACCEPTED", data={"scope": [{"object_type": "box", "object_id": "N1"}]})),
@@ -88,9 +88,9 @@ def test_further_conditions_are_found(spark, rule, tamper):
 
 
 CASES = [
-    ("R1", lambda e: [*e, ("IDENTIFIER_FAILED", "identifier", "C1", 1, {})]), ("R2", lambda e: [*e, e[0]]), ("R3", lambda e: change(e, "CONTRIBUTOR_INVITED", actor=2)), ("R4", lambda e: [*e, e[2]]),
+    ("R1", lambda e: [*e, ("IDENTIFIER_FAILED", "identifier", "CASE-000001", 1, {})]), ("R2", lambda e: [*e, e[0]]), ("R3", lambda e: change(e, "CONTRIBUTOR_INVITED", actor=2)), ("R4", lambda e: [*e, e[2]]),
     ("R5", lambda e: [*e, ("CONTRIBUTOR_REMOVED", "operator", "OP-2", 1, {"reason": " "})]), ("R6", lambda e: change(e, "OWNERSHIP_TRANSFER_PROPOSED", data={"to_operator_id": "OP-9"})),
-    ("R7", lambda e: change(e, "OWNERSHIP_TRANSFER_ACCEPTED", actor=1)), ("R7", lambda e: [*e, ("OWNERSHIP_TRANSFER_CANCELLED", "case", "C1", 1, {"transfer_id": "T1"})]), ("R8", lambda e: change(e, "CASE_OWNERSHIP_ASSIGNED", actor=2)),
+    ("R7", lambda e: change(e, "OWNERSHIP_TRANSFER_ACCEPTED", actor=1)), ("R7", lambda e: [*e, ("OWNERSHIP_TRANSFER_CANCELLED", "case", "CASE-000001", 1, {"transfer_id": "T1"})]), ("R8", lambda e: change(e, "CASE_OWNERSHIP_ASSIGNED", actor=2)),
     ("R9", lambda e: change(e, "ACQUISITION_RECORDED", data={"status": "approved"})), ("R10", lambda e: change(e, "RECORD_REJECTED", data={"reason": ""})), ("R10", lambda e: change(e, "RECORD_REJECTED", actor=2)),
     ("R11", lambda e: change(e, "EXPORT_POLICY_CHANGED", data={"policy": POLICY | {"ordinary_export": "all"}})), ("R12", lambda e: change(e, "FILE_COMMITTED", data={"logical_path": "../x"})), ("R13", lambda e: change(e, "FILE_PRESENTATION_CHANGED", data={"reason": None})),
     ("R14", lambda e: change(e, "FILE_RELATIONSHIP_ADDED", data={"child_file_id": "FILE-9"})), ("R15", lambda e: change(e, "ARTEFACT_CREATED", data={"case_id": "C2"})), ("R16", lambda e: change(e, "NOTE_REVISED", data={"revision": 3})),
@@ -131,7 +131,7 @@ def test_state_verifiers(spark, state):
     assert names(V.verify_notes(ledger, live["notes"], live["note_revisions"], other)) == {("note_revisions", "revision-class", "N1/1"), ("note_revisions", "revision-digest", "N1/2")}
     rebuilt = {n: f(ledger) for n, (f, _) in V.REBUILT.items()}
     assert names(V.verify_state(ledger, rebuilt)) == set()
-    assert names(V.verify_state(ledger, {"ownership": rebuilt["ownership"].withColumn("owner_id", F.lit("OP-3"))})) == {("ownership", "changed", "P/project/P"), ("ownership", "changed", "P/case/C1")}
+    assert names(V.verify_state(ledger, {"ownership": rebuilt["ownership"].withColumn("owner_id", F.lit("OP-3"))})) == {("ownership", "changed", "P/project/P"), ("ownership", "changed", "P/case/CASE-000001")}
     assert ("notes", "latest-pointer", "N1") in names(V.verify_notes(ledger, live["notes"].withColumn("latest_revision", F.lit("3")), live["note_revisions"], live["files"]))
     assert names(V.verify_acquisitions(ledger, live["files"])) == set()
     assert names(V.verify_acquisitions(ledger, live["files"].filter("file_id = 'FILE-1'"))) == {("P", "membership", "A1")}
@@ -155,7 +155,7 @@ def test_event_verifiers(spark, state):
 def test_scopes(spark, state):
     ledger, live = state
     held = {"files": live["files"], "artefact_files": R.artefact_files(ledger), "note_revisions": live["note_revisions"], "export_items": R.export_items(ledger), "file_relationships": live["file_relationships"]}
-    targets = spark.createDataFrame([("project", "P"), ("case", "C1"), ("acquisition", "A1"), ("artefact", "ART-1"), ("note", "N1"), ("export", "E1"), ("file", "FILE-2"), ("file", "FILE-9"), ("box", "B")], "scope_type string, scope_id string")
+    targets = spark.createDataFrame([("project", "P"), ("case", "CASE-000001"), ("acquisition", "A1"), ("artefact", "ART-1"), ("note", "N1"), ("export", "E1"), ("file", "FILE-2"), ("file", "FILE-9"), ("box", "B")], "scope_type string, scope_id string")
     found, missing = Q.resolve_scopes(targets, held)
     got = {}
     for r in found.collect():
@@ -173,8 +173,8 @@ def test_scopes(spark, state):
 
 
 def test_reviews_and_packages(spark):
-    layers = spark.createDataFrame([("F", "0" * 64, 10, 10, "redaction", "a", "box", "why", {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}), ("F", "0" * 64, 10, 0, "redaction", "b", "box", " ", {"x": 0.8, "y": 0.8, "width": 0.3, "height": 0.1}), ("F", "zz", 1, 1, "annotation", "c", "point", None, {"x": 0.5, "y": 1.5})], "file_id string, source_digest string, pixel_width int, pixel_height int, layer string, id string, kind string, reason string, geometry map<string,double>")
-    assert names(V.verify_reviews(layers)) == {("F", "review-dimensions", "b"), ("F", "review-geometry", "b"), ("F", "review-reason", "b"), ("F", "review-digest", "c"), ("F", "review-geometry", "c")}
+    layers = spark.createDataFrame([("0" * 64, 10, 10, "redaction", "a", "box", "why", {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}), ("0" * 64, 10, 0, "redaction", "b", "box", " ", {"x": 0.8, "y": 0.8, "width": 0.3, "height": 0.1}), ("zz", 1, 1, "annotation", "c", "point", None, {"x": 0.5, "y": 1.5}), ("1" * 64, 1, 1, "annotation", "d", "marker", None, {"x": 0.5, "y": 0.5})], "original_sha256 string, original_width int, original_height int, layer string, id string, kind string, reason string, geometry map<string,double>")
+    assert names(V.verify_reviews(layers)) == {("0" * 64, "review-dimensions", "b"), ("0" * 64, "review-geometry", "b"), ("0" * 64, "review-reason", "b"), ("zz", "review-digest", "c"), ("zz", "review-geometry", "c"), ("zz", "review-kind", "c")}
     manifest = spark.createDataFrame([("a", "1"), ("../b", "2"), ("c", "3")], "path string, content_digest string")
     observed = spark.createDataFrame([("a", "1"), ("../b", "2"), ("d", "4")], "path string, content_digest string")
     assert names(V.verify_package(manifest, observed)) == {("package", "unsafe-path", "../b"), ("package", "missing", "c"), ("package", "extra", "d")}

@@ -119,7 +119,7 @@ def test_replay(spark):
         event(11, "ARTEFACT_CREATED", "ART-1", {"file_ids": ["F1", "F2"], "role": "primary"}, signed=False),
         event(12, "IDENTIFIER_ISSUED", "CASE-000001", {"namespace": "case", "sequence": 1}, signed=False),
         event(13, "IDENTIFIER_RETIRED", "CASE-000001", {}, signed=False),
-        event(14, "NOTE_CREATED", "N1", {"visibility": "confidential", "author_id": "OP-1", "revision": 1, "package_disclosure": "withhold", "file_id": "F9"}, otype="note"),
+        event(14, "NOTE_CREATED", "N1", {"visibility": "confidential", "author_id": "OP-1", "revision": 1, "package_disclosure": "withheld", "file_id": "F9"}, otype="note"),
         event(15, "NOTE_REVISED", "N1", {"revision": 2, "file_id": "F10"}, otype="note"),
         event(16, "RECORD_REJECTED", "A9", {"reason": "no submission"}, otype="acquisition"),
         event(17, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED", "CT1", {"from_operator_id": "OP-1", "to_operator_id": "OP-2", "reason": "r", "scope": [{"object_type": "note", "object_id": "N1"}]}),
@@ -137,7 +137,7 @@ def test_replay(spark):
     assert {r["file_id"] for r in R.artefact_files(ledger).collect()} == {"F1", "F2"}
     assert one("identifiers", "true")[0]["state"] == "retired"
     assert R.counters(ledger).first()["next_value"] == 2
-    assert [(r["latest_revision"], r["package_disclosure"]) for r in R.project(ledger, p["notes"]).collect()] == [("2", "withhold")]
+    assert [(r["latest_revision"], r["package_disclosure"]) for r in R.project(ledger, p["notes"]).collect()] == [("2", "withheld")]
     assert R.project(ledger, p["note_revisions"]).count() == 2
     assert R.project(ledger, p["record_authority"]).count() == 0
     assert [(r["authority_id"], r["effective_sequence"]) for r in R.confidential_authority(ledger).collect()] == [("OP-2", 18)]
