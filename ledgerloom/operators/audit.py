@@ -15,8 +15,8 @@ from ..functions.text import ENUMS, PREFIXES, format_id, has_reason, is_safe_pat
 from . import decisions
 from . import replay as R
 from .findings import finding
-from .matching import asof_join
 from .sets import union_all
+from .sweeps import SLICE, asof_join
 
 SEQ = "event_sequence"
 EDGES = {
@@ -73,13 +73,13 @@ def members(events: DataFrame) -> DataFrame:
 def with_owner(df: DataFrame, events: DataFrame, scope: Column) -> DataFrame:
     """Events with _owner, who owned the scope just before each."""
     rows = df.withColumns({"scope": scope, "_just": F.col(SEQ) - 1})
-    return asof_join(rows, owners(events), ["project_id", "scope"], "_just", "seq", ["owner"]).withColumnRenamed("owner", "_owner")
+    return asof_join(rows, owners(events), ["project_id", "scope"], "_just", "seq", ["owner"], width=SLICE).withColumnRenamed("owner", "_owner")
 
 
 def with_state(df: DataFrame, events: DataFrame, member: Column) -> DataFrame:
     """Events with _state, the membership of someone just before each."""
     rows = df.withColumns({"member": member, "_just": F.col(SEQ) - 1})
-    return asof_join(rows, members(events), ["project_id", "member"], "_just", "seq", ["state"]).withColumnRenamed("state", "_state")
+    return asof_join(rows, members(events), ["project_id", "member"], "_just", "seq", ["state"], width=SLICE).withColumnRenamed("state", "_state")
 
 
 PROJECT = "project"
@@ -91,7 +91,7 @@ def with_id_state(df: DataFrame, events: DataFrame, namespace: str, identifier:
     state = F.when(F.col("event_type") == "IDENTIFIER_ISSUED", R.data("namespace")).otherwise("closed")
     changes = of(events, *EDGES["R1"][1]).select("project_id", F.col("object_id").alias("identifier"), F.col(SEQ).alias("seq"), state.alias("_now"))
     some = of(events, "IDENTIFIER_ISSUED").filter(R.data("namespace") == namespace).select("project_id").distinct().withColumn("_issues", F.lit(True))
-    rows = asof_join(df.withColumns({"identifier": identifier, "_just": F.col(SEQ) - 1}), changes, ["project_id", "identifier"], "_just", "seq", ["_now"]).join(some, "project_id", "left")
+    rows = asof_join(df.withColumns({"identifier": identifier, "_just": F.col(SEQ) - 1}), changes, ["project_id", "identifier"], "_just", "seq", ["_now"], width=SLICE).join(some, "project_id", "left")
     ok = F.col("identifier").isNull() | (F.col("_now").isNull() & F.col("_issues").isNull()) | F.coalesce(F.col("_now") == namespace, F.lit(False))
     return rows.withColumn("_id_ok", ok).drop("identifier", "_just", "_now", "_issues")
 
@@ -236,11 +236,11 @@ def r16(events: DataFrame) -> DataFrame:
     rows = of(events, "NOTE_CREATED", "NOTE_REVISED", "NOTE_REENCRYPTED").withColumn("_r", R.signed("revision").cast("long"))
     life = Window.partitionBy("project_id", "object_id").orderBy(SEQ)
     rows = rows.withColumns({"_last": F.lag("_r").over(life), "_author": F.first(R.signed("author_id"), True).over(life), "_visibility": F.first(R.signed("visibility"), True).over(life), "_file": R.signed("subject_file_id"), "object": F.col("object_id"), "_just": F.col(SEQ) - 1})
-    rows = asof_join(rows, authorities(events), ["project_id", "object"], "_just", "seq", ["held"]).drop("object")
+    rows = asof_join(rows, authorities(events), ["project_id", "object"], "_just", "seq", ["held"], width=SLICE).drop("object")
     grants = grant_life(events).filter("object_type = 'note'")
     open_now = F.sum(F.when(F.col("event_type") == "CONFIDENTIAL_ACCESS_GRANTED", 1).otherwise(-1)).over(Window.partitionBy("project_id", "_who", "object_id").orderBy(SEQ))
     opened = grants.select("project_id", F.col("_who").alias("actor_id"), "object_id", F.col(SEQ).alias("seq"), open_now.alias("_open"))
-    rows = asof_join(rows, opened, ["project_id", "actor_id", "object_id"], "_just", "seq", ["_open"])
+    rows = asof_join(rows, opened, ["project_id", "actor_id", "object_id"], "_just", "seq", ["_open"], width=SLICE)
     rows = rows.join(committed(events).select("project_id", "_file", F.col("_case").alias("_file_case"), F.col("_at").alias("_file_at")), ["project_id", "_file"], "left")
     subject = F.col("_file").isNull() | ((F.col("_file_at") < F.col(SEQ)) & (R.signed("case_id").isNull() | F.col("_file_case").isNull() | (F.col("_file_case") == R.signed("case_id"))))
     new = (F.col("event_type") == "NOTE_CREATED") & R.signed("visibility").isin(*VISIBILITY) & (F.col("_r") == 1) & F.col("_last").isNull() & (F.col("actor_id") == R.signed("author_id")) & subject
@@ -278,7 +278,7 @@ def r20(events: DataFrame) -> DataFrame:
     rows = with_state(with_owner(of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED"), events, F.lit(PROJECT)), events, R.signed("to_operator_id"))
     rows = rows.withColumns({"_source": R.signed("from_operator_id"), "_scope": F.from_json(R.signed("scope"), "array<struct<object_type:string,object_id:string>>")})
     each = rows.select("project_id", SEQ, "_source", (F.col(SEQ) - 1).alias("_just"), F.explode("_scope").alias("s")).select("*", F.col("s.object_id").alias("object")).drop("s")
-    held = asof_join(each, authorities(events), ["project_id", "object"], "_just", "seq", ["held"])
+    held = asof_join(each, authorities(events), ["project_id", "object"], "_just", "seq", ["held"], width=SLICE)
     controls = held.groupBy("project_id", SEQ).agg(F.every(F.col("held").eqNullSafe(F.col("_source"))).alias("_controls"))
     parties = of(events, "CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED").select("project_id", "object_id", R.signed("from_operator_id").alias("_from"), R.signed("to_operator_id").alias("_to"))
     life = of(events, *EDGES["R22"][1]).join(parties, ["project_id", "object_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_broad, is_confidential
-from .matching import valid_at
+from .sweeps import valid_at
 
 # What each policy field may say.
 POLICY_FIELDS = {
@@ -93,11 +93,11 @@ def transfer_effects(accepted: DataFrame, grants: DataFrame, basis: str = "objec
     return moves.unionByName(closes).unionByName(opens)
 
 
-def grants_at(requests: DataFrame, grants: DataFrame, keys: tuple[str, ...] = ("operator_id", "object_type", "object_id"), seq: str | None = None) -> DataFrame:
-    """Requests joined to each grant that holds: now, or at the request's own sequence."""
+def grants_at(requests: DataFrame, grants: DataFrame, keys: tuple[str, ...] = ("operator_id", "object_type", "object_id"), seq: str | None = None, width: int | None = None) -> DataFrame:
+    """Requests joined to each grant that holds: now, or at the request's own sequence (width: as of valid_at)."""
     if seq is None:
         return requests.join(grants.filter("revoked_sequence is null"), list(keys))
-    return valid_at(requests, grants, list(keys), seq, "granted_sequence", "revoked_sequence")
+    return valid_at(requests, grants, list(keys), seq, "granted_sequence", "revoked_sequence", width)
 
 
 def grant_bases(grants: DataFrame, keys: list[str]) -> DataFrame:

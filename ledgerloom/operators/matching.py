@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .findings import COLUMNS, finding, row_findings
+from .sweeps import asof_join, valid_at  # noqa: F401
 
 
 def same_keys(left: list[str], right: list[str]) -> Column:
@@ -109,32 +110,11 @@ def resolve_endpoints(edges: DataFrame, files: DataFrame, path: str = "logical_p
     return ends, found[0].unionByName(found[1])
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_seq: str, right_seq: str, columns: list[str]) -> DataFrame:
-    """left with columns of the last row of right at or before its sequence in the same group; null where there is none.
-
-    Both sides are laid in one order and the last values are carried on, so nothing is multiplied; one shuffle.
-    """
-    right_row = F.struct(*[F.col(c).alias(c) for c in columns])
-    a = left.select(*by, F.col(left_seq).alias("_seq"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(right_row.alias("x")).schema["x"].dataType).alias("_held"))
-    b = right.select(*by, F.col(right_seq).alias("_seq"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), right_row.alias("_held"))
-    order = Window.partitionBy(*by).orderBy("_seq", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("_last", F.last("_held", ignorenulls=True).over(order))
-    return carried.filter("_side = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in columns])
-
-
 def intervals(changes: DataFrame, by: list[str], seq: str) -> DataFrame:
     """Changes with valid_from and valid_until: each holds from its sequence until the next of its group."""
     return changes.withColumns({"valid_from": F.col(seq), "valid_until": F.lead(seq).over(Window.partitionBy(*by).orderBy(seq))})
 
 
-def valid_at(events: DataFrame, ranges: DataFrame, by: list[str], seq: str, start: str = "valid_from", end: str = "valid_until") -> DataFrame:
-    """Events joined to the ranges [start, end) of their group that hold at their sequence; an open end is null."""
-    held = ranges.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in ranges.columns])
-    inside = (F.col(seq) >= F.col(start)) & (F.col(end).isNull() | (F.col(seq) < F.col(end)))
-    equal = reduce(lambda a, b: a & b, [F.col(b) == F.col(f"_r_{b}") for b in by])
-    return events.join(held, equal & inside).drop(*[f"_r_{b}" for b in by])
-
-
 def descendants(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): every node that can be reached from each root, with its least depth; cycles end.
 

@@ -10,9 +10,10 @@ from ..sources.shared import written
 from . import replay as R
 from .chain import anchor_check
 from .findings import finding, row_findings
-from .matching import active_key, asof_join, diff, intervals, missing_payloads, valid_at
+from .matching import active_key, diff, intervals, missing_payloads
 from .scopes import resolve_scopes
 from .sets import revision_check, union_all
+from .sweeps import SLICE, asof_join, valid_at
 
 SEQ = "event_sequence"
 WHERE = "event_sequence"
@@ -36,7 +37,7 @@ def verify_signers(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     owner they name has signed. keys: operator_keys with valid_from_sequence, valid_until_sequence."""
     signed = ledger.filter("actor_kind = 'operator'").select("project_id", SEQ, F.col("actor_id").alias("operator_id"), F.col("credential_fingerprint").alias("signing_fingerprint"))
     ranges = keys.select("project_id", "operator_id", "signing_fingerprint", F.col("valid_from_sequence").cast("long").alias("valid_from"), F.col("valid_until_sequence").cast("long").alias("valid_until"))
-    good = valid_at(signed, ranges, ["project_id", "operator_id", "signing_fingerprint"], SEQ)
+    good = valid_at(signed, ranges, ["project_id", "operator_id", "signing_fingerprint"], SEQ, width=SLICE)
     unknown = finding(signed.join(good.select("project_id", SEQ), ["project_id", SEQ], "left_anti"), F.col("project_id"), "unknown-signer", F.col(SEQ), "credential_fingerprint", actual=F.col("signing_fingerprint"))
     first = ledger.filter("event_type = 'PROJECT_GENESIS'").withColumn("_owner", R.signed("identity.operator_id"))
     return unknown.unionByName(finding(first.filter(~F.col("_owner").eqNullSafe(F.col("actor_id"))), F.col("project_id"), "genesis-signer", F.col(SEQ), "actor_id", F.col("_owner"), F.col("actor_id")))
@@ -227,7 +228,7 @@ def verify_transfer_source(ledger: DataFrame) -> DataFrame:
     made = ledger.filter("event_type = 'NOTE_CREATED'").filter(R.signed("visibility") == "confidential").select("project_id", F.col("object_id").alias("object"), F.col(SEQ).alias("seq"), F.coalesce(R.signed("authority_id"), R.signed("author_id")).alias("authority_id"))
     history = made.unionByName(moves.select("project_id", "object", "seq", "authority_id")).withColumnRenamed("authority_id", "held")
     asked = moves.select("project_id", "object", "seq", "source").withColumn("before", F.col("seq") - 1)
-    found = asof_join(asked, history.withColumnRenamed("seq", "at"), ["project_id", "object"], "before", "at", ["held"])
+    found = asof_join(asked, history.withColumnRenamed("seq", "at"), ["project_id", "object"], "before", "at", ["held"], width=SLICE)
     return finding(found.filter(~F.col("held").eqNullSafe(F.col("source"))), F.col("project_id"), "transfer-source", F.col("object"), "authority_id", F.col("held"), F.col("source"))
 
 

@@ -18,6 +18,7 @@ from ..operators import sets as S
 from ..operators import verify as V
 from ..operators.findings import summarise_findings
 from ..sources import ledger as L
+from ..operators.sweeps import SLICE
 from ..sources.shared import written
 from . import audits, listings, replays, streams, verifiers
 from .registry import FILES, LEDGER, ORACLE_SQL, QUERIES, query
@@ -219,7 +220,7 @@ def asof_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy (a user's last signup) in force at each purchase."""
     e = table(spark, sf_dir, "events")
     policy = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("at"), F.col("value").alias("policy_value"))
-    return M.asof_join(e.filter("event_type = 'purchase'").select("event_id", "user_id"), policy, ["user_id"], "event_id", "at", ["policy_value"])
+    return M.asof_join(e.filter("event_type = 'purchase'").select("event_id", "user_id"), policy, ["user_id"], "event_id", "at", ["policy_value"], width=SLICE)
 
 
 @query("""
@@ -231,7 +232,7 @@ def interval_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key (from a signup to the user's next) that is valid at each error."""
     e = table(spark, sf_dir, "events")
     keys = M.intervals(e.filter("event_type = 'signup'").select("user_id", "event_id", F.col("value").alias("key_value")), ["user_id"], "event_id").drop("event_id")
-    return M.valid_at(e.filter("event_type = 'error'").select("event_id", "user_id"), keys, ["user_id"], "event_id")
+    return M.valid_at(e.filter("event_type = 'error'").select("event_id", "user_id"), keys, ["user_id"], "event_id", width=SLICE)
 
 
 @query("""
