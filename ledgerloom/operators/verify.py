@@ -11,6 +11,7 @@ from . import replay as R
 from .chain import anchor_check
 from .findings import finding, row_findings
 from .matching import active_key, diff, intervals, missing_payloads
+from .merkle import tree_diff
 from .scopes import resolve_scopes
 from .sets import revision_check, union_all
 from .sweeps import SLICE, asof_join, valid_at
@@ -59,19 +60,21 @@ REBUILT = {
 }
 
 
-def verify_state(ledger: DataFrame, live: dict[str, DataFrame]) -> DataFrame:
-    """Live tables against the tables that their history gives, row by row and column by column. Names are those of projections() and REBUILT."""
-    specs, parts = R.projections(), []
+def verify_state(ledger: DataFrame, live: dict[str, DataFrame], rebuilt: dict[str, DataFrame] | None = None, by_tree: bool = False) -> DataFrame:
+    """Live tables against the tables that their history gives, row by row and column by column. Names are those of
+    projections() and REBUILT. rebuilt: tables that history is known to give, as from a checkpoint; the ledger is not read
+    for them. by_tree compares trees of digests first, and rows only where these differ."""
+    specs, parts, compare = R.projections(), [], tree_diff if by_tree else diff
     for name, table in live.items():
-        if name in REBUILT:
-            rebuild, own = REBUILT[name]
-            expected = rebuild(ledger)
+        own = REBUILT[name][1] if name in REBUILT else list(specs[name].key)
+        if name in (rebuilt or {}):
+            expected = rebuilt[name]
         else:
-            own, expected = list(specs[name].key), R.project(ledger, specs[name])
+            expected = REBUILT[name][0](ledger) if name in REBUILT else R.project(ledger, specs[name])
         keys = ["project_id", *own]
         text = lambda df, c: df.withColumns({x: F.col(x).cast("string") for x in c})
         columns = [c for c in expected.columns if c in table.columns and c not in keys]
-        parts.append(diff(text(expected, columns), text(table, columns), keys, columns, name))
+        parts.append(compare(text(expected, columns), text(table, columns), keys, columns, name))
     return union_all(parts)
 
 
@@ -203,8 +206,9 @@ def verify_package(manifest: DataFrame, observed: DataFrame) -> DataFrame:
     return unsafe.unionByName(diff(manifest, observed, ["path"], ["content_digest"], "package"))
 
 
-def verify_snapshot(a: dict[str, DataFrame], b: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
-    return union_all([diff(a[n], b[n], keys[n], [c for c in a[n].columns if c not in keys[n]], n) for n in a])
+def verify_snapshot(a: dict[str, DataFrame], b: dict[str, DataFrame], keys: dict[str, list[str]], by_tree: bool = False) -> DataFrame:
+    """Findings for rows that differ between two states of tables, with by_tree by way of their trees of digests."""
+    return union_all([(tree_diff if by_tree else diff)(a[n], b[n], keys[n], [c for c in a[n].columns if c not in keys[n]], n) for n in a])
 
 
 def verify_policy_history(ledger: DataFrame) -> DataFrame:

@@ -98,6 +98,11 @@ class LedgerStore:
         rows = rows.select(LEDGER.names)
         return rows if projects is None else rows.join(projects.select("project_id").distinct(), "project_id", "left_semi")
 
+    def since(self, version: int) -> DataFrame:
+        """The events that were appended after a version; no others are read."""
+        later = self.commits().filter((F.col("version") > version) & (F.col("events") > 0))
+        return self._read("events", [r["attempt"] for r in later.select("attempt").collect()], LEDGER, None).select(LEDGER.names)
+
     def _touched(self, projects: DataFrame) -> list[int]:
         return sorted(r["b"] for r in projects.select(bucket_of(self.buckets).alias("b")).distinct().collect())
 
