@@ -17,6 +17,8 @@ from ..operators.sets import latest
 from ..sources.shared import written
 
 GENESIS = "0" * 64
+# Events of a key that may wait for one that has not come.
+MOST_WAITING = 100_000
 
 
 def link(previous: str, payload: str | None) -> str:
@@ -44,14 +46,57 @@ class ChainBuilder(StatefulProcessor):
 
 
 class ChainVerifier(StatefulProcessor):
-    """Checks events of a chain as they come. Events ahead of their turn wait in state; those behind it are reported."""
+    """Checks events of a chain as they come. Events ahead of their turn wait in state; those behind it are reported.
+
+    An event that does not come is reported as a gap, at the first sequence that lacks: once patience_ms have passed since
+    others began to wait for it, or as soon as more than most_waiting wait. The check goes on with the next that is there.
+    """
+
+    def __init__(self, patience_ms: int | None = None, most_waiting: int = MOST_WAITING):
+        self.patience_ms, self.most_waiting = patience_ms, most_waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "sequence bigint, hash string")
+        self.handle = handle
+        self.head = handle.getValueState("head", "sequence bigint, hash string, waiting bigint")
         self.early = handle.getMapState("early", "sequence bigint", "previous_hash string, event_hash string, payload string")
+        self.timer = handle.getValueState("timer", "sequence bigint, at bigint")
+
+    def _go_on(self, key, sequence: int, head: str, waiting: int, found: list) -> tuple[int, str, int]:
+        """Check what waits for its turn and has it now."""
+        while waiting and self.early.containsKey((sequence + 1,)):
+            before, own, payload = self.early.getValue((sequence + 1,))
+            self.early.removeKey((sequence + 1,))
+            sequence, waiting = sequence + 1, waiting - 1
+            if before != head:
+                found.append((key[0], sequence, "broken-link"))
+            if own != link(before, payload):
+                found.append((key[0], sequence, "wrong-hash"))
+            head = own
+        return sequence, head, waiting
+
+    def _skip(self, key, sequence: int, head: str, waiting: int, found: list) -> tuple[int, str, int]:
+        """Give up on the next event: report it, and go on with the first that waits."""
+        found.append((key[0], sequence + 1, "gap"))
+        first = min(k[0] for k in self.early.keys())
+        return self._go_on(key, first - 1, self.early.getValue((first,))[0], waiting, found)
+
+    def _keep(self, sequence: int, head: str, waiting: int, timerValues) -> None:
+        self.head.update((sequence, head, waiting))
+        if self.patience_ms is None:
+            return
+        set_for, at = self.timer.get() if self.timer.exists() else (None, None)
+        if set_for == sequence and waiting:
+            return
+        if at is not None:
+            self.handle.deleteTimer(at)
+            self.timer.clear()
+        if waiting:
+            at = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+            self.handle.registerTimer(at)
+            self.timer.update((sequence, at))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        sequence, head = self.head.get() if self.head.exists() else (0, GENESIS)
+        sequence, head, waiting = self.head.get() if self.head.exists() else (0, GENESIS, 0)
         found = []
         for batch in rows:
             for s, before, own, payload in zip(batch["sequence"], batch["previous_hash"], batch["event_hash"], batch["payload"], strict=True):
@@ -59,16 +104,22 @@ class ChainVerifier(StatefulProcessor):
                     found.append((key[0], int(s), "late-or-doubled"))
                     continue
                 self.early.updateValue((int(s),), (before, own, payload))
-        while self.early.containsKey((sequence + 1,)):
-            before, own, payload = self.early.getValue((sequence + 1,))
-            self.early.removeKey((sequence + 1,))
-            sequence += 1
-            if before != head:
-                found.append((key[0], sequence, "broken-link"))
-            if own != link(before, payload):
-                found.append((key[0], sequence, "wrong-hash"))
-            head = own
-        self.head.update((sequence, head))
+                waiting += 1
+            # Chunks of a batch come in any order: no gap is given up before all of them are there.
+            sequence, head, waiting = self._go_on(key, sequence, head, waiting, found)
+        while waiting > self.most_waiting:
+            sequence, head, waiting = self._skip(key, sequence, head, waiting, found)
+        self._keep(sequence, head, waiting, timerValues)
+        yield pd.DataFrame(found, columns=["key", "sequence", "rule"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        sequence, head, waiting = self.head.get() if self.head.exists() else (0, GENESIS, 0)
+        found = []
+        set_for, at = self.timer.get() if self.timer.exists() else (None, None)
+        self.timer.clear()
+        if waiting and set_for == sequence and at is not None and at <= expiredTimerInfo.getExpiryTimeInMs():
+            sequence, head, waiting = self._skip(key, sequence, head, waiting, found)
+        self._keep(sequence, head, waiting, timerValues)
         yield pd.DataFrame(found, columns=["key", "sequence", "rule"])
 
     def close(self) -> None:
@@ -80,9 +131,14 @@ def stream_chain(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(ChainBuilder(), "key string, position bigint, sequence bigint, previous_hash string, event_hash string", "Append", "none")
 
 
-def stream_verify(stream: DataFrame) -> DataFrame:
-    """A stream (key, sequence, previous_hash, event_hash, payload) as findings (key, sequence, rule)."""
-    return stream.groupBy("key").transformWithStateInPandas(ChainVerifier(), "key string, sequence bigint, rule string", "Append", "none")
+def stream_verify(stream: DataFrame, patience_ms: int | None = None, most_waiting: int = MOST_WAITING) -> DataFrame:
+    """A stream (key, sequence, previous_hash, event_hash, payload) as findings (key, sequence, rule).
+
+    State is the head of each key and at most most_waiting events ahead of their turn. With patience_ms, time is that of
+    processing: a gap is also reported when it has stood that long.
+    """
+    mode = "none" if patience_ms is None else "processingTime"
+    return stream.groupBy("key").transformWithStateInPandas(ChainVerifier(patience_ms, most_waiting), "key string, sequence bigint, rule string", "Append", mode)
 
 
 def versioned(path: str, batch: int) -> str:

@@ -72,3 +72,38 @@ def test_stream_checkin_refuses_moved_heads(spark, tmp_path):
     stream = batches(df, tmp_path, ["event = 'a'", "event = 'b'", "event = 'c'"])
     S.stream_checkin(stream, f"{tmp_path}/out", f"{tmp_path}/marks", S.guard_append(f"{tmp_path}/ledger")).awaitTermination(120)
     assert {r["event"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").select(F.col("event")).collect()} == {"a", "c"}
+
+
+def chain_rows(spark, key, n):
+    rows, before = [], S.GENESIS
+    for i in range(1, n + 1):
+        own = S.link(before, f"p{i}")
+        rows.append((key, i, before, own, f"p{i}"))
+        before = own
+    return rows
+
+
+SHAPE = "key string, sequence bigint, previous_hash string, event_hash string, payload string"
+
+
+def test_gaps_are_given_up_when_too_many_wait(spark, tmp_path, provider):
+    rows = [r for r in chain_rows(spark, "a", 30) if r[1] not in (5, 6, 20)] + [r for r in chain_rows(spark, "b", 9) if r[1] != 2]
+    rows += [("a", 25, "x", "y", "z")]  # doubled while it waits or behind
+    got = run(spark, S.stream_verify(batches(spark.createDataFrame(rows, SHAPE), tmp_path, ["sequence < 15", "sequence >= 15"]), most_waiting=7), tmp_path)
+    assert {tuple(r) for r in got} - {("a", 25, "late-or-doubled")} == {("a", 5, "gap"), ("a", 20, "gap")}
+
+
+def test_gaps_are_given_up_in_time(spark, tmp_path, provider):
+    rows = [r for r in chain_rows(spark, "a", 6) if r[1] != 3] + chain_rows(spark, "b", 3)
+    stream = batches(spark.createDataFrame(rows, SHAPE), tmp_path, ["true"])
+    query = S.stream_verify(stream, patience_ms=2000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            query.awaitTermination(1)
+            assert query.exception() is None
+            got = [tuple(r) for r in spark.read.schema("key string, sequence bigint, rule string").parquet(f"{tmp_path}/out").collect()] if (tmp_path / "out").exists() else []
+            if got:
+                break
+    finally:
+        query.stop()
+    assert got == [("a", 3, "gap")]
