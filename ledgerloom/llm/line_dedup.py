@@ -1,10 +1,11 @@
 """Removal of lines that many documents share, with two Bloom filters in front of the exact count.
 
-1. A scan sends the hashes of lines to shards of a pair of Bloom filters, by hash range. A shard's task sets `once` for
-   each position that it meets and `twice` for each that it meets again, so a key in two documents is always in `twice`.
-2. A second scan tests lines against `twice`. While all shards together have at most `max_bits` bits they are broadcast
-   and only suspected repeats leave the scan. Beyond that the hashes of lines meet the shards in a shuffle; lines that
-   repeat within a batch are suspects on the spot, so a frequent line travels once a batch at most.
+1. A scan sends the hashes of lines to shards, by hash range, with the number of documents of a batch that hold each. A
+   shard's task keeps the first Bloom filter, of the hashes seen once, and puts out those that it meets again.
+2. Hashes met again as often as a line of min_docs documents must be make the second filter, of at most `max_bits` bits,
+   which is broadcast. A second scan tests lines against it: only suspected repeats leave the scan, whatever the size of
+   the corpus. The filter is sized by how many hashes it holds; beyond max_bits / 16 of them it lets more lines through,
+   which then are counted like the others.
 3. Suspects, as 128-bit digests with the place of the line, are counted exactly per key, and the document that keeps
    the line is chosen.
 4. Documents are told the numbers of the lines they lose. A Bloom filter of the documents that lose lines lets all
@@ -14,7 +15,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +30,8 @@ from .common import numbered, text_slices, written
 SEGMENT_BITS = 1 << 19
 MOST_SHARDS = 1 << 10
 LARGEST_SHARD = 1 << 29
+# Shards of the first scan: one for each so many bytes of text, up to a number of them.
+SHARD_BYTES, MOST_SCAN_SHARDS = 1 << 24, 1 << 14
 HASHES = 4
 BITS_A_KEY = 16
 
@@ -88,13 +90,6 @@ def has_bits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def add_once_twice(once: np.ndarray, twice: np.ndarray, at: np.ndarray) -> None:
-    """Add positions to the pair: those already in `once`, or met again in `at`, go to `twice`."""
-    at, n = np.unique(at, return_counts=True)
-    set_bits(twice, at[(n > 1) | has_bits(once, at)])
-    set_bits(once, at)
-
-
 def sharded(h: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """(shard, hashes) rows of sorted hashes."""
     if len(h):
@@ -104,27 +99,26 @@ def sharded(h: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"shard": pa.array([int(of[c]) for c in (0, *cuts)], pa.int64()), "hashes": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def filter_table(hashes: DataFrame, bits: int, again: bool) -> DataFrame:
-    """(shard, bits) of a filter over (shard, hashes): what occurs, or with `again` what occurs more than once. Empty shards are left out.
+def filter_table(hashes: DataFrame, bits: int) -> DataFrame:
+    """(shard, bits) of a filter over (shard, hashes). Empty shards are left out.
 
     A task holds one shard at a time, and the result does not depend on the order of rows.
     """
     size = shard_bits(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, once, twice = None, None, None
+        at, once = None, None
 
         def row() -> pa.RecordBatch:
-            out = twice if again else once
-            return pa.record_batch({"shard": pa.array([at], pa.int64()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+            return pa.record_batch({"shard": pa.array([at], pa.int64()), "bits": pa.array([zlib.compress(once.tobytes(), 1)], pa.binary())})
 
         for batch in batches:
             for shard, h in zip(batch.column("shard").to_pylist(), batch.column("hashes"), strict=True):
                 if shard != at:
                     if at is not None:
                         yield row()
-                    at, once, twice = shard, np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
-                add_once_twice(once, twice, positions(np.frombuffer(h.as_buffer(), np.uint64), size).ravel())
+                    at, once = shard, np.zeros(size // 8, np.uint8)
+                set_bits(once, positions(np.frombuffer(h.as_buffer(), np.uint64), size).ravel())
         if at is not None:
             yield row()
 
@@ -146,8 +140,15 @@ def passes(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return has_bits(packed, positions(h, size) + (shards(h, bits) * size)[:, None]).all(axis=1) if len(h) else np.zeros(0, bool)
 
 
-def twice_filter(texts: DataFrame, min_chars: int, bits: int) -> DataFrame:
-    """The `twice` filter over the lines of column _text (binary)."""
+def scan_shards(total_bytes: int) -> int:
+    """The number of shards for a text of so many bytes: a power of two."""
+    return min(MOST_SCAN_SHARDS, 1 << max(0, (total_bytes // SHARD_BYTES).bit_length()))
+
+
+def line_hashes(texts: DataFrame, min_chars: int, n_shards: int) -> DataFrame:
+    """(shard, n, hashes, counts): the hashes of the keyed lines of _text (binary) of a batch in a shard, in order, and how
+    many documents of the batch hold each; n is how many hashes there are."""
+    low = np.uint64(64 - (n_shards.bit_length() - 1))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,78 +159,80 @@ def twice_filter(texts: DataFrame, min_chars: int, bits: int) -> DataFrame:
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
                 own.append(h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]])  # a key counts once a document
-            if own:
-                h, n = np.unique(np.concatenate(own), return_counts=True)
-                yield from sharded(np.repeat(h, np.minimum(n, 2)), bits)
+            h, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+            if len(h):
+                of = (h >> low).astype(np.int64) if n_shards > 1 else np.zeros(len(h), np.int64)
+                cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+                parts, counts = np.split(h, cuts), np.split(n.astype(np.uint32), cuts)
+                yield pa.record_batch({
+                    "shard": pa.array(of[np.r_[0, cuts]]), "n": pa.array([len(p) for p in parts], pa.int64()),
+                    "hashes": pa.array([p.tobytes() for p in parts], pa.binary()), "counts": pa.array([c.tobytes() for c in counts], pa.binary()),
+                })
+
+    return texts.select("_text").mapInArrow(hashes, "shard bigint, n bigint, hashes binary, counts binary")
 
-    return filter_table(texts.select("_text").mapInArrow(hashes, "shard bigint, hashes binary"), bits, again=True)
 
+def met_again(hashes: DataFrame, bits: int) -> DataFrame:
+    """(hash, again): the hashes of line_hashes that a filter of `bits` bits a shard has seen before, and in how many more
+    documents they are than in the first that it saw. A task holds one shard's filter; a false alarm adds one."""
 
-def found_lines(batch: pa.RecordBatch, rows: np.ndarray, lines: np.ndarray, keys: list[bytes], more: dict | None = None) -> pa.RecordBatch:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once = None, None
+        for batch in batches:
+            found, more = [], []
+            for shard, own, counts in zip(batch.column("shard").to_pylist(), batch.column("hashes"), batch.column("counts"), strict=True):
+                if shard != at:
+                    at, once = shard, np.zeros(bits // 8, np.uint8)
+                h = np.frombuffer(own.as_buffer(), np.uint64)
+                places = positions(h, bits)
+                n = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64) - 1 + has_bits(once, places).all(axis=1)
+                set_bits(once, places.ravel())
+                found.append(h[n > 0])
+                more.append(n[n > 0])
+            yield pa.record_batch({"hash": pa.array(np.concatenate(found).view(np.int64)), "again": pa.array(np.concatenate(more))})
+
+    return hashes.repartition("shard").sortWithinPartitions("shard").mapInArrow(again, "hash bigint, again bigint")
+
+
+def bounded_filter(keys: DataFrame, n: int, max_bits: int):
+    """(broadcast filter, its bits) over the single column of longs of keys, of which there are n: at most max_bits bits."""
+    bits = max(SEGMENT_BITS, min(filter_bits(n), max_bits))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from sharded(np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), bits)
+
+    return keys.sparkSession.sparkContext.broadcast(gathered(filter_table(keys.mapInArrow(hashes, "shard bigint, hashes binary"), bits), bits)), bits
+
+
+def found_lines(batch: pa.RecordBatch, rows: np.ndarray, lines: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
     """A row (_id, _text_hash, _line, _digest) for each line; rows are numbers of rows of the batch."""
     at = pa.array(rows, pa.int64())
     columns = {c: batch.column(c).take(at) for c in ("_id", "_text_hash")}
     digests = [hashlib.blake2b(k, digest_size=16).digest() for k in keys]
-    return pa.record_batch(columns | {"_line": pa.array(lines, pa.int32()), "_digest": pa.array(digests, pa.binary())} | (more or {}))
+    return pa.record_batch(columns | {"_line": pa.array(lines, pa.int32()), "_digest": pa.array(digests, pa.binary())})
 
 
-def suspected_lines(texts: DataFrame, min_chars: int, max_bits: int) -> DataFrame:
-    """(_id, _text_hash, _line, _digest) of the lines whose key the filters saw more than once. texts: (_id, _text_hash, _text)."""
-    spark = texts.sparkSession
-    # A key has min_chars bytes at least, and a line feed: this bounds the number of keys without splitting a text.
+def suspected_lines(texts: DataFrame, min_chars: int, min_docs: int, max_bits: int) -> DataFrame:
+    """(_id, _text_hash, _line, _digest) of the lines whose key the filters saw in min_docs documents. texts: (_id, _text_hash, _text)."""
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = filter_bits(total // (min_chars + 1))
-    twice = twice_filter(texts, min_chars, bits)
+    hashes = written(line_hashes(texts, min_chars, scan_shards(total)), "line-hashes")
+    most = hashes.groupBy("shard").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    again = met_again(hashes, min(filter_bits(most), LARGEST_SHARD)).groupBy("hash").agg(F.sum("again").alias("again"))
+    often = written(again.filter(F.col("again") >= min_docs - 1).select("hash"), "suspected-hashes")
+    seen, bits = bounded_filter(often, often.count(), max_bits)
     shape = T.StructType([texts.schema["_id"], texts.schema["_text_hash"], T.StructField("_line", T.IntegerType()), T.StructField("_digest", T.BinaryType())])
-    if bits <= max_bits:
-        seen = spark.sparkContext.broadcast(gathered(twice, bits))
-
-        def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packed = np.frombuffer(seen.value, np.uint8)
-            for batch in batches:
-                for first, part in text_slices(batch):
-                    rows, lines, keys = keyed_lines(part, min_chars)
-                    hit = np.flatnonzero(passes(packed, hashes_of(keys), bits))
-                    if len(hit):
-                        yield found_lines(batch, first + np.array(rows)[hit], np.array(lines)[hit], [keys[i] for i in hit])
 
-        return texts.mapInArrow(suspects, shape)
-
-    wide = T.StructType([*shape.fields, T.StructField("shard", T.LongType()), T.StructField("_hash", T.LongType()), T.StructField("bits", T.BinaryType())])
-
-    def lines_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every keyed line with its shard; the shard is null for lines whose key is repeated in the batch."""
-        for batch in batches:
-            parts = [(first, *keyed_lines(part, min_chars)) for first, part in text_slices(batch)]
-            own = [hashes_of(keys) for _, _, _, keys in parts]
-            h, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
-            for (first, rows, lines, keys), k in zip(parts, own, strict=True):
-                if len(k):
-                    shard = pa.array(shards(k, bits), mask=n[np.searchsorted(h, k)] > 1)
-                    more = {"shard": shard, "_hash": pa.array(k.view(np.int64)), "bits": pa.nulls(len(k), pa.binary())}
-                    yield found_lines(batch, first + np.array(rows), np.array(lines), keys, more)
-
-    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's filter comes first, then its lines."""
-        size = shard_bits(bits)
-        at, packed = None, None
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(seen.value, np.uint8)
         for batch in batches:
-            marks = np.flatnonzero(batch.column("bits").is_valid().to_numpy(zero_copy_only=False)).tolist()
-            of_filters = set(marks)
-            for start, end in itertools.pairwise([*sorted({0, *marks}), len(batch)]):
-                if start in of_filters:
-                    at, packed = batch.column("shard")[start].as_py(), np.frombuffer(zlib.decompress(batch.column("bits")[start].as_py()), np.uint8)
-                    start += 1
-                part = batch.slice(start, end - start)
-                if len(part) and packed is not None:
-                    here = part.column("shard").to_numpy(zero_copy_only=False) == at
-                    hit = here & has_bits(packed, positions(part.column("_hash").to_numpy(zero_copy_only=False).view(np.uint64), size)).all(axis=1)
-                    yield part.select(shape.names).filter(pa.array(hit))
-
-    lines = written(texts.mapInArrow(lines_out, wide), "line-hashes")
-    filters = twice.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in shape], "shard", F.lit(None).cast("long").alias("_hash"), "bits")
-    met = lines.filter("shard is not null").unionByName(filters).repartition("shard").sortWithinPartitions("shard", F.col("bits").isNull())
-    return met.mapInArrow(tested, shape).unionByName(lines.filter("shard is null").select(shape.names))
+            for first, part in text_slices(batch):
+                rows, lines, keys = keyed_lines(part, min_chars)
+                hit = np.flatnonzero(passes(packed, hashes_of(keys), bits))
+                if len(hit):
+                    yield found_lines(batch, first + np.array(rows)[hit], np.array(lines)[hit], [keys[i] for i in hit])
+
+    return texts.mapInArrow(suspects, shape)
 
 
 def repeated_lines(suspects: DataFrame, min_docs: int) -> DataFrame:
@@ -252,14 +255,7 @@ def lost_lines(suspects: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def may_hold(keys: DataFrame, max_bits: int):
     """A column function that is true for every long in the single column of keys, and for few others, from a Bloom filter of at most max_bits bits."""
-    spark, (name,) = keys.sparkSession, keys.columns
-    bits = max(SEGMENT_BITS, min(filter_bits(keys.count()), max_bits))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from sharded(np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), bits)
-
-    seen = spark.sparkContext.broadcast(gathered(filter_table(keys.select(name).mapInArrow(hashes, "shard bigint, hashes binary"), bits, again=False), bits))
+    seen, bits = bounded_filter(keys, keys.count(), max_bits)
 
     @F.arrow_udf(T.BooleanType())
     def may(key: pa.Array) -> pa.Array:
@@ -284,7 +280,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_at), F.lit(""))
     rows = rows.withColumns({text_at: text, "_text_hash": F.xxhash64(text)})
     texts = rows.select(F.col(id_at).alias("_id"), "_text_hash", F.col(text_at).cast("binary").alias("_text"))
-    suspects = written(suspected_lines(texts, min_chars, max_bits), "suspected-lines")
+    suspects = written(suspected_lines(texts, min_chars, min_docs, max_bits), "suspected-lines")
     repeated = written(repeated_lines(suspects, min_docs), "repeated-lines")
     lost = written(lost_lines(suspects, repeated).withColumn("_doc", F.xxhash64("_id", "_text_hash")), "lost-lines")
     may = may_hold(lost.select("_doc"), max_bits)
