@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import digest
+from ..functions.hashing import digest, hasher
 from ..operators.chain import append_guard, assign_sequences, chain_parts, ledger_summary
 from ..operators.findings import finding
 
+# Payloads of more bytes than WHOLE are read in blocks of BLOCK bytes.
+WHOLE, BLOCK = 1 << 28, 1 << 20
 LEDGER = T.StructType(
     [T.StructField("project_id", T.StringType()), T.StructField("event_sequence", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in ("occurred_at", "event_type", "object_type", "object_id", "actor_kind", "actor_id", "actor_uuid", "credential_fingerprint", "authority_basis", "details_json", "previous_hash", "event_hash")]
@@ -20,26 +27,70 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType = LEDGER) -
     return spark.read.schema(schema).parquet(path)
 
 
-def scan_payloads(spark: SparkSession, path: str, algorithm: str = "sha256", only: DataFrame | None = None) -> DataFrame:
-    """(path, size_bytes, content_digest) of files. `only` (path) limits what is read before any byte is."""
+def scan_payloads(spark: SparkSession, path: str, algorithm: str = "sha256", only: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
+    """(path, size_bytes, content_digest) of files of any size. `only` (path) limits what is read before any byte is.
+
+    Files of at most `whole` bytes are read as one value each. Larger ones are read in blocks of BLOCK bytes inside tasks,
+    one file a task at a time, through pyarrow's file systems.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # Scans leave files without a byte out; the reader's own list of files has them.
+    listed = [re.sub("^([a-z0-9]+):///", r"\1:/", unquote(p)) for p in files.inputFiles()]
+    empty = spark.createDataFrame([(p,) for p in listed], "path string").join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    files = files.select("path", "length", "content").unionByName(empty)
     if only is not None:
         files = files.join(F.broadcast(only.select("path")) if only.count() < 100_000 else only.select("path"), "path", "left_semi")
-    return files.select("path", F.col("length").alias("size_bytes"), digest("content", algorithm).alias("content_digest"))
+    small = files.filter(F.col("length") <= whole).select("path", F.col("length").alias("size_bytes"), digest("content", algorithm).alias("content_digest"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [digest_file(p, algorithm) for p in batch["path"]]
+            yield pd.DataFrame({"path": batch["path"], "size_bytes": [n for n, _ in found], "content_digest": [d for _, d in found]})
+
+    large = files.filter(F.col("length") > whole).select("path").repartition("path")
+    return small.unionByName(large.mapInPandas(read, "path string, size_bytes bigint, content_digest string"))
+
+
+def digest_file(path: str, algorithm: str, block: int = BLOCK) -> tuple[int, str]:
+    """(bytes, digest) of one file, a block at a time."""
+    import pyarrow.fs
+
+    fs, at = pyarrow.fs.FileSystem.from_uri(quote(re.sub("^file:/(?!/)", "file:///", path), safe=":/"))
+    state, n = hasher(algorithm)(), 0
+    with fs.open_input_stream(at, buffer_size=0) as stream:
+        while data := stream.read(block):
+            state.update(data)
+            n += len(data)
+    return n, state.hexdigest()
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line) of text files, lines numbered from 1 in each, empty ones too.
+
+    Spark reads a large file in splits, each in order. How many lines a split has and which are before it comes from one
+    row a split; no line is shuffled.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    splits = lines.groupBy("file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("file").orderBy("_start")) - F.col("_lines")
+    offsets = splits.select("file", "_start", (before - F.col("_first") + 1).alias("_offset"))
+    return lines.join(offsets, ["file", "_start"]).select("file", (F.col("_row") + F.col("_offset")).alias("number"), F.regexp_replace("value", "\\r$", "").alias("line"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(path, content_digest) of lines `<hex>  <path>`, and findings for other lines."""
-    lines = spark.read.text(path).withColumn("line", F.regexp_replace("value", "\r$", ""))
+    """(path, content_digest) of lines `<hex>  <path>`, and findings for other lines that are not empty, by their number."""
     pattern = r"^([0-9a-f]{64,128})  (.+)$"
+    lines = spark.read.text(path).withColumn("line", F.regexp_replace("value", "\\r$", ""))
     good = lines.filter(F.col("line").rlike(pattern)).select(F.regexp_extract("line", pattern, 2).alias("path"), F.regexp_extract("line", pattern, 1).alias("content_digest"))
-    return good, finding(lines.filter(~F.col("line").rlike(pattern) & (F.length("line") > 0)), F.lit(path), "malformed-line", F.col("line"))
+    bad = numbered_lines(spark, path).filter(~F.col("line").rlike(pattern) & (F.length(F.trim("line")) > 0))
+    return good, finding(bad, F.col("file"), "malformed-line", F.col("number"), "line", actual=F.col("line"))
 
 
-def write_manifest(files: DataFrame, path: str, name: str = "path", content: str = "content_digest") -> None:
-    """Lines `<hex>  <path>` in the order of paths, in one file."""
+def write_manifest(files: DataFrame, path: str, name: str = "path", content: str = "content_digest", parts: int = 1) -> None:
+    """Lines `<hex>  <path>` in the order of paths, in one file, or in several that are one manifest in the order of their
+    names: each is written by a task of its own."""
     lines = files.select(name, F.concat_ws("  ", content, name).alias("value"))
-    lines.repartitionByRange(1, name).sortWithinPartitions(name).select("value").write.text(path)
+    lines.repartitionByRange(parts, name).sortWithinPartitions(name).select("value").write.text(path)
 
 
 def strange_schemas(documents: DataFrame, schema_name: str) -> DataFrame:
@@ -99,8 +150,6 @@ def append_events(ledger_path: str, events: DataFrame, key_col: str = "project_i
     that is tried again adds nothing and no two different events are taken for one; nulls are equal. With expected
     (key, expected_count, expected_head) nothing is appended when the ledger has moved on: ValueError.
     """
-    from pyspark.sql import Window
-
     from ..functions.hashing import envelope
 
     spark = events.sparkSession

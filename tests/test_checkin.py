@@ -87,9 +87,9 @@ def test_manifests_and_payloads(spark, tmp_path):
     L.write_manifest(seen, str(tmp_path / "manifest"))
     good, bad = L.read_manifest(spark, str(tmp_path / "manifest"))
     assert {tuple(r) for r in good.collect()} == {tuple(r) for r in seen.select("path", "content_digest").collect()} and bad.count() == 0
-    (tmp_path / "broken.txt").write_text("zz  x\n" + "0" * 64 + "  fine\n")
+    (tmp_path / "broken.txt").write_text("zz  x\n" + "0" * 64 + "  fine\n\n  \nlast\r\n")
     good, bad = L.read_manifest(spark, str(tmp_path / "broken.txt"))
-    assert good.count() == 1 and [r["key"] for r in bad.collect()] == ["zz  x"]
+    assert good.count() == 1 and [(r["key"], r["actual"]) for r in bad.orderBy("key").collect()] == [("1", "zz  x"), ("5", "last")]
 
 
 def test_metadata(spark):
