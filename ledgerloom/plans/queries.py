@@ -20,7 +20,7 @@ from ..operators.findings import summarise_findings
 from ..sources import ledger as L
 from ..operators.sweeps import SLICE
 from ..sources.shared import written
-from . import audits, histories, listings, replays, streams, verifiers
+from . import audits, histories, listings, payloads, replays, streams, verifiers
 from .registry import FILES, LEDGER, ORACLE_SQL, QUERIES, query
 from .standins import export_ledger, files, ledger, table
 
@@ -572,4 +572,4 @@ def promote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.promote_metadata(e, "props", ("k",)).drop("props")
 
 # Their queries register themselves.
-__all__ = ["ORACLE_SQL", "QUERIES", "audits", "histories", "listings", "replays", "streams", "verifiers"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "histories", "listings", "payloads", "replays", "streams", "verifiers"]
