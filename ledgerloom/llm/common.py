@@ -76,6 +76,14 @@ def text_slices(batch: pa.RecordBatch, name: str = "_text", most_bytes: int = 4_
         start = end
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns c0, c1, ..., so that none clashes with a helper column, and what each column is called there."""
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -542,7 +542,10 @@ DIGEST = {"payload_bytes": (T.LongType(), pa.int64()), "payload_sha256": (T.Stri
 
 def digest_blocks(blocks: DataFrame) -> DataFrame:
     """A row for each stream of 8-bit mono blocks as pcm_blocks gives them, one after another: its own columns, the size,
-    SHA-256 and tail's CRC-32 of the payload, and a feature: number of samples, sum, sum of squares, sign changes, peak."""
+    SHA-256 and tail's CRC-32 of the payload, and a feature: number of samples, sum, sum of squares, sign changes, peak.
+
+    The blocks of a stream follow one another by first_sample; ValueError where they do not, as after a shuffle.
+    """
     keep = [f for f in blocks.schema.fields if f.name not in ("first_sample", "n_samples", "pcm")]
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -563,6 +566,8 @@ def digest_blocks(blocks: DataFrame) -> DataFrame:
                         rows.append(now.row())
                         columns.append(own)
                     now, own = Digest(hashlib.sha256()), table.slice(i, 1)
+                if now is None or start != now.n:
+                    raise ValueError(f"a block begins at sample {start}, after {now.n if now else 0} samples of its stream")
                 now.add(pcm[i].as_py())
             if rows:
                 yield done(rows, columns)

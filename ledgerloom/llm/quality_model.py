@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 CLASSES = {
     "lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "blank": [32, 9], "line_feed": [10], "high": range(128, 256), "bang": [33],
     "symbol": b"#*$%&|<>", "stop": b".,;:?", "bracket": b"()[]{}\"'", "other": b"+-/=@\\^_`~",
@@ -161,7 +163,8 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
     The score depends on the text alone: null counts as empty, and equal texts have equal scores.
     """
-    scored = docs.withColumn("_stats", stats_of(text_col))
-    score = 1 / (1 + F.exp(-model.logit(F.col("_stats"))))
+    stats = free_name(docs, "_stats")
+    scored = docs.withColumn(stats, stats_of(text_col))
+    score = 1 / (1 + F.exp(-model.logit(F.col(stats))))
     scored = scored.withColumns({"held_out": is_held_out(id_col), "score": score})
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(stats)

@@ -9,6 +9,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 LEVEL = 3
@@ -90,8 +92,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
         return out.astype({"zstd_ratio": "float64"})
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    found = docs.withColumn("_measures", measures(text_col))
-    found = found.withColumns({x: F.col(f"_measures.{x}") for x in names}).drop("_measures")
+    own = free_name(docs, "_measures")
+    found = docs.withColumn(own, measures(text_col))
+    found = found.withColumns({x: F.col(f"{own}.{x}") for x in names}).drop(own)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fits = in_band(F.octet_length(text_col), F.col("zstd_ratio")) & (2 * F.col("n_chunks_out") <= F.col("n_chunks"))
     return found.withColumns({"base_failed": failed}).withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False)))
