@@ -115,19 +115,60 @@ def intervals(changes: DataFrame, by: list[str], seq: str) -> DataFrame:
     return changes.withColumns({"valid_from": F.col(seq), "valid_until": F.lead(seq).over(Window.partitionBy(*by).orderBy(seq))})
 
 
+def contracted(links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_from, _to, _steps) between the nodes of links (_from, _to) that matter, and the others as (_node, _head, _offset).
+
+    Nodes that no link leaves are left to the end: they are `_offset` 1 below each node that leads to them. Of what
+    remains, nodes with one link in and one out that are no roots lie on chains: each is `_offset` below the chain's
+    head, found by jumping twice as far in each round. Links to what comes after a chain start at its head.
+    """
+    roots = roots.select(F.col("node").alias("_node")).distinct()
+    inner = links.select(F.col("_from").alias("_node")).distinct()
+    spine = written(links.join(inner.select(F.col("_node").alias("_to")), "_to", "left_semi").select("_from", "_to"), "spine")
+    leaves = links.join(inner.select(F.col("_node").alias("_to")), "_to", "left_anti").select(F.col("_to").alias("_node"), F.col("_from").alias("_head"), F.lit(1).alias("_offset"))
+    ins = spine.groupBy(F.col("_to").alias("_node")).agg(F.count("*").alias("_in"), F.min("_from").alias("_head"))
+    outs = spine.groupBy(F.col("_from").alias("_node")).agg(F.count("*").alias("_out"))
+    jumps = ins.join(outs, "_node").filter("_in = 1 and _out = 1").join(roots, "_node", "left_anti")
+    jumps = written(jumps.select("_node", "_head", F.lit(1).alias("_offset")), "chains")
+    for _ in range(max(1, jumps.count()).bit_length()):
+        on = jumps.select(F.col("_node").alias("_head"), F.col("_head").alias("_next"), F.col("_offset").alias("_more"))
+        if jumps.join(on, "_head", "left_semi").isEmpty():
+            break
+        longer = jumps.join(on, "_head", "left")
+        jumps = written(longer.select("_node", F.coalesce("_next", "_head").alias("_head"), (F.col("_offset") + F.coalesce("_more", F.lit(0))).alias("_offset")), "chains")
+    # What still points into a chain goes round in a circle that no root leads to.
+    jumps = written(jumps.join(jumps.select(F.col("_node").alias("_head")), "_head", "left_anti"), "chains")
+    start = jumps.select(F.col("_node").alias("_from"), "_head", "_offset")
+    edges = spine.join(jumps.select(F.col("_node").alias("_to")), "_to", "left_anti").join(start, "_from", "left")
+    edges = edges.select(F.coalesce("_head", "_from").alias("_from"), "_to", (F.coalesce("_offset", F.lit(0)) + 1).alias("_steps"))
+    held = leaves.join(start.withColumnRenamed("_from", "_at").withColumnsRenamed({"_head": "_top", "_offset": "_down"}), F.col("_head") == F.col("_at"), "left")
+    leaves = held.select("_node", F.coalesce("_top", "_head").alias("_head"), (F.col("_offset") + F.coalesce("_down", F.lit(0))).alias("_offset"))
+    return edges.groupBy("_from", "_to").agg(F.min("_steps").alias("_steps")), jumps.unionByName(leaves)
+
+
 def descendants(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root", max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): every node that can be reached from each root, with its least depth; cycles end.
 
-    One frontier a round. Frontiers are written to the shared folder, so plans stay short however deep the graph is.
+    Chains are contracted first and leaves left out, so the rounds of the search are not as many as the graph is deep but
+    as there are branches on the way: a chain takes as many as its length has binary digits. Each round is written to
+    the shared folder, and plans stay short.
     """
-    links = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).filter("_from is not null and _to is not null").distinct()
-    reached = written(roots.select(F.col(root), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct(), "reached")
-    frontier, depth = reached, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(links, F.col("node") == F.col("_from")).select(root, F.col("_to").alias("node")).distinct()
-        frontier = written(step.join(reached.select(root, "node"), [root, "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+    links = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).filter("_from is not null and _to is not null and _from <> _to").distinct()
+    links = written(links, "links")
+    own = roots.filter(F.col(root).isNotNull()).select(F.col(root), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct()
+    reached = written(own, "reached")
+    hops, below = contracted(links, reached)
+    hops, below = written(hops, "hops"), written(below, "below")
+    frontier = reached
+    within = F.lit(True) if max_depth is None else F.col("depth") <= max_depth
+    while True:
+        step = frontier.join(hops, F.col("node") == F.col("_from")).select(root, F.col("_to").alias("node"), (F.col("depth") + F.col("_steps")).alias("depth")).filter(within)
+        nearest = step.groupBy(root, "node").agg(F.min("depth").alias("depth"))
+        before = reached.select(root, "node", F.col("depth").alias("_depth"))
+        frontier = written(nearest.join(before, [root, "node"], "left").filter("_depth is null or depth < _depth").drop("_depth"), "frontier")
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
-    return reached
+        reached = written(reached.unionByName(frontier).groupBy(root, "node").agg(F.min("depth").alias("depth")), "reached")
+    deeper = reached.join(below, F.col("node") == F.col("_head")).select(root, F.col("_node").alias("node"), (F.col("depth") + F.col("_offset")).alias("depth")).filter(within)
+    nulls = roots.filter(F.col(root).isNull()).select(F.col(root), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct()
+    return reached.unionByName(deeper).groupBy(root, "node").agg(F.min("depth").alias("depth")).unionByName(nulls)
