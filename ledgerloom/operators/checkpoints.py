@@ -30,7 +30,7 @@ EVENT = ["project_id", SEQ, "event_type", "object_type", "object_id", "actor_id"
 
 def partial_state(ledger: DataFrame, p: R.Projection) -> DataFrame:
     """by, key, a struct (s, v) for each column, the last sequence that set it and its value, and _made."""
-    rows = ledger.filter(F.col("event_type").isin(*p.sets))
+    rows = R.parsed(ledger.filter(F.col("event_type").isin(*p.sets)))
     last = {}
     for c in p.columns():
         own = [t for t in p.sets if c in p.sets[t]]

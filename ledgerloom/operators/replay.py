@@ -25,6 +25,20 @@ def signed(path: str) -> Column:
     return F.get_json_object("details_json", f"$.authority_transaction.data.{path}")
 
 
+def parsed(ledger: DataFrame) -> DataFrame:
+    """ledger with _details, its details parsed once for all the values that are taken from them; null for what is no JSON."""
+    return ledger.withColumn("_details", F.try_parse_json("details_json"))
+
+
+def once(path: str) -> Column:
+    """data(path), of details that `parsed` has parsed."""
+    return F.try_variant_get("_details", f"$.{path}", "string")
+
+
+def once_signed(path: str) -> Column:
+    return once(f"authority_transaction.data.{path}")
+
+
 @dataclass(frozen=True)
 class Projection:
     """key: the row's key, as columns over an event. sets: for each event type, the columns that it sets. creates: the
@@ -40,7 +54,7 @@ class Projection:
 
 def project(ledger: DataFrame, p: Projection, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """The rows of a projection: by, key and all columns that its events set; null where none did."""
-    rows = ledger.filter(F.col("event_type").isin(*p.sets))
+    rows = parsed(ledger.filter(F.col("event_type").isin(*p.sets)))
     value = lambda c: reduce(lambda out, t: F.when(F.col("event_type") == t, p.sets[t][c].cast("string")).otherwise(out), [t for t in p.sets if c in p.sets[t]], F.lit(None).cast("string"))
     rows = rows.select(*by, *[e.alias(k) for k, e in p.key.items()], SEQ, "event_type", *[value(c).alias(f"_v_{c}") for c in p.columns()])
     setters = {c: [t for t in p.sets if c in p.sets[t]] for c in p.columns()}
@@ -55,7 +69,8 @@ def decision(states: dict[str, str], at: str = "resolved_sequence") -> dict[str,
 
 
 def projections() -> dict[str, Projection]:
-    """The projections of a ledger whose rows depend on their own key's events alone."""
+    """The projections of a ledger whose rows depend on their own key's events alone. Their columns are over `parsed` events."""
+    data, signed = once, once_signed
     seq, obj, actor = F.col(SEQ), F.col("object_id"), F.col("actor_id")
     null, identity = F.lit(None), lambda f: signed(f"identity.{f}")
     operator = {
@@ -128,7 +143,7 @@ def projections() -> dict[str, Projection]:
         "export_policy": Projection({"policy_id": F.lit("project")}, {"PROJECT_GENESIS": policy("export_policy"), "EXPORT_POLICY_CHANGED": policy("policy")}, ("PROJECT_GENESIS",)),
         "confidential_transfers": Projection(
             {"transfer_id": obj},
-            {"CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED": proposal | {"scope_json": signed("scope")}}
+            {"CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED": proposal | {"scope_json": F.get_json_object("details_json", "$.authority_transaction.data.scope")}}
             | decision({f"CONFIDENTIAL_AUTHORITY_TRANSFER_{s.upper()}": s for s in ("accepted", "rejected", "cancelled")}),
             ("CONFIDENTIAL_AUTHORITY_TRANSFER_PROPOSED",),
         ),

@@ -9,7 +9,7 @@ from ..functions.text import enum_rule, has_reason, is_safe_path, valid_box, val
 from ..sources.shared import written
 from . import replay as R
 from .chain import anchor_check
-from .findings import finding, row_findings
+from .findings import COLUMNS, finding, row_findings
 from .matching import active_key, diff, intervals, missing_payloads
 from .merkle import tree_diff
 from .scopes import resolve_scopes
@@ -22,12 +22,14 @@ WHERE = "event_sequence"
 
 def verify_envelopes(ledger: DataFrame, schema: str = "authority-transaction/v2") -> DataFrame:
     """Signed events whose transaction is not that of their row: schema, position, object, predecessor, actor, key."""
-    t = lambda f: F.get_json_object("details_json", f"$.authority_transaction.{f}")
-    signed = ledger.filter(F.get_json_object("details_json", "$.authority_transaction").isNotNull() | F.get_json_object("details_json", "$.authority_signature").isNotNull())
+    # Details are parsed once; a null that is written out counts as absent.
+    at = lambda path: F.try_variant_get("_details", f"$.{path}", "string")
+    t = lambda f: at(f"authority_transaction.{f}")
+    signed = R.parsed(ledger).filter(at("authority_transaction").isNotNull() | at("authority_signature").isNotNull())
     pairs = {"schema": F.lit(schema), "event_sequence": F.col(SEQ).cast("string")} | {c: F.col(c) for c in ("occurred_at", "event_type", "object_type", "object_id", "previous_hash", "actor_id", "actor_uuid")}
     pairs |= {"actor_key_fingerprint": F.col("credential_fingerprint")}
     wrong = F.filter(F.array(*[F.struct(F.lit(n).alias("column"), e.alias("expected"), t(n).alias("actual")) for n, e in pairs.items()]), lambda x: ~x["expected"].eqNullSafe(x["actual"]))
-    rows = signed.select("project_id", SEQ, "actor_kind", F.get_json_object("details_json", "$.authority_signature").alias("_s"), t("data").alias("_d"), F.explode_outer(wrong).alias("w"))
+    rows = signed.select("project_id", SEQ, "actor_kind", at("authority_signature").alias("_s"), t("data").alias("_d"), F.explode_outer(wrong).alias("w"))
     parts = finding(rows.filter("w is not null"), F.col("project_id"), "envelope", F.col(SEQ), F.col("w.column"), F.col("w.expected"), F.col("w.actual"))
     shape = finding(rows.filter("_s is null or _d is null or actor_kind <> 'operator'").select("project_id", SEQ).distinct(), F.col("project_id"), "malformed-envelope", F.col(SEQ))
     return parts.unionByName(shape)
@@ -168,15 +170,21 @@ def verify_object(targets: DataFrame, ledger: DataFrame, live: dict[str, DataFra
     """(scope_type, scope_id, n_files, n_findings, status) for targets (scope_type, scope_id), and the findings about
     their files, each once: history, payloads, digests, sizes. Only payloads of files in a scope are compared.
 
-    live: the tables that resolve_scopes needs, with files as catalogued.
+    live: the tables that resolve_scopes needs, with files as catalogued. Of history and catalogue only what is about the
+    scopes' files is replayed and compared.
     """
     found, none = resolve_scopes(targets, live)
-    subset = found.select("file_id").distinct()
-    about = verify_files(ledger, live["files"], payloads, allowed, subset).withColumn("file_id", F.element_at(F.split("key", "/"), -1)).join(subset, "file_id", "left_semi")
-    about = written(about, "findings")
+    found = written(found, "scope-files")
+    subset = written(found.select("file_id").distinct(), "subset")
+    own = subset.select(F.col("file_id").alias("object_id"))
+    events = ledger.filter(F.col("event_type").isin(*R.projections()["files"].sets)).join(own, "object_id", "left_semi")
+    files = live["files"].join(subset, "file_id", "left_semi")
+    # A finding names a file by its id, or by its project and id.
+    names = files.select("file_id", F.explode(F.array("file_id", F.concat_ws("/", "project_id", "file_id"))).alias("key")).distinct()
+    about = written(verify_files(events, files, payloads, allowed, subset).join(names, "key"), "findings")
     counted = found.join(about.groupBy("file_id").agg(F.count("*").alias("_n")), "file_id", "left").groupBy("scope_type", "scope_id").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_findings"))
     rows = counted.withColumn("status", F.when(F.col("n_findings") == 0, "verified").otherwise("failed"))
-    return rows, about.drop("file_id").unionByName(none)
+    return rows, about.select(COLUMNS).unionByName(none)
 
 
 def verify_external(probe: DataFrame, files: DataFrame, payloads: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
