@@ -22,17 +22,16 @@ WHERE = "event_sequence"
 
 def verify_envelopes(ledger: DataFrame, schema: str = "authority-transaction/v2") -> DataFrame:
     """Signed events whose transaction is not that of their row: schema, position, object, predecessor, actor, key."""
-    # Details are parsed once; a null that is written out counts as absent.
+    # Details are parsed once, and all findings of a row come from one pass; a null that is written out counts as absent.
     at = lambda path: F.try_variant_get("_details", f"$.{path}", "string")
-    t = lambda f: at(f"authority_transaction.{f}")
-    signed = R.parsed(ledger).filter(at("authority_transaction").isNotNull() | at("authority_signature").isNotNull())
     pairs = {"schema": F.lit(schema), "event_sequence": F.col(SEQ).cast("string")} | {c: F.col(c) for c in ("occurred_at", "event_type", "object_type", "object_id", "previous_hash", "actor_id", "actor_uuid")}
     pairs |= {"actor_key_fingerprint": F.col("credential_fingerprint")}
-    wrong = F.filter(F.array(*[F.struct(F.lit(n).alias("column"), e.alias("expected"), t(n).alias("actual")) for n, e in pairs.items()]), lambda x: ~x["expected"].eqNullSafe(x["actual"]))
-    rows = signed.select("project_id", SEQ, "actor_kind", at("authority_signature").alias("_s"), t("data").alias("_d"), F.explode_outer(wrong).alias("w"))
-    parts = finding(rows.filter("w is not null"), F.col("project_id"), "envelope", F.col(SEQ), F.col("w.column"), F.col("w.expected"), F.col("w.actual"))
-    shape = finding(rows.filter("_s is null or _d is null or actor_kind <> 'operator'").select("project_id", SEQ).distinct(), F.col("project_id"), "malformed-envelope", F.col(SEQ))
-    return parts.unionByName(shape)
+    own = [c for c in ledger.columns if c != "details_json"]
+    rows = R.parsed(ledger).select(*own, at("authority_transaction").isNotNull().alias("_t"), at("authority_signature").alias("_s"), at("authority_transaction.data").alias("_d"), *[at(f"authority_transaction.{n}").alias(f"_t_{n}") for n in pairs])
+    signed = F.col("_t") | F.col("_s").isNotNull()
+    checks = [("envelope", signed & ~e.eqNullSafe(F.col(f"_t_{n}")), n, e, F.col(f"_t_{n}")) for n, e in pairs.items()]
+    checks.append(("malformed-envelope", signed & (F.col("_s").isNull() | F.col("_d").isNull() | F.coalesce(F.col("actor_kind") != "operator", F.lit(False))), None, None, None))
+    return row_findings(rows, F.col("project_id"), F.col(SEQ), checks)
 
 
 def verify_signers(ledger: DataFrame, keys: DataFrame) -> DataFrame:

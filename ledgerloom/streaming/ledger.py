@@ -19,6 +19,8 @@ from ..sources.shared import written
 GENESIS = "0" * 64
 # Events of a key that may wait for one that has not come.
 MOST_WAITING = 100_000
+# Events ahead of their turn that are held at hand, before they are put in state.
+AT_HAND = 50_000
 
 
 def link(previous: str, payload: str | None) -> str:
@@ -61,24 +63,36 @@ class ChainVerifier(StatefulProcessor):
         self.early = handle.getMapState("early", "sequence bigint", "previous_hash string, event_hash string, payload string")
         self.timer = handle.getValueState("timer", "sequence bigint, at bigint")
 
-    def _go_on(self, key, sequence: int, head: str, waiting: int, found: list) -> tuple[int, str, int]:
-        """Check what waits for its turn and has it now."""
-        while waiting and self.early.containsKey((sequence + 1,)):
-            before, own, payload = self.early.getValue((sequence + 1,))
-            self.early.removeKey((sequence + 1,))
-            sequence, waiting = sequence + 1, waiting - 1
+    def _go_on(self, key, sequence: int, head: str, waiting: int, found: list, new: dict) -> tuple[int, str, int]:
+        """Check what has its turn now, of the new events at hand and of those that wait in state."""
+        while True:
+            if sequence + 1 in new:
+                before, own, payload = new.pop(sequence + 1)
+            elif waiting and self.early.containsKey((sequence + 1,)):
+                before, own, payload = self.early.getValue((sequence + 1,))
+                self.early.removeKey((sequence + 1,))
+                waiting -= 1
+            else:
+                return sequence, head, waiting
+            sequence += 1
             if before != head:
                 found.append((key[0], sequence, "broken-link"))
             if own != link(before, payload):
                 found.append((key[0], sequence, "wrong-hash"))
             head = own
-        return sequence, head, waiting
+
+    def _put_by(self, new: dict, waiting: int) -> int:
+        for s, row in new.items():
+            self.early.updateValue((s,), row)
+        waiting += len(new)
+        new.clear()
+        return waiting
 
     def _skip(self, key, sequence: int, head: str, waiting: int, found: list) -> tuple[int, str, int]:
         """Give up on the next event: report it, and go on with the first that waits."""
         found.append((key[0], sequence + 1, "gap"))
         first = min(k[0] for k in self.early.keys())
-        return self._go_on(key, first - 1, self.early.getValue((first,))[0], waiting, found)
+        return self._go_on(key, first - 1, self.early.getValue((first,))[0], waiting, found, {})
 
     def _keep(self, sequence: int, head: str, waiting: int, timerValues) -> None:
         self.head.update((sequence, head, waiting))
@@ -97,16 +111,18 @@ class ChainVerifier(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sequence, head, waiting = self.head.get() if self.head.exists() else (0, GENESIS, 0)
-        found = []
+        found, new = [], {}
         for batch in rows:
             for s, before, own, payload in zip(batch["sequence"], batch["previous_hash"], batch["event_hash"], batch["payload"], strict=True):
-                if s <= sequence or self.early.containsKey((int(s),)):
+                if s <= sequence or s in new or waiting and self.early.containsKey((int(s),)):
                     found.append((key[0], int(s), "late-or-doubled"))
                     continue
-                self.early.updateValue((int(s),), (before, own, payload))
-                waiting += 1
+                new[int(s)] = (before, own, payload)
             # Chunks of a batch come in any order: no gap is given up before all of them are there.
-            sequence, head, waiting = self._go_on(key, sequence, head, waiting, found)
+            sequence, head, waiting = self._go_on(key, sequence, head, waiting, found, new)
+            if len(new) > AT_HAND:
+                waiting = self._put_by(new, waiting)
+        waiting = self._put_by(new, waiting)
         while waiting > self.most_waiting:
             sequence, head, waiting = self._skip(key, sequence, head, waiting, found)
         self._keep(sequence, head, waiting, timerValues)
