@@ -92,3 +92,17 @@ def test_only_the_similarity_of_shingle_sets_links(spark):
     assert got == brute(texts) | {243: 242}
     assert all(got[2 * i + 1] == 2 * i for i in range(60)) and all(got[2 * i + 1] == 2 * i + 1 for i in range(60, 120))
     assert got[241] == 240 and got[245] == 244
+
+
+def test_rows_are_judged_by_their_texts_not_their_ids(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(304)]
+    near, other = " ".join(changed(rng, words, 3)), " ".join(f"o{i}" for i in range(100))
+    # Id 5 names two texts: a near copy of 1, which goes, and one of its own, which stays.
+    rows = [(1, " ".join(words), "a", 1, 2), (5, near, "b", 1, 2), (5, other, "c", 1, 2), (7, other, "d", 1, 2), (None, near, "e", 1, 2), (None, "alone", "f", 1, 2), (8, None, "g", 1, 2), (9, " ", "h", 1, 2), (1, " ".join(words), "i", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _node string, _text int, c0 int")
+    out = N.without_near_copies(docs).collect()
+    assert out[0].__fields__ == docs.columns
+    kept = {(r["doc_id"], r["text"]) for r in out}
+    assert len(out) == len(kept) == 4 and kept == {(1, " ".join(words)), (5, other), (None, "alone"), (8, None)}
+    assert N.without_near_copies(docs.limit(0)).count() == 0
