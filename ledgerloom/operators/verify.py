@@ -208,9 +208,20 @@ def verify_external(probe: DataFrame, files: DataFrame, payloads: DataFrame, mem
 
 
 def verify_package(manifest: DataFrame, observed: DataFrame) -> DataFrame:
-    """Unsafe paths, and members that are missing, extra or changed. Both: path, content_digest."""
+    """Unsafe paths, and members that are missing, extra or changed. Both: path, content_digest.
+
+    observed may have kind, what each member of the archive is: then links and members that are neither files nor
+    directories are findings, unsafe paths of any member too, and files alone are compared.
+    """
     unsafe = finding(manifest.filter(~is_safe_path("path")), F.lit("package"), "unsafe-path", F.col("path"))
-    return unsafe.unionByName(diff(manifest, observed, ["path"], ["content_digest"], "package"))
+    if "kind" not in observed.columns:
+        return unsafe.unionByName(diff(manifest, observed, ["path"], ["content_digest"], "package"))
+    is_file, link = F.coalesce(F.col("kind") == "file", F.lit(False)), F.coalesce(F.col("kind").isin("symlink", "hardlink"), F.lit(False))
+    members = row_findings(observed, F.lit("package"), F.col("path"), [
+        ("unsafe-member", ~is_safe_path("path"), None, None, None), ("unexpected-link", link, "kind", None, F.col("kind")),
+        ("special-member", ~is_file & ~link & ~F.coalesce(F.col("kind") == "directory", F.lit(False)), "kind", None, F.col("kind")),
+    ])
+    return union_all([unsafe, members, diff(manifest, observed.filter(is_file), ["path"], ["content_digest"], "package")])
 
 
 def verify_snapshot(a: dict[str, DataFrame], b: dict[str, DataFrame], keys: dict[str, list[str]], by_tree: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checkin as B
 from ..operators import scopes as Q
+from ..operators import verify as V
 from ..sources import ledger as L
 from ..sources.shared import shared_dir
 from .registry import ORACLE_SQL, query
@@ -90,3 +91,19 @@ def checkin_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
         return own.unionByName(notes)
 
     return B.commit_batch(prepared, found, counters, with_notes).select("file_id", "logical_path", "storage_path", "about")
+
+
+@query("""
+SELECT 'missing' AS rule, 'd/' || doc_id AS key FROM documents WHERE doc_id % 31 = 0 OR doc_id % 37 = 0
+UNION ALL SELECT 'unexpected-link', 'd/' || doc_id FROM documents WHERE doc_id % 31 = 0
+UNION ALL SELECT 'special-member', 'd/' || doc_id FROM documents WHERE doc_id % 31 <> 0 AND doc_id % 37 = 0
+UNION ALL SELECT 'changed', 'd/' || doc_id FROM documents WHERE doc_id % 31 <> 0 AND doc_id % 37 <> 0 AND doc_id % 41 = 0
+UNION ALL SELECT 'unsafe-member', '/dirs/' || source FROM (SELECT DISTINCT source FROM documents) x
+""")
+def verify_package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as members of a package: some are links or devices, some are changed; the directories have absolute paths."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    manifest = d.select(F.concat(F.lit("d/"), text("doc_id")).alias("path"), F.sha2("text", 256).alias("content_digest"))
+    seen = d.select(F.concat(F.lit("d/"), text("doc_id")).alias("path"), F.when(n % 41 == 0, "x").otherwise(F.sha2("text", 256)).alias("content_digest"), F.when(n % 31 == 0, "symlink").when(n % 37 == 0, "device").otherwise("file").alias("kind"))
+    dirs = d.select(F.concat(F.lit("/dirs/"), "source").alias("path"), F.lit(None).cast("string").alias("content_digest"), F.lit("directory").alias("kind")).distinct()
+    return V.verify_package(manifest, seen.unionByName(dirs)).select("rule", "key")

@@ -178,3 +178,5 @@ def test_reviews_and_packages(spark):
     manifest = spark.createDataFrame([("a", "1"), ("../b", "2"), ("c", "3")], "path string, content_digest string")
     observed = spark.createDataFrame([("a", "1"), ("../b", "2"), ("d", "4")], "path string, content_digest string")
     assert names(V.verify_package(manifest, observed)) == {("package", "unsafe-path", "../b"), ("package", "missing", "c"), ("package", "extra", "d")}
+    kinds = spark.createDataFrame([("a", "1", "file"), ("c", "3", "symlink"), ("d", None, "directory"), ("e", None, "fifo"), ("/x", None, "hardlink"), ("f", None, None)], "path string, content_digest string, kind string")
+    assert names(V.verify_package(manifest.filter("path <> '../b'"), kinds)) == {("package", "unexpected-link", "c"), ("package", "missing", "c"), ("package", "special-member", "e"), ("package", "special-member", "f"), ("package", "unexpected-link", "/x"), ("package", "unsafe-member", "/x")}
