@@ -57,12 +57,28 @@ def build_chain(ledger: DataFrame, schema: str = "audit-event/v3", algorithm: st
 def fold_chain(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
     """(key, n, head): the last hash of a plain SHA-256 chain over payloads, by order and payload; a null payload adds nothing.
 
-    Rows pass one by one, as in chain_parts: a key may be as long as it likes.
+    Rows pass one by one, as in chain_parts: a key may be as long as it likes. One shuffle, and only heads come out.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order, payload))
-    rows = df.select(key, F.coalesce(payload, F.lit("")).alias("_payload"), place.alias("_n"))
-    linked = chain_parts(rows, key, "_n", F.lit(""), F.col("_payload"))
-    return linked.groupBy(key).agg(F.count("*").alias("n"), F.max_by("event_hash", "_n").alias("head"))
+    kind = df.schema[key].dataType
+    out = T.StructType([T.StructField(key, kind), T.StructField("n", T.LongType()), T.StructField("head", T.StringType())])
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        new, held, n, previous = hasher("sha256"), None, 0, "0" * 64
+        for batch in batches:
+            done, column = [], batch.column(0)
+            for k, p in zip(column.to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and k != held:
+                    done.append((held, n, previous))
+                    n, previous = 0, "0" * 64
+                held, n, previous = k, n + 1, new(f"{previous}{p}".encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((column.type, pa.int64(), pa.string()))], names=out.names)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([held], column.type), pa.array([n], pa.int64()), pa.array([previous], pa.string())], names=out.names)
+
+    rows = df.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.coalesce(payload, F.lit("")).alias("_payload"))
+    return rows.repartition("_key").sortWithinPartitions("_key", "_order", "_payload").select("_key", "_payload").mapInArrow(fold, out)
 
 
 def with_predecessor(ledger: DataFrame, columns: list[str], key: str = KEY, seq: str = SEQ, prefix: str = "prev_") -> DataFrame:

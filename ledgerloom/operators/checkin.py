@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
 from ..functions.text import has_reason, is_safe_path, is_transient, merge_record, normalise_path, safe_leaf, storage_path
+from ..sources.shared import written
 from .findings import finding, row_findings
 from .matching import resolve_endpoints
+from .members import member_rows, ordinals
 from .sets import assign_ids, ordered_members
 
 
@@ -73,6 +75,25 @@ def group_artefacts(committed: DataFrame, counters: DataFrame, group: str = "rol
     return assign_ids(members, counters, "_namespace", ["batch_id", group]).withColumnRenamed("identifier", "artefact_id").drop("_namespace", "number")
 
 
+def artefact_rows(committed: DataFrame, counters: DataFrame, group: str = "role") -> tuple[DataFrame, DataFrame]:
+    """Artefacts (batch_id, group, artefact_id, n_files), one for each group of a batch's files, and their members
+    (artefact_id, ordinal, file_id) by path, a row each: what group_artefacts gives, for groups of any size."""
+    counted = committed.groupBy("batch_id", group).agg(F.count("*").alias("n_files")).withColumn("_namespace", F.lit("artefact"))
+    made = assign_ids(counted, counters, "_namespace", ["batch_id", group]).withColumnRenamed("identifier", "artefact_id").select("batch_id", group, "artefact_id", "n_files")
+    made = written(made, "artefacts")
+    placed = ordinals(committed.select("batch_id", group, "logical_path", "file_id"), ["batch_id", group], ["logical_path", "file_id"])
+    ids = made.select(F.col("batch_id").alias("_batch"), F.col(group).alias("_group"), "artefact_id")
+    members = placed.join(ids, F.col("batch_id").eqNullSafe(F.col("_batch")) & F.col(group).eqNullSafe(F.col("_group")))
+    return made, members.select("artefact_id", "ordinal", "file_id")
+
+
+def acquisition_rows(committed: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Acquisitions (batch_id, n_files, record) and their files (batch_id, ordinal, file_id), a row each: what
+    record_acquisition gives, for batches of any size."""
+    counted = committed.groupBy("batch_id").agg(F.count("*").alias("n_files")).join(records, "batch_id", "left")
+    return counted, member_rows(committed, ["batch_id"], "file_id", "file_id")
+
+
 def record_acquisition(committed: DataFrame, records: DataFrame) -> DataFrame:
     """(batch_id, file_ids, record): each batch's files in order, with its provenance record."""
     return ordered_members(committed, "batch_id", "file_id", "file_id", "file_ids").join(records, "batch_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import format_id
 from ..sources.shared import written
 from .findings import finding
+from .members import ordinals
 
 
 def ordered_members(df: DataFrame, group: str, seq: str, member: str, name: str = "members") -> DataFrame:
@@ -66,8 +67,8 @@ def revision_check(revisions: DataFrame, notes: DataFrame, note: str = "note_id"
 
 
 def ordinal_refs(df: DataFrame, group: list[str], order: list[str], prefix: str, name: str = "ref") -> DataFrame:
-    """df with PREFIX-000001 and so on in order, within each group."""
-    return df.withColumn(name, format_id(prefix, F.row_number().over(Window.partitionBy(*group).orderBy(*order))))
+    """df with PREFIX-000001 and so on in order, within each group; a hot group is numbered in many tasks."""
+    return ordinals(df, group, order, name).withColumn(name, format_id(prefix, F.col(name)))
 
 
 def assign_ids(batch: DataFrame, counters: DataFrame, namespace: str, order: list[str], width: int = 6) -> DataFrame:

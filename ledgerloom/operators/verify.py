@@ -11,6 +11,7 @@ from . import replay as R
 from .chain import anchor_check
 from .findings import COLUMNS, finding, row_findings
 from .matching import active_key, diff, intervals, missing_payloads
+from .members import ordinals
 from .merkle import tree_diff
 from .scopes import resolve_scopes
 from .sets import revision_check, union_all
@@ -109,15 +110,24 @@ def verify_files(ledger: DataFrame, files: DataFrame, payloads: DataFrame, allow
 
 
 def verify_acquisitions(ledger: DataFrame, files: DataFrame) -> DataFrame:
-    """Acquisitions recorded once, with files, each once, in the order in which they were committed."""
+    """Acquisitions recorded once, with files, each once, in the order in which they were committed.
+
+    Files of an acquisition are never put in one row: they are numbered, and meet the event's list place by place.
+    """
     recorded = ledger.filter("event_type = 'ACQUISITION_RECORDED'")
     ids = F.from_json(R.signed("file_ids"), "array<string>")
     rows = recorded.select("project_id", "object_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     twice = rows.groupBy("project_id", "object_id").count().filter("count > 1")
-    order = F.sort_array(F.collect_list(F.struct(F.col("committed_sequence").cast("long"), F.col("file_id"))))
-    own = files.groupBy("project_id", F.col("acquisition_id").alias("object_id")).agg(F.transform(order, lambda x: x["file_id"]).alias("own"))
-    joined = rows.join(own, ["project_id", "object_id"], "left")
-    rules = {"no-files": "size(ids) = 0", "doubled-file": "size(ids) <> size(array_distinct(ids))", "membership": "not (ids <=> coalesce(own, array()))"}
+    # Named by a number, as an acquisition may be recorded more than once; written, so that all uses see the same numbers.
+    rows = written(rows.withColumn("_event", F.monotonically_increasing_id()), "recorded")
+    listed = rows.select("_event", "project_id", F.col("object_id").alias("acquisition_id"), F.posexplode("ids").alias("_at", "_said"))
+    keys = ["project_id", "acquisition_id"]
+    placed = files.filter("acquisition_id is not null").select(*keys, "file_id", F.col("committed_sequence").cast("long").alias("_seq"))
+    own = ordinals(placed, keys, ["_seq", "file_id"], "_place").withColumn("_at", (F.col("_place") - 1).cast("int"))
+    met = listed.join(own, [*keys, "_at"]).filter(F.col("_said").eqNullSafe(F.col("file_id"))).groupBy("_event").agg(F.count("*").alias("_met"))
+    held = placed.groupBy(*keys).agg(F.count("*").alias("_own")).withColumnRenamed("acquisition_id", "object_id")
+    joined = rows.join(met, "_event", "left").join(held, ["project_id", "object_id"], "left")
+    rules = {"no-files": "size(ids) = 0", "doubled-file": "size(ids) <> size(array_distinct(ids))", "membership": "size(ids) <> coalesce(_own, 0) or size(ids) <> coalesce(_met, 0)"}
     found = row_findings(joined, F.col("project_id"), F.col("object_id"), [(rule, F.expr(where), None, None, None) for rule, where in rules.items()])
     return finding(twice, F.col("project_id"), "recorded-twice", F.col("object_id"), actual=F.col("count")).unionByName(found)
 

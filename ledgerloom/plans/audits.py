@@ -193,7 +193,7 @@ def audit_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT DISTINCT conv_id AS n FROM conversations WHERE conv_id % 6 = 0)
+WITH n AS (SELECT DISTINCT conv_id AS n FROM conversations)
 SELECT 'P' AS target, 'R20' AS rule, CAST(n * 1000 + 901 AS VARCHAR) AS key FROM n WHERE n % 12 = 0 OR n % 18 = 0 OR n % 24 = 0
 UNION ALL SELECT 'P', 'R20', CAST(n * 1000 + 902 AS VARCHAR) FROM n WHERE n % 36 = 0
 UNION ALL SELECT 'P', 'R21', CAST(n * 1000 + 903 AS VARCHAR) FROM n WHERE n % 10 <> 0 AND (n % 42 = 0 OR n % 48 = 0)
@@ -203,7 +203,7 @@ UNION ALL SELECT 'P', 'R22', CAST(n * 1000 + 905 AS VARCHAR) FROM n WHERE n % 54
 def audit_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidential transfers proposed by strangers, of what the source does not control, to who is not active, or beside
     a pending one; accepted by another or with another scope; rejected by another; ended twice."""
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct().filter("conv_id % 6 = 0")
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     n, note, to = F.col("conv_id"), F.format_string("NOTE-%d", "conv_id"), F.format_string("B%d", "conv_id")
     author = F.format_string("A%d", n % 7)
     made = event(c, "NOTE_CREATED", "note", note, n * 1000 + 10, {"visibility": F.lit("confidential"), "author_id": author, "revision": F.lit(1)}, author)

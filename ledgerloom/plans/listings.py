@@ -18,7 +18,7 @@ from ..sources import ledger as L
 from ..sources.shared import shared_dir, written
 from .registry import FILES, LEDGER, query
 from .replays import export_events, file_events, member_events, note_events, part_events, record_events
-from .standins import export_ledger, files, ledger, table, text
+from .standins import export_ledger, files, ledger, scope_tables, table, text
 
 
 def ranked(df: DataFrame, by: list, group: str | None = None, name: str = "place") -> DataFrame:
@@ -156,37 +156,48 @@ def active_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id AS n, source FROM documents)
-SELECT 'FILE-' || n AS identifier, CASE WHEN n % 5 = 0 THEN 'unknown-id' WHEN n % 5 = 1 THEN 'unsupported-namespace' ELSE 'file' END AS found, CASE WHEN n % 5 > 1 THEN 1 END AS n_files FROM d
+WITH RECURSIVE d AS (SELECT doc_id AS n, source, lang FROM documents),
+below AS (SELECT n AS root, n FROM d WHERE n % 2 = 1 UNION SELECT root, d.n FROM below JOIN d ON d.n = below.n * 2),
+s AS (SELECT 'artefact' AS kind, 'ART-' || root AS id, n FROM below UNION ALL SELECT 'acquisition', 'ACQ-' || lang, n FROM d
+  UNION ALL SELECT DISTINCT 'note', 'NOTE-' || conv_id, conv_id * 3 + turn FROM conversations UNION ALL SELECT DISTINCT 'export', 'EXPORT-' || l_suppkey, l_partkey FROM lineitem),
+k AS (SELECT kind, id, count(d.n) AS c FROM s LEFT JOIN d USING (n) GROUP BY ALL)
+SELECT id AS identifier, kind AS found, c AS n_files FROM k
+UNION ALL SELECT id, 'empty-scope', NULL FROM k WHERE c = 0
+UNION ALL SELECT 'FILE-' || n AS identifier, CASE WHEN n % 5 = 0 THEN 'unknown-id' WHEN n % 5 = 1 THEN 'unsupported-namespace' ELSE 'file' END AS found, CASE WHEN n % 5 > 1 THEN 1 END AS n_files FROM d
 UNION ALL SELECT 'CASE-' || source, 'case', count(*) FROM d GROUP BY source
 UNION ALL SELECT 'P', 'project', count(*) FROM d
 UNION ALL SELECT 'CASE-none', 'empty-scope', NULL
 UNION ALL SELECT 'CASE-none', 'case', 0
 """)
 def verify_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers of files, cases and the project: some never issued, some of a namespace without files, and a case that stands for none."""
+    """Identifiers of files, cases, acquisitions, artefacts, notes, exports and the project: some never issued, some of a
+    namespace without files, and some that stand for none."""
     n = F.col("doc_id")
-    f = files(spark, sf_dir).select(F.format_string("FILE-%d", "doc_id").alias("file_id"), F.concat(F.lit("CASE-"), "case_id").alias("case_id"), F.col("lang").alias("acquisition_id"), F.lit("P").alias("project_id"), n.alias("committed_sequence"), "doc_id")
-    none = f.limit(0).select("file_id", F.col("file_id").alias("artefact_id"), F.col("file_id").alias("note_id"), F.col("file_id").alias("export_id"), F.col("file_id").alias("parent_file_id"), F.col("file_id").alias("child_file_id"))
+    f = files(spark, sf_dir).select(F.format_string("FILE-%d", "doc_id").alias("file_id"), F.concat(F.lit("CASE-"), "case_id").alias("case_id"), F.concat(F.lit("ACQ-"), "lang").alias("acquisition_id"), F.lit("P").alias("project_id"), n.alias("committed_sequence"), "doc_id")
+    state = scope_tables(spark, sf_dir, f, n, lambda c: F.format_string("FILE-%d", c))
+    tables = {"acquisition": "files", "artefact": "artefact_files", "note": "note_revisions", "export": "export_items"}
+    others = S.union_all([state[t].select(F.col(f"{k}_id").alias("identifier"), F.lit(k).alias("namespace"), F.lit("active").alias("state")).distinct() for k, t in tables.items()]).filter("identifier is not null")
     cases = f.select(F.col("case_id").alias("identifier")).distinct().unionByName(spark.range(1).select(F.lit("CASE-none").alias("identifier")))
-    ids = f.filter(n % 5 != 0).select(F.col("file_id").alias("identifier"), F.when(n % 5 == 1, "box").otherwise("file").alias("namespace"), F.lit("active").alias("state")).unionByName(cases.select("identifier", F.lit("case").alias("namespace"), F.lit("active").alias("state")))
-    state = {"files": f, "artefact_files": none, "note_revisions": none, "export_items": none, "file_relationships": none, "identifiers": ids}
-    asked = f.select(F.col("file_id").alias("identifier")).unionByName(cases).unionByName(spark.range(1).select(F.lit("P").alias("identifier")))
+    ids = f.filter(n % 5 != 0).select(F.col("file_id").alias("identifier"), F.when(n % 5 == 1, "box").otherwise("file").alias("namespace"), F.lit("active").alias("state")).unionByName(cases.select("identifier", F.lit("case").alias("namespace"), F.lit("active").alias("state"))).unionByName(others)
+    state["identifiers"] = ids
+    asked = f.select(F.col("file_id").alias("identifier")).unionByName(cases).unionByName(others.select("identifier")).unionByName(spark.range(1).select(F.lit("P").alias("identifier")))
     rows, found = Q.verify_id(asked, ids, state)
     return rows.select("identifier", F.col("scope_type").alias("found"), F.col("n_files").cast("long").alias("n_files")).unionByName(found.select(F.col("key").alias("identifier"), F.col("rule").alias("found"), F.lit(None).cast("long").alias("n_files")))
 
 
 @query("""
-WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS k FROM orders), d AS (SELECT doc_id, source FROM documents)
-SELECT CAST(c AS VARCHAR) AS request_id, 'FILE-' || doc_id AS file_id FROM o JOIN d ON doc_id = k WHERE c % 4 <> 0
+WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS k FROM orders), d AS (SELECT doc_id FROM documents),
+below AS (SELECT doc_id AS root, doc_id AS n FROM d WHERE doc_id % 2 = 1 UNION SELECT root, doc_id FROM below JOIN d ON doc_id = n * 2),
+s AS (SELECT 0 AS kind, root AS id, n FROM below UNION ALL SELECT 1, conv_id, conv_id * 3 + turn FROM conversations UNION ALL SELECT 2, l_suppkey, l_partkey FROM lineitem UNION ALL SELECT 3, doc_id, doc_id FROM d)
+SELECT DISTINCT CAST(c AS VARCHAR) AS request_id, 'FILE-' || doc_id AS file_id FROM o JOIN s ON id = k AND kind = k % 4 JOIN d ON doc_id = n WHERE c % 4 <> 0
 UNION ALL SELECT CAST(c AS VARCHAR), 'unsupported-id' FROM o WHERE c % 4 = 0 GROUP BY c
 """)
 def expand_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' selections of files named by their orders; those of every fourth name a thing of an unknown kind."""
+    """Customers' selections of files, artefacts, notes and exports named by their orders; those of every fourth name a thing of an unknown kind."""
     f = files(spark, sf_dir).select(F.format_string("FILE-%d", "doc_id").alias("file_id"), "case_id", F.col("lang").alias("acquisition_id"), F.lit("P").alias("project_id"), F.col("doc_id").alias("committed_sequence"))
-    none = f.limit(0).select("file_id", F.col("file_id").alias("artefact_id"), F.col("file_id").alias("note_id"), F.col("file_id").alias("export_id"), F.col("file_id").alias("parent_file_id"), F.col("file_id").alias("child_file_id"))
-    state = {"files": f, "artefact_files": none, "note_revisions": none, "export_items": none, "file_relationships": none}
-    name = F.when(F.col("o_custkey") % 4 == 0, "what").otherwise(F.format_string("FILE-%d", "o_orderkey"))
+    state = scope_tables(spark, sf_dir, f, F.col("committed_sequence"), lambda c: F.format_string("FILE-%d", c))
+    kind = F.get(F.array(*map(F.lit, ("ART-", "NOTE-", "EXPORT-", "FILE-"))), (F.col("o_orderkey") % 4).cast("int"))
+    name = F.when(F.col("o_custkey") % 4 == 0, "what").otherwise(F.concat(kind, text("o_orderkey")))
     asked = table(spark, sf_dir, "orders").groupBy(text("o_custkey").alias("request_id")).agg(F.collect_list(name).alias("ids"))
     rows, found = Q.expand_selection(asked, state)
     return rows.unionByName(found.filter("rule = 'unsupported-id'").select(F.col("target").alias("request_id"), F.col("rule").alias("file_id")))
@@ -431,12 +442,12 @@ def export_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT s_nationkey AS k, string_agg('{"n":"' || s_suppkey || '","s":"' || s_name || '"}', ',' ORDER BY s_suppkey) AS s FROM supplier GROUP BY s_nationkey),
-c AS (SELECT c_nationkey AS k, string_agg('{"c":' || c_custkey || '}', ',' ORDER BY c_custkey) AS c FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey)
+c AS (SELECT c_nationkey AS k, string_agg('{"c":' || c_custkey || '}', ',' ORDER BY c_custkey) AS c FROM customer GROUP BY c_nationkey)
 SELECT printf('P-%03d', coalesce(n.k, c.k)) AS project_id, sha256('{"customers":[' || coalesce(c, '') || '],"suppliers":[' || coalesce(s, '') || ']}') AS state_digest FROM n FULL JOIN c ON n.k = c.k
 """)
 def ordered_state_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each nation: its suppliers and a third of its customers, in fixed order."""
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
+    """The state of each nation: its suppliers and customers, in fixed order."""
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     suppliers = s.select(F.format_string("P-%03d", "s_nationkey").alias("project_id"), text("s_suppkey").alias("n"), F.col("s_name").alias("s"))
     customers = c.select(F.format_string("P-%03d", "c_nationkey").alias("project_id"), F.col("c_custkey").alias("c"))
     return H.ordered_state_digest({"suppliers": (suppliers, [F.col("n").cast("long")]), "customers": (customers, ["c"])})

@@ -20,9 +20,9 @@ from ..operators.findings import summarise_findings
 from ..sources import ledger as L
 from ..operators.sweeps import SLICE
 from ..sources.shared import written
-from . import audits, histories, listings, payloads, replays, streams, verifiers
+from . import audits, histories, listings, members, payloads, replays, streams, verifiers
 from .registry import FILES, LEDGER, ORACLE_SQL, QUERIES, query
-from .standins import export_ledger, files, ledger, table
+from .standins import export_ledger, files, ledger, scope_tables, table
 
 # Chains
 
@@ -529,10 +529,8 @@ def resolve_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, and so on); conversations as notes and suppliers as exports of files."""
     f = files(spark, sf_dir).select("file_id", "case_id", F.col("lang").alias("acquisition_id"), F.lit("P").alias("project_id"), F.col("doc_id").alias("committed_sequence"))
     n, name = F.col("committed_sequence"), lambda c: X.format_id("FILE", c)
-    artefacts = f.filter(n % 2 == 1).select(F.concat(F.lit("ART-"), n.cast("string")).alias("artefact_id"), "file_id")
-    notes = table(spark, sf_dir, "conversations").select(F.format_string("NOTE-%d", "conv_id").alias("note_id"), name(F.col("conv_id") * 3 + F.col("turn")).alias("file_id"))
-    exports = table(spark, sf_dir, "lineitem").select(F.format_string("EXPORT-%d", "l_suppkey").alias("export_id"), name(F.col("l_partkey")).alias("file_id"))
-    state = {"files": f, "artefact_files": artefacts, "note_revisions": notes, "export_items": exports, "file_relationships": f.select(F.col("file_id").alias("parent_file_id"), name(n * 2).alias("child_file_id"))}
+    state = scope_tables(spark, sf_dir, f, n, name)
+    artefacts, notes, exports = (state[t] for t in ("artefact_files", "note_revisions", "export_items"))
     scopes = {"case": (f, "case_id"), "acquisition": (f, "acquisition_id"), "project": (f, "project_id"), "artefact": (artefacts, "artefact_id"), "note": (notes, "note_id"), "export": (exports, "export_id")}
     asked = S.union_all([df.select(F.lit(t).alias("scope_type"), F.col(c).alias("scope_id")).distinct() for t, (df, c) in scopes.items()])
     found, _ = Q.resolve_scopes(asked, state)
@@ -572,4 +570,4 @@ def promote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.promote_metadata(e, "props", ("k",)).drop("props")
 
 # Their queries register themselves.
-__all__ = ["ORACLE_SQL", "QUERIES", "audits", "histories", "listings", "payloads", "replays", "streams", "verifiers"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "histories", "listings", "members", "payloads", "replays", "streams", "verifiers"]

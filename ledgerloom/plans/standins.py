@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.format_string("FILE-%06d", "doc_id").alias("file_id"), F.col("source").alias("case_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("logical_path"), F.sha2("text", 256).alias("content_digest"), F.octet_length("text").cast("long").alias("size_bytes"), "lang", "doc_id")
 
 
+def scope_tables(spark: SparkSession, sf_dir: str, f: DataFrame, number: Column, name: Callable[[Column], Column], artefact: str = "ART") -> dict[str, DataFrame]:
+    """The tables that scopes are resolved with, f being files and number their documents': artefacts of each odd file,
+    relations of each file to the one of twice its number, conversations as notes and suppliers as exports of files."""
+    artefacts = f.filter(number % 2 == 1).select(F.concat(F.lit(f"{artefact}-"), number.cast("string")).alias("artefact_id"), "file_id")
+    notes = table(spark, sf_dir, "conversations").select(F.format_string("NOTE-%d", "conv_id").alias("note_id"), name(F.col("conv_id") * 3 + F.col("turn")).alias("file_id"))
+    exports = table(spark, sf_dir, "lineitem").select(F.format_string("EXPORT-%d", "l_suppkey").alias("export_id"), name(F.col("l_partkey")).alias("file_id"))
+    edges = f.select(F.col("file_id").alias("parent_file_id"), name(number * 2).alias("child_file_id"))
+    return {"files": f, "artefact_files": artefacts, "note_revisions": notes, "export_items": exports, "file_relationships": edges}
+
+
 def export_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as the life cycles of exports, one export for each user."""
     e = table(spark, sf_dir, "events").filter(F.col("event_type").isin(*EXPORT_TYPES))

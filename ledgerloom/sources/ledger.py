@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import digest, hasher
 from ..operators.chain import append_guard, assign_sequences, chain_parts, ledger_summary
 from ..operators.findings import finding
+from ..operators.members import PART, text_parts
 
 # Payloads of more bytes than WHOLE are read in blocks of BLOCK bytes.
 WHOLE, BLOCK = 1 << 28, 1 << 20
@@ -207,8 +208,27 @@ def package_descriptor(summary: DataFrame, state_digest: DataFrame, withheld: Da
     ledger (from ledger_summary and state_digest), what it includes, and the ids of withheld files (project_id, file_id) in order."""
     held = withheld.groupBy("project_id").agg(F.sort_array(F.collect_set("file_id")).alias("withheld_file_ids"))
     rows = summary.join(state_digest.select("project_id", "state_digest"), "project_id", "left").join(held, "project_id", "left")
+    return rows.select("project_id", described(schema, roots, F.coalesce("withheld_file_ids", F.array().cast("array<string>"))).alias("descriptor"))
+
+
+def described(schema: str, roots: tuple[str, ...], withheld: Column) -> Column:
     body = F.struct(
         F.lit(schema).alias("schema"), "project_id", "event_count", "chain_head", "state_digest", F.col("last_event_at").alias("state_timestamp"),
-        F.array(*map(F.lit, roots)).alias("included_roots"), F.coalesce("withheld_file_ids", F.array().cast("array<string>")).alias("withheld_file_ids"),
+        F.array(*map(F.lit, roots)).alias("included_roots"), withheld.alias("withheld_file_ids"),
     )
-    return rows.select("project_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("descriptor"))
+    return F.to_json(body, {"ignoreNullFields": "false"})
+
+
+def descriptor_parts(summary: DataFrame, state_digest: DataFrame, withheld: DataFrame, schema: str = "package/v1", roots: tuple[str, ...] = ("files", "cases"), most: int = PART) -> DataFrame:
+    """(project_id, part, text): package_descriptor in parts, for projects with any number of withheld files. Part 0 goes
+    up to the list of ids, each other part has at most `most` of them; a project's parts in order, put together, are its
+    descriptor."""
+    rows = summary.join(state_digest.select("project_id", "state_digest"), "project_id", "left")
+    whole = described(schema, roots, F.array().cast("array<string>"))
+    ids = withheld.filter("file_id is not null").select("project_id", "file_id").distinct().join(summary.select("project_id"), "project_id", "left_semi")
+    quoted = F.to_json(F.array("file_id"))
+    listed = text_parts(ids.withColumn("_item", F.substring(quoted, F.lit(2), F.length(quoted) - 2)), ["project_id"], ["file_id"], "_item", ",", most)
+    last = ids.groupBy("project_id").agg(F.call_function("div", F.count("*") + (most - 1), F.lit(most)).alias("_last"))
+    head = rows.join(last, "project_id", "left").select("project_id", F.lit(0).cast("long").alias("part"), F.when(F.col("_last").isNull(), whole).otherwise(F.substring(whole, F.lit(1), F.length(whole) - 2)).alias("text"))
+    body = listed.join(last, "project_id").select("project_id", "part", F.concat(F.when(F.col("part") > 1, ",").otherwise(""), "text", F.when(F.col("part") == F.col("_last"), "]}").otherwise("")).alias("text"))
+    return head.unionByName(body)
