@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_broad, is_confidential
+from .matching import active_key
 from .sweeps import valid_at
 
 # What each policy field may say.
@@ -17,20 +20,40 @@ POLICY_FIELDS = {
 }
 
 
-def registered(requests: DataFrame, members: DataFrame) -> DataFrame:
-    """requests with _is_member: the operator is an active member of the project. members: project_id, operator_id, state."""
-    active = members.filter("state = 'active'").select("project_id", "operator_id").distinct().withColumn("_is_member", F.lit(True))
-    return requests.join(active, ["project_id", "operator_id"], "left")
+# The columns that make an operator's identity.
+IDENTITY = ("name", "public_contact", "organisation", "role_label", "primary_fingerprint", "signing_fingerprint")
+
+
+def kept_identities(operators: DataFrame, keys: DataFrame) -> DataFrame:
+    """(project_id, operator_id, IDENTITY) of operators as a project keeps them, with the fingerprints of the active key; those without one are left out."""
+    held = active_key(keys).select("project_id", "operator_id", "primary_fingerprint", "signing_fingerprint")
+    return operators.join(held, ["project_id", "operator_id"]).select("project_id", "operator_id", *IDENTITY)
+
+
+def registered(requests: DataFrame, members: DataFrame, identities: DataFrame | None = None) -> DataFrame:
+    """requests with _is_member: the operator is an active member of the project. members: project_id, operator_id, state.
+
+    With identities (of kept_identities) requests have the columns of IDENTITY too, and all of them must be those kept;
+    nulls are equal. An operator whose identity is kept in more than one form is registered under none of them.
+    """
+    keys = ["project_id", "operator_id"]
+    active = members.filter("state = 'active'").select(*keys).distinct().withColumn("_is_member", F.lit(True))
+    if identities is None:
+        return requests.join(active, keys, "left")
+    one = identities.distinct().groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(f"_kept_{c}") for c in IDENTITY]).filter("_n = 1").drop("_n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in IDENTITY])
+    known = requests.join(active.join(one, keys), keys, "left").withColumn("_is_member", F.col("_is_member") & same)
+    return known.drop(*[f"_kept_{c}" for c in IDENTITY])
 
 
-def decide_export(requests: DataFrame, policy: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
+def decide_export(requests: DataFrame, policy: DataFrame, owners: DataFrame, members: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """requests (project_id, operator_id, scope_type, has_ciphertext) with rule, the policy field that decides, and allowed.
 
-    Nobody but active members of the project is admitted. A broad scope decides before ciphertext does. A field that
+    Nobody but active members of the project is admitted, with identities only those that are who they say (see registered). A broad scope decides before ciphertext does. A field that
     says `owner` admits the owner, one that says `members` every member; a project without a policy admits nobody.
     """
     columns = requests.columns
-    requests = registered(requests, members)
+    requests = registered(requests, members, identities)
     rule = F.when(is_broad("scope_type"), "broad_scope_export").when(F.col("has_ciphertext"), "ciphertext_export").otherwise("ordinary_export")
     joined = requests.join(policy, "project_id", "left").join(owners.select("project_id", "owner_id"), "project_id", "left").withColumn("rule", rule)
     value = F.when(F.col("rule") == "broad_scope_export", F.col("broad_scope_export")).when(F.col("rule") == "ciphertext_export", F.col("ciphertext_export")).otherwise(F.col("ordinary_export"))
@@ -38,14 +61,14 @@ def decide_export(requests: DataFrame, policy: DataFrame, owners: DataFrame, mem
     return joined.select(*columns, "rule", allowed.alias("allowed"))
 
 
-def decide_plaintext(requests: DataFrame, policy: DataFrame, owners: DataFrame, authority: DataFrame, members: DataFrame) -> DataFrame:
+def decide_plaintext(requests: DataFrame, policy: DataFrame, owners: DataFrame, authority: DataFrame, members: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """requests (project_id, operator_id, object_id) with allowed: the owner, or the object's authority where the policy says so.
 
-    Nobody but active members is admitted; objects without a recorded authority and projects without a policy admit nobody.
+    Nobody but active members is admitted (with identities as in decide_export); objects without a recorded authority and projects without a policy admit nobody.
     """
     columns = requests.columns
     joined = (
-        registered(requests, members).join(policy.select("project_id", "confidential_plaintext_export"), "project_id", "left")
+        registered(requests, members, identities).join(policy.select("project_id", "confidential_plaintext_export"), "project_id", "left")
         .join(owners.select("project_id", "owner_id"), "project_id", "left")
         .join(authority.select("object_id", "authority_id"), "object_id", "left")
     )
@@ -55,18 +78,20 @@ def decide_plaintext(requests: DataFrame, policy: DataFrame, owners: DataFrame,
     return joined.select(*columns, F.coalesce(F.col("_is_member") & rule.isNotNull() & authority_id.isNotNull() & (by_owner | by_authority), F.lit(False)).alias("allowed"))
 
 
-def decide_export_full(requests: DataFrame, items: DataFrame, policy: DataFrame, owners: DataFrame, authority: DataFrame, members: DataFrame) -> DataFrame:
+def decide_export_full(requests: DataFrame, items: DataFrame, policy: DataFrame, owners: DataFrame, authority: DataFrame, members: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """requests (request_id, project_id, operator_id, scope_type, decrypt) with the reasons against them, sorted, and allowed.
 
     items (request_id, file_id, classification, note_id): the files that each request stands for; note_id is null for
     files of no note. Every request needs the ordinary decision. Confidential files need the ciphertext decision too,
     or where they are to be decrypted a plaintext decision for each note; other confidential files can't be decrypted.
+    With identities, every decision asks for who the operator is too, as in decide_export.
     """
-    keys = ["request_id", "project_id", "operator_id", "scope_type"]
-    decide = lambda flag, name: decide_export(requests.select(*keys).withColumn("has_ciphertext", F.lit(flag)), policy, owners, members).select("request_id", F.col("allowed").alias(name))
+    who = ["project_id", "operator_id", *(IDENTITY if identities is not None else ())]
+    keys = ["request_id", *who, "scope_type"]
+    decide = lambda flag, name: decide_export(requests.select(*keys).withColumn("has_ciphertext", F.lit(flag)), policy, owners, members, identities).select("request_id", F.col("allowed").alias(name))
     secret = items.filter(is_confidential("classification"))
-    asked = secret.filter("note_id is not null").select("request_id", F.col("note_id").alias("object_id")).distinct().join(requests.filter("decrypt").select("request_id", "project_id", "operator_id"), "request_id")
-    plain = decide_plaintext(asked, policy, owners, authority, members).groupBy("request_id").agg(F.every("allowed").alias("_plain"))
+    asked = secret.filter("note_id is not null").select("request_id", F.col("note_id").alias("object_id")).distinct().join(requests.filter("decrypt").select("request_id", *who), "request_id")
+    plain = decide_plaintext(asked, policy, owners, authority, members, identities).groupBy("request_id").agg(F.every("allowed").alias("_plain"))
     held = items.groupBy("request_id").agg(F.max(is_confidential("classification")).alias("_secret"), F.max(is_confidential("classification") & F.col("note_id").isNull()).alias("_loose"))
     joined = requests.join(decide(False, "_ordinary"), "request_id", "left").join(decide(True, "_cipher"), "request_id", "left").join(held, "request_id", "left").join(plain, "request_id", "left")
     reasons = F.array_sort(F.array_compact(F.array(

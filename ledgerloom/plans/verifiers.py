@@ -291,14 +291,37 @@ def decide_export_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT conv_id AS n FROM conversations WHERE conv_id % 6 = 0)
+WITH p AS (SELECT c_custkey AS k, c_nationkey AS project_id, c_custkey % 5 <> 4 AS active, NOT (c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0) AS same FROM customer),
+r AS (SELECT o_orderkey AS request_id, k, project_id, active AND same AS known, o_orderkey % 3 = 0 AS secret, o_orderkey % 2 = 0 AS decrypt, k % 2 = 0 AS is_owner FROM orders JOIN p ON o_custkey = k)
+SELECT request_id, concat_ws(',', CASE WHEN secret AND NOT decrypt AND NOT known THEN 'ciphertext' END, CASE WHEN NOT known THEN 'ordinary' END, CASE WHEN secret AND decrypt AND NOT known THEN 'plaintext' END) AS reasons FROM r
+""")
+def decide_export_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as export requests by customers, each in a project of its own: some are no longer members, some give another
+    role or key than is kept, some have no active key."""
+    c, n, k = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("o_orderkey")
+    own = {"project_id": text("c_custkey"), "operator_id": text("c_custkey"), "name": F.col("c_name"), "public_contact": F.lit(None).cast("string"), "organisation": text("c_nationkey"), "role_label": F.col("c_mktsegment")}
+    operators = c.select(*[e.alias(x) for x, e in own.items()])
+    keys = c.select(*[own[x].alias(x) for x in ("project_id", "operator_id")], F.concat(F.lit("F"), text("c_custkey")).alias("primary_fingerprint"), F.concat(F.lit("S"), text("c_custkey")).alias("signing_fingerprint"), F.when(n % 13 == 0, "retired").otherwise("active").alias("state"))
+    said = operators.join(keys.drop("state"), ["project_id", "operator_id"]).withColumns({"role_label": F.when(F.col("operator_id").cast("long") % 7 == 0, None).otherwise(F.col("role_label")), "signing_fingerprint": F.when(F.col("operator_id").cast("long") % 11 == 0, "x").otherwise(F.col("signing_fingerprint"))})
+    requests = table(spark, sf_dir, "orders").select(k.alias("request_id"), text("o_custkey").alias("operator_id"), F.lit("file").alias("scope_type"), (k % 2 == 0).alias("decrypt")).join(said, "operator_id")
+    items = table(spark, sf_dir, "orders").select(k.alias("request_id"), F.format_string("FILE-%d", "o_orderkey").alias("file_id"), F.when(k % 3 == 0, "confidential-note-revision").otherwise("text").alias("classification"), F.when(k % 3 == 0, F.format_string("NOTE-%d", "o_orderkey")).alias("note_id"))
+    projects = c.select(text("c_custkey").alias("project_id"))
+    policy = projects.select("project_id", F.lit("members").alias("ordinary_export"), F.lit("members").alias("ciphertext_export"), F.lit("members").alias("broad_scope_export"), F.lit("owner").alias("confidential_plaintext_export"))
+    authority = items.filter("note_id is not null").select(F.col("note_id").alias("object_id"), F.lit("nobody").alias("authority_id"))
+    members = c.select(text("c_custkey").alias("project_id"), text("c_custkey").alias("operator_id"), F.when(n % 5 == 4, "removed").otherwise("active").alias("state"))
+    out = D.decide_export_full(requests, items, policy, projects.withColumn("owner_id", F.col("project_id")), authority, members, D.kept_identities(operators, keys))
+    return out.select("request_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT conv_id AS n FROM conversations)
 SELECT 'B' AS operator_id, 'note' AS object_type, 'NOTE-' || n AS object_id, 'authority' AS action FROM c
 UNION ALL SELECT 'A' || n % 7, 'note', 'NOTE-' || n, 'revoke' FROM c WHERE n % 4 = 0
 UNION ALL SELECT 'B', 'note', 'NOTE-' || n, 'grant' FROM c WHERE n % 18 <> 0
 """)
 def transfer_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidential transfers of notes to B: old grants of even notes are open, some new ones too."""
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct().filter("conv_id % 6 = 0")
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     note, author = F.format_string("NOTE-%d", "conv_id"), F.format_string("A%d", F.col("conv_id") % 7)
     moved = c.select(author.alias("from_operator_id"), F.lit("B").alias("to_operator_id"), F.array(F.struct(F.lit("note").alias("object_type"), note.alias("object_id"))).alias("scope"))
     shape = [F.lit("note").alias("object_type"), note.alias("object_id"), F.lit("object-owner").alias("authority_basis"), F.lit(1).alias("granted_sequence")]

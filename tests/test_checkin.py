@@ -156,3 +156,25 @@ def test_decisions(spark):
     authority = spark.createDataFrame([("N1", "A")], "object_id string, authority_id string")
     asked = spark.createDataFrame([("P", w, n) for w in "OAM" for n in ("N1", "N2")], "project_id string, operator_id string, object_id string")
     assert {(r["operator_id"], r["object_id"]) for r in D.decide_plaintext(asked, policy, owners, authority, members).filter("allowed").collect()} == {("O", "N1"), ("A", "N1")}
+
+
+def test_decisions_ask_who_the_operator_is(spark):
+    shape = "project_id string, operator_id string, " + ", ".join(f"{c} string" for c in D.IDENTITY[:4])
+    operators = spark.createDataFrame([("P", "O", "n", None, "org", "r"), ("P", "M", "m", "c", None, "r"), ("P", "K", "k", "c", "o", "r"), ("Q", "O", "other", None, "org", "r"), ("P", "T", "t", "c", "o", "r"), ("P", "T", "t", "c", "o", "x")], shape)
+    key = "project_id string, operator_id string, primary_fingerprint string, signing_fingerprint string, state string"
+    keys = spark.createDataFrame([("P", "O", "F1", "S1", "active"), ("P", "O", "F0", "S0", "retired"), ("P", "M", "F2", "S2", "active"), ("P", "K", "F3", "S3", "retired"), ("Q", "O", "F1", "S1", "active"), ("P", "T", "F4", "S4", "active")], key)
+    kept = D.kept_identities(operators, keys)
+    members = spark.createDataFrame([("P", o, "active") for o in "OMKT"] + [("Q", "O", "removed")], "project_id string, operator_id string, state string")
+    asked = [
+        ("good", "P", "O", "n", None, "org", "r", "F1", "S1"), ("old key", "P", "O", "n", None, "org", "r", "F0", "S0"), ("role", "P", "O", "n", None, "org", "x", "F1", "S1"), ("null", "P", "M", "m", None, None, "r", "F2", "S2"),
+        ("member", "P", "M", "m", "c", None, "r", "F2", "S2"), ("retired key", "P", "K", "k", "c", "o", "r", "F3", "S3"), ("removed", "Q", "O", "other", None, "org", "r", "F1", "S1"), ("twice", "P", "T", "t", "c", "o", "r", "F4", "S4"), ("stranger", "P", "X", "n", None, "org", "r", "F1", "S1"),
+    ]
+    requests = spark.createDataFrame(asked, "request_id string, project_id string, operator_id string, " + ", ".join(f"{c} string" for c in D.IDENTITY)).withColumns({"scope_type": F.lit("file"), "has_ciphertext": F.lit(False), "decrypt": F.lit(True)})
+    policy = spark.createDataFrame([(p, "members", "members", "owner", "members") for p in "PQ"], "project_id string, ordinary_export string, ciphertext_export string, confidential_plaintext_export string, broad_scope_export string")
+    owners = spark.createDataFrame([("P", "O"), ("Q", "O")], "project_id string, owner_id string")
+    out = D.decide_export(requests, policy, owners, members, kept)
+    assert {r["request_id"] for r in out.filter("allowed").collect()} == {"good", "member"} and out.count() == len(asked)
+    items = requests.select("request_id", F.lit("F").alias("file_id"), F.lit("confidential-note-revision").alias("classification"), F.lit("N").alias("note_id"))
+    authority = spark.createDataFrame([("N", "Z")], "object_id string, authority_id string")
+    full = {r["request_id"]: r["reasons"] for r in D.decide_export_full(requests, items, policy, owners, authority, members, kept).collect()}
+    assert full == {a[0]: [] if a[0] == "good" else ["plaintext"] if a[0] == "member" else ["ordinary", "plaintext"] for a in asked}
