@@ -326,6 +326,20 @@ def first_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.first_envelope(probe, done).select(F.col("output_digest").alias("digest_id"), "export_id")
 
 
+@query("""
+WITH d AS (SELECT sha256(text) AS digest, min(doc_id) AS export_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1),
+p AS (SELECT 'B-' || item_id AS probe_id, sha256(text) AS digest FROM benchmark UNION ALL SELECT 'D-' || doc_id, sha256(text) FROM documents)
+SELECT probe_id, export_id FROM p LEFT JOIN d USING (digest)
+""")
+def first_envelope_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item with the first export of its bytes, every third document having been exported."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("output_digest"))
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B-"), text("item_id")).alias("probe_id"), F.sha2("text", 256).alias("output_digest"))
+    done = d.filter("doc_id % 3 = 0").select("output_digest", F.col("doc_id").alias("export_id"), F.col("doc_id").alias("event_sequence"))
+    probe = b.unionByName(d.select(F.concat(F.lit("D-"), text("doc_id")).alias("probe_id"), "output_digest"))
+    return M.first_envelope(probe, done).select("probe_id", "export_id")
+
+
 @query("SELECT 'rows' AS rule, (SELECT count(*) FROM orders) AS log_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 0) AS table_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 100 = 0) = 0 AS same UNION ALL SELECT 'sets', NULL, NULL, true UNION ALL SELECT 'changed', NULL, NULL, false")
 def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows a log and its table have, and whether two frames hold the same rows, one in another order, one with a row changed."""

@@ -219,6 +219,23 @@ def verify_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "rule", "key", "column")
 
 
+@query("""
+SELECT 'config' AS target, 'changed' AS rule, CAST(c_custkey AS VARCHAR) AS key, 'content_hash' AS "column", 'sha512' AS expected, 'sha256' AS actual FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 'config', 'changed', CAST(c_custkey AS VARCHAR), 'chain_hash', 'sha256', NULL FROM customer WHERE c_custkey % 8 = 0
+UNION ALL SELECT 'metadata', 'missing', CAST(c_custkey AS VARCHAR), NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'metadata', 'extra', 'X' || s_suppkey, NULL, NULL, NULL FROM supplier
+""")
+def verify_policy_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each customer: hash policies of the configuration that are others or none, metadata that is lost, and
+    metadata of projects that never were."""
+    c, n = table(spark, sf_dir, "customer").withColumn("project_id", text("c_custkey")), F.col("c_custkey")
+    first = c.select("project_id", F.lit(1).alias("event_sequence"), F.lit("PROJECT_GENESIS").alias("event_type"), F.lit('{"integrity":{"chain_hash":"sha256","content_hash":"sha512"}}').alias("details_json"))
+    config = c.select("project_id", F.when(n % 8 != 0, "sha256").alias("chain_hash"), F.when(n % 3 == 0, "sha256").otherwise("sha512").alias("content_hash"))
+    policy = [F.lit("sha256").alias("chain_hash"), F.lit("sha512").alias("content_hash")]
+    strange = table(spark, sf_dir, "supplier").select(F.concat(F.lit("X"), text("s_suppkey")).alias("project_id"), *policy)
+    return V.verify_policy(config, c.filter(n % 4 != 0).select("project_id", *policy).unionByName(strange), first)
+
+
 @query("""
 WITH n AS (SELECT DISTINCT conv_id AS n FROM conversations WHERE conv_id % 6 = 0 AND conv_id % 10 <> 0)
 SELECT 'P' AS target, 'transfer-source' AS rule, 'NOTE-' || n AS key, 'A' || n % 7 AS expected, 'Z' AS actual FROM n WHERE n % 9 = 0
