@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import dealt
+
 # Digest profiles and their widths in hexadecimal digits.
 WIDTHS = {"sha256": 64, "sha512": 128, "sha3-256": 64, "sha3-512": 128, "blake2b-256": 64, "blake2b-512": 128, "blake2s-256": 64, "blake3-256": 64}
 NATIVE = {"sha256": 256, "sha512": 512}
@@ -129,8 +131,8 @@ def running_digest(rows: DataFrame, key: str, order: list[str], name: str, algor
             state.update(tail.encode())
             yield pd.DataFrame([(now, state.hexdigest())], columns=["_key", name])
 
-    dealt = rows.withColumn("_key", F.col(key).cast("string")).repartition("_key").sortWithinPartitions("_key", *order, "_line").select("_key", "_line")
-    out = dealt.mapInPandas(digests, f"_key string, {name} string")
+    lines = dealt(rows.withColumn("_key", F.col(key).cast("string")), "_key").sortWithinPartitions("_key", *order, "_line").select("_key", "_line")
+    out = lines.mapInPandas(digests, f"_key string, {name} string")
     return out.select(F.col("_key").cast(rows.schema[key].dataType).alias(key), name)
 
 

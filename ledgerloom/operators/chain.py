@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import NATIVE, WIDTHS, digest, envelope, event_hash, genesis, hasher
+from ..sources.shared import dealt
 from .findings import finding, row_findings
 
 KEY, SEQ = "project_id", "event_sequence"
@@ -45,7 +46,7 @@ def chain_parts(df: DataFrame, key: str, order: str, head: Column, tail: Column,
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(before, pa.string()), pa.array(after, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "previous_hash", "event_hash"])
 
-    return rows.repartition(key).sortWithinPartitions(key, order, "_head").mapInArrow(link, out)
+    return dealt(rows, key).sortWithinPartitions(key, order, "_head").mapInArrow(link, out)
 
 
 def build_chain(ledger: DataFrame, schema: str = "audit-event/v3", algorithm: str = "sha256", key: str = KEY) -> DataFrame:
@@ -78,7 +79,7 @@ def fold_chain(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([held], column.type), pa.array([n], pa.int64()), pa.array([previous], pa.string())], names=out.names)
 
     rows = df.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.coalesce(payload, F.lit("")).alias("_payload"))
-    return rows.repartition("_key").sortWithinPartitions("_key", "_order", "_payload").select("_key", "_payload").mapInArrow(fold, out)
+    return dealt(rows, "_key").sortWithinPartitions("_key", "_order", "_payload").select("_key", "_payload").mapInArrow(fold, out)
 
 
 def with_predecessor(ledger: DataFrame, columns: list[str], key: str = KEY, seq: str = SEQ, prefix: str = "prev_") -> DataFrame:

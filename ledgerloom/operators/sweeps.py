@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import dealt
+
 # Sequence numbers to a slice, where the sequence is dense in its key, as in a ledger.
 SLICE = 1 << 16
 # Pairs of events and ranges that are put out at once.
@@ -125,4 +127,4 @@ def valid_at(events: DataFrame, ranges: DataFrame, by: list[str], seq: str, star
                 held = None
 
     order = [*keys, "_at", "_kind", "_id"]
-    return asked.unionByName(turns).repartition(*keys).sortWithinPartitions(*order).mapInArrow(sweep, shape).toDF(*events.columns, *more)
+    return dealt(asked.unionByName(turns), *keys).sortWithinPartitions(*order).mapInArrow(sweep, shape).toDF(*events.columns, *more)

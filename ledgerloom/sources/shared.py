@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Folders of local sessions without the setting, by application: Spark lets no session set it once it runs.
 _own: dict[str, str] = {}
@@ -25,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one task, for what passes over a key's rows in order.
+
+    Dealt by a hash of the keys, not by these themselves: Spark leaves a shuffle out that repeats one before it, and where
+    a union's parts were dealt by the keys already it then puts the tasks of each part together in another way.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once as Parquet, with options of its writer, in the shared folder and return the table read back.
 

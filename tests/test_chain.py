@@ -105,3 +105,22 @@ def test_state_digest_ignores_order_and_sees_changes(spark):
     assert digest(df) == digest(df.orderBy(F.desc("id")).repartition(5))
     assert digest(df)[1][2] != digest(df.withColumn("v", F.when(F.col("id") == 77, "x").otherwise(F.col("v"))))[1][2]
     assert digest(df)[0][:2] == ("empty", 0)
+
+
+def test_ordered_state_digest_of_keys_dealt_by_earlier_shuffles(spark):
+    """Tables of different size: tasks of the small one are put together otherwise than those of the large one."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    large = spark.range(20_000).selectExpr("cast(id % 25 as string) as project_id", "id as a")
+    small = spark.range(50).selectExpr("cast(id % 25 as string) as project_id", "id as b")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["project_id"]: r["state_digest"] for r in H.ordered_state_digest({"x": (large, ["a"]), "y": (small, ["b"])}).collect()}
+        n = H.ordered_state_digest({"x": (large, ["a"]), "y": (small, ["b"])}).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = lambda c, k, m: [{c: i} for i in range(k, m, 25)]
+    said = {str(k): json.dumps({"x": rows("a", k, 20_000), "y": rows("b", k, 50)}, separators=(",", ":")) for k in range(25)}
+    assert n == 25 and got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in said.items()}
