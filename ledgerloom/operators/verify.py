@@ -246,7 +246,8 @@ def verify_policy_history(ledger: DataFrame) -> DataFrame:
     rows = ledger.filter("event_type in ('PROJECT_GENESIS', 'EXPORT_POLICY_CHANGED')").select(
         "project_id", SEQ, "event_type", F.from_json(F.coalesce(R.signed("policy"), R.signed("export_policy")), shape).alias("now"), F.from_json(R.signed("previous"), shape).alias("said")
     )
-    held = rows.withColumn("held", F.lag("now").over(Window.partitionBy("project_id").orderBy(SEQ)))
+    # Where a change has the number of the first event, that event comes before it.
+    held = rows.withColumn("held", F.lag("now").over(Window.partitionBy("project_id").orderBy(SEQ, F.col("event_type") != "PROJECT_GENESIS")))
     bad = held.filter("event_type = 'EXPORT_POLICY_CHANGED' and not (held <=> said)")
     return finding(bad, F.col("project_id"), "policy-history", F.col(SEQ), "previous", F.to_json("held"), F.to_json("said"))
 

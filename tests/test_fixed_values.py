@@ -101,3 +101,13 @@ def test_review_layers_of_real_files(spark, tmp_path):
     assert got["a1"]["geometry"] == {"x": 0.1, "y": 0.1, "width": 0.2, "height": 0.2} and json.loads(got["a2"]["geometry_json"])["points"] == [{"x": 0.1, "y": 2}]
     assert (got["r1"]["category"], got["r2"]["reason"], got["a2"]["label"]) == ("person", " ", "l")
     assert {(r["rule"], r["key"]) for r in V.verify_reviews(rows).collect()} == {("review-geometry", "r1"), ("review-reason", "r2"), ("review-kind", "a3")}
+
+
+def test_policy_history_starts_with_the_first_event(spark):
+    """A change with the number of the first event comes after it, in whatever order they are read."""
+    policy = lambda v: {f: v for f in ("ordinary_export", "ciphertext_export", "confidential_plaintext_export", "broad_scope_export")}
+    said = lambda **data: json.dumps({"authority_transaction": {"data": data}})
+    first, second, third = ("P", 1, "PROJECT_GENESIS", said(export_policy=policy("a"))), ("P", 1, "EXPORT_POLICY_CHANGED", said(policy=policy("b"), previous=policy("a"))), ("P", 2, "EXPORT_POLICY_CHANGED", said(policy=policy("c"), previous=policy("b")))
+    shape = "project_id string, event_sequence bigint, event_type string, details_json string"
+    for rows in ([first, second, third], [third, second, first]):
+        assert V.verify_policy_history(spark.createDataFrame(rows, shape).coalesce(1)).collect() == []
