@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 from .near_copies import BLOCK, CROWD, MINIMA, band_keys, components_of, least_hashes, mixed, with_rows
 
 # A pair of similarity 0.85 shares no band with a chance of 0.0000007, whatever the size of the corpus.
 BANDS, ROWS = 30, 6
+# The same for 0.8: a chance of 0.00003.
+WIDE = (20, 4)
 SKETCH = 512
 
 
@@ -45,7 +47,7 @@ def bits_apart(similarity: float) -> int:
     return math.ceil(SKETCH / 2 * (1 - left) + 5 * math.hypot(sampled, folded))
 
 
-def with_sketches(rows: DataFrame, size: int) -> DataFrame:
+def with_sketches(rows: DataFrame, size: int, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """rows with n_shingles, _node, _keys and _bits, from _text."""
 
     @F.pandas_udf("_node bigint, n_shingles bigint, _keys array<bigint>, _bits array<bigint>")
@@ -53,7 +55,7 @@ def with_sketches(rows: DataFrame, size: int) -> DataFrame:
         out = []
         for t in text:
             name, n, least = least_hashes(t, size)
-            out.append((name, n, band_keys(least, BANDS, ROWS) if n else [], odd_sketch(least).tolist()))
+            out.append((name, n, band_keys(least, *bands) if n else [], odd_sketch(least).tolist()))
         return pd.DataFrame(out, columns=["_node", "n_shingles", "_keys", "_bits"])
 
     return rows.withColumn("_m", found("_text")).select("*", "_m.*").drop("_m")
@@ -74,3 +76,13 @@ def minhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = found.select("_id", "_node", "n_shingles").join(parts, "_node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("_id")).otherwise(F.col("component_id"))
     return rows.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: tuple[int, int] = WIDE, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each group of near duplicates: one with the smallest id of the group, or one without an id
+    where no row has any. Texts link as in minhash_near_duplicates, and rows are judged by their texts, also where several
+    have one id; but null, empty and blank texts are equal. All columns stay, whatever their names."""
+    rows, at = numbered(docs)
+    found = written(with_sketches(with_rows(rows, at[id_col], at[text_col]), size, bands), "sketches", compression="zstd")
+    parts = components_of(found, size, 5 * similarity, bits_apart(similarity), block, crowd)
+    return found.join(parts.select(F.col("_first").alias("_row")).distinct(), "_row", "left_semi").select(*at.values()).toDF(*at)

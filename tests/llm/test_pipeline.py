@@ -102,3 +102,19 @@ def test_nulls_and_empty_tables(spark, tmp_path):
     assert len(names["lines"]) == n and names["lines"]["text"].notna().all()
     assert len(names["near_copies"]) == len(names["secrets"]) <= n and len(names["packing"]) == len(names["secrets"])
     assert names["near_copies"].drop_duplicates(["doc_id", "text"]).shape[0] == len(names["near_copies"])
+
+
+def test_near_copies_are_screened_by_odd_sketches(spark, monkeypatch):
+    """The stage goes through the MinHash operator: bands, odd sketches, full sets."""
+    from ledgerloom.llm import minhash
+
+    asked = []
+    with_sketches = minhash.with_sketches
+    monkeypatch.setattr(minhash, "with_sketches", lambda *a: asked.append(a[1:]) or with_sketches(*a))
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:195], "x"]), " ".join([*words[:150], *["y"] * 50]), None, " ", " ".join(words)]
+    docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    group = brute_copies([t or "" for t in reversed(texts)])
+    kept = {r["doc_id"] for r in P.near_copies(spark, docs, SF).collect()}
+    assert asked == [(5, (20, 4))] and kept == {4 + i for i in set(group.values())} == {4, 5, 7}
+    assert minhash.bits_apart(0.8) < minhash.SKETCH // 2
