@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ENUMS, PREFIXES, format_id, has_reason, is_safe_path
 from . import decisions
 from . import replay as R
-from .findings import finding
+from .findings import finding, row_findings
 from .sets import union_all
 from .sweeps import SLICE, asof_join
 
@@ -43,7 +43,7 @@ def of(events: DataFrame, *types: str) -> DataFrame:
 def life_cycle(events: DataFrame, rule: str) -> DataFrame:
     """Events that do not follow the one before in their object's life."""
     key, edges = EDGES[rule]
-    rows = of(events, *edges).withColumn("_key", R.signed("transfer_id") if key == "transfer" else F.col(key))
+    rows = of(events, *edges).select("project_id", SEQ, "event_type", (R.signed("transfer_id") if key == "transfer" else F.col(key)).alias("_key"))
     before = F.lag("event_type").over(Window.partitionBy("project_id", "_key").orderBy(SEQ))
     rows = rows.withColumn("_before", before)
     allowed = F.lit(False)
@@ -161,26 +161,29 @@ def r8(events: DataFrame) -> DataFrame:
 def r9(events: DataFrame) -> DataFrame:
     """An active member submits, under an active identifier, for a case with an owner; it is approved at once if that is
     the owner, else pending; its files are those committed for it before, each once, in their order."""
-    rows = with_state(with_owner(of(events, "ACQUISITION_RECORDED"), events, R.signed("case_id")), events, F.col("actor_id"))
-    rows = with_id_state(rows, events, "acquisition", F.col("object_id")).withColumn("_ids", F.from_json(R.signed("file_ids"), "array<string>"))
-    said = rows.select("project_id", SEQ, "object_id", F.posexplode_outer("_ids").alias("_place", "_file"))
+    recorded = R.parsed(of(events, "ACQUISITION_RECORDED")).select("project_id", SEQ, "event_type", "object_id", "actor_id", *[R.once_signed(c).alias(f"_{c}") for c in ("case_id", "status", "file_ids")])
+    recorded = recorded.withColumn("_ids", F.from_json("_file_ids", "array<string>")).withColumn("_size", F.size("_ids")).drop("_file_ids")
+    # The lists do not go through the joins for owners and members.
+    rows = with_state(with_owner(recorded.drop("_ids"), events, F.col("_case_id")), events, F.col("actor_id"))
+    rows = with_id_state(rows, events, "acquisition", F.col("object_id"))
+    said = recorded.select("project_id", SEQ, "object_id", F.posexplode_outer("_ids").alias("_place", "_file"))
     own = committed(events).select("project_id", F.col("_acq").alias("object_id"), "_file", "_at")
     both = said.join(own, ["project_id", "object_id", "_file"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("project_id", SEQ).orderBy("_at", "_place")) - 1)
     good = both.groupBy("project_id", SEQ).agg(F.every((F.col("_at") < F.col(SEQ)) & (F.col("_rank") == F.col("_place"))).alias("_in_order"), F.countDistinct("_file").alias("_said"))
     # As many were said as were committed before: then they are the same.
-    before = rows.select("project_id", SEQ, "object_id").join(own, ["project_id", "object_id"]).filter(F.col("_at") < F.col(SEQ)).groupBy("project_id", SEQ).agg(F.count("*").alias("_own"))
+    before = recorded.select("project_id", SEQ, "object_id").join(own, ["project_id", "object_id"]).filter(F.col("_at") < F.col(SEQ)).groupBy("project_id", SEQ).agg(F.count("*").alias("_own"))
     rows = rows.join(good, ["project_id", SEQ], "left").join(before, ["project_id", SEQ], "left")
     status = F.when(F.col("_owner") == F.col("actor_id"), "approved").otherwise("pending")
-    whole = F.col("_in_order") & (F.col("_said") == F.size("_ids")) & (F.col("_said") == F.col("_own"))
-    return broken(rows, "R9", (F.col("_state") == "active") & F.col("_owner").isNotNull() & (R.signed("status") == status) & F.col("_id_ok") & whole)
+    whole = F.col("_in_order") & (F.col("_said") == F.col("_size")) & (F.col("_said") == F.col("_own"))
+    return broken(rows, "R9", (F.col("_state") == "active") & F.col("_owner").isNotNull() & (F.col("_status") == status) & F.col("_id_ok") & whole)
 
 
 def r10(events: DataFrame) -> DataFrame:
     """The case's owner decides what is pending; a rejection has a reason."""
-    case = of(events, "ACQUISITION_RECORDED").select("project_id", "object_id", R.signed("case_id").alias("_case"), R.signed("status").alias("_status"))
-    rows = of(events, "RECORD_APPROVED", "RECORD_REJECTED").join(case, ["project_id", "object_id"], "left")
-    rows = with_owner(rows, events, F.col("_case"))
-    reason = (F.col("event_type") == "RECORD_APPROVED") | has_reason(R.signed("reason"))
+    case = R.parsed(of(events, "ACQUISITION_RECORDED")).select("project_id", "object_id", R.once_signed("case_id").alias("_case"), R.once_signed("status").alias("_status"))
+    decided = of(events, "RECORD_APPROVED", "RECORD_REJECTED").select("project_id", SEQ, "event_type", "object_id", "actor_id", R.signed("reason").alias("_reason"))
+    rows = with_owner(decided.join(case, ["project_id", "object_id"], "left"), events, F.col("_case"))
+    reason = (F.col("event_type") == "RECORD_APPROVED") | has_reason(F.col("_reason"))
     return life_cycle(events, "R10").unionByName(broken(rows, "R10", (F.col("_owner") == F.col("actor_id")) & (F.col("_status") == "pending") & reason))
 
 
@@ -209,7 +212,8 @@ def r13(events: DataFrame) -> DataFrame:
 
 
 def committed(events: DataFrame) -> DataFrame:
-    return of(events, "FILE_COMMITTED").select("project_id", F.col("object_id").alias("_file"), F.col(SEQ).alias("_at"), R.data("case_id").alias("_case"), R.data("acquisition_id").alias("_acq"))
+    rows = R.parsed(of(events, "FILE_COMMITTED"))
+    return rows.select("project_id", F.col("object_id").alias("_file"), F.col(SEQ).alias("_at"), R.once("case_id").alias("_case"), R.once("acquisition_id").alias("_acq"))
 
 
 def r14(events: DataFrame) -> DataFrame:
@@ -256,20 +260,19 @@ def r17(events: DataFrame) -> DataFrame:
 
 
 def grant_life(events: DataFrame) -> DataFrame:
-    rows = of(events, "CONFIDENTIAL_ACCESS_GRANTED", "CONFIDENTIAL_ACCESS_REVOKED").withColumns({"_who": R.signed("operator_id"), "_basis": R.signed("authority_basis")})
+    rows = R.parsed(of(events, "CONFIDENTIAL_ACCESS_GRANTED", "CONFIDENTIAL_ACCESS_REVOKED"))
+    rows = rows.select("project_id", SEQ, "event_type", "object_type", "object_id", R.once_signed("operator_id").alias("_who"), R.once_signed("authority_basis").alias("_basis"), R.once_signed("reason").alias("_reason"))
     return rows.withColumn("_before", F.lag("event_type").over(Window.partitionBy("project_id", "_who", "object_type", "object_id", "_basis").orderBy(SEQ)))
 
 
-def r18(events: DataFrame) -> DataFrame:
-    """Grants are for known objects and bases, have a reason, and are not open already."""
-    rows = grant_life(events).filter("event_type = 'CONFIDENTIAL_ACCESS_GRANTED'")
-    free = F.col("_before").isNull() | (F.col("_before") == "CONFIDENTIAL_ACCESS_REVOKED")
-    return broken(rows, "R18", F.col("object_type").isin(*GRANT_TYPES) & F.col("_basis").isin(*BASES) & has_reason(R.signed("reason")) & free)
-
-
-def r19(events: DataFrame) -> DataFrame:
-    """Revocations close an open grant of the same basis."""
-    return broken(grant_life(events).filter("event_type = 'CONFIDENTIAL_ACCESS_REVOKED'"), "R19", (F.col("_before") == "CONFIDENTIAL_ACCESS_GRANTED") & has_reason(R.signed("reason")))
+def access(events: DataFrame) -> DataFrame:
+    """R18 and R19 in one pass. Grants are for known objects and bases, have a reason, and are not open already;
+    revocations close an open grant of the same basis, with a reason."""
+    kind, before, reason = F.col("event_type"), F.col("_before"), has_reason(F.col("_reason"))
+    free = before.isNull() | (before == "CONFIDENTIAL_ACCESS_REVOKED")
+    given = F.col("object_type").isin(*GRANT_TYPES) & F.col("_basis").isin(*BASES) & reason & free
+    checks = [(rule, (kind == f"CONFIDENTIAL_ACCESS_{what}") & ~F.coalesce(ok, F.lit(False)), None, None, kind) for rule, what, ok in (("R18", "GRANTED", given), ("R19", "REVOKED", (before == "CONFIDENTIAL_ACCESS_GRANTED") & reason))]
+    return row_findings(grant_life(events), F.col("project_id"), F.col(SEQ), checks)
 
 
 def r20(events: DataFrame) -> DataFrame:
@@ -318,10 +321,17 @@ def r24(events: DataFrame) -> DataFrame:
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "R1": r1, "R2": r2, "R3": r3, "R4": r4, "R5": r5, "R6": r6, "R7": r7, "R8": r8, "R9": r9, "R10": r10, "R11": r11, "R12": r12, "R13": r13, "R14": r14,
-    "R15": r15, "R16": r16, "R17": r17, "R18": r18, "R19": r19, "R20": r20, "R21": r21, "R22": r22, "R23": lambda e: life_cycle(e, "R23"), "R24": r24,
+    "R15": r15, "R16": r16, "R17": r17, "R18": lambda e: access(e).filter("rule = 'R18'"), "R19": lambda e: access(e).filter("rule = 'R19'"), "R20": r20, "R21": r21, "R22": r22, "R23": lambda e: life_cycle(e, "R23"), "R24": r24,
 }
 
 
-def audit(events: DataFrame, rule: str | None = None) -> DataFrame:
-    """Findings of one rule, or of all. (Collector results, R25, are checked by checkin.relate; heads, R26, by chain.append_guard.)"""
-    return RULES[rule](events) if rule else union_all([f(events) for f in RULES.values()])
+# Rules that are checked in one pass.
+TOGETHER = {("R18", "R19"): access}
+
+
+def audit(events: DataFrame, *rules: str) -> DataFrame:
+    """Findings of some rules, or of all. (Collector results, R25, are checked by checkin.relate; heads, R26, by chain.append_guard.)"""
+    wanted = list(rules or RULES)
+    parts = [f for own, f in TOGETHER.items() if all(r in wanted for r in own)]
+    alone = [r for r in wanted if not any(r in own and f in parts for own, f in TOGETHER.items())]
+    return union_all([f(events) for f in [*parts, *[RULES[r] for r in alone]]])

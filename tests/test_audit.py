@@ -180,3 +180,17 @@ def test_reviews_and_packages(spark):
     assert names(V.verify_package(manifest, observed)) == {("package", "unsafe-path", "../b"), ("package", "missing", "c"), ("package", "extra", "d")}
     kinds = spark.createDataFrame([("a", "1", "file"), ("c", "3", "symlink"), ("d", None, "directory"), ("e", None, "fifo"), ("/x", None, "hardlink"), ("f", None, None)], "path string, content_digest string, kind string")
     assert names(V.verify_package(manifest.filter("path <> '../b'"), kinds)) == {("package", "unexpected-link", "c"), ("package", "missing", "c"), ("package", "special-member", "e"), ("package", "special-member", "f"), ("package", "unexpected-link", "/x"), ("package", "unsafe-member", "/x")}
+
+
+def test_access_rules_share_a_pass(spark):
+    """Grants and revocations are laid in order once for both rules, and what is found is what each finds alone."""
+    said = lambda **d: json.dumps({"authority_transaction": {"data": {"operator_id": "o", "authority_basis": "explicit-grant", "reason": "r"} | d}})
+    given, taken = "CONFIDENTIAL_ACCESS_GRANTED", "CONFIDENTIAL_ACCESS_REVOKED"
+    rows = [("P", 1, given, "file", "f", said()), ("P", 2, given, "file", "f", said()), ("P", 3, taken, "file", "f", said()), ("P", 4, taken, "file", "f", said()), ("P", 5, given, "box", "f", said()), ("P", 6, given, "file", "g", said(reason=" ")), ("P", 7, taken, "file", "g", said(authority_basis=None))]
+    ledger = spark.createDataFrame(rows, "project_id string, event_sequence bigint, event_type string, object_type string, object_id string, details_json string")
+    both = A.audit(ledger, "R18", "R19")
+    found = {(r["rule"], r["key"]) for r in both.collect()}
+    assert found == {("R18", "2"), ("R19", "4"), ("R18", "5"), ("R18", "6"), ("R19", "7")}
+    assert found == {(r["rule"], r["key"]) for one in ("R18", "R19") for r in A.audit(ledger, one).collect()}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("try_parse_json") + plan.count("parse_json") <= 2
