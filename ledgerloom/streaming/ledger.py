@@ -21,6 +21,8 @@ GENESIS = "0" * 64
 MOST_WAITING = 100_000
 # Events ahead of their turn that are held at hand, before they are put in state.
 AT_HAND = 50_000
+# Sequence numbers to a block of waiting events in state.
+BLOCK = 64
 
 
 def link(previous: str, payload: str | None) -> str:
@@ -35,18 +37,65 @@ class ChainBuilder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sequence, previous = self.head.get() if self.head.exists() else (0, GENESIS)
-        for batch in [pd.concat(list(rows), ignore_index=True).sort_values("position", kind="stable")]:
-            out = []
-            for position, payload in zip(batch["position"], batch["payload"], strict=True):
-                sequence, before, previous = sequence + 1, previous, link(previous, payload)
-                out.append((key[0], position, sequence, before, previous))
-            self.head.update((sequence, previous))
-            yield pd.DataFrame(out, columns=["key", "position", "sequence", "previous_hash", "event_hash"])
+        events = [e for batch in rows for e in zip(batch["position"].tolist(), batch["payload"].tolist(), strict=True)]
+        out = []
+        for position, payload in sorted(events, key=lambda e: e[0]):
+            sequence, before, previous = sequence + 1, previous, link(previous, payload)
+            out.append((key[0], position, sequence, before, previous))
+        self.head.update((sequence, previous))
+        yield pd.DataFrame(out, columns=["key", "position", "sequence", "previous_hash", "event_hash"])
 
     def close(self) -> None:
         pass
 
 
+class Waiting:
+    """Events of a key that are ahead of their turn, by sequence. State holds them in blocks of sequence numbers, as each call
+    to it takes longer than many events do: a block is read when it is asked for, and written back by save."""
+
+    def __init__(self, state, n: int):
+        self.state, self.n, self.stored = state, n, n > 0
+        self.held: dict[int, dict[int, tuple]] = {}
+        self.changed: set[int] = set()
+
+    def block(self, number: int) -> dict[int, tuple]:
+        if number not in self.held:
+            there = self.stored and self.state.containsKey((number,))
+            self.held[number] = {e[0]: tuple(e[1:]) for e in self.state.getValue((number,))[0]} if there else {}
+        return self.held[number]
+
+    def has(self, sequence: int) -> bool:
+        return self.n > 0 and sequence in self.block(sequence // BLOCK)
+
+    def put(self, events: dict[int, tuple]) -> None:
+        for sequence, event in events.items():
+            self.block(sequence // BLOCK)[sequence] = event
+            self.changed.add(sequence // BLOCK)
+        self.n += len(events)
+        events.clear()
+
+    def take(self, sequence: int) -> tuple | None:
+        if not self.has(sequence):
+            return None
+        self.changed.add(sequence // BLOCK)
+        self.n -= 1
+        return self.held[sequence // BLOCK].pop(sequence)
+
+    def numbers(self) -> list[int]:
+        """The numbers of all blocks, ascending."""
+        return sorted({*self.held, *(k[0] for k in self.state.keys())} if self.stored else self.held)
+
+    def save(self) -> None:
+        for number in self.changed:
+            if self.held[number]:
+                self.state.updateValue((number,), ([(s, *e) for s, e in sorted(self.held[number].items())],))
+                self.stored = True
+            elif self.stored:
+                self.state.removeKey((number,))
+        self.held.clear()
+        self.changed.clear()
+
+
 class ChainVerifier(StatefulProcessor):
     """Checks events of a chain as they come. Events ahead of their turn wait in state; those behind it are reported.
 
@@ -60,20 +109,16 @@ class ChainVerifier(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", "sequence bigint, hash string, waiting bigint")
-        self.early = handle.getMapState("early", "sequence bigint", "previous_hash string, event_hash string, payload string")
+        self.early = handle.getMapState("early", "block bigint", "events array<struct<sequence:bigint,previous_hash:string,event_hash:string,payload:string>>")
         self.timer = handle.getValueState("timer", "sequence bigint, at bigint")
 
-    def _go_on(self, key, sequence: int, head: str, waiting: int, found: list, new: dict) -> tuple[int, str, int]:
-        """Check what has its turn now, of the new events at hand and of those that wait in state."""
+    def _go_on(self, key, sequence: int, head: str, early: Waiting, found: list, new: dict) -> tuple[int, str]:
+        """Check what has its turn now, of the new events at hand and of those that wait."""
         while True:
-            if sequence + 1 in new:
-                before, own, payload = new.pop(sequence + 1)
-            elif waiting and self.early.containsKey((sequence + 1,)):
-                before, own, payload = self.early.getValue((sequence + 1,))
-                self.early.removeKey((sequence + 1,))
-                waiting -= 1
-            else:
-                return sequence, head, waiting
+            event = new.pop(sequence + 1, None) or early.take(sequence + 1)
+            if event is None:
+                return sequence, head
+            before, own, payload = event
             sequence += 1
             if before != head:
                 found.append((key[0], sequence, "broken-link"))
@@ -81,62 +126,69 @@ class ChainVerifier(StatefulProcessor):
                 found.append((key[0], sequence, "wrong-hash"))
             head = own
 
-    def _put_by(self, new: dict, waiting: int) -> int:
-        for s, row in new.items():
-            self.early.updateValue((s,), row)
-        waiting += len(new)
-        new.clear()
-        return waiting
-
-    def _skip(self, key, sequence: int, head: str, waiting: int, found: list) -> tuple[int, str, int]:
-        """Give up on the next event: report it, and go on with the first that waits."""
-        found.append((key[0], sequence + 1, "gap"))
-        first = min(k[0] for k in self.early.keys())
-        return self._go_on(key, first - 1, self.early.getValue((first,))[0], waiting, found, {})
-
-    def _keep(self, sequence: int, head: str, waiting: int, timerValues) -> None:
-        self.head.update((sequence, head, waiting))
+    def _give_up(self, key, sequence: int, head: str, early: Waiting, found: list, most: int) -> tuple[int, str]:
+        """While more than `most` wait, give up on the next event: report it, and go on with the first that waits."""
+        if early.n <= most:
+            return sequence, head
+        for number in early.numbers():
+            for first in sorted(early.block(number)):
+                if early.n <= most:
+                    return sequence, head
+                if first > sequence:
+                    found.append((key[0], sequence + 1, "gap"))
+                    sequence, head = self._go_on(key, first - 1, early.block(number)[first][0], early, found, {})
+        return sequence, head
+
+    def _keep(self, sequence: int, head: str, early: Waiting, timerValues) -> None:
+        early.save()
+        self.head.update((sequence, head, early.n))
         if self.patience_ms is None:
             return
         set_for, at = self.timer.get() if self.timer.exists() else (None, None)
-        if set_for == sequence and waiting:
+        if set_for == sequence and early.n:
             return
         if at is not None:
             self.handle.deleteTimer(at)
             self.timer.clear()
-        if waiting:
+        if early.n:
             at = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
             self.handle.registerTimer(at)
             self.timer.update((sequence, at))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _state(self) -> tuple[int, str, Waiting]:
         sequence, head, waiting = self.head.get() if self.head.exists() else (0, GENESIS, 0)
+        return sequence, head, Waiting(self.early, waiting)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sequence, head, early = self._state()
         found, new = [], {}
         for batch in rows:
-            for s, before, own, payload in zip(batch["sequence"], batch["previous_hash"], batch["event_hash"], batch["payload"], strict=True):
-                if s <= sequence or s in new or waiting and self.early.containsKey((int(s),)):
-                    found.append((key[0], int(s), "late-or-doubled"))
+            for s, *event in zip(*[batch[c].tolist() for c in ("sequence", "previous_hash", "event_hash", "payload")], strict=True):
+                if s <= sequence or s in new or early.has(s):
+                    found.append((key[0], s, "late-or-doubled"))
                     continue
-                new[int(s)] = (before, own, payload)
+                new[s] = tuple(event)
             # Chunks of a batch come in any order: no gap is given up before all of them are there.
-            sequence, head, waiting = self._go_on(key, sequence, head, waiting, found, new)
+            sequence, head = self._go_on(key, sequence, head, early, found, new)
             if len(new) > AT_HAND:
-                waiting = self._put_by(new, waiting)
-        waiting = self._put_by(new, waiting)
-        while waiting > self.most_waiting:
-            sequence, head, waiting = self._skip(key, sequence, head, waiting, found)
-        self._keep(sequence, head, waiting, timerValues)
-        yield pd.DataFrame(found, columns=["key", "sequence", "rule"])
+                early.put(new)
+                early.save()
+        early.put(new)
+        sequence, head = self._give_up(key, sequence, head, early, found, self.most_waiting)
+        self._keep(sequence, head, early, timerValues)
+        if found:
+            yield pd.DataFrame(found, columns=["key", "sequence", "rule"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sequence, head, waiting = self.head.get() if self.head.exists() else (0, GENESIS, 0)
+        sequence, head, early = self._state()
         found = []
         set_for, at = self.timer.get() if self.timer.exists() else (None, None)
         self.timer.clear()
-        if waiting and set_for == sequence and at is not None and at <= expiredTimerInfo.getExpiryTimeInMs():
-            sequence, head, waiting = self._skip(key, sequence, head, waiting, found)
-        self._keep(sequence, head, waiting, timerValues)
-        yield pd.DataFrame(found, columns=["key", "sequence", "rule"])
+        if early.n and set_for == sequence and at is not None and at <= expiredTimerInfo.getExpiryTimeInMs():
+            sequence, head = self._give_up(key, sequence, head, early, found, early.n - 1)
+        self._keep(sequence, head, early, timerValues)
+        if found:
+            yield pd.DataFrame(found, columns=["key", "sequence", "rule"])
 
     def close(self) -> None:
         pass

@@ -107,3 +107,53 @@ def test_gaps_are_given_up_in_time(spark, tmp_path, provider):
     finally:
         query.stop()
     assert got == [("a", 3, "gap")]
+
+
+class Calls:
+    """A map in state that counts what is asked of it."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"containsKey": self.kept.__contains__, "getValue": self.kept.__getitem__, "updateValue": self.kept.__setitem__, "removeKey": lambda k: self.kept.pop(k, None), "keys": lambda: list(self.kept)}[name]
+
+
+class One:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def counted(most_waiting, parts):
+    """What a verifier finds in batches of rows, fed one after another, and how often it asked for waiting events."""
+    import pandas as pd
+
+    v, found = S.ChainVerifier(None, most_waiting), []
+    v.head, v.early = One(), Calls()
+    for part in parts:
+        chunk = pd.DataFrame(part, columns=["key", "sequence", "previous_hash", "event_hash", "payload"])
+        for out in v.handleInputRows(("a",), [chunk], None):
+            found += list(out.itertuples(index=False, name=None))
+    return found, v.early.calls, v.early.kept
+
+
+def test_waiting_events_take_few_calls_to_state(spark):
+    rows = chain_rows(spark, "a", 1000)
+    found, calls, kept = counted(S.MOST_WAITING, [rows[500:], rows[:500]])
+    assert (found, kept) == ([], {}) and calls < 100  # four calls an event before
+    # A gap is given up with the events at hand: those that come after it are never put in state.
+    found, calls, kept = counted(5, [rows[:2] + rows[3:], rows[2:3]])
+    assert (found, calls, kept) == ([("a", 3, "gap"), ("a", 3, "late-or-doubled")], 0, {})
+    # With every second event lost, each is one gap.
+    found, calls, kept = counted(5, [rows[1::2]])
+    assert [f[1:] for f in found] == [(s, "gap") for s in range(1, 990, 2)] and sum(len(b[0]) for b in kept.values()) == 5
