@@ -26,7 +26,7 @@ LOOKED_UP = 500
 @dataclass(frozen=True)
 class Tree:
     """A tree under path: nodes (level, prefix, n, digest), in order of prefixes within a level, and entries (h, times and
-    the key columns), in order of h. digits is the length of a leaf's prefix."""
+    the key columns), in order of h, the first of a leaf with the leaf's n and digest. digits is the length of a leaf's prefix."""
 
     spark: SparkSession
     path: str
@@ -36,7 +36,7 @@ class Tree:
         return self.spark.read.parquet(f"{self.path}/nodes/level={level}")
 
     def entries(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/entries")
+        return self.spark.read.parquet(f"{self.path}/entries").select("h", "times", "key")
 
     def root(self) -> tuple[int, str]:
         """(number of rows, digest) of the whole table; the digest of no rows is that of an empty text."""
@@ -56,15 +56,20 @@ def digits_for(n: int, most: int = MOST) -> int:
 
 def build_tree(df: DataFrame, keys: list[str], name: str = "tree", digits: int | None = None, most: int = MOST) -> Tree:
     """Write the tree of a table. Trees are compared level by level, so two of them need the same digits; by default these
-    follow from the number of entries. Nulls, repeated rows and empty tables are as good as any."""
+    follow from the number of rows. Nulls, repeated rows and empty tables are as good as any."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows = df.select(row_digest(df.columns).alias("h"), F.struct(*keys).alias("key"))
-    entries = rows.groupBy("h").agg(F.count("*").alias("times"), F.first("key").alias("key"))
-    entries.repartitionByRange("h").sortWithinPartitions("h").write.parquet(f"{path}/entries")
-    held = spark.read.parquet(f"{path}/entries")
-    digits = digits_for(held.count(), most) if digits is None else digits
-    each = F.concat_ws(":", "h", F.col("times").cast("string"))
-    below = held.groupBy(F.substring("h", 1, digits).alias("prefix")).agg(F.sum("times").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(each)), ","), 256).alias("digest"))
+    digits = digits_for(df.count(), most) if digits is None else digits
+    # Rows are shuffled once, with digests as bytes: a task has whole leaves, so their digests are made where entries are.
+    rows = df.select(F.unhex(row_digest(df.columns)).alias("h"), F.struct(*keys).alias("key"))
+    dealt = rows.withColumn("leaf", F.substring("h", 1, digits // 2)).repartitionByRange("leaf")
+    entries = dealt.groupBy("leaf", "h").agg(F.count("*").alias("times"), F.first("key").alias("key"))
+    leaves = entries.groupBy("leaf").agg(F.sum("times").alias("n"), F.sort_array(F.collect_list(F.struct("h", "times", "key"))).alias("own"))
+    each = F.transform("own", lambda e: F.concat_ws(":", F.lower(F.hex(e["h"])), e["times"].cast("string")))
+    rows = leaves.sortWithinPartitions("leaf").select("n", F.sha2(F.array_join(each, ","), 256).alias("digest"), F.posexplode("own").alias("at", "e"))
+    first = F.col("at") == 0
+    rows = rows.select(F.lower(F.hex("e.h")).alias("h"), "e.times", "e.key", F.when(first, F.col("n")).alias("n"), F.when(first, F.col("digest")).alias("digest"))
+    rows.write.option("compression", "zstd").parquet(f"{path}/entries")
+    below = spark.read.parquet(f"{path}/entries").filter("digest is not null").select(F.substring("h", 1, digits).alias("prefix"), "n", "digest")
     for level in range(digits, -1, -STEP):
         if level < digits:
             child = F.concat_ws(":", "prefix", "digest")
@@ -102,7 +107,7 @@ def changed_leaves(a: Tree, b: Tree) -> DataFrame:
 def changed_keys(a: Tree, b: Tree) -> DataFrame:
     """(key): the keys of the rows that one table has more often than the other, from the leaves that differ alone."""
     leaves = changed_leaves(a, b)
-    held = [below(t.entries(), "h", leaves, t.digits).select("h", "key", (F.col("times") * sign).alias("times")) for t, sign in ((a, 1), (b, -1))]
+    held = [below(t.entries(), "h", leaves, t.digits).select(F.unhex("h").alias("h"), "key", (F.col("times") * sign).alias("times")) for t, sign in ((a, 1), (b, -1))]
     return held[0].unionByName(held[1]).groupBy("h", "key").agg(F.sum("times").alias("times")).filter("times <> 0").select("key").distinct()
 
 

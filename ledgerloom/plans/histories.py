@@ -43,7 +43,8 @@ UNION ALL SELECT 'orders', 'extra', CAST(-o_orderkey AS VARCHAR), NULL FROM orde
 def verify_snapshot_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and orders against copies with rows lost, changed and added, compared by their trees of digests."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").distinct()
+    lines = written(lines, "lines")
+    orders = written(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").distinct(), "orders")
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     copy = lines.filter(k % 101 != 0).withColumn("l_returnflag", F.when(k % 97 == 0, F.lit(None)).otherwise(F.col("l_returnflag")))
     more = orders.unionByName(orders.filter("o_orderkey % 500 = 3").withColumn("o_orderkey", -F.col("o_orderkey")))

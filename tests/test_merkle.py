@@ -87,3 +87,18 @@ def test_only_changed_subtrees_are_read(spark):
     assert [r["key"]["id"] for r in M.changed_keys(ta, tb).collect()] == [31_337]
     with pytest.raises(ValueError):
         M.changed_leaves(ta, M.build_tree(a, ["id"], digits=2))
+
+
+def test_rows_are_shuffled_once(spark):
+    """A tree's entries and leaves come from one shuffle of the rows, as bytes of digests."""
+    ids = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("tree", "tree")
+    try:
+        tree = M.build_tree(spark.range(30_000).select("id"), ["id"], digits=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store = spark._jsparkSession.sparkContext().statusStore()
+    stages = {s for j in ids("tree") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 30_000 <= moved < 31_000  # rows once, and nodes; each row three times before
+    assert tree.entries().count() == 30_000 and tree.root()[0] == 30_000
