@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import NATIVE, WIDTHS, digest, envelope, event_hash, genesis, hasher
-from ..sources.shared import dealt
+from ..sources.shared import dealt, tasks
 from .findings import finding, row_findings
 
 KEY, SEQ = "project_id", "event_sequence"
@@ -122,7 +122,8 @@ def verify_chain(ledger: DataFrame, schema: str = "audit-event/v3", algorithm: s
 def anchor_check(manifests: DataFrame, ledger: DataFrame, key: str = KEY) -> DataFrame:
     """manifests (key, event_count, chain_head) with anchored: the ledger has that hash at that count; at 0 it is 64 zeroes."""
     at = ledger.select(F.col(key).alias("_k"), F.col(SEQ).alias("_s"), F.col("event_hash").alias("_hash"))
-    joined = manifests.join(at, (F.col(key) == F.col("_k")) & (F.col("event_count") == F.col("_s")), "left")
+    n = tasks(ledger.sparkSession)
+    joined = manifests.repartition(n, key, "event_count").join(at.repartition(n, "_k", "_s"), (F.col(key) == F.col("_k")) & (F.col("event_count") == F.col("_s")), "left")
     expected = F.when(F.col("event_count") == 0, F.lit("0" * 64)).otherwise(F.col("_hash"))
     return joined.withColumn("anchored", F.coalesce(F.col("chain_head") == expected, F.lit(False))).drop("_k", "_s", "_hash")
 

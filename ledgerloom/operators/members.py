@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import tasks, written
 
 # Items to a part of a long text.
 PART = 10_000
@@ -23,7 +23,7 @@ def ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "ordina
     keys, at = [f"_b{i}" for i in range(len(by))], [f"_o{i}" for i in range(len(order))]
     rows = df.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(k) for c, k in zip([*by, *order], [*keys, *at], strict=True)])
     # Written, so that numbers and sizes see the same ranges.
-    ranged = written(rows.repartitionByRange(*keys, *at).withColumn("_range", F.spark_partition_id()), "ordinals")
+    ranged = written(rows.repartitionByRange(tasks(df.sparkSession), *keys, *at).withColumn("_range", F.spark_partition_id()), "ordinals")
     placed = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*at)))
     sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_size")).filter("_before > 0")

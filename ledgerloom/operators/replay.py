@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import tasks
+
 SEQ = "event_sequence"
 
 
@@ -57,11 +59,16 @@ def project(ledger: DataFrame, p: Projection, by: tuple[str, ...] = ("project_id
     rows = parsed(ledger.filter(F.col("event_type").isin(*p.sets)))
     value = lambda c: reduce(lambda out, t: F.when(F.col("event_type") == t, p.sets[t][c].cast("string")).otherwise(out), [t for t in p.sets if c in p.sets[t]], F.lit(None).cast("string"))
     rows = rows.select(*by, *[e.alias(k) for k, e in p.key.items()], SEQ, "event_type", *[value(c).alias(f"_v_{c}") for c in p.columns()])
-    setters = {c: [t for t in p.sets if c in p.sets[t]] for c in p.columns()}
-    last = [F.max_by(F.struct(f"_v_{c}"), F.when(F.col("event_type").isin(*setters[c]), F.col(SEQ))).alias(c) for c in p.columns()]
+    # Columns that the same events set have their last values from one event. Rows are dealt as they are: there are seldom
+    # many of a key, so that putting them together before would be a sort more.
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for c in p.columns():
+        groups.setdefault(tuple(t for t in p.sets if c in p.sets[t]), []).append(c)
+    last = [F.max_by(F.struct(*[f"_v_{c}" for c in own]), F.when(F.col("event_type").isin(*types), F.col(SEQ))).alias(f"_last_{i}") for i, (types, own) in enumerate(groups.items())]
     made = F.max(F.col("event_type").isin(*(p.creates or tuple(p.sets)))).alias("_made")
-    out = rows.groupBy(*by, *p.key).agg(*last, made).filter("_made")
-    return out.select(*by, *p.key, *[F.col(f"{c}._v_{c}").alias(c) for c in p.columns()])
+    out = rows.repartition(tasks(ledger.sparkSession), *by, *p.key).groupBy(*by, *p.key).agg(*last, made).filter("_made")
+    at = {c: f"_last_{i}._v_{c}" for i, own in enumerate(groups.values()) for c in own}
+    return out.select(*by, *p.key, *[F.col(at[c]).alias(c) for c in p.columns()])
 
 
 def decision(states: dict[str, str], at: str = "resolved_sequence") -> dict[str, dict[str, Column]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import enum_rule, has_reason, is_safe_path, valid_box, valid_digest, valid_point
-from ..sources.shared import written
+from ..sources.shared import tasks, written
 from . import replay as R
 from .chain import anchor_check
 from .findings import COLUMNS, finding, row_findings
@@ -124,10 +124,13 @@ def verify_acquisitions(ledger: DataFrame, files: DataFrame) -> DataFrame:
     keys = ["project_id", "acquisition_id"]
     placed = files.filter("acquisition_id is not null").select(*keys, "file_id", F.col("committed_sequence").cast("long").alias("_seq"))
     own = ordinals(placed, keys, ["_seq", "file_id"], "_place").withColumn("_at", (F.col("_place") - 1).cast("int"))
-    met = listed.join(own, [*keys, "_at"]).filter(F.col("_said").eqNullSafe(F.col("file_id"))).groupBy("_event").agg(F.count("*").alias("_met"))
+    n = tasks(ledger.sparkSession)
+    met = listed.repartition(n, *keys, "_at").join(own.repartition(n, *keys, "_at"), [*keys, "_at"]).filter(F.col("_said").eqNullSafe(F.col("file_id"))).groupBy("_event").agg(F.count("*").alias("_met"))
     held = placed.groupBy(*keys).agg(F.count("*").alias("_own")).withColumnRenamed("acquisition_id", "object_id")
-    joined = rows.join(met, "_event", "left").join(held, ["project_id", "object_id"], "left")
-    rules = {"no-files": "size(ids) = 0", "doubled-file": "size(ids) <> size(array_distinct(ids))", "membership": "size(ids) <> coalesce(_own, 0) or size(ids) <> coalesce(_met, 0)"}
+    # Lists stay behind: from here on their sizes are enough.
+    sizes = rows.select("_event", "project_id", "object_id", F.size("ids").alias("_n"), F.size(F.array_distinct("ids")).alias("_different"))
+    joined = sizes.repartition(n, "_event").join(met, "_event", "left").repartition(n, "project_id", "object_id").join(held, ["project_id", "object_id"], "left")
+    rules = {"no-files": "_n = 0", "doubled-file": "_n <> _different", "membership": "_n <> coalesce(_own, 0) or _n <> coalesce(_met, 0)"}
     found = row_findings(joined, F.col("project_id"), F.col("object_id"), [(rule, F.expr(where), None, None, None) for rule, where in rules.items()])
     return finding(twice, F.col("project_id"), "recorded-twice", F.col("object_id"), actual=F.col("count")).unionByName(found)
 
@@ -151,14 +154,15 @@ def verify_exports(manifests: DataFrame, items: DataFrame, event_items: DataFram
     membership = diff(event_items, items, ["export_id", "output_path"], fields, "export-items")
     recorded = items.select("export_id", "output_path", F.col("output_digest").alias("content_digest"))
     held = diff(recorded, observed, ["export_id", "output_path"], ["content_digest"], "export-bytes")
-    loose = finding(anchor_check(manifests, ledger).filter("not anchored"), F.lit("exports"), "unanchored", F.col("export_id"), "chain_head", actual=F.col("chain_head"))
+    loose = finding(anchor_check(manifests.select("project_id", "export_id", "event_count", "chain_head"), ledger).filter("not anchored"), F.lit("exports"), "unanchored", F.col("export_id"), "chain_head", actual=F.col("chain_head"))
     derived = finding(items.filter("mode = 'derived' and source_digest = output_digest"), F.lit("exports"), "derived-but-equal", F.col("export_id"), "mode", actual=F.col("mode"))
     native = finding(items.filter("mode = 'native' and not (source_digest <=> output_digest)"), F.lit("exports"), "native-but-changed", F.col("export_id"), "mode", actual=F.col("mode"))
     other = finding(items.filter(~enum_rule("export_items.mode", "mode")), F.lit("exports"), "unknown-mode", F.col("export_id"), "mode", actual=F.col("mode"))
     parts = [membership, held, loose, derived, native, other]
     if exports is not None:
         recorded = exports.select("export_id", F.col("state").alias("_state"), F.col("manifest_digest").alias("_m"), F.col("output_digest").alias("_o"))
-        seen = manifests.join(recorded, "export_id", "left")
+        n = tasks(manifests.sparkSession)
+        seen = manifests.select("export_id", "manifest_digest", "output_digest").repartition(n, "export_id").join(recorded.repartition(n, "export_id"), "export_id", "left")
         done = F.coalesce(F.col("_state") == "completed", F.lit(False))
         parts.append(row_findings(seen, F.lit("exports"), F.col("export_id"), [
             ("incomplete-export", ~done, "state", F.lit("completed"), F.col("_state")),

@@ -16,6 +16,7 @@ from ..operators import verify as V
 from ..operators.findings import report, summarise_findings
 from ..operators.sets import union_all
 from ..sources import ledger as L
+from ..sources.shared import written
 from .registry import FILES, LEDGER, query
 from .replays import file_events, note_events, policy_events
 from .standins import files, ledger, scope_tables, table, text
@@ -170,10 +171,12 @@ def verify_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     that are none."""
     k = F.col("o_orderkey")
     e = table(spark, sf_dir, "orders").select("o_orderkey").distinct().select(text("o_orderkey").alias("export_id"), "o_orderkey", F.lit("P").alias("project_id"), k.alias("event_count"), F.when(k % 37 == 0, "x").otherwise(F.concat(F.lit("h"), text("o_orderkey"))).alias("chain_head"), F.when(k % 29 == 0, "x").otherwise("m").alias("manifest_digest"), F.when(k % 31 == 0, "x").otherwise("o").alias("output_digest"))
+    e = written(e, "manifests")
     history = e.select("project_id", F.col("event_count").alias("event_sequence"), F.concat(F.lit("h"), "export_id").alias("event_hash"))
     exports = e.select("export_id", F.when(k % 23 == 0, "failed").otherwise("completed").alias("state"), F.lit("m").alias("manifest_digest"), F.lit("o").alias("output_digest"))
     n, line = F.col("l_orderkey"), F.col("l_linenumber")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select("l_orderkey", "l_linenumber", text("l_orderkey").alias("export_id"), F.concat(F.lit("p"), text("l_linenumber")).alias("output_path"), F.lit("f").alias("file_id"), F.lit("s").alias("source_digest"), F.when((line == 4) & (n % 59 == 0), "z").otherwise("s").alias("output_digest"), F.when((line == 4) & (n % 53 == 0), "derived").when((line == 4) & (n % 61 == 0), "exact").otherwise("native").alias("mode"))
+    items = written(items, "items")
     said = items.filter(~((line == 1) & (n % 41 == 0))).withColumn("file_id", F.when((line == 2) & (n % 43 == 0), "g").otherwise("f"))
     seen = items.filter(~((line == 3) & (n % 47 == 0))).select("export_id", "output_path", F.col("output_digest").alias("content_digest"))
     return V.verify_exports(e, said, items, seen, history, exports).select("target", "rule", "key")

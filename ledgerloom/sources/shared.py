@@ -35,6 +35,12 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(*keys))
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks a large shuffle is dealt over: the session's number, stated in repartition, so that Spark puts none of
+    them together. Left to itself it goes by compressed bytes, of which 64 MB may be gigabytes of rows to sort."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once as Parquet, with options of its writer, in the shared folder and return the table read back.
 
