@@ -22,13 +22,15 @@ def resolve_scopes(targets: DataFrame, state: dict[str, DataFrame]) -> tuple[Dat
     (empty-scope) are told from those that nobody issued (unknown-scope).
     """
     files = state["files"]
+    # What is no file of the catalogue goes first, before lists of any length meet the targets and are made distinct.
+    catalogued = lambda name, scope: state[name].select(F.col(scope).alias("scope_id"), "file_id").join(files.select("file_id"), "file_id", "left_semi")
     keyed = {
         "project": files.select(F.col("project_id").alias("scope_id"), "file_id"),
         "case": files.select(F.col("case_id").alias("scope_id"), "file_id"),
         "acquisition": files.select(F.col("acquisition_id").alias("scope_id"), "file_id"),
         "file": files.select(F.col("file_id").alias("scope_id"), "file_id"),
-        "note": state["note_revisions"].select(F.col("note_id").alias("scope_id"), "file_id"),
-        "export": state["export_items"].select(F.col("export_id").alias("scope_id"), "file_id"),
+        "note": catalogued("note_revisions", "note_id"),
+        "export": catalogued("export_items", "export_id"),
     }
     asked = targets.select("scope_type", "scope_id").distinct()
     parts = [asked.filter(F.col("scope_type") == name).join(rows, "scope_id").select("scope_type", "scope_id", "file_id") for name, rows in keyed.items()]

@@ -39,8 +39,8 @@ def scope_tables(spark: SparkSession, sf_dir: str, f: DataFrame, number: Column,
     """The tables that scopes are resolved with, f being files and number their documents': artefacts of each odd file,
     relations of each file to the one of twice its number, conversations as notes and suppliers as exports of files."""
     artefacts = f.filter(number % 2 == 1).select(F.concat(F.lit(f"{artefact}-"), number.cast("string")).alias("artefact_id"), "file_id")
-    notes = table(spark, sf_dir, "conversations").select(F.format_string("NOTE-%d", "conv_id").alias("note_id"), name(F.col("conv_id") * 3 + F.col("turn")).alias("file_id"))
-    exports = table(spark, sf_dir, "lineitem").select(F.format_string("EXPORT-%d", "l_suppkey").alias("export_id"), name(F.col("l_partkey")).alias("file_id"))
+    notes = table(spark, sf_dir, "conversations").select(F.concat(F.lit("NOTE-"), F.col("conv_id").cast("string")).alias("note_id"), name(F.col("conv_id") * 3 + F.col("turn")).alias("file_id"))
+    exports = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("EXPORT-"), F.col("l_suppkey").cast("string")).alias("export_id"), name(F.col("l_partkey")).alias("file_id"))
     edges = f.select(F.col("file_id").alias("parent_file_id"), name(number * 2).alias("child_file_id"))
     return {"files": f, "artefact_files": artefacts, "note_revisions": notes, "export_items": exports, "file_relationships": edges}
 

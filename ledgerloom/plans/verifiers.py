@@ -129,7 +129,7 @@ SELECT scope_type, scope_id, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(k) AS
 def verify_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases, files, artefacts with all that is related below their files, notes and exports, each with the findings about its files."""
     led, live, payloads, allowed = live_files(spark, sf_dir)
-    state = scope_tables(spark, sf_dir, live, number("file_id"), lambda n: F.format_string("FILE-%d", n))
+    state = scope_tables(spark, sf_dir, live, number("file_id"), lambda n: F.concat(F.lit("FILE-"), n.cast("string")))
     scopes = {"case": "files", "file": "files", "artefact": "artefact_files", "note": "note_revisions", "export": "export_items"}
     targets = union_all([state[t].select(F.lit(s).alias("scope_type"), F.col(f"{s}_id").alias("scope_id")).distinct() for s, t in scopes.items()])
     return V.verify_object(targets, led, state, payloads, allowed)[0]
