@@ -5,12 +5,15 @@ the size of the corpus: 0.99997 at s = 0.8. Every pair that shares a band is cov
 
 1. Each text is held against the hub of one of its bands, and against the other hubs that are not in its component by
    then. The links that hold give components. Signatures of fixed size screen the pairs before texts are fetched.
-2. Pairs within one component need no look. The others have one side outside the hub's component: that side meets the
-   whole band in pairs of blocks of bounded size, thinned out by signatures. A task looks at the closest pairs first
-   and leaves out those that are in one component by then; only links that join components leave it.
-3. Bands of which so many texts lie outside the hub's component that they make more than CROWD pairs of blocks are first
-   dealt anew: two sets of similarity s share a shingle among the 1 - s rarest of each, so texts meet over their rarest
-   shingles. Texts that have most of a form in common but not s meet few others, and no pair at s is lost.
+2. Pairs within one component need no look. The others have one side outside the band's largest component: that side
+   meets the whole band in pairs of blocks of bounded size, thinned out by signatures. A task hashes a block's texts once,
+   looks at a text's closest partners first and leaves out those in its component by then; only links that join components
+   leave it.
+3. Bands of which so many texts lie outside that component that they make more than CROWD pairs of blocks are dealt anew
+   where that makes fewer pairs: two sets of similarity s share a shingle among the 1 - s rarest of each, so texts meet
+   over their rarest shingles. Texts that have most of a form in common but not s meet few others, and no pair at s is
+   lost. Copies of one text with a few words changed have the form's shingles among their rarest and would meet over each
+   of them: their bands are compared as they are.
 
 Links come from the exact similarity of the texts' own shingles in both steps.
 """
@@ -27,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from ..sources.shared import tasks
+from .common import numbered, slices, written
 from .components import connected_components
 
 SEED = 42
@@ -38,6 +42,8 @@ MINIMA, BITS_APART = 256, 50
 BLOCK = 512
 CROWD = 64
 CHUNK = 256
+# A text's closest partners, looked at before the others.
+FIRST = 16
 
 
 def shingles(text: str | None, size: int) -> set[bytes]:
@@ -68,7 +74,13 @@ def hashes(text: str | None, size: int) -> np.ndarray:
     h, n = np.zeros(len(parts) - size + 1, np.uint64), len(parts) - size + 1
     for i in range(size):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return np.unique(h)
+    return distinct(h)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """np.unique, which takes five times as long on a text's hashes."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
 def least_hashes(text: str | None, size: int) -> tuple[int, int, np.ndarray]:
@@ -114,15 +126,13 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, fifths: float) -> Data
     """The pairs (u, v) whose texts have a similarity of fifths / 5 or more."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, other = None, None
+        sets = functools.lru_cache(maxsize=256)(hashes)
         for batch in batches:
-            keep = []
-            for v, a, b in zip(batch["v"], batch["_a"], batch["_b"], strict=True):
-                if v != last:
-                    last, other = v, hashes(b, size)
-                keep.append(similar(hashes(a, size), other, fifths))
+            keep = [similar(sets(a, size), sets(b, size), fifths) for a, b in zip(batch["_a"], batch["_b"], strict=True)]
             yield batch.loc[keep, ["u", "v"]]
 
+    # Pairs are small, their texts are not: by bytes alone all pairs may be put in one task.
+    pairs = pairs.repartition(tasks(pairs.sparkSession), "u")
     asked = pairs.select(F.col("u").alias("_node")).unionByName(pairs.select(F.col("v").alias("_node"))).distinct()
     held = texts.join(asked, "_node", "left_semi")
     sides = [held.select(F.col("_node").alias(x), F.col("_text").alias(y)) for x, y in (("u", "_a"), ("v", "_b"))]
@@ -168,18 +178,55 @@ def close_rows(a: dict, b: dict, most: int, key: int) -> tuple[np.ndarray, np.nd
     return i[order], j[order]
 
 
+class Overlaps:
+    """Sizes of intersections with any of the sets held: sorted hashes by name."""
+
+    def __init__(self, sets: dict[int, np.ndarray]):
+        self.every = distinct(np.concatenate(list(sets.values())))
+        self.places = {k: np.searchsorted(self.every, s) for k, s in sets.items()}
+        self.mark = np.zeros(len(self.every), np.uint8)
+
+    def of(self, own: np.ndarray, names: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many elements the sets of these names share with own, how many they have)."""
+        at = np.searchsorted(self.every, own)
+        at = at[self.every[np.minimum(at, len(self.every) - 1)] == own]
+        self.mark[at] = 1
+        places = [self.places[k] for k in names]
+        sizes = np.array([len(p) for p in places])
+        both = np.add.reduceat(self.mark[np.concatenate(places)], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.mark[at] = 0
+        return both, sizes
+
+
 def block_links(a: dict, b: dict, size: int, fifths: float, most: int, key: int) -> list[tuple[int, int]]:
-    """Links (u, v) between the texts of two blocks that join components, closest pairs first.
+    """Links (u, v) between the texts of two blocks that join components.
 
-    A block has lists node, root and text and arrays bits and keys. Pairs that a link before has put in one component need
-    no look, so a group of near copies costs about as many looks as it has members.
+    A block has lists node, root and text and arrays bits and keys. A text is held against its closest partners first, then
+    against those that a link before has not put in its component.
     """
-    forest, out, sets = Forest(), [], functools.lru_cache(maxsize=256)(lambda side, k: hashes((a, b)[side]["text"][k], size))
-    for x, y in zip(*(k.tolist() for k in close_rows(a, b, most, key)), strict=True):
-        if forest.root(a["root"][x]) != forest.root(b["root"][y]):
-            if similar(sets(0, x), sets(1, y), fifths):
-                forest.join(a["root"][x], b["root"][y])
-                out.append((a["node"][x], b["node"][y]))
+    forest, out = Forest(), []
+    i, j = close_rows(a, b, most, key)
+    rows, start = np.unique(j).tolist(), 0
+    for texts in slices([b["text"][y] for y in rows], 16_000_000) if rows else ():
+        held = rows[start : start + len(texts)]
+        start += len(texts)
+        overlaps = Overlaps({y: hashes(t, size) for y, t in zip(held, texts, strict=True)})
+        ours = (j >= held[0]) & (j <= held[-1])
+        order = np.argsort(i[ours], kind="stable")
+        x, y = i[ours][order], j[ours][order]
+        edges = np.flatnonzero(np.diff(x, prepend=-1, append=-1)).tolist()
+        for at, end in zip(edges, edges[1:]):
+            k, own = int(x[at]), None
+            for partners in (y[at : at + FIRST], y[at + FIRST : end]) if end - at > FIRST else (y[at:end],):
+                names = [p for p in partners.tolist() if forest.root(a["root"][k]) != forest.root(b["root"][p])]
+                if not names:
+                    continue
+                own = hashes(a["text"][k], size) if own is None else own
+                both, sizes = overlaps.of(own, names)
+                for p in np.array(names)[5 * both >= fifths * (len(own) + sizes - both)].tolist():
+                    if forest.root(a["root"][k]) != forest.root(b["root"][p]):
+                        forest.join(a["root"][k], b["root"][p])
+                        out.append((a["node"][k], b["node"][p]))
     return out
 
 
@@ -204,18 +251,17 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tupl
 
 def mixed_bands(rows: DataFrame, root: DataFrame) -> DataFrame:
     """The rows (_key, _node, _root) of the bands that hold several components, with _out, whether a row is outside the
-    hub's component, _n, how many rows the band has, and _m, how many of them are outside."""
-    named = rows.join(root, F.col("_node") == F.col("node"), "left").select("_key", "_node", "_hub", F.coalesce("root", "_node").alias("_root"))
+    band's largest component, _n, how many rows the band has, and _m, how many of them are outside."""
+    named = rows.join(root, F.col("_node") == F.col("node"), "left").select("_key", "_node", F.coalesce("root", "_node").alias("_root"))
     named = written(named, "band-roots")
-    own = F.max(F.when(F.col("_node") == F.col("_hub"), F.col("_root")))
-    sizes = named.groupBy("_key").agg(own.alias("_own"), F.count("*").alias("_n"), F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x <> _y").drop("_x", "_y")
-    mixed = named.join(sizes, "_key").withColumn("_out", F.col("_root") != F.col("_own"))
-    outside = mixed.filter("_out").groupBy("_key").agg(F.count("*").alias("_m"))
-    return written(mixed.join(outside, "_key").select("_key", "_node", "_root", "_out", "_n", "_m"), "mixed-bands")
+    parts = named.groupBy("_key", "_root").agg(F.count("*").alias("_rows"))
+    sizes = parts.groupBy("_key").agg(F.max(F.struct("_rows", "_root")).alias("_most"), F.sum("_rows").alias("_n"), F.count("*").alias("_roots")).filter("_roots > 1")
+    sizes = sizes.select("_key", "_n", (F.col("_n") - F.col("_most._rows")).alias("_m"), F.col("_most._root").alias("_own"))
+    return written(named.join(sizes, "_key").select("_key", "_node", "_root", (F.col("_root") != F.col("_own")).alias("_out"), "_n", "_m"), "mixed-bands")
 
 
 def rarest(texts: DataFrame, size: int, fifths: float) -> DataFrame:
-    """(_key, _node, _hub): the shingles by which texts of similarity fifths / 5 or more meet, with the least node of each.
+    """(_key, _node, _texts): the shingles by which texts of similarity fifths / 5 or more meet, and how many texts hold each.
 
     Of n shingles in order of how many texts hold them, these are the first n - ceil(n fifths / 5) + 1.
     """
@@ -228,22 +274,26 @@ def rarest(texts: DataFrame, size: int, fifths: float) -> DataFrame:
                 yield pa.record_batch({"_key": pa.array(h.view(np.int64)), "_node": pa.array(np.full(len(h), node, np.int64)), "_first": pa.array(np.full(len(h), first, np.int64))})
 
     all_held = written(texts.select("_node", "_text").mapInArrow(held, "_key bigint, _node bigint, _first bigint"), "shingles")
-    of = all_held.groupBy("_key").agg(F.count("*").alias("_texts"), F.min("_node").alias("_hub"))
+    of = all_held.groupBy("_key").agg(F.count("*").alias("_texts"))
     place = F.row_number().over(Window.partitionBy("_node").orderBy("_texts", "_key"))
-    return all_held.join(of, "_key").withColumn("_place", place).filter("_place <= _first and _texts > 1").select("_key", "_node", "_hub")
+    return all_held.join(of, "_key").withColumn("_place", place).filter("_place <= _first and _texts > 1").select("_key", "_node", "_texts")
 
 
 def across(rows: DataFrame, nodes: DataFrame, root: DataFrame, block: int, size: int, fifths: float, most: int, crowd: int) -> DataFrame:
-    """Links (u, v) of each band between components of root: each text outside the hub's component is held against all of
-    the band, in pairs of blocks of about `block` texts; crowded bands are dealt anew by rarest shingles first."""
+    """Links (u, v) of each band between components of root: each text outside the band's largest component is held against
+    all of the band, in pairs of blocks of about `block` texts; crowded bands are dealt anew by rarest shingles first, if
+    their texts meet fewer others that way."""
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     mixed = mixed_bands(rows, root)
     crowded = blocks("_n").cast("long") * blocks("_m") > crowd
-    links = within_blocks(mixed.filter(~crowded), nodes, block, size, fifths, most)
     asked = mixed.filter(crowded).select("_node").distinct()
     if asked.isEmpty():
-        return links
-    dealt = mixed_bands(rarest(nodes.join(asked, "_node", "left_semi"), size, fifths), root)
+        return within_blocks(mixed, nodes, block, size, fifths, most)
+    rare = written(rarest(nodes.join(asked, "_node", "left_semi"), size, fifths), "rarest-shingles")
+    met = mixed.filter(crowded).join(rare.groupBy("_node").agg(F.sum("_texts").alias("_met")), "_node", "left")
+    anew = met.groupBy("_key", "_n", "_m").agg(F.coalesce(F.sum("_met"), F.lit(0)).alias("_met")).filter("_met <= _n * _m").select("_key")
+    links = within_blocks(mixed.join(anew, "_key", "left_anti"), nodes, block, size, fifths, most)
+    dealt = mixed_bands(rare.join(mixed.join(anew, "_key", "left_semi").select("_node").distinct(), "_node", "left_semi"), root)
     return links.unionByName(within_blocks(dealt, nodes, block, size, fifths, most)).distinct()
 
 
@@ -276,7 +326,7 @@ def within_blocks(mixed: DataFrame, nodes: DataFrame, block: int, size: int, fif
             pairs = block_links(*(side(p, "_node", "_root", "_text") for p in parts), size, fifths, most, key)
             yield pa.record_batch({"u": pa.array([max(p) for p in pairs], pa.int64()), "v": pa.array([min(p) for p in pairs], pa.int64())})
 
-    dealt = lambda df: df.repartition("_key", "_r", "_c").sortWithinPartitions("_key", "_r", "_c", "_side", "_node")
+    dealt = lambda df: df.repartition(tasks(df.sparkSession), "_key", "_r", "_c").sortWithinPartitions("_key", "_r", "_c", "_side", "_node")
     both = a.unionByName(b)
     close = written(dealt(both).mapInArrow(partners, both.schema), "close-rows")
     return dealt(close.join(nodes.select("_node", "_text"), "_node")).mapInArrow(links, "u bigint, v bigint").distinct()

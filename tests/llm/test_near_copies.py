@@ -106,3 +106,40 @@ def test_rows_are_judged_by_their_texts_not_their_ids(spark):
     kept = {(r["doc_id"], r["text"]) for r in out}
     assert len(out) == len(kept) == 4 and kept == {(1, " ".join(words)), (5, other), (None, "alone"), (8, None)}
     assert N.without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_a_block_hashes_each_text_once(monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(304)]
+    texts = [" ".join(changed(rng, base, 1 + k % 10)) for k in range(300)]
+    found = [N.minima(t, 5) for t in texts]
+    block = {"node": list(range(300)), "root": list(range(300)), "text": texts, "bits": np.array([f[2] for f in found]).view(np.uint64)}
+    calls, plain = [], N.hashes
+    monkeypatch.setattr(N, "hashes", lambda t, size: calls.append(t) or plain(t, size))
+    a, b = (block | {"keys": 2 * np.arange(300)[:, None] + k} for k in (1, 2))
+    links = N.block_links(a, b, 5, 4, N.BITS_APART, 0)
+    assert len(calls) <= 600
+    want, forest = brute(texts), N.Forest()
+    for u, v in links:
+        forest.join(u, v)
+    assert {i: forest.root(i) for i in range(300)} == want and 1 < len(set(want.values())) < 200
+
+
+def test_bands_are_held_against_their_largest_component(spark):
+    # Node 1 is the hub of the band and alone, 10 is alone too, the others are one component.
+    rows = spark.createDataFrame([(7, n, 1) for n in range(1, 11)] + [(8, n, 2) for n in (2, 3)], "_key bigint, _node bigint, _hub bigint")
+    root = spark.createDataFrame([(n, 2) for n in range(2, 10)], "node bigint, root bigint")
+    got = N.mixed_bands(rows, root).collect()
+    assert {(r["_key"], r["_n"], r["_m"]) for r in got} == {(7, 10, 2)}
+    assert sorted(r["_node"] for r in got if r["_out"]) == [1, 10]
+
+
+def test_copies_of_one_text_are_not_dealt_by_its_shingles(spark, monkeypatch):
+    # All have the form's shingles among their rarest, so over each of these most of them would meet again.
+    rng = random.Random(7)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(304)]
+    texts = [" ".join(changed(rng, base, rng.randrange(4, 14))) for _ in range(200)]
+    dealt, within = [], N.within_blocks
+    monkeypatch.setattr(N, "within_blocks", lambda mixed, *a: dealt.append(mixed.count()) or within(mixed, *a))
+    assert groups(spark, texts, block=16, crowd=4) == brute(texts)
+    assert dealt[0] > 0 and sum(dealt[1:]) <= dealt[0]
