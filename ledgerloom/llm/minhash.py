@@ -3,7 +3,8 @@
 An odd sketch is a bitmap of SKETCH bits in which each of a text's minima flips the bit that its position and value name.
 Minima that two texts share cancel out in the XOR of their sketches, so its population count z tells how many differ:
 the similarity is about 1 + SKETCH / (4 MINIMA) ln(1 - 2 z / SKETCH). Of the pairs that share a band those with a z above
-the limit are left out before any text is fetched; the limit is five deviations from what a pair at the threshold has.
+the limit are left out before any text is fetched; the limit is five deviations or more from what a pair at the threshold
+has.
 How bands are searched, whatever their size, is near_copies'.
 """
 
@@ -23,6 +24,8 @@ from .near_copies import BLOCK, CROWD, MINIMA, band_keys, components_of, least_h
 BANDS, ROWS = 30, 6
 # The same for 0.8: a chance of 0.00003.
 WIDE = (20, 4)
+# The minima that bands leave over go in more bands of five: together a chance of 2 in 10^11 at 0.8.
+MORE = {WIDE: (35, 5)}
 SKETCH = 512
 
 
@@ -38,24 +41,28 @@ def estimated(apart: int) -> float:
     return 1 + SKETCH / (4 * MINIMA) * math.log(max(1 - 2 * apart / SKETCH, 1e-9))
 
 
-def bits_apart(similarity: float) -> int:
-    """At most so many bits differ between the sketches of two texts of this similarity, but for one pair in a million."""
+def bits_apart(similarity: float, deviations: int = 5) -> int:
+    """At most so many bits differ between the sketches of two texts of this similarity, but for one pair in a million, or,
+    at seven deviations, in 10^11."""
     gone = 2 * MINIMA * (1 - similarity)
     left = math.exp(-2 * gone / SKETCH)
     sampled = 2 * left * math.sqrt(MINIMA * similarity * (1 - similarity))
     folded = math.sqrt(SKETCH / 4 * (1 - left * left * (1 + 4 * gone / SKETCH)))
-    return math.ceil(SKETCH / 2 * (1 - left) + 5 * math.hypot(sampled, folded))
+    return math.ceil(SKETCH / 2 * (1 - left) + deviations * math.hypot(sampled, folded))
 
 
 def with_sketches(rows: DataFrame, size: int, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """rows with n_shingles, _node, _keys and _bits, from _text."""
 
+    used, more = math.prod(bands), MORE.get(bands, (0, 0))
+
     @F.pandas_udf("_node bigint, n_shingles bigint, _keys array<bigint>, _bits array<bigint>")
     def found(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             name, n, least = least_hashes(t, size)
-            out.append((name, n, band_keys(least, *bands) if n else [], odd_sketch(least).tolist()))
+            keys = band_keys(least, *bands) + band_keys(least[used:], *more, seed=bands[0]) if n else []
+            out.append((name, n, keys, odd_sketch(least).tolist()))
         return pd.DataFrame(out, columns=["_node", "n_shingles", "_keys", "_bits"])
 
     return rows.withColumn("_m", found("_text")).select("*", "_m.*").drop("_m")
@@ -81,8 +88,9 @@ def minhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: tuple[int, int] = WIDE, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """docs with one row of each group of near duplicates: one with the smallest id of the group, or one without an id
     where no row has any. Texts link as in minhash_near_duplicates, and rows are judged by their texts, also where several
-    have one id; but null, empty and blank texts are equal. All columns stay, whatever their names."""
+    have one id; but null, empty and blank texts are equal. All columns stay, whatever their names. With the bands given
+    here and those of MORE, 2 in 10^11 pairs at 0.8 share no band, and sketches screen out less than that."""
     rows, at = numbered(docs)
     found = written(with_sketches(with_rows(rows, at[id_col], at[text_col]), size, bands), "sketches", compression="zstd")
-    parts = components_of(found, size, 5 * similarity, bits_apart(similarity), block, crowd)
+    parts = components_of(found, size, 5 * similarity, bits_apart(similarity, 7), block, crowd)
     return found.join(parts.select(F.col("_first").alias("_row")).distinct(), "_row", "left_semi").select(*at.values()).toDF(*at)

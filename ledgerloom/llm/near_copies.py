@@ -97,8 +97,8 @@ def least_hashes(text: str | None, size: int) -> tuple[int, int, np.ndarray]:
     return name, len(h), least
 
 
-def band_keys(least: np.ndarray, bands: int, rows: int) -> list[int]:
-    return [signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j)) for j in range(bands)]
+def band_keys(least: np.ndarray, bands: int, rows: int, seed: int = 0) -> list[int]:
+    return [signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), seed + j)) for j in range(bands)]
 
 
 def minima(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
@@ -170,9 +170,13 @@ def close_rows(a: dict, b: dict, most: int, key: int) -> tuple[np.ndarray, np.nd
     """
     apart = sum(np.bitwise_count(a["bits"][:, None, j] ^ b["bits"][None, :, j]).astype(np.int16) for j in range(a["bits"].shape[1]))
     i, j = np.nonzero((apart <= most) & (np.array(a["root"])[:, None] != np.array(b["root"])[None, :]))
-    x, y = a["keys"][i], b["keys"][j]
-    first = np.argmax(x == y, axis=1)
-    ours = (x[np.arange(len(i)), first] == key) | ~(x == key).any(axis=1)
+    met, ours = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    has = (a["keys"] == key).any(axis=1)[i]
+    for x, y in zip(a["keys"].T, b["keys"].T, strict=True):
+        same = (x[i] == y[j]) & ~met
+        ours |= same & (x[i] == key)
+        met |= same
+    ours |= ~has
     i, j = i[ours], j[ours]
     order = np.argsort(apart[i, j], kind="stable")
     return i[order], j[order]

@@ -118,3 +118,20 @@ def test_near_copies_are_screened_by_odd_sketches(spark, monkeypatch):
     kept = {r["doc_id"] for r in P.near_copies(spark, docs, SF).collect()}
     assert asked == [(5, (20, 4))] and kept == {4 + i for i in set(group.values())} == {4, 5, 7}
     assert minhash.bits_apart(0.8) < minhash.SKETCH // 2
+
+
+def test_near_copies_at_the_limit_need_no_luck_with_bands(spark):
+    """Pairs of 40 and 50 shingles, 40 in common, found by search: of some 320,000 such pairs these share none of the 20 bands."""
+    import random
+
+    from ledgerloom.llm import near_copies as N
+
+    texts = []
+    for seed in (83412, 141529, 155698, 264683):
+        rng = random.Random(seed)
+        words = [f"w{rng.getrandbits(40)}" for _ in range(54)]
+        texts += [" ".join(words[:44]), " ".join(words)]
+        a, b = (N.least_hashes(t, 5)[2] for t in texts[-2:])
+        assert not set(N.band_keys(a, 20, 4)) & set(N.band_keys(b, 20, 4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in P.near_copies(spark, docs, SF).collect()} == set(brute_copies(texts).values()) == {0, 2, 4, 6}
